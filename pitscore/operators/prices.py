@@ -42,16 +42,16 @@ def _pairs(xs: Column, f) -> Column:
     return F.zip_with(F.slice(xs, 1, n), F.slice(xs, 2, n), f)
 
 
-def _sum(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+def _sample_std(xs: Column) -> Column:
+    """Sample standard deviation of an array in one pass; NULL below two elements."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - acc["mean"]) * (x - mean)).alias("m2"))
 
-def _sample_std(xs: Column) -> Column:
-    """Sample standard deviation of an array; NULL below two elements."""
-    n = F.size(xs)
-    mean = ratio(_sum(xs), n)
-    squares = F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.when(n >= 2, F.sqrt(ratio(squares, n - 1)))
+    return F.aggregate(xs, start, step, lambda acc: F.when(acc["n"] >= 2, F.sqrt(ratio(acc["m2"], acc["n"] - 1.0))))
 
 
 def momentum(closes: Column) -> Column:

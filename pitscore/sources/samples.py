@@ -116,6 +116,44 @@ _VIEWS = {
           cast(l_shipdate as date) as ddate, l_partkey % 5 as qtrs, l_extendedprice as amount
         from {lineitem}
     """,
+    "statements": """
+        with f as (
+          select l_suppkey as k, last_day(cast(date_trunc('quarter', l_shipdate) + interval 2 month as date)) as period,
+                 cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as assets,
+                 cast(sum(case when l_returnflag = 'A' then cast(l_extendedprice as decimal(18,2)) end) as double) as ebit,
+                 cast(sum(case when l_linestatus = 'F' then cast(l_extendedprice as decimal(18,2)) end) as double) as sales,
+                 cast(sum(case when l_linenumber = 1 then cast(l_extendedprice as decimal(18,2)) end) as double) as debt
+          from {lineitem} group by 1, 2)
+        select concat('S', cast(k as string)) as ticker, e.metric, period, e.value
+        from f lateral view explode(array(
+          named_struct('metric', 'Total Assets', 'value', assets),
+          named_struct('metric', 'EBIT', 'value', case when k % 3 = 0 then null else ebit end),
+          named_struct('metric', 'Operating Income', 'value', ebit * 0.5),
+          named_struct('metric', case when k % 2 = 0 then 'Total Revenue' else 'Operating Revenue' end, 'value', sales),
+          named_struct('metric', 'Long Term Debt', 'value', case when k % 4 = 0 then null else debt end),
+          named_struct('metric', 'Long Term Debt And Capital Lease Obligation', 'value', debt * 2.0))) x as e
+    """,
+    "quotes": """
+        select concat('S', cast(s_suppkey as string)) as ticker, s_name as long_name, cast(null as string) as short_name,
+               r_name as sector, n_name as industry,
+               case when s_suppkey % 20 = 0 then 'ETF' else 'EQUITY' end as quote_type,
+               case when s_suppkey % 3 = 0 then null else abs(s_acctbal) end as current_price,
+               case when s_suppkey % 9 = 0 then null else abs(s_acctbal) + 1.0 end as regular_market_price,
+               abs(s_acctbal) * 1000.0 as market_cap,
+               case when s_suppkey % 2 = 0 then abs(s_acctbal) * 1100.0 end as enterprise_value,
+               abs(s_acctbal) / 2.0 as book_value, 1000.0 + s_suppkey as shares_outstanding,
+               5.0 + s_suppkey % 30 as trailing_pe, abs(s_acctbal) / 20.0 as trailing_eps,
+               (s_suppkey % 7) / 20.0 - 0.1 as earnings_growth, (s_suppkey % 5) / 100.0 as dividend_yield,
+               case when s_suppkey % 4 = 0 then 1.5 end as trailing_peg_ratio,
+               abs(s_acctbal) * 10.0 as total_cash, abs(s_acctbal) * 30.0 as total_debt,
+               20.0 + s_suppkey as debt_to_equity, 1.25 as current_ratio_info,
+               case when s_suppkey % 5 = 0 then abs(s_acctbal) * 1.5 end as fifty_two_week_high,
+               cast(null as double) as fifty_two_week_low,
+               case when s_acctbal > 0 then s_acctbal end as target_mean,
+               case s_suppkey % 6 when 0 then 'strong_buy' when 1 then 'buy' when 2 then 'hold' when 3 then 'underperform'
+                    when 4 then 'sell' end as recommendation_key
+        from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
+    """,
     "cik_map": """
         select c_custkey as cik, concat('C', cast(c_custkey as string)) as ticker from {customer} where c_custkey % 4 <> 0
     """,
