@@ -171,7 +171,7 @@ def statement_values(
     wanted = F.map_filter(by_name, lambda k, v: v == F.col("metric"))
     cells = statements.select(
         *keys, "metric", "period", F.nullif("value", F.lit(float("nan"))).alias("value")
-    ).withColumn("_t", F.coalesce("period", F.lit(date(1, 1, 1))))
+    ).withColumn("_t", F.coalesce("period", F.lit("0001-01-01").cast("date")))
     newest = cells.groupBy(*keys).agg(F.max("_t").alias("_newest"))
     # Per metric and period one value (a statement has one cell), then the top two periods.
     per_period = (
@@ -210,27 +210,34 @@ def data_warnings(values: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataF
 
 
 def field_history(fundamentals: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per ticker with an array of ``(period, filed, amount)`` per field.
+    """One row per ticker with a sorted array of ``(period, filed, amount)`` per field.
 
     The EAV pivot for the point-in-time lookups: one shuffle on ticker. An array is bounded by the
     filings of one company (periods x restatements), which the key (ticker, field, period, filed)
     of the fundamentals guarantees.
     """
     entry = F.struct("period", "filed", "amount")
-    return fundamentals.groupBy("ticker").agg(
-        *[F.collect_list(F.when(F.col("field") == f, entry)).alias(f) for f in fields]
+    wanted = fundamentals.filter(F.col("field").isin(*fields))
+    return wanted.groupBy("ticker").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("field") == f, entry))).alias(f) for f in fields]
     )
 
 
 def known_at(entries: Column, as_of: Column) -> Column:
-    """(latest, prior) of an array of ``(period, filed, amount)`` as known at a date.
+    """(latest, prior) of a sorted array of ``(period, filed, amount)`` as known at a date.
 
-    Latest = largest (period, filed) filed by then; prior = the same among earlier periods.
+    Latest = largest (period, filed) filed by then; prior = the same among earlier periods. One
+    pass: the entry before a period starts is the best of the period before it.
     """
-    visible = F.filter(entries, lambda e: e["filed"] <= as_of)
-    latest = F.array_max(visible)
-    prior = F.array_max(F.filter(visible, lambda e: e["period"] < latest["period"]))
-    return F.struct(latest["amount"].alias("latest"), prior["amount"].alias("prior"))
+    nothing = F.lit(None).cast("double")
+    start = F.struct(nothing.alias("latest"), F.lit(None).cast("date").alias("period"), nothing.alias("prior"))
+
+    def step(acc: Column, e: Column) -> Column:
+        prior = F.when(e["period"] > acc["period"], acc["latest"]).otherwise(acc["prior"])
+        seen = F.struct(e["amount"].alias("latest"), e["period"].alias("period"), prior.alias("prior"))
+        return F.when(e["filed"] <= as_of, seen).otherwise(acc)
+
+    return F.aggregate(entries, start, step)
 
 
 def with_derived_fundamentals(df: DataFrame) -> DataFrame:

@@ -29,9 +29,21 @@ SEARCH = {
 }
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for output; sums of doubles differ in the last bits between layouts."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _output(c: Column) -> Column:
+    """Six decimals, three from a million on and ten significant digits from 1e10 on (half to even)."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 9)
+    return (
+        F.when(F.abs(c) >= 1e10, F.rint(c / scale) * scale)
+        .when(F.abs(c) >= 1e6, F.rint(c * 1e3) / 1e3)
+        .otherwise(F.rint(c * 1e6) / 1e6)
+    )
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded for output (sums of doubles differ in the last bits between layouts),
+    integers widened."""
+    kinds = {"double": _output, "int": lambda c: c.cast("long")}
+    return df.select(*[kinds[t](F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
 
 
 def query(f: Callable[[Pipeline], DataFrame]) -> Callable[[Pipeline], DataFrame]:
@@ -463,7 +475,7 @@ def overlay_merge(p: Pipeline) -> DataFrame:
 
 def _analysis(p: Pipeline) -> DataFrame:
     """Watchlist names scored over the overlaid universe with bargain and analyst columns."""
-    merged = overlay.overlay_live(_snapshot(p), _fresh_rows(p)).withColumn("as_of", F.lit(samples.END))
+    merged = p._stage("overlaid", lambda: overlay.overlay_live(_snapshot(p), _fresh_rows(p)).withColumn("as_of", F.lit(samples.END)))
     scored = scoring.score_cross_section(merged, ["as_of"], params.factor_weights())
     history = prices.earnings_yield_history(_statement_rows(p), p.prices)
     valued = prices.valuation_vs_own_history(
