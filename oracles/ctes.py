@@ -93,6 +93,85 @@ def _zscores(long: str, key: str) -> dict[str, str]:
     }
 
 
+def _metrics(slice_: str) -> str:
+    """Price metrics of a table of trailing closes (quarter_end, ticker, close, rn, back)."""
+    return """
+        with y as (
+          select *, close / lag(close) over w - 1 as r, close / max(close) over (w rows unbounded preceding) - 1 as dd
+          from v_slice where back <= 252 window w as (partition by quarter_end, ticker order by rn)),
+        yearly as (
+          select quarter_end, ticker, max(close) as high, min(close) as low,
+            case when count(*) >= 60 then stddev_samp(r) * sqrt(252.0::double) end as vol,
+            case when count(*) >= 60 then min(dd) end as mdd,
+            case when count(*) >= 60 then case when count(*) filter (r < 0) = 0 then 0 else stddev_samp(r) filter (r < 0) * sqrt(252.0::double) end end as down
+          from y group by 1, 2),
+        d as (
+          select *, close - lag(close) over w as chg, row_number() over w as pos, count(*) over (partition by quarter_end, ticker) as n
+          from v_slice window w as (partition by quarter_end, ticker order by rn)),
+        ew as (
+          select quarter_end, ticker, max(n) as n,
+            sum(greatest(chg, 0) * wt) as gain, sum(greatest(-chg, 0) * wt) as loss
+          from (select *, case when pos = 2 then pow(13.0::double / 14, n - 2) else pow(13.0::double / 14, n - pos) / 14 end as wt from d where pos >= 2)
+          group by 1, 2),
+        whole as (
+          select quarter_end, ticker, max(close) filter (back = 1) as price, max(close) as ath, count(*) as n,
+            max(close) filter (back = 22) as e, max(close) filter (back = 252) as s
+          from v_slice group by 1, 2)
+        select quarter_end, ticker, price, case when s > 0 then e / s - 1 end as momentum_12_1, vol as volatility_12m, mdd as max_drawdown,
+          down as downside_deviation,
+          case when ew.n >= 15 then case when loss = 0 then case when gain > 0 then 100 else 50 end else 100 - 100 / (1 + gain / loss) end end as rsi_14,
+          high as fifty_two_week_high, low as fifty_two_week_low, ath as all_time_high
+        from whole join yearly using (quarter_end, ticker) left join ew using (quarter_end, ticker)""".replace("v_slice", slice_)
+
+
+def _factors(raw: str) -> str:
+    """Factor formulas over a table of inputs."""
+    return """
+        with a as (
+          select *, case when trailing_eps > 0 and book_value > 0 then sqrt(22.5 * trailing_eps * book_value) end as graham_fair_value,
+            case when abs(earnings_growth) > 1 then earnings_growth else earnings_growth * 100 end as g,
+            case when abs(dividend_yield) > 1 then dividend_yield else dividend_yield * 100 end as dy,
+            case when total_assets > 0 then total_assets end as ta, book_value * shares_outstanding as eq,
+            -repurchase_of_stock as bb,
+            nullif(total_assets, 0) as ta0, nullif(total_assets_prior, 0) as tap, nullif(current_assets, 0) / nullif(current_liabilities, 0) as cr,
+            nullif(current_assets_prior, 0) / nullif(current_liabilities_prior, 0) as crp,
+            case when revenue > 0 then revenue end as sa, case when revenue_prior > 0 then revenue_prior end as sap
+          from v_raw),
+        b as (
+          select *,
+            [net_income / ta > 0, operating_cashflow > 0, net_income / ta0 > net_income_prior / tap, operating_cashflow > net_income,
+             long_term_debt / ta0 <= long_term_debt_prior / tap, cr >= crp, shares_outstanding <= shares_outstanding_prior,
+             nullif(gross_profit, 0) / sa >= nullif(gross_profit_prior, 0) / sap,
+             nullif(revenue, 0) / ta0 >= nullif(revenue_prior, 0) / tap] as tests,
+            case when market_cap > 0 and (dividends_paid is not null or bb > 0) then abs(coalesce(dividends_paid, 0)) + case when bb > 0 then bb else 0 end end as returned,
+            case when market_cap > 0 and (dividends_paid is not null or -bb > 0) then abs(coalesce(dividends_paid, 0)) + case when -bb > 0 then -bb else 0 end end as returned_as_payment,
+            case when total_debt + eq is not null then greatest(total_debt + eq - coalesce(total_cash, 0), abs(eq) * 0.01, 1.0) end as invested_capital,
+            case when trailing_pe > 0 and (g > 0 or dy > 0) then (case when g > 0 then g else 0 end + case when dy > 0 then dy else 0 end) / trailing_pe end as dividend_adjusted_peg,
+            coalesce(case when trailing_pe > 0 and g > 0 then trailing_pe / g end, trailing_peg_ratio) as peg_ratio,
+            [1.2 * (current_assets - current_liabilities) / ta, 1.4 * retained_earnings / ta, 3.3 * ebit / ta,
+             case when ta is not null and total_liabilities > 0 then 0.6 * market_cap / total_liabilities end, 1.0 * revenue / ta] as zs
+          from a)
+        select *, ebit / nullif(enterprise_value, 0) as earnings_yield, cast(null as double) as fcf_yield, eq / nullif(market_cap, 0) as book_to_market,
+          graham_fair_value / nullif(price, 0) as graham_ratio,
+          coalesce(current_ratio_info, case when current_liabilities > 0 then nullif(current_assets, 0) / current_liabilities end) as current_ratio,
+          coalesce(dividend_adjusted_peg, case when peg_ratio > 0 then 1 / peg_ratio end) as garp,
+          gross_profit / nullif(total_assets, 0) as gross_profitability, net_income / nullif(eq, 0) as roe,
+          net_income / nullif(total_assets, 0) as roa, net_income / nullif(revenue, 0) as profit_margin,
+          ebit / invested_capital as roic, (net_income - operating_cashflow) / ta as accruals, -(net_income - operating_cashflow) / ta as earnings_quality,
+          list_sum([cast(t as integer) for t in tests if t is not null]) as passed, len([t for t in tests if t is not null]) as checks,
+          total_cash - total_debt as net_cash, (total_cash - total_debt) / nullif(market_cap, 0) as net_cash_to_mcap,
+          case when debt_to_equity <= 0 then 1 when debt_to_equity > 0 then 1 / (1 + debt_to_equity) end as low_leverage,
+          list_sum([x for x in zs if x is not null]) * 7.5 / nullif(
+            case when zs[1] is not null then 1.2 else 0 end + case when zs[2] is not null then 1.4 else 0 end + case when zs[3] is not null then 3.3 else 0 end
+            + case when zs[4] is not null then 0.6 else 0 end + case when zs[5] is not null then 1.0 else 0 end, 0)::double as altman_z,
+          case when volatility_12m > 0 then 1 / volatility_12m end as low_volatility,
+          returned / nullif(market_cap, 0) as shareholder_yield, returned_as_payment / nullif(market_cap, 0) as payment_yield,
+          total_assets / nullif(total_assets_prior, 0) - 1 as asset_growth, -(total_assets / nullif(total_assets_prior, 0) - 1) as investment,
+          case when max_drawdown is null then 1 / (1 + downside_deviation) when downside_deviation is null then -max_drawdown
+               else (-max_drawdown + 1 / (1 + downside_deviation)) / 2 end as downside_protection
+        from b""".replace("v_raw", raw)
+
+
 CTES: dict[str, str] = {
     "v_trades": """
         select l_suppkey as k, concat('S', cast(l_suppkey as varchar)) as ticker, cast(l_shipdate as date) as trade_date,
@@ -211,33 +290,7 @@ CTES: dict[str, str] = {
         select quarter_end, ticker, close, rn, rnq - rn + 1 as back
         from (select m.quarter_end, ticker, max(rn) as rnq from v_members m join v_numbered using (ticker) where trade_date <= quarter_end group by 1, 2)
         join v_numbered using (ticker) where rn between rnq - 399 and rnq""",
-    "v_metrics": """
-        with y as (
-          select *, close / lag(close) over w - 1 as r, close / max(close) over (w rows unbounded preceding) - 1 as dd
-          from v_slice where back <= 252 window w as (partition by quarter_end, ticker order by rn)),
-        yearly as (
-          select quarter_end, ticker, max(close) as high, min(close) as low,
-            case when count(*) >= 60 then stddev_samp(r) * sqrt(252.0::double) end as vol,
-            case when count(*) >= 60 then min(dd) end as mdd,
-            case when count(*) >= 60 then case when count(*) filter (r < 0) = 0 then 0 else stddev_samp(r) filter (r < 0) * sqrt(252.0::double) end end as down
-          from y group by 1, 2),
-        d as (
-          select *, close - lag(close) over w as chg, row_number() over w as pos, count(*) over (partition by quarter_end, ticker) as n
-          from v_slice window w as (partition by quarter_end, ticker order by rn)),
-        ew as (
-          select quarter_end, ticker, max(n) as n,
-            sum(greatest(chg, 0) * wt) as gain, sum(greatest(-chg, 0) * wt) as loss
-          from (select *, case when pos = 2 then pow(13.0::double / 14, n - 2) else pow(13.0::double / 14, n - pos) / 14 end as wt from d where pos >= 2)
-          group by 1, 2),
-        whole as (
-          select quarter_end, ticker, max(close) filter (back = 1) as price, max(close) as ath, count(*) as n,
-            max(close) filter (back = 22) as e, max(close) filter (back = 252) as s
-          from v_slice group by 1, 2)
-        select quarter_end, ticker, price, case when s > 0 then e / s - 1 end as momentum_12_1, vol as volatility_12m, mdd as max_drawdown,
-          down as downside_deviation,
-          case when ew.n >= 15 then case when loss = 0 then case when gain > 0 then 100 else 50 end else 100 - 100 / (1 + gain / loss) end end as rsi_14,
-          high as fifty_two_week_high, low as fifty_two_week_low, ath as all_time_high
-        from whole join yearly using (quarter_end, ticker) left join ew using (quarter_end, ticker)""",
+    "v_metrics": _metrics("v_slice"),
     # Point-in-time fundamentals ----------------------------------------------------------------------
     "v_known": """
         select quarter_end, ticker, field, amount, dense_rank() over (p order by period desc) as pr,
@@ -261,55 +314,12 @@ CTES: dict[str, str] = {
             case when current_liabilities > 0 then current_assets / current_liabilities end as current_ratio_info,
             total_debt / nullif(book_equity, 0) * 100 as lev
           from v_metrics m left join v_pit f using (quarter_end, ticker))
-        select *, case when abs(lev) > 10 then lev / 100 else lev end as debt_to_equity,
+        select *, case when abs(lev) > 10 then lev / 100 else lev end as debt_to_equity, cast(null as double) as trailing_peg_ratio,
           market_cap + coalesce(total_debt, 0) - coalesce(total_cash, 0) as enterprise_value,
           case when trailing_eps > 0 then nullif(price, 0) / trailing_eps end as trailing_pe,
           case when market_cap > 0 then abs(dividends_paid) / market_cap end as dividend_yield
         from a""",
-    "v_factors": """
-        with a as (
-          select *, case when trailing_eps > 0 and book_value > 0 then sqrt(22.5 * trailing_eps * book_value) end as graham_fair_value,
-            case when abs(earnings_growth) > 1 then earnings_growth else earnings_growth * 100 end as g,
-            case when abs(dividend_yield) > 1 then dividend_yield else dividend_yield * 100 end as dy,
-            case when total_assets > 0 then total_assets end as ta, book_value * shares_outstanding as eq,
-            -repurchase_of_stock as bb,
-            nullif(total_assets, 0) as ta0, nullif(total_assets_prior, 0) as tap, nullif(current_assets, 0) / nullif(current_liabilities, 0) as cr,
-            nullif(current_assets_prior, 0) / nullif(current_liabilities_prior, 0) as crp,
-            case when revenue > 0 then revenue end as sa, case when revenue_prior > 0 then revenue_prior end as sap
-          from v_raw),
-        b as (
-          select *,
-            [net_income / ta > 0, operating_cashflow > 0, net_income / ta0 > net_income_prior / tap, operating_cashflow > net_income,
-             long_term_debt / ta0 <= long_term_debt_prior / tap, cr >= crp, shares_outstanding <= shares_outstanding_prior,
-             nullif(gross_profit, 0) / sa >= nullif(gross_profit_prior, 0) / sap,
-             nullif(revenue, 0) / ta0 >= nullif(revenue_prior, 0) / tap] as tests,
-            case when market_cap > 0 and (dividends_paid is not null or bb > 0) then abs(coalesce(dividends_paid, 0)) + case when bb > 0 then bb else 0 end end as returned,
-            case when market_cap > 0 and (dividends_paid is not null or -bb > 0) then abs(coalesce(dividends_paid, 0)) + case when -bb > 0 then -bb else 0 end end as returned_as_payment,
-            case when total_debt + eq is not null then greatest(total_debt + eq - coalesce(total_cash, 0), abs(eq) * 0.01, 1.0) end as invested_capital,
-            case when trailing_pe > 0 and (g > 0 or dy > 0) then (case when g > 0 then g else 0 end + case when dy > 0 then dy else 0 end) / trailing_pe end as dividend_adjusted_peg,
-            case when trailing_pe > 0 and g > 0 then trailing_pe / g end as peg_ratio,
-            [1.2 * (current_assets - current_liabilities) / ta, 1.4 * retained_earnings / ta, 3.3 * ebit / ta,
-             case when ta is not null and total_liabilities > 0 then 0.6 * market_cap / total_liabilities end, 1.0 * revenue / ta] as zs
-          from a)
-        select *, ebit / nullif(enterprise_value, 0) as earnings_yield, cast(null as double) as fcf_yield, eq / nullif(market_cap, 0) as book_to_market,
-          graham_fair_value / nullif(price, 0) as graham_ratio,
-          coalesce(current_ratio_info, case when current_liabilities > 0 then nullif(current_assets, 0) / current_liabilities end) as current_ratio,
-          coalesce(dividend_adjusted_peg, case when peg_ratio > 0 then 1 / peg_ratio end) as garp,
-          gross_profit / nullif(total_assets, 0) as gross_profitability, net_income / nullif(eq, 0) as roe,
-          net_income / nullif(total_assets, 0) as roa, net_income / nullif(revenue, 0) as profit_margin,
-          ebit / invested_capital as roic, (net_income - operating_cashflow) / ta as accruals, -(net_income - operating_cashflow) / ta as earnings_quality,
-          list_sum([cast(t as integer) for t in tests if t is not null]) as passed, len([t for t in tests if t is not null]) as checks,
-          total_cash - total_debt as net_cash, (total_cash - total_debt) / nullif(market_cap, 0) as net_cash_to_mcap,
-          case when debt_to_equity <= 0 then 1 when debt_to_equity > 0 then 1 / (1 + debt_to_equity) end as low_leverage,
-          list_sum([x for x in zs if x is not null]) * 7.5 / nullif(
-            case when zs[1] is not null then 1.2 else 0 end + case when zs[2] is not null then 1.4 else 0 end + case when zs[3] is not null then 3.3 else 0 end
-            + case when zs[4] is not null then 0.6 else 0 end + case when zs[5] is not null then 1.0 else 0 end, 0)::double as altman_z,
-          case when volatility_12m > 0 then 1 / volatility_12m end as low_volatility,
-          returned / nullif(market_cap, 0) as shareholder_yield, returned_as_payment / nullif(market_cap, 0) as payment_yield,
-          total_assets / nullif(total_assets_prior, 0) - 1 as asset_growth, -(total_assets / nullif(total_assets_prior, 0) - 1) as investment,
-          case when max_drawdown is null then 1 / (1 + downside_deviation) when downside_deviation is null then -max_drawdown
-               else (-max_drawdown + 1 / (1 + downside_deviation)) / 2 end as downside_protection
-        from b""",
+    "v_factors": _factors("v_raw"),
     "v_panel": """
         with f as (select *, passed * 9.0::double / nullif(checks, 0) as financial_strength from v_factors),
         h as (
@@ -445,3 +455,74 @@ def dca_summary(path: str, invested: str) -> str:
 CTES["v_hold_result"] = dca_summary("v_hold_path", "select count(distinct quarter_end) from v_picks")
 CTES["v_rebalance_result"] = dca_summary("v_rebalance_path", "select count(distinct quarter_end) from v_picks")
 CTES["v_market_result"] = dca_summary("v_market_path", "select count(*) from v_grid where ticker = 'SPY'")
+
+
+# Live universe --------------------------------------------------------------------------------------
+def _scores(long: str, key: str, name: str) -> dict[str, str]:
+    """Family percentiles and composites over the eight live families."""
+    z = f"v_z_{long[2:]}"
+    return {
+        **_zscores(long, key),
+        f"{name}_fam": f"select ticker, family, weight, avg(100 * {phi('z')}) as pct from {z} join v_live_signals using (signal) where z is not null group by all",
+        name: "select ticker, " + ", ".join(f"max(pct) filter (family = '{f}') as pct_{f}" for f in LIVE_FAMILIES)
+        + f", round(sum(pct * weight) / sum(weight), 9) as composite, sum(weight) * 100 as factor_coverage_pct from {name}_fam group by 1",
+    }
+
+
+_LIVE_SIGNALS = [s for ss in LIVE_FAMILIES.values() for s in ss]
+_NOT_LIVE = ("total_liabilities", "current_assets", "current_assets_prior", "current_liabilities", "current_liabilities_prior",
+             "net_income", "net_income_prior", "operating_cashflow", "dividends_paid", "repurchase_of_stock", "retained_earnings",
+             "gross_profit", "gross_profit_prior", "shares_outstanding_prior")
+CTES |= {
+    "v_now_slice": """
+        select date '2001-12-31' as quarter_end, ticker, close, rn, rnq - rn + 1 as back
+        from (select ticker, max(rn) as rnq from v_numbered join v_universe using (ticker) where trade_date <= date '2001-12-31' group by 1)
+        join v_numbered using (ticker) where rn between rnq - 399 and rnq""",
+    "v_now_metrics": _metrics("v_now_slice"),
+    "v_live_raw": """
+        with st as (select ticker, """
+    + ", ".join(f"max(latest) filter (field = '{f}') as {f}, max(prior) filter (field = '{f}') as {f}_prior" for f in ("total_assets", "ebit", "revenue", "long_term_debt"))
+    + """ from v_statement_values group by 1)
+        select u.ticker, k, name, sector, industry, date '2001-12-31' as quarter_end,
+          coalesce(nullif(case when k % 3 <> 0 then abs(bal) end, 0), case when k % 9 <> 0 then abs(bal) + 1 end, m.price) as price,
+          abs(bal) * 1000 as market_cap, case when k % 2 = 0 then abs(bal) * 1100 end as enterprise_value, abs(bal) / 2 as book_value,
+          1000.0::double + k as shares_outstanding, 5.0::double + k % 30 as trailing_pe, abs(bal) / 20 as trailing_eps,
+          (k % 7) / 20.0::double - 0.1::double as earnings_growth, (k % 5) / 100.0::double as dividend_yield,
+          case when k % 4 = 0 then 1.5::double end as trailing_peg_ratio, abs(bal) * 10.0::double + 100.0::double * k as total_cash, abs(bal) * 30 as total_debt,
+          (20.0::double + k) / 100 as debt_to_equity, 1.25::double as current_ratio_info,
+          coalesce(case when k % 5 = 0 then abs(bal) * 1.5::double end, fifty_two_week_high) as fifty_two_week_high, fifty_two_week_low,
+          momentum_12_1, volatility_12m, max_drawdown, downside_deviation, st.* exclude (ticker), """
+    + ", ".join(f"cast(null as double) as {f}" for f in _NOT_LIVE)
+    + """ from v_universe u left join st using (ticker) left join v_now_metrics m using (ticker) where quote_type <> 'ETF'""",
+    "v_live_factors": _factors("v_live_raw"),
+    "v_shift": """
+        select ticker, 10 * (max(m) filter (period = '0m') - max(m) filter (period = '-1m')) as earnings_revisions
+        from (select ticker, period, (5 * sb + 4 * b + 3 * h + 2 * s + ss)::double / nullif(sb + b + h + s + ss, 0) as m from v_recs) group by 1""",
+    "v_live": """
+        select f.*, passed * 9.0::double / nullif(checks, 0) as financial_strength, earnings_revisions,
+          case when coalesce(enterprise_value, market_cap + total_debt - total_cash) > 0 then ebit / coalesce(enterprise_value, market_cap + total_debt - total_cash) end as earnings_yield_current
+        from v_live_factors f left join v_shift using (ticker)""",
+    "v_live_signals": _values(_signal_rows(LIVE_FAMILIES), "family, signal, pos, weight"),
+    "v_live_long": _long("v_live", "1 as one, ticker, sector", _LIVE_SIGNALS),
+    **_scores("v_live_long", "one", "v_live_scored"),
+    "v_fresh": """
+        with m as (select ticker, k, case when k % 4 = 0 then ticker when k % 4 = 1 then ' unknown ' else concat(name, ' Inc') end as name,
+            case when k % 5 = 0 then '' else sector end as sector, case when k % 3 <> 0 then price * 1.25::double end as price, market_cap,
+            momentum_12_1 + 0.5::double as momentum_12_1, low_volatility, roe + 1 as roe, earnings_revisions from v_live)
+        select * from m union all select * replace (concat('n', ticker) as ticker) from m where k % 10 = 1""",
+    "v_merged": """
+        select coalesce(s.ticker, upper(f.ticker)) as ticker,
+          case when s.ticker is null or (lower(trim(f.name)) not in ('', 'unknown') and f.name <> f.ticker) then f.name else s.name end as name,
+          case when s.ticker is null or lower(trim(f.sector)) not in ('', 'unknown') then f.sector else s.sector end as sector, s.industry,
+          case when s.ticker is null then f.price else coalesce(f.price, s.price) end as price,
+          case when s.ticker is null then f.market_cap else coalesce(f.market_cap, s.market_cap) end as market_cap,
+          case when s.ticker is null then f.momentum_12_1 else coalesce(f.momentum_12_1, s.momentum_12_1) end as momentum_12_1,
+          case when s.ticker is null then f.low_volatility else coalesce(f.low_volatility, s.low_volatility) end as low_volatility,
+          case when s.ticker is null then f.roe else s.roe end as roe,
+          case when s.ticker is null then f.earnings_revisions else s.earnings_revisions end as earnings_revisions,
+          s.* exclude (ticker, name, sector, industry, price, market_cap, momentum_12_1, low_volatility, roe, earnings_revisions)
+        from v_live s full join v_fresh f on s.ticker = f.ticker""",
+    "v_merged_long": _long("v_merged", "1 as one, ticker, sector", _LIVE_SIGNALS),
+    **_scores("v_merged_long", "one", "v_merged_scored"),
+    "v_watch": "select ticker from v_universe where industry < 'J'",
+}

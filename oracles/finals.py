@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.ctes import FAMILIES, SIGNALS, dca_summary
+from oracles.ctes import FAMILIES, LIVE_FAMILIES, SIGNALS, dca_summary
 
 FINALS: dict[str, str] = {}
 HORIZONS = ("1q", "1y", "3y", "5y")
@@ -222,6 +222,47 @@ final("earnings_revisions", f"""
       select ticker, (count(*) filter (action = 'up') - count(*) filter (action = 'down'))::double as from_actions from v_actions where back <= 20 group by 1)
     using (ticker)""", "from_periods", "from_actions")
 
+# Live universe
+_LIVE = ["price", "market_cap", "fifty_two_week_high", "fifty_two_week_low", "earnings_yield_current", *SIGNALS, "earnings_revisions"]
+final("universe_snapshot", f"select ticker, name, sector, industry, {', '.join(_LIVE)} from v_live", *_LIVE)
+_LIVE_PCT = [f"pct_{f}" for f in LIVE_FAMILIES]
+final("score_universe", f"select ticker, {', '.join(_LIVE_PCT)}, composite, coalesce(factor_coverage_pct, 0) as factor_coverage_pct from v_live left join v_live_scored using (ticker)",
+      *_LIVE_PCT, "composite", "factor_coverage_pct")
+_MERGED = ["price", "market_cap", "momentum_12_1", "low_volatility", "roe", "earnings_yield"]
+final("overlay_merge", f"select ticker, name, sector, industry, {', '.join(_MERGED)} from v_merged", *_MERGED)
+_ANALYSIS = f"""
+    cons as ({_consensus(_PERIODS, mean="mean0")}),
+    hist as ({_EY} select * from h),
+    val as (
+      select ticker, case when count(*) >= 4 then 100.0::double * count(*) filter (earnings_yield <= cur) / count(*) end as vh
+      from hist join (select ticker, coalesce(earnings_yield_current, earnings_yield) as cur from v_merged) using (ticker) where cur is not null group by 1),
+    parts as (
+      select ticker, case when graham_ratio > 0 then least(100, greatest(0, (graham_ratio - 0.30::double) / (1.30::double - 0.30::double) * 100)) end as b_mos,
+        vh as valuation_vs_history, case when fifty_two_week_high > 0 and price > 0 then least(100, greatest(0, (1 - price / fifty_two_week_high) / 0.30::double * 100)) end as b_52w
+      from v_merged left join val using (ticker)),
+    an as (
+      select ticker, s.composite, coalesce(s.factor_coverage_pct, 0) as factor_coverage_pct, {_bargain_under((0.40, 0.35, 0.25))} as bargain_score,
+        coalesce(consensus_label, 'Unknown') as consensus_label, implied_upside_pct, l.ticker is not null as known, l.composite as lc, coalesce(l.factor_coverage_pct, 0) as lf
+      from parts left join v_merged_scored s using (ticker) left join cons using (ticker)
+      left join (select ticker, c.composite, c.factor_coverage_pct from v_live left join v_live_scored c using (ticker)) l using (ticker)),
+    live as (select ticker, composite, factor_coverage_pct, bargain_score, consensus_label, implied_upside_pct,
+        coalesce(composite >= 45 and bargain_score >= 20 and consensus_label <> 'Sell', false) as is_good_buy from an),
+    aligned as (select ticker, case when known then lc else composite end as composite, case when known then lf else factor_coverage_pct end as factor_coverage_pct,
+        bargain_score, consensus_label, implied_upside_pct,
+        coalesce(case when known then lc else composite end >= 45 and bargain_score >= 20 and consensus_label <> 'Sell', false) as is_good_buy from an)"""
+_RES = ("composite", "factor_coverage_pct", "bargain_score", "implied_upside_pct")
+final("live_scores", f"with {_ANALYSIS} select * from live", *_RES)
+final("aligned_scores", f"with {_ANALYSIS} select * from aligned", *_RES)
+final("good_buys", f"with {_ANALYSIS} select * from aligned where is_good_buy and ticker in (select ticker from v_watch)", *_RES)
+final("scorecard", f"with {_ANALYSIS} select *, row_number() over (order by is_good_buy desc, composite desc nulls last, ticker) as position from aligned", *_RES)
+final("scorecard_counts", f"with {_ANALYSIS} select count(*) filter (is_good_buy) as buy_count, count(*) as total_count from aligned")
+final("top20", "select ticker, composite from v_live_scored where composite is not null order by composite desc, ticker limit 20", "composite")
+final("display_fields", """
+    select f.ticker, case when f.name <> f.ticker and lower(trim(f.name)) not in ('', 'unknown') then f.name
+        when s.name is not null then s.name when f.name <> f.ticker then f.name end as name,
+      case when lower(trim(f.sector)) not in ('', 'unknown') then f.sector when s.sector is not null then s.sector else f.sector end as sector
+    from v_fresh f left join v_live s using (ticker)""")
+
 # Selections and portfolio
 final("score_bands", """
     select quarter_end, ticker,

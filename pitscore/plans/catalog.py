@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 
 # Gate for the given data, whose scores spread less than real ones.
 GATE = params.Thresholds(composite_min=45.0, bargain_min=40.0)
+LIVE_GATE = params.Thresholds(composite_min=45.0, bargain_min=20.0)
 SEARCH = {
     **params.dirichlet_weights(8, 42, params.HISTORICAL_FAMILIES),
     "baseline": params.historical_weights(params.EVIDENCE_WEIGHTS),
@@ -489,18 +490,18 @@ RESULT = ("ticker", "composite", "factor_coverage_pct", "bargain_score", "consen
 
 
 def _aligned(p: Pipeline) -> DataFrame:
-    return p._stage("aligned", lambda: overlay.align_with_universe(_analysis(p), _scored_universe(p), GATE))
+    return p._stage("aligned", lambda: overlay.align_with_universe(_analysis(p), _scored_universe(p), LIVE_GATE))
 
 
 @query
 def live_scores(p: Pipeline) -> DataFrame:
     """Scores over the overlaid universe, before alignment with the stored one."""
-    return screens.with_good_buy(_analysis(p), GATE).select(*RESULT)
+    return screens.with_good_buy(_analysis(p), LIVE_GATE).select(*RESULT)
 
 
 @query
 def aligned_scores(p: Pipeline) -> DataFrame:
-    return overlay.align_with_universe(_analysis(p), _scored_universe(p), GATE).select(*RESULT)
+    return overlay.align_with_universe(_analysis(p), _scored_universe(p), LIVE_GATE).select(*RESULT)
 
 
 def _watchlist(p: Pipeline) -> DataFrame:
@@ -509,7 +510,7 @@ def _watchlist(p: Pipeline) -> DataFrame:
 
 @query
 def good_buys(p: Pipeline) -> DataFrame:
-    return screens.good_buys(_aligned(p), _watchlist(p), GATE).select(*RESULT)
+    return screens.good_buys(_aligned(p), _watchlist(p), LIVE_GATE).select(*RESULT)
 
 
 @query

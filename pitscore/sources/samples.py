@@ -141,12 +141,12 @@ _VIEWS = {
                case when s_suppkey % 9 = 0 then null else abs(s_acctbal) + 1.0 end as regular_market_price,
                abs(s_acctbal) * 1000.0 as market_cap,
                case when s_suppkey % 2 = 0 then abs(s_acctbal) * 1100.0 end as enterprise_value,
-               abs(s_acctbal) / 2.0 as book_value, 1000.0 + s_suppkey as shares_outstanding,
-               5.0 + s_suppkey % 30 as trailing_pe, abs(s_acctbal) / 20.0 as trailing_eps,
-               (s_suppkey % 7) / 20.0 - 0.1 as earnings_growth, (s_suppkey % 5) / 100.0 as dividend_yield,
-               case when s_suppkey % 4 = 0 then 1.5 end as trailing_peg_ratio,
-               abs(s_acctbal) * 10.0 as total_cash, abs(s_acctbal) * 30.0 as total_debt,
-               20.0 + s_suppkey as debt_to_equity, 1.25 as current_ratio_info,
+               abs(s_acctbal) / 2.0 as book_value, 1000.0D + s_suppkey as shares_outstanding,
+               5.0D + s_suppkey % 30 as trailing_pe, abs(s_acctbal) / 20.0 as trailing_eps,
+               (s_suppkey % 7) / 20.0D - 0.1D as earnings_growth, (s_suppkey % 5) / 100.0D as dividend_yield,
+               case when s_suppkey % 4 = 0 then 1.5D end as trailing_peg_ratio,
+               abs(s_acctbal) * 10.0 + 100.0D * s_suppkey as total_cash, abs(s_acctbal) * 30.0 as total_debt,
+               20.0D + s_suppkey as debt_to_equity, 1.25D as current_ratio_info,
                case when s_suppkey % 5 = 0 then abs(s_acctbal) * 1.5 end as fifty_two_week_high,
                cast(null as double) as fifty_two_week_low,
                case when s_acctbal > 0 then s_acctbal end as target_mean,
