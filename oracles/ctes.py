@@ -524,5 +524,5 @@ CTES |= {
         from v_live s full join v_fresh f on s.ticker = f.ticker""",
     "v_merged_long": _long("v_merged", "1 as one, ticker, sector", _LIVE_SIGNALS),
     **_scores("v_merged_long", "one", "v_merged_scored"),
-    "v_watch": "select ticker from v_universe where industry < 'J'",
+    "v_watch": "select ticker from v_universe where industry < 'NATION_15'",
 }

@@ -115,11 +115,12 @@ PRICE_METRICS = (
 
 def price_metrics(keys: DataFrame, prices: DataFrame) -> DataFrame:
     """Price metrics at each (ticker, quarter_end) key that has a price by then."""
+    started = F.get("bars", F.lit(0))["trade_date"] <= F.col("quarter_end")
     return with_price_metrics(
         keys.join(close_history(prices), "ticker")
+        .filter(started)
         .withColumn("closes", trailing_closes(F.col("bars"), F.col("quarter_end")))
         .drop("bars")
-        .filter(F.size("closes") > 0)
     ).drop("closes")
 
 

@@ -505,7 +505,7 @@ def aligned_scores(p: Pipeline) -> DataFrame:
 
 
 def _watchlist(p: Pipeline) -> DataFrame:
-    return p.view("universe").filter(F.col("industry") < "J").select("ticker")
+    return p.view("universe").filter(F.col("industry") < "NATION_15").select("ticker")
 
 
 @query
