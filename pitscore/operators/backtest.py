@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pitscore.functions.columns import ratio
 from pitscore.functions.distributed import rank_correlation
 from pitscore.operators.screens import top_fraction
-from pitscore.params import BENCHMARK, DELIST_RETURN, HORIZONS, ROLLING_MONTHS, Window
+from pitscore.params import BENCHMARK, DELIST_RETURN, HORIZONS, PRIMARY_HORIZON, ROLLING_MONTHS, Window
 from pitscore.session import materialize
 
 
@@ -207,3 +207,8 @@ def run_backtest(
     ics = last_scored.join(ics, [*keys, "quarter_end"], "left")
     out = out.join(next_quarter_ic(ics, keys), keys, "left").join(mean_horizon_ics(ics, keys), keys, "left")
     return out.fillna(0.0, [*zero, "mean_ic", *[f"ic_{h}" for h in HORIZONS]])
+
+
+def by_objective(runs: DataFrame) -> DataFrame:
+    """Runs, best first: win rate, then median excess, then the primary horizon's correlation."""
+    return runs.orderBy(F.desc("rolling_win_rate"), F.desc("median_excess"), F.desc(f"ic_{PRIMARY_HORIZON}"))

@@ -188,11 +188,13 @@ def earnings_yield_history(
 
 
 def valuation_vs_own_history(current: DataFrame, history: DataFrame) -> DataFrame:
-    """Percentile of ``earnings_yield_current`` in the ticker's own history (at most ~20 values)."""
+    """Percentile of ``earnings_yield_current`` in the ticker's own history (at most ~20 values);
+    a stored ``valuation_vs_history`` is kept."""
     past = history.groupBy("ticker").agg(F.collect_list("earnings_yield").alias("_h"))
-    return current.join(past, "ticker", "left").withColumn(
-        "valuation_vs_history", history_percentile(F.col("earnings_yield_current"), F.coalesce("_h", F.array().cast("array<double>")))
-    ).drop("_h")
+    own = history_percentile(F.col("earnings_yield_current"), F.coalesce("_h", F.array().cast("array<double>")))
+    if "valuation_vs_history" in current.columns:
+        own = F.coalesce("valuation_vs_history", own)
+    return current.join(past, "ticker", "left").withColumn("valuation_vs_history", own).drop("_h")
 
 
 def spine_keys(tickers: DataFrame, quarters: Sequence[date]) -> DataFrame:
