@@ -141,10 +141,11 @@ def drawdown(returns: DataFrame, by: Sequence[str] = (), column: str = "port") -
 
 
 def quarterly_ics(
-    scored: DataFrame, forward: DataFrame, score: str = "composite", by: Sequence[str] = ()
+    scored: DataFrame, forward: DataFrame, score: str = "composite", by: Sequence[str] = (),
+    horizons: Sequence[str] = tuple(HORIZONS),
 ) -> DataFrame:
-    """Rank correlation of a score with each forward horizon per quarter: ``by, horizon, quarter_end, ic``."""
-    names = list(HORIZONS)
+    """Rank correlation of a score with forward horizons per quarter: ``by, horizon, quarter_end, ic``."""
+    names = list(horizons)
     long_fwd = forward.select(
         F.col("as_of_quarter").alias("quarter_end"), "ticker",
         F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in names])).alias("f"),
@@ -181,9 +182,10 @@ def run_backtest(
     by: Sequence[str] = (),
     months: int = 3,
     delist_return: float = DELIST_RETURN,
+    horizons: Sequence[str] = tuple(HORIZONS),
 ) -> DataFrame:
     """Quarterly top-quintile backtest, one row per run and window. ``forward=None`` skips the
-    rank correlations."""
+    rank correlations; ``horizons`` (with ``1q``) narrows them."""
     held = scored if "held" in scored.columns else with_holding_returns(scored, monthly, delisted, months, delist_return)
     picks = top_fraction(held, [*by, "quarter_end"])
     keys = [*by, "window"]
@@ -202,7 +204,7 @@ def run_backtest(
     zero = ["rolling_win_rate", "median_excess", "cagr", "benchmark_cagr", "max_drawdown"]
     if forward is None:
         return out.fillna(0.0, zero).withColumn("mean_ic", F.lit(0.0))
-    ics = in_windows(materialize(quarterly_ics(scored, forward, by=by)), windows)
+    ics = in_windows(materialize(quarterly_ics(scored, forward, by=by, horizons=horizons)), windows)
     last_scored = in_windows(scored.select(*by, "quarter_end").distinct(), windows)
     ics = last_scored.join(ics, [*keys, "quarter_end"], "left")
     out = out.join(next_quarter_ic(ics, keys), keys, "left").join(mean_horizon_ics(ics, keys), keys, "left")

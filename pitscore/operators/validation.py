@@ -121,7 +121,8 @@ def search_weights(
     base = scored.select("quarter_end", "ticker", *[f"pct_{f}" for f in params.HISTORICAL_FAMILIES])
     held = materialize(backtest.with_holding_returns(base, monthly, delisted))
     expanded = with_candidate_scores(held, candidates).select("candidate", "quarter_end", "ticker", "composite", "held")
-    runs = backtest.run_backtest(expanded, monthly, forward, delisted, windows, by=["candidate"])
+    # The objective needs the next quarter's correlation only.
+    runs = backtest.run_backtest(expanded, monthly, forward, delisted, windows, by=["candidate"], horizons=["1q"])
     metrics = ("rolling_win_rate", "median_excess", "mean_ic", "cagr", "benchmark_cagr", "max_drawdown")
     wide = runs.groupBy("candidate").agg(
         *[F.max(F.when(F.col("window") == w.name, F.col(m))).alias(f"{w.name}_{m}") for w in windows for m in metrics]
