@@ -149,8 +149,8 @@ final("factor_panel", f"select quarter_end, ticker, {', '.join(_PANEL)} from v_p
 final("winsor_bounds", """
     select quarter_end, signal, count(*) as n, quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.99) as hi
     from v_long where v is not null group by 1, 2""", "lo", "hi")
-final("universe_zscore", "select quarter_end, ticker, pos as signal, zu as z from v_z_long join v_signals using (signal) where zu is not null", "z")
-final("sector_zscore", "select quarter_end, ticker, pos as signal, z from v_z_long join v_signals using (signal) where z is not null", "z")
+final("universe_zscore", "select quarter_end, ticker, pos::bigint as signal, zu as z from v_z_long join v_signals using (signal) where zu is not null", "z")
+final("sector_zscore", "select quarter_end, ticker, pos::bigint as signal, z from v_z_long join v_signals using (signal) where z is not null", "z")
 _PCT = [f"pct_{f}" for f in FAMILIES]
 final("family_percentiles", f"select quarter_end, ticker, {', '.join(_PCT)} from v_pct", *_PCT)
 final("composite", "select quarter_end, ticker, composite, coalesce(factor_coverage_pct, 0) as factor_coverage_pct from v_scored", "composite", "factor_coverage_pct")

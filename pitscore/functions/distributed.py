@@ -183,10 +183,11 @@ def rank_correlation(
 def first_by(
     df: DataFrame, keys: Sequence[str], value: str, tie: str, count: Callable[[Column], Column]
 ) -> DataFrame:
-    """The ``count(n)`` rows of each group with the largest value, ties by ascending ``tie``.
+    """The ``count(n)`` rows of each group with the largest value, ties by ascending ``tie`` (text).
 
     For counts that grow with the group (a quintile). Rows above the cut-off are kept without
-    ordering them; only rows equal to the cut-off value are numbered.
+    ordering them. Only rows equal to it are numbered, and those in parts by the first characters
+    of ``tie``, so that a value shared by a large part of a group does not end in one task.
     """
     keys = list(keys)
     cut = materialize(
@@ -197,10 +198,19 @@ def first_by(
     marked = df.filter(F.col(value).isNotNull()).join(cut, keys).filter(F.col(value) >= F.col("cut"))
     above = marked.filter(F.col(value) > F.col("cut"))
     used = above.groupBy(*keys).agg(F.count(F.lit(1)).alias("_used"))
-    at_cut = (
-        marked.filter(F.col(value) == F.col("cut"))
+    equal = marked.filter(F.col(value) == F.col("cut")).withColumn("_part", F.substring(tie, 1, 4))
+    upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
+    parts = (
+        equal.groupBy(*keys, "_part")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
         .join(used, keys, "left")
-        .withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(tie)))
-        .filter(F.col("_i") <= F.col("_take") - F.coalesce(F.col("_used"), F.lit(0)))
+        .select(*keys, "_part", (F.col("_before") + F.coalesce("_used", F.lit(0))).alias("_before"))
+    )
+    place = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(tie)) + F.col("_before")
+    at_cut = (
+        equal.join(parts, [*keys, "_part"])
+        .withColumn("_i", place)
+        .filter(F.col("_i") <= F.col("_take"))
     )
-    return above.drop("cut", "_take").unionByName(at_cut.drop("cut", "_take", "_used", "_i"))
+    return above.drop("cut", "_take").unionByName(at_cut.drop("cut", "_take", "_part", "_before", "_i"))
