@@ -228,7 +228,7 @@ def historical_inputs(df: DataFrame) -> DataFrame:
     )
 
 
-# Statement fields of the live path: metric names by priority.
+# Statement fields of the live path, metric names by priority.
 STATEMENT_NAMES = {
     "total_assets": ["Total Assets"],
     "total_liabilities": ["Total Liabilities Net Minority Interest", "Total Liabilities"],

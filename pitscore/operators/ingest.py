@@ -255,17 +255,21 @@ def with_derived_fundamentals(df: DataFrame) -> DataFrame:
     )
 
 
-def pit_fundamentals(keys: DataFrame, fundamentals: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Fundamentals known at each (ticker, quarter_end) key: ``<field>`` and ``<field>_prior``."""
-    joined = keys.join(field_history(fundamentals, fields), "ticker")
-    looked = joined.select(
-        *keys.columns, *[known_at(F.col(f), F.col("quarter_end")).alias(f) for f in fields]
-    )
+def with_known_fundamentals(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Replace the arrays of ``field_history`` by ``<field>`` and ``<field>_prior`` as known at
+    ``quarter_end``, and add the derived fields."""
+    others = [c for c in df.columns if c not in fields]
+    looked = df.select(*others, *[known_at(F.col(f), F.col("quarter_end")).alias(f) for f in fields])
     flat = looked.select(
-        *keys.columns,
+        *others,
         *[F.col(f"{f}.latest").alias(f) for f in fields],
         *[F.col(f"{f}.prior").alias(f"{f}_prior") for f in fields],
     )
     missing = [f for f in ("total_debt", "total_debt_current", "total_debt_noncurrent") if f not in fields]
     flat = flat.withColumns({f: F.lit(None).cast("double") for f in missing}) if missing else flat
     return with_derived_fundamentals(flat)
+
+
+def pit_fundamentals(keys: DataFrame, fundamentals: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Fundamentals known at each (ticker, quarter_end) key: ``<field>`` and ``<field>_prior``."""
+    return with_known_fundamentals(keys.join(field_history(fundamentals, fields), "ticker"), fields)

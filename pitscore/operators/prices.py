@@ -113,15 +113,21 @@ PRICE_METRICS = (
 )
 
 
+def with_close_history(keys: DataFrame, prices: DataFrame) -> DataFrame:
+    """Keys (ticker, quarter_end) that have a price by then, with the ticker's ``bars``."""
+    started = F.get("bars", F.lit(0))["trade_date"] <= F.col("quarter_end")
+    return keys.join(close_history(prices), "ticker").filter(started)
+
+
+def bars_to_metrics(df: DataFrame) -> DataFrame:
+    """Replace ``bars`` by the price metrics as of ``quarter_end``."""
+    closes = trailing_closes(F.col("bars"), F.col("quarter_end"))
+    return with_price_metrics(df.withColumn("closes", closes).drop("bars")).drop("closes")
+
+
 def price_metrics(keys: DataFrame, prices: DataFrame) -> DataFrame:
     """Price metrics at each (ticker, quarter_end) key that has a price by then."""
-    started = F.get("bars", F.lit(0))["trade_date"] <= F.col("quarter_end")
-    return with_price_metrics(
-        keys.join(close_history(prices), "ticker")
-        .filter(started)
-        .withColumn("closes", trailing_closes(F.col("bars"), F.col("quarter_end")))
-        .drop("bars")
-    ).drop("closes")
+    return bars_to_metrics(with_close_history(keys, prices))
 
 
 def all_time_highs(prices: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pitscore.operators.bargain import enrich_panel
 from pitscore.operators.factors import factor_columns, historical_inputs
-from pitscore.operators.ingest import pit_fundamentals
-from pitscore.operators.prices import price_metrics
+from pitscore.operators.ingest import field_history, with_known_fundamentals
+from pitscore.operators.prices import bars_to_metrics, with_close_history
 from pitscore.params import FAMILIES, HISTORICAL_FAMILIES
 from pitscore.sources.schemas import FIELDS
 
@@ -24,9 +24,9 @@ SIGNALS = tuple(s for f in HISTORICAL_FAMILIES for s in FAMILIES[f])
 def historical_raw(members: DataFrame, prices: DataFrame, fundamentals: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """Inputs of the factor formulas per (quarter_end, ticker); members without a price are dropped."""
     keys = members.select("quarter_end", F.upper("ticker").alias("ticker")).distinct()
-    priced = price_metrics(keys, prices)
-    filed = pit_fundamentals(keys, fundamentals, fields)
-    return historical_inputs(priced.join(filed, ["ticker", "quarter_end"], "left"))
+    # Both histories join on ticker alone, so that the partitioning of the first join serves the rest.
+    joined = with_close_history(keys, prices).join(field_history(fundamentals, fields), "ticker", "left")
+    return historical_inputs(with_known_fundamentals(bars_to_metrics(joined), fields))
 
 
 def factor_panel(members: DataFrame, prices: DataFrame, fundamentals: DataFrame) -> DataFrame:
