@@ -24,8 +24,8 @@ from pitscore.llm.common import slices
 
 #: Bounds of the training sample: documents of each label, and code points of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 24_000_000
-#: A word counts as a feature if so many documents of the sample have it.
-MIN_DOCS = 4
+#: A word is a feature if its counts over documents of both labels have this log-likelihood ratio (G squared).
+ASSOCIATION = 20.0
 _NEWLINE, _END_MARKS = 10, np.frombuffer(b".!?", np.uint8)
 
 
@@ -88,7 +88,18 @@ def sample(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(kept, kind)), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 250) -> Model:
+def _associated(pairs: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
+    """G squared of each word against the label, from distinct ``word * documents + document``."""
+    total, kinds = np.bincount(pairs // len(y), minlength=n_words), []
+    for label in (0.0, 1.0):
+        have = np.bincount(pairs // len(y), y[pairs % len(y)] == label, n_words)
+        size = float((y == label).sum())
+        for seen, expected in ((have, total * size / len(y)), (size - have, (len(y) - total) * size / len(y))):
+            kinds.append(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0))
+    return 2 * sum(kinds)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 300) -> Model:
     """Train on a sample of at most ``2 * SAMPLE_DOCS`` labelled documents and ``SAMPLE_CHARS`` code points."""
     rows = sample(docs, labels, fold).select("toxic", "text").mapInArrow(_bags, "toxic int, words binary, sentences binary").collect()
     y = np.array([r.toxic for r in rows], float)
@@ -99,8 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 250) ->
     hashes, sentence = np.concatenate([h for h, _ in bags]), np.concatenate([s for _, s in bags]).astype(np.int64)
     _, sentence = np.unique(doc * (1 << 32) + sentence, return_inverse=True)
     vocabulary, feature = np.unique(hashes, return_inverse=True)
-    docs_with = np.bincount(np.unique(feature * len(bags) + doc) // len(bags), minlength=len(vocabulary))
-    common = docs_with >= MIN_DOCS
+    common = _associated(np.unique(feature * len(bags) + doc), y, len(vocabulary)) >= ASSOCIATION
     place = np.cumsum(common) - 1
     seen = common[feature]
     pairs = np.unique(sentence[seen] * (int(common.sum()) + 1) + place[feature[seen]])
@@ -110,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 250) ->
     bag[sentence] = doc
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     theta[k] = -4.0
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    share = 1 / len(y)
     for t in range(1, steps + 1):
         z = theta[k] + np.bincount(of, theta[at], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -118,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 250) ->
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
         g = p * pull[bag]
         grad = np.concatenate((np.bincount(at, g[of], k), [g.sum()]))
-        grad[:k] += 2e-5 * theta[:k]
+        grad[:k] += 1e-5 * theta[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(vocabulary[common], theta[:k], float(theta[k]))
