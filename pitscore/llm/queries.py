@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontamination, neardedup, packing, secrets, toxicity
+from pitscore.llm import decontamination, fingerprints, licenses, lmscore, neardedup, packing, secrets, sharding, substrings, toxicity
 from pitscore.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("identifiers", "licenses", "families")])
+
+
 def _listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -44,6 +49,20 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *count, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("findings")).alias("spans"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
+    )
+    return sharding.uniform_shards(rows, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -52,5 +71,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_decontamination, op5_secrets, op8_toxicity)}
-ORACLES: dict[str, str] = {}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.match(docs, fingerprints.lexicon(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_decontamination, op4_licenses, op5_secrets, op6_lm_scores, op7_sharding, op8_toxicity, op9_substrings, op10_fingerprints)}
+ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle()}

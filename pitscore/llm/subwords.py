@@ -57,11 +57,14 @@ class Subwords:
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.ascii_lower(texts)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        flat = split.flatten().dictionary_encode()
-        known = self._learn(flat.dictionary.to_pylist())
-        chunk = known[flat.indices.to_numpy(zero_copy_only=False)]
         offsets = split.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
+        return self.join(split.flatten(), offsets - offsets[0], end)
+
+    def join(self, chunks: pa.StringArray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given as runs of chunks, ``offsets[i]:offsets[i + 1]``."""
+        flat = chunks.dictionary_encode()
+        known = self._learn(flat.dictionary.to_pylist())
+        chunk = known[flat.indices.to_numpy(zero_copy_only=False)] if len(chunks) else np.zeros(0, np.int64)
         size = self.bounds[chunk + 1] - self.bounds[chunk]
         cum = np.concatenate(([0], np.cumsum(size)))
         bounds = cum[offsets] + np.arange(len(offsets))
@@ -70,3 +73,7 @@ class Subwords:
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(cum[offsets]))
         ids[np.arange(cum[-1]) + doc] = self.flat[source]
         return ids, bounds
+
+    def chunks(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each of distinct words."""
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
