@@ -74,9 +74,8 @@ class Packer:
     def pack(self, last: bool) -> None:
         """Fill windows, long tiers first; at the end also the remainder."""
         for size, below in zip(reversed(self.tiers), [*reversed(self.tiers[:-1]), 0]):
-            while self.pool and self.pool[-1][0] > below:
-                first = self.pool.pop()
-                if not self._fill(first, size):
+            while first := self._take(size):
+                if first[0] <= below or not self._fill(first, size):
                     bisect.insort(self.pool, first)
                     break
         if not last:

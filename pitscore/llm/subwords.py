@@ -3,13 +3,47 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pitscore.llm.words import LOWER, text_bytes
+
 #: Chunks and ids that a worker remembers; beyond that it starts anew.
-MEMORY_CHUNKS, MEMORY_IDS = 600_000, 6_000_000
+MEMORY_CHUNKS, MEMORY_IDS = 1_000_000, 10_000_000
+
+
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+# The byte-level alphabet writes bytes that are no printable Latin-1 sign as code points from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+_PLAIN = LOWER.copy()
+_PLAIN[10] = 32
+_KEEP = np.arange(256, dtype=np.uint8)
+_KEEP[10] = 32
+
+
+def _spaced(texts: pa.StringArray) -> pa.StringArray:
+    """Texts with line ends as spaces and a space before each full stop or comma that ends a word.
+
+    The tokeniser drops white space and parts letters and digits from marks anyway, so ids stay the same;
+    there are fewer distinct chunks. Special tokens are told by their case, so texts that may hold one keep theirs.
+    """
+    raw, off = text_bytes(texts)
+    low = (_KEEP if b"<|" in raw.tobytes() else _PLAIN)[raw]
+    word = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
+    word[1:] |= (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0xBF) & (low[1:] != 0x97) & (low[1:] != 0xB7)
+    mark = np.zeros(len(low), bool)
+    mark[1:-1] = ((low[1:-1] == 46) | (low[1:-1] == 44)) & (low[2:] == 32) & word[:-2]
+    mark[np.minimum(off[:-1], max(0, len(low) - 1))] = False
+    place = np.arange(len(low)) + np.cumsum(mark)
+    wide = np.full(len(low) + int(mark.sum()), 32, np.uint8)
+    wide[place] = low
+    shift = np.append(place, len(wide))[off] - np.append(mark, False)[off]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(shift.astype(np.int32).tobytes()), pa.py_buffer(wide.tobytes()))
 
 
 class Subwords:
@@ -36,8 +70,7 @@ class Subwords:
             if self.n + len(new) > MEMORY_CHUNKS or self.bounds[self.n] > MEMORY_IDS:
                 self._forget()
                 at, new = [-1] * len(chunks), list(range(len(chunks)))
-            found = self.tokenizer.encode_batch_fast([chunks[i] for i in new], add_special_tokens=False)
-            ids = [e.ids for e in found]
+            ids = self.chunks([chunks[i] for i in new])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             first, used = self.n, self.bounds[self.n]
             while len(self.bounds) < first + len(new) + 1:
@@ -54,9 +87,7 @@ class Subwords:
 
     def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the n+1 bounds of the texts."""
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        split = pc.split_pattern(_spaced(texts), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         return self.join(split.flatten(), offsets - offsets[0], end)
 
@@ -64,16 +95,33 @@ class Subwords:
         """Ids of texts given as runs of chunks, ``offsets[i]:offsets[i + 1]``."""
         flat = chunks.dictionary_encode()
         known = self._learn(flat.dictionary.to_pylist())
-        chunk = known[flat.indices.to_numpy(zero_copy_only=False)] if len(chunks) else np.zeros(0, np.int64)
-        size = self.bounds[chunk + 1] - self.bounds[chunk]
-        cum = np.concatenate(([0], np.cumsum(size)))
-        bounds = cum[offsets] + np.arange(len(offsets))
-        ids = np.full(bounds[-1], end, np.uint16)
-        source = np.repeat(self.bounds[chunk] - cum[:-1], size) + np.arange(cum[-1])
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(cum[offsets]))
-        ids[np.arange(cum[-1]) + doc] = self.flat[source]
+        n = len(offsets) - 1
+        last = offsets[1:] + np.arange(n)
+        size, start = np.empty((2, len(chunks) + n), np.int32)
+        real = np.ones(len(size), bool)
+        real[last] = False
+        if len(chunks):
+            index = flat.indices.to_numpy(zero_copy_only=False)
+            size[real], start[real] = np.diff(self.bounds)[known][index], self.bounds[known][index]
+        size[last], start[last] = 1, 0
+        cum = np.cumsum(size, dtype=np.int64)
+        total = int(cum[-1]) if len(cum) else 0
+        start -= (cum - size).astype(np.int32)
+        source = np.repeat(start, size)
+        source += np.arange(total, dtype=np.int32)
+        ids = self.flat[source]
+        bounds = np.concatenate(([0], cum[last]))
+        ids[bounds[1:] - 1] = end
         return ids, bounds
 
-    def chunks(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each of distinct words."""
-        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def chunks(self, words: list[str]) -> list[list[int]]:
+        """Ids of each of distinct words.
+
+        A word of small Latin letters is one pretoken as it stands, so the merges apply to it directly.
+        """
+        merge = self.tokenizer.model.tokenize
+        ids = [[t.id for t in merge(x.encode().decode("latin-1").translate(_BYTES))] if _LETTERS(x) else None for x in words]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            ids[i] = e.ids
+        return ids
