@@ -36,12 +36,19 @@ def drop_staged(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with about ``limit`` bytes of ``col``; null texts become empty."""
+def filled(texts: pa.Array) -> pa.StringArray:
+    """Texts with null as empty."""
+    return pc.fill_null(texts.cast(pa.string()), "")
+
+
+def slices(batches: Iterator[pa.RecordBatch], fill: bool = True, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows with about ``limit`` bytes of ``text``; null texts become empty unless ``fill`` is off."""
     for batch in batches:
-        k = batch.schema.get_field_index(col)
-        batch = batch.set_column(k, pa.field(col, pa.string()), pc.fill_null(batch.column(k).cast(pa.string()), ""))
-        size = pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).cumsum()
+        k = batch.schema.get_field_index("text")
+        texts = filled(batch.column(k))
+        if fill:
+            batch = batch.set_column(k, pa.field("text", pa.string()), texts)
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("int64").cumsum()
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitscore.llm import words as w
-from pitscore.llm.common import slices
+from pitscore.llm.common import filled, slices
 
 WINDOW = 13
 PATTERNS = 250_000
@@ -147,8 +147,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True) -
 def _searcher(sent, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
-        for batch in slices(batches):
-            low, starts, ends, doc = w.words(batch.column("text"), w.NOT_ALNUM)
+        for batch in slices(batches, fill=False):
+            low, starts, ends, doc = w.words(filled(batch.column("text")), w.NOT_ALNUM)
             bounds = doc.searchsorted(np.arange(batch.num_rows + 1))
             hashes, raw = w.span_hashes(low, starts, ends), low.tobytes()
             marks, items = np.zeros(len(starts) + 1, np.int64), [set(x or ()) for x in batch.column("items").to_pylist()]
