@@ -14,6 +14,11 @@ def col(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def has_number(c: str) -> Column:
+    """Neither NULL nor NaN."""
+    return F.col(c).isNotNull() & ~F.isnan(c)
+
+
 def ratio(num: Col, den: Col) -> Column:
     """num / den, NULL when an input is NULL or the denominator is zero."""
     return F.try_divide(col(num), col(den))

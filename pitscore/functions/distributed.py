@@ -2,9 +2,12 @@
 
 ``percentile`` holds every distinct value of a group in one buffer and a ranking window sorts a
 whole group in one task. A quarter (or sector) may hold a third of all rows, so both are avoided:
-values are counted in buckets that follow their order, offsets are accumulated over the bucket
-counts of a group (bounded by the bucket function, not by the data), and only within one bucket
-are values ordered. Equal values are collapsed into one counted row first.
+values are counted in buckets that follow their order, and only within one bucket are values
+ordered. Buckets are logarithmic at first; one with more than ``BUCKET_ROWS`` distinct values is cut
+into equal parts of its own range of values, and so on, so clustered values split as well. Equal values
+are collapsed into one counted row first.
+
+NaN counts as NULL. Infinities have end buckets of their own.
 """
 
 from __future__ import annotations
@@ -15,17 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitscore.functions.columns import ratio
+from pitscore.functions.columns import has_number, ratio
 from pitscore.session import materialize
 
 # Buckets per factor of e. A bucket spans 0.4 % in value; a group has at most 0.8 million of them.
 _PER_E = 256
 _LOWEST_LOG = 746
+_END = 1 << 40
+#: Distinct values that a task orders together, and parts into which a larger bucket is cut.
+BUCKET_ROWS = 20_000
+_PARTS = 4096
 
 
 def order_bucket(v: Column) -> Column:
     """Non-decreasing integer function of a double (the JVM's ``log`` is monotone by contract)."""
-    magnitude = F.floor(F.log(F.abs(v)) * _PER_E) + _LOWEST_LOG * _PER_E
+    magnitude = F.floor(F.log(F.when(F.abs(v) < float("inf"), F.abs(v))) * _PER_E) + _LOWEST_LOG * _PER_E
+    magnitude = F.coalesce(magnitude, F.lit(_END).cast("long"))
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, magnitude).otherwise(-magnitude)
 
 
@@ -36,6 +44,31 @@ def _null_safe(left: str, right: str, names: Sequence[str]) -> Column:
     return cond
 
 
+def _parts(rows: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (distinct values) with bucket ``_b`` (an array that sorts like the values), and bucket counts.
+
+    Each round cuts buckets above ``BUCKET_ROWS`` into parts of their own range; a round narrows a range by
+    ``_PARTS``, so a few rounds reach neighbouring doubles. A bucket of one value is never cut.
+    """
+    rows = rows.withColumn("_b", F.array(order_bucket(F.col(value))))
+    while True:
+        ends = (F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        counts = materialize(rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_values"), F.sum("_c").alias("_c"), *ends))
+        wide = counts.filter((F.col("_values") > BUCKET_ROWS) & (F.col("_lo") < F.col("_hi"))).select(*keys, "_b", "_lo", "_hi")
+        if wide.isEmpty():
+            return rows, counts.select(*keys, "_b", "_c")
+        share = (F.col(value) / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        part = F.when(F.col("_lo").isNotNull(), F.least(F.floor(share * _PARTS), F.lit(_PARTS - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
+        joined = rows.alias("r").join(wide.alias("w"), _null_safe("r", "w", [*keys, "_b"]), "left")
+        rows = materialize(joined.select("r.*", "w._lo", "w._hi").withColumn("_b", F.concat("_b", F.array(part))).drop("_lo", "_hi"))
+
+
+def _collapsed(df: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
+    """One row per distinct value with its number of rows ``_c``; NULL and NaN dropped."""
+    count = F.sum(times) if times else F.count(F.lit(1))
+    return df.filter(has_number(value)).groupBy(*keys, value).agg(count.alias("_c"))
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,24 +77,18 @@ def order_statistics(
 ) -> DataFrame:
     """Exact values at given ranks (0 = smallest) per group; a rank is a function of the count.
 
-    Pass 1 counts rows per bucket (partial aggregation, no row is shuffled) and finds the buckets
-    that contain a wanted rank. Pass 2 orders only the rows of those few buckets.
-    Returns ``keys``, ``n`` and one column per rank. Rows with a NULL value are ignored.
+    Distinct values are counted (partial aggregation), buckets that hold a wanted rank are found from
+    their counts, and only the values of those few buckets are ordered. Returns ``keys``, ``n`` and one
+    column per rank. Rows with a NULL or NaN value are ignored.
     """
     keys = list(keys)
-    rows = (
-        df.select(*keys, F.col(value).alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .withColumn("_b", order_bucket(F.col("_v")))
-    )
+    rows, counts = _parts(materialize(_collapsed(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v")), keys, "_v")
     group = W.partitionBy(*keys)
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), f(F.col("n")).cast("long").alias("at")) for name, f in ranks.items()]
     )
     hits = materialize(
-        rows.groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("n", F.sum("_c").over(group))
+        counts.withColumn("n", F.sum("_c").over(group))
         .withColumn("_end", F.sum("_c").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("_start", F.col("_end") - F.col("_c"))
         .withColumn(
@@ -71,26 +98,19 @@ def order_statistics(
         .filter(F.size("_want") > 0)
         .select(*keys, "_b", "n", "_start", "_want")
     )
-    near = (
-        rows.alias("r")
-        .join(hits.select(*keys, "_b").alias("h"), _null_safe("r", "h", [*keys, "_b"]), "left_semi")
-        .groupBy(*keys, "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn(
-            "_upto",
-            F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)),
-        )
-    )
+    upto = F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
     found = (
-        near.alias("r")
+        rows.alias("r")
         .join(hits.alias("h"), _null_safe("r", "h", [*keys, "_b"]))
+        .select(*[F.col(f"h.{k}").alias(k) for k in keys], "h._b", "h.n", "h._start", "h._want", "r._v", "r._c")
+        .withColumn("_upto", upto)
         .select(
-            *[F.col(f"h.{k}").alias(k) for k in keys],
-            "h.n",
-            "r._v",
-            F.explode("h._want").alias("_t"),
-            (F.col("h._start") + F.col("r._upto")).alias("_end"),
-            (F.col("h._start") + F.col("r._upto") - F.col("r._c")).alias("_start"),
+            *keys,
+            "n",
+            "_v",
+            F.explode("_want").alias("_t"),
+            (F.col("_start") + F.col("_upto")).alias("_end"),
+            (F.col("_start") + F.col("_upto") - F.col("_c")).alias("_start"),
         )
         .filter((F.col("_t.at") >= F.col("_start")) & (F.col("_t.at") < F.col("_end")))
     )
@@ -111,7 +131,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     def interpolated(name: str, p: float) -> Column:
         at = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
+        share = at - F.floor(at)
+        return F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share).alias(name)
 
     return stats.select(*keys, "n", *[interpolated(name, p) for name, p in probs.items()])
 
@@ -122,26 +143,13 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, times: str | N
     ``times`` names a column that says how many rows a row stands for.
     """
     keys = list(keys)
-    count = F.sum(times) if times else F.count(F.lit(1))
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(count.alias("_c"))
-        .withColumn("_b", order_bucket(F.col(value)))
-    )
+    rows, counts = _parts(materialize(_collapsed(df, keys, value, times)), keys, value)
     group = W.partitionBy(*keys)
-    offsets = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_bc"))
-        .withColumn("n", F.sum("_bc").over(group))
-        .withColumn(
-            "_start",
-            F.sum("_bc").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_bc"),
-        )
-        .drop("_bc")
+    offsets = counts.withColumn("n", F.sum("_c").over(group)).withColumn(
+        "_start", F.sum("_c").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
     )
     upto = F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return counted.join(offsets, [*keys, "_b"]).select(
+    return rows.join(offsets.drop("_c"), [*keys, "_b"]).select(
         *keys, value, "n", (F.col("_start") + upto - (F.col("_c") - 1) / 2.0).alias("avg_rank")
     )
 
@@ -156,7 +164,7 @@ def rank_correlation(
     """
     keys = list(keys)
     pairs = materialize(
-        df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+        df.filter(has_number(a) & has_number(b))
         .groupBy(*keys, a, b)
         .agg(F.count(F.lit(1)).alias("_t"))
     )
@@ -186,8 +194,9 @@ def first_by(
     """The ``count(n)`` rows of each group with the largest value, ties by ascending ``tie`` (text).
 
     For counts that grow with the group (a quintile). Rows above the cut-off are kept without
-    ordering them. Only rows equal to it are numbered, and those in parts by the first characters
-    of ``tie``, so that a value shared by a large part of a group does not end in one task.
+    ordering them. Of the rows equal to it, the first by ``tie`` are found the same way, by a cut-off
+    over a number that sorts like their first six bytes, so that a value shared by a large part of a group does not end in one task; only rows that agree
+    on it are numbered.
     """
     keys = list(keys)
     cut = materialize(
@@ -195,22 +204,25 @@ def first_by(
             *keys, "cut", count(F.col("n")).cast("long").alias("_take")
         )
     )
-    marked = df.filter(F.col(value).isNotNull()).join(cut, keys).filter(F.col(value) >= F.col("cut"))
+    marked = df.filter(has_number(value)).join(cut, keys).filter(F.col(value) >= F.col("cut"))
     above = marked.filter(F.col(value) > F.col("cut"))
     used = above.groupBy(*keys).agg(F.count(F.lit(1)).alias("_used"))
-    equal = marked.filter(F.col(value) == F.col("cut")).withColumn("_part", F.substring(tie, 1, 4))
-    upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
-    parts = (
-        equal.groupBy(*keys, "_part")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
-        .join(used, keys, "left")
-        .select(*keys, "_part", (F.col("_before") + F.coalesce("_used", F.lit(0))).alias("_before"))
-    )
-    place = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(tie)) + F.col("_before")
-    at_cut = (
-        equal.join(parts, [*keys, "_part"])
-        .withColumn("_i", place)
-        .filter(F.col("_i") <= F.col("_take"))
-    )
-    return above.drop("cut", "_take").unionByName(at_cut.drop("cut", "_take", "_part", "_before", "_i"))
+    equal = marked.filter(F.col(value) == F.col("cut")).withColumn("_code", _text_code(F.col(tie)))
+    room = equal.groupBy(*keys).agg(F.count(F.lit(1)).alias("_equal"), F.max("_take").alias("_take")).join(used, keys, "left")
+    room = room.select(*keys, (F.col("_take") - F.coalesce("_used", F.lit(0))).alias("_room"))
+    codes = materialize(_collapsed(equal, keys, "_code"))
+    parts, counts = _parts(codes, keys, "_code")
+    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    offsets = counts.withColumn("_start", F.sum("_c").over(upto) - F.col("_c")).drop("_c")
+    inside = W.partitionBy(*keys, "_b").orderBy("_code").rowsBetween(W.unboundedPreceding, 0)
+    before = parts.join(offsets, [*keys, "_b"]).select(*keys, "_code", (F.col("_start") + F.sum("_c").over(inside) - F.col("_c")).alias("_before"))
+    near = equal.join(before, [*keys, "_code"]).join(room, keys).filter(F.col("_before") < F.col("_room"))
+    place = F.row_number().over(W.partitionBy(*keys, "_code").orderBy(tie)) + F.col("_before")
+    at_cut = near.withColumn("_i", place).filter(F.col("_i") <= F.col("_room"))
+    return above.drop("cut", "_take").unionByName(at_cut.drop("cut", "_take", "_code", "_before", "_room", "_i"))
+
+
+def _text_code(text: Column) -> Column:
+    """A double that does not decrease with the text: its first six bytes as one number, exact below 2**53."""
+    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitscore.functions.columns import quarter_end
+from pitscore.functions.columns import has_number, quarter_end
 
 
 def asof_join(
@@ -73,7 +73,7 @@ def prices_at_quarters(prices: DataFrame, quarters: Sequence[date]) -> DataFrame
     """
     spine, last = spine_literal(quarters), len(quarters) - 1
     per_quarter = (
-        prices.filter(F.col("close").isNotNull())
+        prices.filter(has_number("close"))
         .groupBy("ticker", quarter_end("trade_date").alias("_qe"))
         .agg(F.max_by("close", "trade_date").alias("price"))
         .withColumn("_slot", F.size(F.filter(spine, lambda d: d < F.col("_qe"))))

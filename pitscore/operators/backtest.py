@@ -185,7 +185,7 @@ def run_backtest(
     horizons: Sequence[str] = tuple(HORIZONS),
 ) -> DataFrame:
     """Quarterly top-quintile backtest, one row per run and window. ``forward=None`` skips the
-    rank correlations; ``horizons`` (with ``1q``) narrows them."""
+    rank correlations; ``horizons`` (with ``1q``) narrows them. A correlation that was not computed is NULL."""
     held = scored if "held" in scored.columns else with_holding_returns(scored, monthly, delisted, months, delist_return)
     picks = top_fraction(held, [*by, "quarter_end"])
     keys = [*by, "window"]
@@ -203,14 +203,12 @@ def run_backtest(
     )
     zero = ["rolling_win_rate", "median_excess", "cagr", "benchmark_cagr", "max_drawdown"]
     if forward is None:
-        return out.fillna(0.0, zero).withColumn("mean_ic", F.lit(0.0))
+        missing = F.lit(None).cast("double")
+        return out.fillna(0.0, zero).withColumns({"mean_ic": F.lit(0.0), **{f"ic_{h}": missing for h in HORIZONS}})
     ics = in_windows(materialize(quarterly_ics(scored, forward, by=by, horizons=horizons)), windows)
     last_scored = in_windows(scored.select(*by, "quarter_end").distinct(), windows)
     ics = last_scored.join(ics, [*keys, "quarter_end"], "left")
     out = out.join(next_quarter_ic(ics, keys), keys, "left").join(mean_horizon_ics(ics, keys), keys, "left")
-    return out.fillna(0.0, [*zero, "mean_ic", *[f"ic_{h}" for h in HORIZONS]])
-
-
-def by_objective(runs: DataFrame) -> DataFrame:
-    """Runs, best first: win rate, then median excess, then the primary horizon's correlation."""
-    return runs.orderBy(F.desc("rolling_win_rate"), F.desc("median_excess"), F.desc(f"ic_{PRIMARY_HORIZON}"))
+    out = out.fillna(0.0, [*zero, "mean_ic"])
+    measured = {f"ic_{h}": F.coalesce(f"ic_{h}", F.lit(0.0)) if h in horizons else F.lit(None).cast("double") for h in HORIZONS}
+    return out.withColumns(measured)

@@ -59,7 +59,7 @@ def delisted_catalog(membership: DataFrame, prices: DataFrame, benchmark: str =
     """Requested tickers (members and benchmark) that have no price row."""
     asked = membership.select(clean_ticker("ticker").alias("ticker")).distinct()
     asked = asked.union(asked.sparkSession.range(1).select(F.lit(benchmark).alias("ticker"))).distinct()
-    return asked.join(prices.select("ticker"), "ticker", "left_anti")
+    return asked.join(prices.select("ticker").distinct(), "ticker", "left_anti")
 
 
 def with_benchmark(prices: DataFrame, other: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
@@ -69,6 +69,22 @@ def with_benchmark(prices: DataFrame, other: DataFrame, benchmark: str = BENCHMA
     return prices.unionByName(extra.select(*prices.columns))
 
 
+def _best_values(sub: DataFrame, num: DataFrame, cik_map: DataFrame, prefer_quarterly: bool, sets: list[str]) -> DataFrame:
+    """The winning value per data set, cik, field and period, as struct ``r``, with the ticker."""
+    field = F.create_map(*[F.lit(x) for pair in TAG_FIELDS.items() for x in pair])[F.col("tag")]
+    headers = sub.filter(F.col("form").isin(*PERIODIC_FORMS)).select(*sets, "adsh", "cik", "period", "filed", "form")
+    values = num.filter(F.col("tag").isin(*TAG_FIELDS)).withColumn("field", field)
+    instant = ~F.coalesce(F.col("qtrs").isin(1, 4), F.lit(False))
+    first = (~instant if prefer_quarterly else instant).alias("first")
+    best = F.max(F.struct(first, "filed", "ddate", "tag", "adsh", "amount", "form", "qtrs")).alias("r")
+    return (
+        values.join(headers, [*sets, "adsh"])
+        .dropna(subset=["field", "amount", "filed", "period"])
+        .groupBy(*sets, "cik", "field", "period").agg(best)
+        .join(cik_map.select("cik", clean_ticker("ticker").alias("ticker")).dropna(), "cik")
+    )
+
+
 def normalize_filings(
     sub: DataFrame, num: DataFrame, cik_map: DataFrame, prefer_quarterly: bool = False
 ) -> DataFrame:
@@ -79,46 +95,23 @@ def normalize_filings(
     the latest ``ddate``, then tag, filing and amount, so the outcome does not depend on file
     order. One mergeable maximum per key does this: no key is ever sorted in one task.
     """
-    field = F.create_map(*[F.lit(x) for pair in TAG_FIELDS.items() for x in pair])[F.col("tag")]
-    headers = sub.filter(F.col("form").isin(*PERIODIC_FORMS)).select("adsh", "cik", "period", "filed", "form")
-    values = num.filter(F.col("tag").isin(*TAG_FIELDS)).withColumn("field", field)
-    instant = ~F.coalesce(F.col("qtrs").isin(1, 4), F.lit(False))
-    best = F.max(
-        F.struct(
-            (~instant if prefer_quarterly else instant).alias("first"),
-            "filed", "ddate", "tag", "adsh", "amount", "form", "qtrs",
-        )
-    ).alias("r")
-    return (
-        values.join(headers, "adsh")
-        .dropna(subset=["field", "amount", "filed", "period"])
-        .groupBy("cik", "field", "period").agg(best)
-        .join(cik_map.select("cik", clean_ticker("ticker").alias("ticker")).dropna(), "cik")
-        .select("ticker", "cik", "field", "r.amount", "period", "r.filed", "r.form", "r.tag", "r.qtrs")
+    return _best_values(sub, num, cik_map, prefer_quarterly, []).select(
+        "ticker", "cik", "field", "r.amount", "period", "r.filed", "r.form", "r.tag", "r.qtrs"
     )
 
 
-def normalize_filing_sets(sub: DataFrame, num: DataFrame, cik_map: DataFrame) -> DataFrame:
+def normalize_filing_sets(
+    sub: DataFrame, num: DataFrame, cik_map: DataFrame, prefer_quarterly: bool = False
+) -> DataFrame:
     """Many quarterly data sets at once (``dataset_quarter`` column on ``sub`` and ``num``).
 
     Each set is normalised by itself, then one row per (ticker, field, period, filed) is kept:
     that of the latest data set.
     """
     label = "dataset_quarter"
-    keyed_sub = sub.withColumn("adsh", F.struct(F.col(label), F.col("adsh")))
-    keyed_num = num.withColumn("adsh", F.struct(F.col(label), F.col("adsh"))).drop(label)
-    field = F.create_map(*[F.lit(x) for pair in TAG_FIELDS.items() for x in pair])[F.col("tag")]
-    instant = ~F.coalesce(F.col("qtrs").isin(1, 4), F.lit(False))
-    per_set = (
-        keyed_num.filter(F.col("tag").isin(*TAG_FIELDS)).withColumn("field", field)
-        .join(keyed_sub.filter(F.col("form").isin(*PERIODIC_FORMS)).select("adsh", "cik", "period", "filed", "form", label), "adsh")
-        .dropna(subset=["field", "amount", "filed", "period"])
-        .groupBy(label, "cik", "field", "period")
-        .agg(F.max(F.struct(instant.alias("first"), "filed", "ddate", "tag", F.col("adsh.adsh").alias("adsh"), "amount", "form", "qtrs")).alias("r"))
-        .join(cik_map.select("cik", clean_ticker("ticker").alias("ticker")).dropna(), "cik")
-    )
     return (
-        per_set.groupBy("ticker", "field", "period", F.col("r.filed").alias("filed"))
+        _best_values(sub, num, cik_map, prefer_quarterly, [label])
+        .groupBy("ticker", "field", "period", F.col("r.filed").alias("filed"))
         .agg(F.max(F.struct(label, "cik", "r.amount", "r.form", "r.tag", "r.qtrs")).alias("r"))
         .select("ticker", "r.cik", "field", "r.amount", "period", "filed", "r.form", "r.tag", "r.qtrs", f"r.{label}")
     )
@@ -129,10 +122,8 @@ def first_sector(panel: DataFrame, universe: DataFrame) -> DataFrame:
     sectors = universe.groupBy(clean_ticker("ticker").alias("ticker")).agg(F.min("sector").alias("_sector"))
     if "sector" not in panel.columns:
         return panel.join(sectors, "ticker", "left").withColumnRenamed("_sector", "sector")
-    known = panel.agg(F.max(F.col("sector").isNotNull()).alias("any")).first()["any"]
-    if known:
-        return panel
-    return panel.drop("sector").join(sectors, "ticker", "left").withColumnRenamed("_sector", "sector")
+    known = F.coalesce(panel.agg(F.max(F.col("sector").isNotNull())).scalar(), F.lit(False))
+    return panel.join(sectors, "ticker", "left").withColumn("sector", F.when(known, F.col("sector")).otherwise(F.col("_sector"))).drop("_sector")
 
 
 def usable_quotes(quotes: DataFrame) -> DataFrame:
@@ -172,6 +163,9 @@ def statement_values(
     cells = statements.select(
         *keys, "metric", "period", F.nullif("value", F.lit(float("nan"))).alias("value")
     ).withColumn("_t", F.coalesce("period", F.lit("0001-01-01").cast("date")))
+    # Undated cells count only for a key without any dated one.
+    dated = cells.filter(F.col("period").isNotNull()).select(*keys).distinct().withColumn("_dated", F.lit(True))
+    cells = cells.join(dated, keys, "left").filter(F.col("period").isNotNull() | F.col("_dated").isNull()).drop("_dated")
     newest = cells.groupBy(*keys).agg(F.max("_t").alias("_newest"))
     # Per metric and period one value (a statement has one cell), then the top two periods.
     per_period = (

@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitscore.functions.columns import clamp, ratio
+from pitscore.functions.columns import clamp, has_number, ratio
 from pitscore.params import LOOKBACK_ROWS, YEAR_ROWS
 
 
 def close_history(prices: DataFrame) -> DataFrame:
     """``ticker, bars``: date-ordered array of ``(trade_date, close)``; input has one row per day."""
     bar = F.struct("trade_date", "close")
-    return prices.filter(F.col("close").isNotNull()).groupBy("ticker").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
+    return prices.filter(has_number("close")).groupBy("ticker").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
 
 
 def trailing_closes(bars: Column, as_of: Column, rows: int = LOOKBACK_ROWS) -> Column:
@@ -132,13 +132,15 @@ def price_metrics(keys: DataFrame, prices: DataFrame) -> DataFrame:
 
 def all_time_highs(prices: DataFrame) -> DataFrame:
     """Highest close of the whole history, per ticker."""
-    return prices.groupBy("ticker").agg(F.max("close").alias("all_time_high"))
+    close = F.when(has_number("close"), F.col("close"))
+    return prices.groupBy("ticker").agg(F.max(close).alias("all_time_high"))
 
 
 def moving_average(prices: DataFrame, rows: int = 20) -> DataFrame:
     """Simple moving average of the close; NULL until ``rows`` closes exist."""
     w = W.partitionBy("ticker").orderBy("trade_date").rowsBetween(-(rows - 1), 0)
-    return prices.withColumn("sma", F.when(F.count("close").over(w) == rows, F.avg("close").over(w)))
+    close = F.when(has_number("close"), F.col("close"))
+    return prices.withColumn("sma", F.when(F.count(close).over(w) == rows, F.avg(close).over(w)))
 
 
 # Chart ranges as months back from the last date.
@@ -201,10 +203,3 @@ def valuation_vs_own_history(current: DataFrame, history: DataFrame) -> DataFram
     if "valuation_vs_history" in current.columns:
         own = F.coalesce("valuation_vs_history", own)
     return current.join(past, "ticker", "left").withColumn("valuation_vs_history", own).drop("_h")
-
-
-def spine_keys(tickers: DataFrame, quarters: Sequence[date]) -> DataFrame:
-    """Every ticker at every quarter-end of the calendar."""
-    from pitscore.operators.asof import spine_literal
-
-    return tickers.select("ticker", F.explode(spine_literal(quarters)).alias("quarter_end"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitscore.functions.columns import ratio
+from pitscore.functions.columns import has_number, ratio
 from pitscore.operators.asof import prices_at_quarters, spine_literal
 from pitscore.params import BENCHMARK, HORIZONS
 
@@ -22,7 +22,7 @@ def monthly_returns(prices: DataFrame) -> DataFrame:
     shuffle, and the months between two observations are expanded in place.
     """
     month_close = (
-        prices.filter(F.col("close").isNotNull())
+        prices.filter(has_number("close"))
         .groupBy("ticker", F.last_day("trade_date").alias("_end"))
         .agg(F.max_by("close", "trade_date").alias("close"))
     )
@@ -41,12 +41,6 @@ def monthly_returns(prices: DataFrame) -> DataFrame:
     )
 
 
-def monthly_returns_between(prices: DataFrame, tickers: DataFrame, start: date, end: date) -> DataFrame:
-    """Monthly returns of some tickers from the closes inside a window."""
-    inside = F.col("trade_date").between(F.lit(start), F.lit(end))
-    return monthly_returns(prices.filter(inside).join(tickers.select("ticker").distinct(), "ticker", "left_semi"))
-
-
 def _forward(px: Column, k: int, series) -> Column:
     later = F.lead(px, k).over(series)
     return F.when(later > 0, ratio(later, px) - 1.0)

@@ -1,7 +1,10 @@
-"""Scans. Every reader declares its schema, so no file is read to infer one."""
+"""Scans with declared columns; a text file's own header line names its columns."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,15 +13,32 @@ from pitscore.functions.columns import clean_ticker, parse_yyyymmdd, to_double
 from pitscore.sources import schemas
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet scan of a stage or input table."""
-    return spark.read.schema(schema).parquet(path)
-
-
-def _tsv(spark: SparkSession, path: str, keep: tuple[str, ...]) -> DataFrame:
-    """Tab-separated files with a header; all text, columns picked by name where present."""
-    raw = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="", mode="PERMISSIVE")
-    return raw.select(*[c for c in keep if c in raw.columns], F.col("_metadata.file_path").alias("_file"))
+def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files below ``path`` (one a data set) by their header; only first lines are read."""
+    files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(files):
+        header = spark.read.csv(file, sep="\t", header=True, inferSchema=False, quote="").columns
+        found.setdefault(tuple(header), []).append(file)
+    return found
+
+
+def _tsv(spark: SparkSession, path: str, needed: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
+    """Tab-separated files, all text, each read by its own header; a missing optional column is NULL."""
+    parts = []
+    for header, files in _by_header(spark, path).items():
+        lacking = [c for c in needed if c not in header]
+        if lacking:
+            raise ValueError(f"{files[0]} has no column {', '.join(lacking)}")
+        if optional and not any(c in header for c in optional):
+            raise ValueError(f"{files[0]} has none of the columns {', '.join(optional)}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        rows = spark.read.csv(files, sep="\t", header=True, schema=schema, quote="", mode="PERMISSIVE", enforceSchema=True)
+        parts.append(rows.select(*needed, *[c for c in optional if c in header], F.col("_metadata.file_path").alias("_file")))
+    if not parts:
+        raise ValueError(f"no file in {path}")
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return rows.withColumns({c: F.lit(None).cast("string") for c in optional if c not in rows.columns})
 
 
 def _dataset_quarter() -> F.Column:
@@ -39,15 +59,14 @@ def read_filing_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_filing_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per reported value; the amount is ``value``, or ``uval`` in files without it."""
-    df = _tsv(spark, path, schemas.FILING_NUMBER_COLUMNS)
-    amount = to_double("value") if "value" in df.columns else to_double("uval")
+    """One row per reported value; the amount is ``value``, or ``uval`` in a file without that column."""
+    df = _tsv(spark, path, schemas.FILING_NUMBER_COLUMNS, schemas.FILING_AMOUNT_COLUMNS)
     return df.select(
         "adsh",
         "tag",
         parse_yyyymmdd("ddate").alias("ddate"),
         F.col("qtrs").try_cast("long").alias("qtrs"),
-        amount.alias("amount"),
+        to_double(F.coalesce(*schemas.FILING_AMOUNT_COLUMNS)).alias("amount"),
         _dataset_quarter(),
     )
 

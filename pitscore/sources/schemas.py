@@ -1,34 +1,11 @@
-"""Fixed schemas of the input and stage tables."""
+"""Fixed names of the filing data sets."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, t) for name, t in fields.items()])
-
-
-S, D, L, DATE = T.StringType(), T.DoubleType(), T.LongType(), T.DateType()
-
-PRICES = _struct(ticker=S, trade_date=DATE, close=D)
-FUNDAMENTALS = _struct(ticker=S, field=S, amount=D, period=DATE, filed=DATE)
-FILED_FUNDAMENTALS = _struct(
-    ticker=S, cik=L, field=S, amount=D, period=DATE, filed=DATE, form=S, tag=S, qtrs=L, dataset_quarter=S
-)
-MEMBERSHIP_HISTORY = _struct(date=DATE, tickers=S)
-MEMBERSHIP = _struct(quarter_end=DATE, ticker=S, snapshot_date=DATE)
-CIK_MAP = _struct(cik=L, ticker=S, name=S)
-UNIVERSE = _struct(ticker=S, name=S, sector=S, industry=S, quote_type=S, target_mean=D)
-
-# Columns of the public filing data sets that are kept.
-FILING_NUMBER_COLUMNS = ("adsh", "tag", "version", "ddate", "qtrs", "value", "uval")
-FILING_HEADER_COLUMNS = (
-    "adsh", "cik", "name", "sic", "countryba", "stprba", "cityba", "zipba", "bas1", "bas2", "baph",
-    "countryma", "stprma", "cityma", "zipma", "mas1", "mas2", "countryinc", "stprinc", "ein", "former",
-    "changed", "afs", "wksi", "form", "period", "fy", "fp", "filed", "accepted", "prevrpt", "detail",
-    "instance", "nciks", "aciks",
-)
+# Columns of the public filing data sets that are used; an amount stands in either of two columns.
+FILING_HEADER_COLUMNS = ("adsh", "cik", "form", "period", "filed")
+FILING_NUMBER_COLUMNS = ("adsh", "tag", "ddate", "qtrs")
+FILING_AMOUNT_COLUMNS = ("value", "uval")
 
 # Accounting tag -> field.
 TAG_FIELDS = {

@@ -130,11 +130,10 @@ def test_weights():
     named = params.named_candidates()
     assert all(sum(w.values()) == pytest.approx(0.95) for w in named.values())
     assert named["evidence_based"]["value"] == pytest.approx(0.25)
-    assert params.expand_themes({"value": 0.4}) ["value"] == 0.4
+    assert params.scaled({"a": 1.0, "c": 9.0}, ("a", "b"), 0.5) == {"a": 0.5, "b": 0.0}
     assert params.historical_weights({})["value"] == 0.0
     draws = params.dirichlet_weights(3, 7, ("a", "b"))
     assert len(draws) == 3 and all(sum(w.values()) == pytest.approx(1.0) for w in draws.values())
-    assert params.normalized_bargain_weights({}) == params.BARGAIN_WEIGHTS
 
 
 def test_folds():

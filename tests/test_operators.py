@@ -238,6 +238,67 @@ def test_readers(spark, tmp_path):
     assert panel == {(date(2020, 3, 31), "BRK-B"), (date(2020, 3, 31), "AAPL"), (date(2020, 6, 30), "AAPL")}
 
 
+def test_filing_sets_by_their_own_headers(spark, tmp_path):
+    sets = {
+        "2009q2": "adsh\ttag\tddate\tqtrs\tuom\tuval\na1\tAssets\t20090331\t0\tUSD\t7\n",
+        "2015q1": "adsh\ttag\tversion\tddate\tqtrs\tuom\tvalue\na2\tAssets\tv\t20141231\t0\tUSD\t8\n",
+        "2020q1": "tag\tadsh\tcoreg\tddate\tqtrs\tvalue\tuval\nAssets\ta3\tx\t20191231\t0\t\t9\nAssets\ta4\t\t20191231\t1\t10\t\n",
+    }
+    for label, text in sets.items():
+        (tmp_path / label).mkdir()
+        (tmp_path / label / "num.txt").write_text(text)
+    rows = {r.adsh: (r.tag, r.ddate, r.qtrs, r.amount, r.dataset_quarter) for r in readers.read_filing_numbers(spark, str(tmp_path / "*" / "num.txt")).collect()}
+    assert rows == {
+        "a1": ("Assets", date(2009, 3, 31), 0, 7.0, "2009q2"),
+        "a2": ("Assets", date(2014, 12, 31), 0, 8.0, "2015q1"),
+        "a3": ("Assets", date(2019, 12, 31), 0, 9.0, "2020q1"),
+        "a4": ("Assets", date(2019, 12, 31), 1, 10.0, "2020q1"),
+    }
+    (tmp_path / "2021q1").mkdir()
+    (tmp_path / "2021q1" / "num.txt").write_text("adsh\ttag\tqtrs\tvalue\nb\tAssets\t0\t1\n")
+    with pytest.raises(ValueError, match="ddate"):
+        readers.read_filing_numbers(spark, str(tmp_path / "*" / "num.txt"))
+
+
+def test_order_statistics_split_clusters(spark, monkeypatch):
+    monkeypatch.setattr(distributed, "BUCKET_ROWS", 500)
+    n = 40_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), (50 + F.col("id") * (0.1 / n)).alias("v"))
+    rows, counts = distributed._parts(distributed._collapsed(df, ["g"], "v"), ["g"], "v")
+    assert rows.groupBy("g", "_b").count().agg(F.max("count")).first()[0] <= 500
+    pdf = df.toPandas()
+    for r in distributed.quantiles(df, ["g"], "v", {"m": 0.37}).collect():
+        assert r.m == pytest.approx(np.quantile(pdf[pdf.g == r.g].v, 0.37), rel=1e-15)
+    ranks = distributed.average_ranks(df, ["g"], "v").toPandas().sort_values(["g", "v"])
+    assert (ranks.groupby("g").cumcount() + 1 == ranks.avg_rank).all()
+
+
+def test_order_statistics_with_nan_and_infinity(spark):
+    values = [float(i) for i in range(20)] + [float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([("x", f"t{i}", v) for i, v in enumerate(values)], "quarter_end string, ticker string, composite double")
+    r = distributed.quantiles(df, ["quarter_end"], "composite", {"m": 0.5, "lo": 0.0, "hi": 1.0}).first()
+    assert (r.n, r.m, r.lo, r.hi) == (22, 9.5, float("-inf"), float("inf"))
+    ranks = {x.composite: x.avg_rank for x in distributed.average_ranks(df, ["quarter_end"], "composite").collect()}
+    assert ranks[float("-inf")] == 1 and ranks[0.0] == 2 and ranks[float("inf")] == 22 and len(ranks) == 22
+    assert {x.composite for x in screens.top_fraction(df).collect()} == {float("inf"), 19.0, 18.0, 17.0, 16.0}
+
+
+def test_nan_closes_are_no_closes(spark):
+    days = [("A", date(2020, 1, 30), 1.0), ("A", date(2020, 1, 31), float("nan")), ("A", date(2020, 2, 28), 2.0), ("A", date(2020, 3, 31), float("nan"))]
+    px = spark.createDataFrame(days, "ticker string, trade_date date, close double")
+    assert {r.month: r["return"] for r in returns.monthly_returns(px).collect()} == {date(2020, 2, 29): 1.0}
+    assert [r.price for r in asof.prices_at_quarters(px, [date(2020, 3, 31)]).collect()] == [2.0]
+    assert prices.all_time_highs(px).first().all_time_high == 2.0
+    assert {r.trade_date.day: r.sma for r in prices.moving_average(px, 2).collect()}[28] is None
+
+
+def test_undated_statement_cells_give_way(spark):
+    cells = [("A", "x", date(2020, 1, 1), 5.0), ("A", "x", None, 99.0), ("B", "x", None, 7.0)]
+    df = spark.createDataFrame(cells, "ticker string, metric string, period date, value double")
+    got = {r.ticker: (r.latest, r.prior) for r in ingest.statement_values(df, {"f": ("x",)}, ["ticker"]).collect()}
+    assert got == {"A": (5.0, None), "B": (7.0, None)}
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(date(2020, 3, 31), "A", 1.0), (date(2020, 6, 30), "B", 2.0)], "quarter_end date, ticker string, v double")
     writers.write_table(df, str(tmp_path / "t"), "quarter_end")
