@@ -358,7 +358,7 @@ CTES: dict[str, str] = {
     "v_search": """
         with d as (
           select i, family, -ln(((concat('0x', substr(md5(concat('42:', cast(i as varchar), ':', family)), 1, 8)))::bigint + 0.5::double) / 4294967296.0::double) as e
-          from (select unnest(range(8)) as i) cross join (select distinct family from v_signals))
+          from (select unnest(range(500)) as i) cross join (select distinct family from v_signals))
         select concat('sample_', cast(i as varchar)) as candidate, family, e / sum(e) over (partition by i) as w from d
         union all select 'baseline', family, w from v_evidence""",
     "v_named_scores": """

@@ -43,20 +43,24 @@ final("quarter_end_prices", """
     select t.ticker, quarter_end, close as price from (select distinct ticker from v_prices) t cross join v_quarters
     asof join v_prices p on p.ticker = t.ticker and p.trade_date <= v_quarters.quarter_end""", "price")
 final("asof_statement_prices", """
-    select f.ticker, f.filed, f.period, p.trade_date, p.close from (select ticker, filed, period from v_fundamentals where field = 'total_assets') f
+    select f.ticker, f.field, f.filed, f.period, p.trade_date, p.close from v_fundamentals f
     asof left join v_prices p on p.ticker = f.ticker and p.trade_date <= f.filed""", "close")
 final("asof_fresh_prices", """
-    select f.ticker, f.filed, f.period, case when date_diff('day', p.trade_date, f.filed) <= 10 then p.trade_date end as trade_date,
+    select f.ticker, f.field, f.filed, f.period, case when date_diff('day', p.trade_date, f.filed) <= 10 then p.trade_date end as trade_date,
       case when date_diff('day', p.trade_date, f.filed) <= 10 then p.close end as close
-    from (select ticker, filed, period from v_fundamentals where field = 'total_assets') f
+    from v_fundamentals f
     asof left join v_prices p on p.ticker = f.ticker and p.trade_date <= f.filed""", "close")
 _FWD = [f"{k}_{h}" for k in ("fwd", "excess") for h in HORIZONS]
 final("forward_returns", f"select as_of_quarter, ticker, {', '.join(_FWD)} from v_fwd", *_FWD)
 final("next_quarter_returns", """
     select n.quarter_end, ticker, fwd_1q as fwd_return from v_fwd f join v_pq n on n.q = f.q + 1 where fwd_1q is not null""", "fwd_return")
-_PIT = ["total_assets", "net_income", "shares_outstanding", "book_equity", "long_term_debt", "ebit"]
+_PIT = [
+    "total_assets", "total_liabilities", "current_assets", "current_liabilities", "long_term_debt", "shares_outstanding",
+    "gross_profit", "net_income", "ebit", "revenue", "operating_cashflow", "dividends_paid", "repurchase_of_stock",
+    "retained_earnings", "total_cash", "book_equity",
+]
 _PIT_ALL = _PIT + [f"{f}_prior" for f in _PIT] + ["book_value", "total_debt"]
-final("pit_fundamentals", f"select quarter_end, ticker, {', '.join(_PIT_ALL)} from v_pit where total_assets is not null", *_PIT_ALL)
+final("pit_fundamentals", f"select quarter_end, ticker, {', '.join(_PIT_ALL)} from v_members left join v_pit using (quarter_end, ticker)", *_PIT_ALL)
 
 _BEST = "filed desc, ddate desc, tag desc, adsh desc, amount desc"
 for _name, _first in (("normalize_filings", "instant desc"), ("normalize_filings_quarterly", "instant asc")):
@@ -304,7 +308,7 @@ _ICS = [f"ic_{h}" for h in HORIZONS]
 final("horizon_ics", mean_ics(f"select *, 'composite' as score from ({_COMP_IC}) union all select *, 'bargain_score' as score from ({_BARG_IC})", "score"), *_ICS)
 
 
-def backtest(scores: str, key: str) -> str:
+def backtest(scores: str, key: str, months: int = 36) -> str:
     """Backtest of a table (key, quarter_end, ticker, composite): one row per key and window."""
     return f"""
       with sc as ({scores}),
@@ -319,8 +323,8 @@ def backtest(scores: str, key: str) -> str:
       b as (select "window", month, bench from v_bench join v_windows on month between last_day(w_start)
               and last_day(cast(date_trunc('month', w_end) + interval 3 month as date))),
       roll as (select {key}, "window", product(1 + port) over w - product(1 + bench) over w as excess, count(*) over w as n
-        from p join b using ("window", month) window w as (partition by {key}, "window" order by month rows between 35 preceding and current row)),
-      wins as (select {key}, "window", avg((excess > 0)::integer::double) as rolling_win_rate, median(excess) as median_excess from roll where n = 36 group by all),
+        from p join b using ("window", month) window w as (partition by {key}, "window" order by month rows between {months - 1} preceding and current row)),
+      wins as (select {key}, "window", avg((excess > 0)::integer::double) as rolling_win_rate, median(excess) as median_excess from roll where n = {months} group by all),
       dd as (select {key}, "window", min(x) as max_drawdown, pow(product(1 + port), 12.0::double / count(*)) - 1 as cagr from (
           select *, w / max(w) over (partition by {key}, "window" order by month) - 1 as x from (
             select *, product(1 + port) over (partition by {key}, "window" order by month) as w from p)) group by all),
@@ -417,25 +421,27 @@ def bootstrap(values: str, key: str) -> str:
 final("bootstrap_ci", "select n, mean, ci_low, ci_high from " + bootstrap("select 1 as run, round(port - bench, 9) as v from v_both", "run"), "mean", "ci_low", "ci_high")
 
 _W = ("train", "valid", "test")
-_SM = ("rolling_win_rate", "median_excess", "mean_ic", "cagr", "max_drawdown")
+_SM = ("rolling_win_rate", "median_excess", "mean_ic", "cagr", "benchmark_cagr", "max_drawdown")
+_WEIGHTS = [f"weight_{f}" for f in FAMILIES]
+_WEIGHT_ROWS = "(select candidate, " + ", ".join(f"max(w) filter (family = '{f}') as weight_{f}" for f in FAMILIES) + " from v_search group by 1)"
 final("weight_search", f"""
-    with r as ({backtest("select candidate, quarter_end, ticker, composite from v_search_scores", "candidate")}),
+    with r as ({backtest("select candidate, quarter_end, ticker, composite from v_search_scores", "candidate", 12)}),
     w as (select candidate, {", ".join(f"max({m}) filter ({chr(34)}window{chr(34)} = '{n}') as {n}_{m}" for n in _W for m in _SM)} from r group by 1),
     o as (select *, round(least(valid_median_excess, test_median_excess) - 0.5::double * greatest(0, valid_median_excess - test_median_excess), 9) as robust_score,
         round(least(valid_rolling_win_rate, test_rolling_win_rate), 9) as worst_win_rate, round((valid_mean_ic + test_mean_ic) * 0.5::double, 9) as mean_ic from w),
     k as (select *, row_number() over (order by robust_score desc, worst_win_rate desc, mean_ic desc, candidate) as rank from o)
     select k.*, case when (select (a.robust_score, a.worst_win_rate, a.mean_ic) > (b.robust_score, b.worst_win_rate, b.mean_ic)
-        from k a, k b where a.rank = 1 and b.candidate = 'baseline') then rank = 1 else candidate = 'baseline' end as is_winner from k""",
-    *[f"{n}_{m}" for n in _W for m in _SM], "robust_score", "worst_win_rate", "mean_ic")
+        from k a, k b where a.rank = 1 and b.candidate = 'baseline') then rank = 1 else candidate = 'baseline' end as is_winner, {", ".join(_WEIGHTS)} from k join {_WEIGHT_ROWS} using (candidate)""",
+    *[f"{n}_{m}" for n in _W for m in _SM], "robust_score", "worst_win_rate", "mean_ic", *_WEIGHTS)
 final("cv_search", f"""
-    with e as ({fold_excess('''select candidate, quarter_end, ticker from v_search_scores
+    with e as ({fold_excess('''select candidate, quarter_end, ticker from v_search_scores where candidate = 'baseline' or try_cast(substr(candidate, 8) as integer) < 200
         qualify row_number() over (partition by candidate, quarter_end order by composite desc, ticker) <= 5''', "candidate", "contiguous")}),
     o as (select candidate, round(avg(excess) - stddev_pop(excess), 9) as cv_score, round(min(excess), 9) as worst_fold,
         round(avg((excess > 0)::integer::double), 9) as frac_folds_positive, count(*) as folds from e group by 1),
     k as (select *, row_number() over (order by cv_score desc, worst_fold desc, frac_folds_positive desc, candidate) as rank from o)
     select k.*, case when (select (a.cv_score, a.worst_fold, a.frac_folds_positive) > (b.cv_score, b.worst_fold, b.frac_folds_positive)
-        from k a, k b where a.rank = 1 and b.candidate = 'baseline') then rank = 1 else candidate = 'baseline' end as is_winner from k""",
-    "cv_score", "worst_fold", "frac_folds_positive")
+        from k a, k b where a.rank = 1 and b.candidate = 'baseline') then rank = 1 else candidate = 'baseline' end as is_winner, {", ".join(_WEIGHTS)} from k join {_WEIGHT_ROWS} using (candidate)""",
+    "cv_score", "worst_fold", "frac_folds_positive", *_WEIGHTS)
 final("compare_candidates", f"""
     with sc as (select candidate, quarter_end, ticker, n.composite, bargain_score from v_named_scores n join v_panel using (quarter_end, ticker)),
     e as ({fold_excess('''select candidate, quarter_end, ticker from sc where composite >= 45 and bargain_score >= 40

@@ -7,11 +7,14 @@ the longest common prefixes, are candidates. A pair at similarity 0.85 misses al
 1e-4; at 0.9 below 1e-6. Candidates whose signatures are within five deviations of the threshold are
 confirmed on the full sets.
 
-Regions larger than the neighbour window adapt: the deeper values order their members, and the rest is
-settled by pivots. Every member is compared with a few pivots, nearest neighbours of the last ones first.
-Jaccard distance is a metric: when all members within 0.15 of x's distance from a pivot are in x's component
-already, x can have no further link there and leaves the region. Rounds go on until no region has open
-members, so nothing is capped, and a group of near copies costs a few pivots instead of all pairs.
+Candidates are checked in two steps: each class with its nearest neighbours first, then the other
+neighbours, where both ends are still in different components. A group of near copies so needs few checks.
+
+Regions larger than the neighbour window adapt: the deeper values order their members, and what neighbours
+cannot settle is compared in blocks. Large regions that share members are a family. Members outside the family's
+largest component are the open ones; every open member is compared with every member of the family, in tasks of
+two blocks of ``BLOCK`` members, by one matrix product over the shingles that both blocks have. A task
+returns at most one row for each of its members, so no list of pairs exists anywhere and nothing is capped.
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing; texts below
 five words have one shingle; rows without ``doc_id`` stay alone and are kept; repeated rows share one
@@ -34,10 +37,12 @@ from pitscore.llm.common import slices, staged
 from pitscore.llm.components import components
 
 SHINGLE, TREES, BASE, DEEP = 5, 16, 5, 3
-#: Neighbours taken in sorted order, and pivots of a large region in a round.
-NEIGHBOURS, PIVOTS = 12, 4
-#: Deviations of a signature's estimate, and twice as many for distances compared with each other.
-SLACK, STEP = 0.16, 0.02
+#: Neighbours taken in sorted order, and members of a block of a large family.
+NEIGHBOURS, BLOCK = 12, 1024
+#: Five deviations of a signature's estimate.
+SLACK = 0.16
+#: Bits of the filter that keeps texts without candidates out of the second reading.
+FILTER_BITS = 1 << 23
 _BITS = np.uint64(12)
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (2, TREES * (BASE + DEEP)), dtype=np.uint64) | np.uint64(1)
 
@@ -78,16 +83,25 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        h, lo, hi = _shingle_sets(batch.column("text"))
-        yield pa.record_batch({"cls": batch.column("cls"), "shingles": pa.array([h[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())})
+def _sets_of(wanted: np.ndarray):
+    """Shingle sets of the texts whose id may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.view(np.uint8), bitorder="little")
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column("bit").to_numpy()] > 0))
+            for part in slices(iter([batch])):
+                h, lo, hi = _shingle_sets(part.column("text"))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "shingles": pa.array([h[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())})
+
+    return run
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "est": pa.array((a == b).mean(axis=1) if batch.num_rows else np.zeros(0))})
+        own = {c: batch.column(c) for c in ("a", "b", "na", "nb")}
+        yield pa.record_batch({**own, "est": pa.array((a == b).mean(axis=1) if batch.num_rows else np.zeros(0))})
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +111,47 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             at = np.minimum(y.searchsorted(x), len(y) - 1)
             common.append(int((y[at] == x).sum()))
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "common": pa.array(common, pa.int64())})
+        yield pa.record_batch({**{c: batch.column(c) for c in ("a", "b", "na", "nb")}, "common": pa.array(common, pa.int64())})
+
+
+def _compared(percent: int):
+    """Links between the open members of one block and all members of another, as ``a, b`` of one component."""
+
+    def run(_: tuple, table: pa.Table) -> pa.Table:
+        cls = table.column("cls").combine_chunks()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        open_ = table.column("open").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(open_), np.arange(len(sets))
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(right, size)
+        values, at, seen = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(seen > 1)
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        for i in range(0, len(shared), 4096):
+            part = shared[i : i + 4096]
+            a, b = at.searchsorted([part[0], part[-1] + 1])
+            place = np.minimum(part.searchsorted(at[a:b]), len(part) - 1)
+            hit = part[place] == at[a:b]
+            inside = np.zeros((len(right), len(part)), np.float32)
+            inside[row[a:b][hit], place[hit]] = 1
+            common += inside[left] @ inside.T
+        linked = 100 * common >= percent * (size[left][:, None] + size[None, :] - common)
+        label = right.astype(np.int64)
+        while True:
+            low = np.where(linked, label[None, :], len(label)).min(1, initial=len(label))
+            new = label.copy()
+            np.minimum.at(new, left, low)
+            back = np.where(linked, new[left][:, None], len(label)).min(0, initial=len(label))
+            new = np.minimum(new, back)
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != right)
+        return pa.table({"a": cls.take(pa.array(label[moved])), "b": cls.take(pa.array(moved))})
+
+    return run
 
 
 class _Forest:
@@ -107,97 +161,85 @@ class _Forest:
         self.percent, self.kind = percent, docs.schema["doc_id"].dataType.simpleString()
         of = "n bigint, s1 bigint, s2 bigint, regions array<bigint>, deeps array<bigint>, sig binary"
         texts = docs.filter("doc_id is not null").select("doc_id", "text")
-        self.rows = staged(texts.mapInArrow(_signatures, f"doc_id {self.kind}, {of}"))
-        narrow = self.rows.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cls"))
-        named = self.rows.select("doc_id", "s1", "s2", "n").join(narrow, ["s1", "s2", "n"])
+        rows = staged(texts.mapInArrow(_signatures, f"doc_id {self.kind}, {of}"))
+        narrow = rows.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cls"))
+        named = rows.select("doc_id", "s1", "s2", "n").join(narrow, ["s1", "s2", "n"])
         self.member = staged(named.groupBy("doc_id").agg(F.min(F.struct("cls", "n")).alias("m")).select("doc_id", "m.cls", "m.n"))
         heads = self.member.filter("doc_id = cls").select("doc_id")
-        self.classes = staged(self.rows.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls"))
-        labels = self.classes.select("cls", F.posexplode(F.arrays_zip("regions", "deeps"))).select("cls", F.col("pos").alias("tree"), F.col("col.regions").alias("region"), F.col("col.deeps").alias("deep"))
+        classes = rows.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls")
+        labels = classes.select("cls", F.posexplode(F.arrays_zip("regions", "deeps"))).select("cls", F.col("pos").alias("tree"), F.col("col.regions").alias("region"), F.col("col.deeps").alias("deep"))
         sizes = labels.groupBy("tree", "region").agg(F.count("*").alias("size")).filter("size > 1")
         self.labels = staged(labels.join(sizes, ["tree", "region"]))
         heads = self.labels.select("cls").distinct()
-        copies = self.member.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(heads, "cls", "left_semi")
-        picked = texts.join(copies, "doc_id").select("cls", "text")
-        self.sets = staged(picked.mapInArrow(_sets, f"cls {self.kind}, shingles binary").dropDuplicates(["cls"]))
+        self.classes = staged(classes.join(heads, "cls", "left_semi").select("cls", "n", "sig"))
+        found = self.classes.select(_bit("cls").alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("x"))
+        wanted = np.zeros(FILTER_BITS // 64, np.int64)
+        for r in found.collect():
+            wanted[r.w] = r.x
+        sets = texts.withColumn("bit", _bit("doc_id")).mapInArrow(_sets_of(wanted), f"doc_id {self.kind}, shingles binary").withColumnRenamed("doc_id", "cls")
+        self.sets = staged(sets.join(heads, "cls", "left_semi").dropDuplicates(["cls"]))
 
-    def neighbours(self) -> DataFrame:
-        """Pairs of neighbours in each sorted order; a large region is ordered in chunks."""
+    def neighbours(self, first: int, last: int) -> DataFrame:
+        """Pairs of the ``first``-th to ``last``-th neighbours in each sorted order; a large region is ordered in chunks."""
         chunk = F.when(F.col("size") > NEIGHBOURS + 1, F.pmod(F.xxhash64("cls", "tree"), F.ceil(F.col("size") / 256))).otherwise(0)
         order = W.partitionBy("tree", "region", "chunk").orderBy("deep", "cls")
-        after = F.array(*[F.lead("cls", i).over(order) for i in range(1, NEIGHBOURS + 1)])
-        near = self.labels.withColumn("chunk", chunk).select("cls", after.alias("after"))
-        return _ordered(near.select("cls", F.explode("after").alias("other")))
-
-    def estimate(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, est``: similarity estimated from the signatures."""
-        sig = self.classes.select("cls", "sig")
-        joined = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return joined.mapInArrow(_estimates, f"a {self.kind}, b {self.kind}, est double")
+        after = F.array(*[F.lead("cls", i).over(order) for i in range(first, last + 1)])
+        near = self.labels.withColumn("chunk", chunk).select("cls", after.alias("after")).select("cls", F.explode("after").alias("other"))
+        return near.filter("cls <> other").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
-    def links(self, estimated: DataFrame) -> DataFrame:
-        """Pairs at the threshold, confirmed on the full sets."""
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, na, nb`` of the pairs that may be linked by their sizes and signatures."""
         size = self.classes.select("cls", "n")
-        close = (
-            estimated.filter(F.col("est") >= self.percent / 100 - SLACK)
-            .join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
+        sized = (
+            pairs.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
             .join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
             .filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-            .select("a", "b", "na", "nb")
         )
-        close = staged(close)
+        sig = self.classes.select("cls", "sig")
+        joined = sized.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
+        estimated = joined.mapInArrow(_estimates, f"a {self.kind}, b {self.kind}, na bigint, nb bigint, est double")
+        return staged(estimated.filter(F.col("est") >= self.percent / 100 - SLACK))
+
+    def links(self, close: DataFrame) -> DataFrame:
+        """Pairs at the threshold, confirmed on the full sets."""
         sets = self.sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
-        joined = close.select("a", "b").join(sets, "a").join(self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
-        shared = joined.select("a", "b", "set_a", "set_b").mapInArrow(_shared, f"a {self.kind}, b {self.kind}, common bigint")
-        union = F.col("na") + F.col("nb") - F.col("common")
-        return staged(close.join(shared, ["a", "b"]).filter(100 * F.col("common") >= self.percent * union).select("a", "b", (F.col("common") / union).alias("similarity")))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("cls <> other").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-
-
-def _settle(forest: _Forest, links: DataFrame) -> DataFrame:
-    """Links inside regions beyond the neighbour window, by rounds of pivots."""
-    open_ = staged(forest.labels.filter(F.col("size") > NEIGHBOURS + 1).select("tree", "region", "cls"))
-    component = components(links)
-    tried: DataFrame | None = None
-    near: DataFrame | None = None
-    take, reach = PIVOTS, 1.0 - forest.percent / 100 + SLACK
-    while not open_.isEmpty():
-        first = F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("cls"))
-        salted = open_.groupBy("tree", "region", F.pmod(F.xxhash64("cls"), F.lit(take)).alias("s")).agg(F.min(first).alias("p"))
-        pivots = salted.select("tree", "region", F.col("p.cls").alias("other"))
-        if near is not None:
-            best = near.join(open_, ["tree", "region", "cls"], "left_semi").groupBy("tree", "region").agg(F.max_by("cls", F.struct("est", F.xxhash64("cls"))).alias("other"))
-            pivots = pivots.unionByName(best).distinct()
-        pivots = staged(pivots)
-        members = open_.join(pivots, ["tree", "region"]).filter("cls <> other")
-        pairs = _ordered(members)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        estimated = staged(forest.estimate(pairs))
-        links = staged(links.unionByName(forest.links(estimated)).dropDuplicates(["a", "b"]))
-        component = staged(components(links))
-        tried = staged(estimated if tried is None else tried.unionByName(estimated))
-        both = tried.select(F.col("a").alias("cls"), F.col("b").alias("other"), "est").unionByName(tried.select(F.col("b").alias("cls"), F.col("a").alias("other"), "est"))
-        at = F.floor((1 - F.col("est")) / STEP).cast("int")
-        near = staged(
-            members.join(both, ["cls", "other"])
-            .join(component.select(F.col("node").alias("cls"), "component"), "cls", "left")
-            .select("tree", "region", "other", "cls", "est", at.alias("cell"), F.coalesce("component", "cls").alias("component"))
-        )
-        span = int(np.ceil(reach / STEP)) + 1
-        cells = near.groupBy("tree", "region", "other", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        around = W.partitionBy("tree", "region", "other").orderBy("cell").rangeBetween(-span, span)
-        cells = cells.select("tree", "region", "other", "cell", F.min("lo").over(around).alias("lo"), F.max("hi").over(around).alias("hi"))
-        settled = near.join(cells.filter("lo = hi"), ["tree", "region", "other", "cell"]).select("tree", "region", "cls")
-        gone = settled.unionByName(pivots.select("tree", "region", F.col("other").alias("cls")))
-        left = open_.join(gone.distinct(), ["tree", "region", "cls"], "left_anti")
-        alone = left.groupBy("tree", "region").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-        open_ = staged(left.join(alone, ["tree", "region"], "left_semi"))
-        take *= 2
-    return links
+        joined = close.select("a", "b", "na", "nb").join(sets, "a").join(self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
+        shared = joined.select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(_shared, f"a {self.kind}, b {self.kind}, na bigint, nb bigint, common bigint")
+        return staged(shared.filter(100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
+
+    def apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components of the links."""
+        of = staged(components(links))
+        a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
+        joined = pairs.join(a, "a", "left").join(b, "b", "left")
+        return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+    def in_families(self, links: DataFrame) -> DataFrame:
+        """Links of large regions beyond the neighbour window."""
+        large = self.labels.filter(F.col("size") > NEIGHBOURS + 1).select("tree", "region", "cls")
+        if large.isEmpty():
+            return links
+        least = large.groupBy("tree", "region").agg(F.min("cls").alias("first"))
+        joined = large.join(least, ["tree", "region"]).select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+        family = components(joined).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+        of = components(links).select(F.col("node").alias("cls"), "component")
+        member = staged(family.join(of, "cls", "left").select("family", "cls", F.coalesce("component", "cls").alias("component")))
+        main = member.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"))
+        main = main.filter("most < size").select("family", "main", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("opens"))
+        rows = member.join(main, "family").withColumn("open", F.col("component") != F.col("main")).join(self.sets, "cls")
+        every, some = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.sequence(F.lit(0).cast("long"), F.col("opens") - 1)
+        own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+        mine = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("opens"))
+        # An open member goes to the tasks of its open block with every block, and like all members to its own block's.
+        there = F.when(F.col("open"), F.transform(every, lambda b: F.struct(mine.alias("o"), b.alias("b"), F.lit(True).alias("open")))).otherwise(F.array().cast("array<struct<o:bigint,b:bigint,open:boolean>>"))
+        here = F.transform(F.filter(some, lambda o: ~F.col("open") | (o != mine)), lambda o: F.struct(o.alias("o"), own.alias("b"), F.lit(False).alias("open")))
+        dealt = rows.select("family", "cls", "shingles", F.explode(F.concat(there, here)).alias("t")).select("family", "t.o", "t.b", "t.open", "cls", "shingles")
+        more = dealt.groupBy("family", "o", "b").applyInArrow(_compared(self.percent), f"a {self.kind}, b {self.kind}")
+        return staged(links.unionByName(more))
+
+
+def _bit(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -207,9 +249,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with ``100 * intersection >= percent * union``.
     """
     forest = _Forest(docs, percent)
-    links = forest.links(forest.estimate(forest.neighbours()))
-    links = _settle(forest, links)
-    component = staged(components(links))
+    links = forest.links(forest.close(forest.neighbours(1, 1)))
+    further = forest.close(forest.apart(forest.neighbours(2, NEIGHBOURS), links))
+    links = staged(links.unionByName(forest.links(further)))
+    component = staged(components(forest.in_families(links)))
     found = forest.member.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
         F.col("doc_id"), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("component_id")
     )

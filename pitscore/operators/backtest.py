@@ -183,6 +183,7 @@ def run_backtest(
     months: int = 3,
     delist_return: float = DELIST_RETURN,
     horizons: Sequence[str] = tuple(HORIZONS),
+    rolling_months: int = ROLLING_MONTHS,
 ) -> DataFrame:
     """Quarterly top-quintile backtest, one row per run and window. ``forward=None`` skips the
     rank correlations; ``horizons`` (with ``1q``) narrows them. A correlation that was not computed is NULL."""
@@ -194,7 +195,7 @@ def run_backtest(
     bench = materialize(benchmark_in_windows(benchmark_returns(monthly), windows, months))
     runs = scored.select(*by).distinct() if by else scored.sparkSession.range(1).select()
     out = runs.withColumn("window", F.explode(F.array(*[F.lit(w.name) for w in windows])))
-    excess = rolling_excess(port.join(bench, ["month", "window"]), keys)
+    excess = rolling_excess(port.join(bench, ["month", "window"]), keys, rolling_months)
     out = (
         out.join(win_rate(excess, keys), keys, "left")
         .join(port.groupBy(*keys).agg(cagr("port").alias("cagr")), keys, "left")

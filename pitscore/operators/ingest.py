@@ -265,5 +265,6 @@ def with_known_fundamentals(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def pit_fundamentals(keys: DataFrame, fundamentals: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Fundamentals known at each (ticker, quarter_end) key: ``<field>`` and ``<field>_prior``."""
-    return with_known_fundamentals(keys.join(field_history(fundamentals, fields), "ticker"), fields)
+    """Fundamentals known at each (ticker, quarter_end) key, NULL before the first filing: ``<field>`` and
+    ``<field>_prior``."""
+    return with_known_fundamentals(keys.join(field_history(fundamentals, fields), "ticker", "left"), fields)

@@ -156,6 +156,17 @@ def price_range(prices: DataFrame, name: str) -> DataFrame:
     return prices.join(last, "ticker").filter(F.col("trade_date") >= since).drop("_last")
 
 
+def range_summary(prices: DataFrame) -> DataFrame:
+    """Rows, first date and extremes of every chart range per ticker, in one pass over the rows."""
+    last = prices.groupBy("ticker").agg(F.max("trade_date").alias("_last"))
+    since = {name: F.add_months("_last", -months) for name, months in RANGES.items()} | {"YTD": F.trunc("_last", "year").cast("date")}
+    names = F.array_compact(F.array(*[F.when(F.col("trade_date") >= s, F.lit(n)) for n, s in since.items()], F.lit("All")))
+    rows = prices.join(last, "ticker").select("ticker", "trade_date", "close", F.explode(names).alias("price_range"))
+    return rows.groupBy("ticker", "price_range").agg(
+        F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("first_date"), F.min("close").alias("low"), F.max("close").alias("high")
+    )
+
+
 def pct_below(price: Column, high: Column) -> Column:
     """Share below a high, floored at 0."""
     return F.when((high > 0) & (price > 0), F.greatest(F.lit(0.0), 1.0 - ratio(price, high)))

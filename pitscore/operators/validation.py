@@ -108,6 +108,15 @@ def _ranked(df: DataFrame, order: Sequence[str], digits: int = 9) -> DataFrame:
     return ranked.withColumn("is_winner", winner).drop(*base)
 
 
+def _with_weights(
+    df: DataFrame, candidates: Mapping[str, Mapping[str, float]], names: Sequence[str] = params.HISTORICAL_FAMILIES
+) -> DataFrame:
+    """Add the weights of each candidate, so that a winner can be adopted from the result."""
+    rows = [(c, *[float(w.get(n, 0.0)) for n in names]) for c, w in candidates.items()]
+    schema = "candidate string, " + ", ".join(f"weight_{n} double" for n in names)
+    return df.join(df.sparkSession.createDataFrame(rows, schema), "candidate")
+
+
 def search_weights(
     scored: DataFrame,
     monthly: DataFrame,
@@ -115,19 +124,21 @@ def search_weights(
     delisted: DataFrame,
     candidates: Mapping[str, Mapping[str, float]],
     windows: Sequence[params.Window],
+    rolling_months: int = params.ROLLING_MONTHS,
 ) -> DataFrame:
     """Evaluate weight sets (one named ``baseline``) on all windows and rank them by robustness
-    over validation and test."""
+    over validation and test; ``weight_<family>`` are the candidate's weights. The windows must be
+    longer than ``rolling_months``, or no month has a full trailing window and the objective is 0."""
     base = scored.select("quarter_end", "ticker", *[f"pct_{f}" for f in params.HISTORICAL_FAMILIES])
     held = materialize(backtest.with_holding_returns(base, monthly, delisted))
     expanded = with_candidate_scores(held, candidates).select("candidate", "quarter_end", "ticker", "composite", "held")
     # The objective needs the next quarter's correlation only.
-    runs = backtest.run_backtest(expanded, monthly, forward, delisted, windows, by=["candidate"], horizons=["1q"])
+    runs = backtest.run_backtest(expanded, monthly, forward, delisted, windows, by=["candidate"], horizons=["1q"], rolling_months=rolling_months)
     metrics = ("rolling_win_rate", "median_excess", "mean_ic", "cagr", "benchmark_cagr", "max_drawdown")
     wide = runs.groupBy("candidate").agg(
         *[F.max(F.when(F.col("window") == w.name, F.col(m))).alias(f"{w.name}_{m}") for w in windows for m in metrics]
     )
-    return _ranked(wide.withColumns(robust_columns()), ["robust_score", "worst_win_rate", "mean_ic"])
+    return _with_weights(_ranked(wide.withColumns(robust_columns()), ["robust_score", "worst_win_rate", "mean_ic"]), candidates)
 
 
 def search_weights_cv(
@@ -149,7 +160,7 @@ def search_weights_cv(
         F.avg((F.col("excess") > 0).cast("double")).alias("frac_folds_positive"),
         F.count(F.lit(1)).alias("folds"),
     )
-    return _ranked(stats, ["cv_score", "worst_fold", "frac_folds_positive"])
+    return _with_weights(_ranked(stats, ["cv_score", "worst_fold", "frac_folds_positive"]), candidates)
 
 
 def compare_candidates(

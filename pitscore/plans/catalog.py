@@ -17,6 +17,7 @@ from pitscore.operators import (
 from pitscore.plans.panel import SIGNALS
 from pitscore.plans.pipeline import WEIGHTS, Pipeline
 from pitscore.sources import samples
+from pitscore.sources.schemas import FIELDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,10 +25,13 @@ QUERIES: dict[str, Query] = {}
 # Gate for the given data, whose scores spread less than real ones.
 GATE = params.Thresholds(composite_min=45.0, bargain_min=40.0)
 LIVE_GATE = params.Thresholds(composite_min=45.0, bargain_min=20.0)
-SEARCH = {
-    **params.dirichlet_weights(8, 42, params.HISTORICAL_FAMILIES),
-    "baseline": params.historical_weights(params.EVIDENCE_WEIGHTS),
-}
+def _search(samples: int) -> dict[str, dict[str, float]]:
+    draws = params.dirichlet_weights(samples, 42, params.HISTORICAL_FAMILIES)
+    return {**draws, "baseline": params.historical_weights(params.EVIDENCE_WEIGHTS)}
+
+
+# Trailing months of the search objective: the windows of the given tables are shorter than the production ones.
+SEARCH_MONTHS = 12
 
 
 def _output(c: Column) -> Column:
@@ -71,15 +75,15 @@ def quarter_end_prices(p: Pipeline) -> DataFrame:
 
 @query
 def asof_statement_prices(p: Pipeline) -> DataFrame:
-    """Last close on or before each filing date of the total-assets entries."""
-    left = p.view("fundamentals").filter(F.col("field") == "total_assets").select("ticker", "filed", "period")
+    """Last close on or before the filing date of each entry."""
+    left = p.view("fundamentals").select("ticker", "field", "filed", "period")
     return asof.asof_join(left, p.view("prices"), ["ticker"], "filed", "trade_date", ["close"])
 
 
 @query
 def asof_fresh_prices(p: Pipeline) -> DataFrame:
     """The same with a staleness limit of ten days."""
-    left = p.view("fundamentals").filter(F.col("field") == "total_assets").select("ticker", "filed", "period")
+    left = p.view("fundamentals").select("ticker", "field", "filed", "period")
     return asof.asof_join(left, p.view("prices"), ["ticker"], "filed", "trade_date", ["close"], max_staleness_days=10)
 
 
@@ -95,11 +99,9 @@ def next_quarter_returns(p: Pipeline) -> DataFrame:
 
 @query
 def pit_fundamentals(p: Pipeline) -> DataFrame:
-    fields = ("total_assets", "net_income", "shares_outstanding", "book_equity", "long_term_debt", "ebit")
+    fields = tuple(f for f in FIELDS if not f.startswith("total_debt"))
     out = ingest.pit_fundamentals(p.members.select("quarter_end", "ticker"), p.view("fundamentals"), fields)
-    return out.select(
-        "quarter_end", "ticker", *fields, *[f"{f}_prior" for f in fields], "book_value", "total_debt"
-    ).filter(F.col("total_assets").isNotNull())
+    return out.select("quarter_end", "ticker", *fields, *[f"{f}_prior" for f in fields], "book_value", "total_debt")
 
 
 @query
@@ -225,14 +227,7 @@ def moving_average(p: Pipeline) -> DataFrame:
 @query
 def price_range_slice(p: Pipeline) -> DataFrame:
     """Rows, first date and extremes of every chart range per ticker."""
-    out = None
-    for name in (*prices.RANGES, "YTD", "All"):
-        part = prices.price_range(p.prices, name).groupBy("ticker").agg(
-            F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("first_date"),
-            F.min("close").alias("low"), F.max("close").alias("high"),
-        ).withColumn("price_range", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return prices.range_summary(p.prices)
 
 
 def _statement_rows(p: Pipeline) -> DataFrame:
@@ -742,13 +737,12 @@ def bootstrap_ci(p: Pipeline) -> DataFrame:
 
 @query
 def weight_search(p: Pipeline) -> DataFrame:
-    out = validation.search_weights(p.scored, p.monthly, p.forward, p.delisted, SEARCH, samples.WINDOWS)
-    return out.drop(*[c for c in out.columns if c.endswith("benchmark_cagr")])
+    return validation.search_weights(p.scored, p.monthly, p.forward, p.delisted, _search(500), samples.WINDOWS, SEARCH_MONTHS)
 
 
 @query
 def cv_search(p: Pipeline) -> DataFrame:
-    return validation.search_weights_cv(p.scored, p.grid, p.quarters, p.delisted, SEARCH)
+    return validation.search_weights_cv(p.scored, p.grid, p.quarters, p.delisted, _search(200))
 
 
 @query
