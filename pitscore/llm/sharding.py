@@ -48,25 +48,26 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
         k = k.cast("double")
         return k * (n - c - d + k) / ((c - k + 1) * (d - k + 1))
 
-    def start(first: Column) -> Column:
-        return F.struct(F.lit(1.0).alias("w"), first.alias("sum"), F.lit(-1).cast("long").alias("k"))
+    def state(w: Column, first: Column, goal: Column, k: Column) -> Column:
+        return F.struct(w.alias("w"), first.alias("sum"), goal.alias("goal"), k.alias("k"))
 
-    def walk(goal: Column | None, ratio):
-        def step(s: Column, k: Column) -> Column:
+    def step(ratio):
+        def one(s: Column, k: Column) -> Column:
             after = s["sum"] + s["w"]
-            found = s["k"] if goal is None else F.when((s["k"] < 0) & (after >= goal), k).otherwise(s["k"])
-            return F.struct((s["w"] * ratio(k)).alias("w"), after.alias("sum"), found.alias("k"))
+            return state(s["w"] * ratio(k), after, s["goal"], F.when((s["k"] < 0) & (after >= s["goal"]), k).otherwise(s["k"]))
 
-        return step
+        return one
 
-    def below(s: Column) -> Column:
-        return F.struct(fall(mode).alias("w"), s["sum"].alias("sum"), s["k"].alias("k"))
+    def walk(goal: Column) -> Column:
+        """The sum of all weights and the place where it reaches ``goal``, upwards from the mode, then downwards."""
+        above = F.aggregate(up, state(F.lit(1.0), F.lit(0.0), goal, F.lit(-1).cast("long")), step(rise))
+        turned = F.transform(F.array(above), lambda s: state(fall(mode), s["sum"], s["goal"], s["k"]))[0]
+        return F.aggregate(F.slice(down, 2, F.greatest(F.size(down) - 1, F.lit(0))), turned, step(fall))
 
-    rest = F.filter(down, lambda k: k < mode)
-    mass = F.aggregate(rest, below(F.aggregate(up, start(F.lit(0.0)), walk(None, rise))), walk(None, fall), lambda s: s["sum"])
-    goal = u * mass
-    found = F.aggregate(rest, below(F.aggregate(up, start(F.lit(0.0)), walk(goal, rise))), walk(goal, fall), lambda s: s["k"])
-    return F.when(lowest >= highest, lowest).when(found < 0, mode).otherwise(found)
+    # The goal travels in the state: an expression inside a step would be computed anew at each one.
+    found = walk(u * walk(F.lit(float("inf")))["sum"])["k"]
+    drawn = F.transform(F.array(found), lambda k: F.when(k < 0, mode).otherwise(k))[0]
+    return F.when(lowest >= highest, lowest).otherwise(drawn)
 
 
 def _left_half(sizes: Column, draws: Column, *key: Column) -> Column:
