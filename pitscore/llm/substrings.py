@@ -261,19 +261,15 @@ def _numbered(pairs: DataFrame, keys: list[str], depth: int) -> DataFrame:
 
 def merge(rows: DataFrame) -> DataFrame:
     """``uid, j, best``: for each suffix of a text's symbols with a copy, the bytes of its longest common prefix."""
-    symbols = rows.filter("symbol is not null").select("shard", "symbol", "n")
-    names = staged(_numbered(symbols, ["symbol"], 0))
-    mine = symbols.select(F.col("shard").alias("of"), "symbol").join(names, "symbol")
+    symbols = rows.filter("symbol is not null").select(F.col("shard").alias("of"), "symbol", "n")
+    mine = symbols.select("of", "symbol").join(_numbered(symbols, ["symbol"], 0), "symbol")
     texts = rows.filter("uid is not null").select("shard", "uid", "at", "symbols")
     state = staged(texts.groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_transform, _STATE_SCHEMA))
     depth = 0
-    while True:
+    while not (pairs := state.filter("n is not null")).isEmpty():
         depth += 1
-        pairs = state.filter("n is not null").select(F.col("shard").alias("of"), F.col("bwt_key").alias("a"), F.col("interval_key").alias("b"), "n")
-        names = staged(_numbered(pairs, ["a", "b"], depth))
-        if names.isEmpty():
-            break
-        mine = pairs.select("of", "a", "b").join(names, ["a", "b"])
+        pairs = pairs.select(F.col("shard").alias("of"), F.col("bwt_key").alias("a"), F.col("interval_key").alias("b"), "n")
+        mine = pairs.select("of", "a", "b").join(_numbered(pairs, ["a", "b"], depth), ["a", "b"])
         state = staged(state.filter("uid is not null").select("shard", *_STATE).groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_refine, _STATE_SCHEMA))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
