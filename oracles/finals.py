@@ -374,6 +374,38 @@ final("dca_sensitivity", _SCENARIOS + """
     from (select 'old' as candidate, * from old_result union all select 'new', * from new_result) r cross join v_market_result m
     cross join (select unnest([0.0::double, -0.5::double, -1.0::double]) as delist_return)""",
     "terminal_wealth", "total_return", "cagr", "spy_terminal_wealth", "spy_total_return", "spy_cagr", "vs_spy_wealth_delta")
+
+
+def _lost(name: str, loss: str, held: str) -> str:
+    """Wealth path where a name without a price in 120 days counts at cost less a penalty. A lot ends by the strategy."""
+    return f"""
+      {name}_path as (
+        select s.q, s.quarter_end, coalesce(h.held, 0) + coalesce((select sum(sold) from {held}_sold x where x.loss = {loss}::double and x.q <= s.q), 0) as wealth
+        from v_pq s left join (select q, sum(coalesce(shares * price, cost * (1 + {loss}::double))) as held
+          from (select l.q as q0, s2.q, l.ticker, l.shares, l.cost from {held} l join v_pq s2 on s2.q between l.q and l.until) left join fresh using (ticker, q) group by 1) h using (q))"""
+
+
+_NAMES = {f"{k}{i}": (k, x) for k in ("hold", "swap") for i, x in enumerate(("0.0", "-0.5", "-1.0"))}
+final("dca_delisting", """
+    with fresh as (select t.ticker, v_pq.quarter_end, v_pq.q, close as price from (select distinct ticker from v_prices) t cross join v_pq
+        asof join v_prices p on p.ticker = t.ticker and p.trade_date <= v_pq.quarter_end where date_diff('day', p.trade_date, v_pq.quarter_end) <= 120),
+    last as (select max(q) as q from v_pq),
+    bought as (select ticker, v_pq.q, 20000.0::double / count(*) over (partition by quarter_end) as amount from v_picks join v_pq using (quarter_end)),
+    lots as (select b.ticker, b.q, case when price > 0 then amount / (price * 1.001::double) end as shares, case when price > 0 then amount end as cost
+      from bought b left join fresh using (ticker, q)),
+    spells as (select *, q - row_number() over (partition by ticker order by q) as spell from lots),
+    hold as (select ticker, q, coalesce(lead(q) over w - 1, (select q from last)) as until, sum(shares) over w as shares, sum(cost) over w as cost
+      from lots window w as (partition by ticker order by q)),
+    swap as (select ticker, q, coalesce(lead(q) over w - 1, q) as until, lead(q) over w is null as open, sum(shares) over w as shares, sum(cost) over w as cost
+      from spells window w as (partition by ticker, spell order by q)),
+    hold_sold as (select 0.0::double as loss, 0 as q, 0.0::double as sold where false),
+    swap_sold as (select loss, s.q + 1 as q, coalesce(shares * price, cost * (1 + loss)) * 0.999::double as sold
+      from swap s cross join (select unnest([0.0::double, -0.5::double, -1.0::double]) as loss) left join fresh f on f.ticker = s.ticker and f.q = s.q + 1
+      where open and s.q < (select q from last) and shares is not null),
+    """ + ", ".join(_lost(n, x, k) for n, (k, x) in _NAMES.items()) + " select * from (" + " union all ".join(
+    f"select '{dict(hold='buy_and_hold', swap='rebalance')[k]}' as strategy, {x}::double as delist_return, terminal_wealth, total_return, cagr, max_drawdown from ("
+    + dca_summary(f"{n}_path", "select count(distinct quarter_end) from v_picks") + ")" for n, (k, x) in _NAMES.items()) + ")",
+    "terminal_wealth", "total_return", "cagr", "max_drawdown")
 final("dca_comparison", _SCENARIOS + """,
     pairs as (
       select 'old_vs_spy' as label, true as market, a.*, b.terminal_wealth as bw, b.total_return as br, b.cagr as bc from old_result a, v_market_result b

@@ -64,24 +64,29 @@ def spine_literal(quarters: Sequence[date]) -> Column:
     return F.array(*[F.lit(q) for q in sorted(quarters)])
 
 
-def prices_at_quarters(prices: DataFrame, quarters: Sequence[date]) -> DataFrame:
+def prices_at_quarters(prices: DataFrame, quarters: Sequence[date], max_staleness_days: int | None = None) -> DataFrame:
     """Last close on or before every quarter-end of the spine: ``ticker, quarter_end, q, price``.
 
     ``q`` is the position in the sorted spine. Closes are reduced to one row per (ticker, calendar
-    quarter) before the shuffle; a price is carried forward (without limit) by expanding the
-    positions up to the next observation, so no ticker x quarter grid is joined.
+    quarter) before the shuffle; a price is carried forward (without limit, or up to
+    ``max_staleness_days``) by expanding the positions up to the next observation, so no ticker x
+    quarter grid is joined.
     """
     spine, last = spine_literal(quarters), len(quarters) - 1
     per_quarter = (
         prices.filter(has_number("close"))
         .groupBy("ticker", quarter_end("trade_date").alias("_qe"))
-        .agg(F.max_by("close", "trade_date").alias("price"))
+        .agg(F.max(F.struct("trade_date", F.col("close").alias("price"))).alias("_last"))
+        .select("ticker", "_qe", "_last.trade_date", "_last.price")
         .withColumn("_slot", F.size(F.filter(spine, lambda d: d < F.col("_qe"))))
     )
     following = F.lead("_slot").over(W.partitionBy("ticker").orderBy("_qe"))
-    return (
+    grid = (
         per_quarter.withColumn("_until", F.coalesce(following - 1, F.lit(last)))
         .filter(F.col("_slot") <= F.col("_until"))
-        .select("ticker", "price", F.explode(F.sequence("_slot", "_until")).alias("q"))
-        .select("ticker", F.get(spine, F.col("q")).alias("quarter_end"), "q", "price")
+        .select("ticker", "trade_date", "price", F.explode(F.sequence("_slot", "_until")).alias("q"))
+        .select("ticker", F.get(spine, F.col("q")).alias("quarter_end"), "q", "price", "trade_date")
     )
+    if max_staleness_days is not None:
+        grid = grid.filter(F.datediff("quarter_end", "trade_date") <= max_staleness_days)
+    return grid.drop("trade_date")

@@ -168,10 +168,16 @@ def compare(strategy: DataFrame, benchmark: DataFrame, label: Column, vs_market:
 
 def simulate(
     picks: DataFrame, grid: DataFrame, quarters: Sequence[date], delisted: DataFrame, by: Sequence[str] = (),
-    strategy: str = "buy_and_hold", delist_return: Column | float = DELIST_RETURN,
+    strategy: str = "buy_and_hold", delist_return: Column | float = DELIST_RETURN, scenarios: DataFrame | None = None,
 ) -> DataFrame:
-    """Simulate and summarise all scenarios."""
-    return summarize(wealth_path(picks, grid, quarters, delisted, by, strategy, delist_return), picks, by)
+    """Simulate and summarise all scenarios; one of ``scenarios`` (columns ``by``) without picks has a row of zeros."""
+    found = summarize(wealth_path(picks, grid, quarters, delisted, by, strategy, delist_return), picks, by)
+    if scenarios is None:
+        return found
+    rows = scenarios.select(*by).distinct().join(found, list(by), "left")
+    return rows.withColumns(
+        {"period_start": F.coalesce("period_start", F.lit(quarters[0])), "period_end": F.coalesce("period_end", F.lit(quarters[-1]))}
+    ).fillna(0, [c for c in found.columns if c not in (*by, "period_start", "period_end")])
 
 
 def fold_excess(

@@ -62,6 +62,12 @@ def delisted_catalog(membership: DataFrame, prices: DataFrame, benchmark: str =
     return asked.join(prices.select("ticker").distinct(), "ticker", "left_anti")
 
 
+def ended_catalog(prices: DataFrame, as_of: date, days: int) -> DataFrame:
+    """Tickers whose last close is more than ``days`` before a date."""
+    last = prices.groupBy("ticker").agg(F.max("trade_date").alias("_last"))
+    return last.filter(F.datediff(F.lit(as_of), "_last") > days).select("ticker")
+
+
 def with_benchmark(prices: DataFrame, other: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
     """Append the benchmark's rows from a second source when ``prices`` has none of them."""
     present = prices.filter(F.col("ticker") == benchmark).select("ticker").limit(1)

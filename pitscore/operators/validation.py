@@ -150,7 +150,7 @@ def search_weights_cv(
     k: int = 5,
     n: int = params.DCA_TOP_N,
 ) -> DataFrame:
-    """Rank weight sets by mean less population deviation of their fold excess."""
+    """Rank weight sets by mean less population deviation of their fold excess; sets without any pick come last."""
     base = scored.select("quarter_end", "ticker", *[f"pct_{f}" for f in params.HISTORICAL_FAMILIES])
     picks = screens.top_n(with_candidate_scores(base, candidates), n, ["candidate", "quarter_end"])
     excess = dca.fold_excess(picks, grid, quarter_folds(quarters, k), delisted, ["candidate"])
@@ -160,6 +160,8 @@ def search_weights_cv(
         F.avg((F.col("excess") > 0).cast("double")).alias("frac_folds_positive"),
         F.count(F.lit(1)).alias("folds"),
     )
+    listed = stats.sparkSession.createDataFrame([(c,) for c in candidates], "candidate string")
+    stats = listed.join(stats, "candidate", "left").fillna(0, ["folds"])
     return _with_weights(_ranked(stats, ["cv_score", "worst_fold", "frac_folds_positive"]), candidates)
 
 

@@ -709,6 +709,23 @@ def dca_sensitivity(p: Pipeline) -> DataFrame:
     )
 
 
+#: Days after which a carried price counts as lost; all names of the given tables end before the calendar does.
+LOST_AFTER = 120
+
+
+@query
+def dca_delisting(p: Pipeline) -> DataFrame:
+    """Held names that lose their prices, under three penalties and both strategies."""
+    grid = asof.prices_at_quarters(p.prices, p.quarters, LOST_AFTER)
+    gone = ingest.ended_catalog(p.prices, p.quarters[-1], LOST_AFTER)
+    picks = _picks(p).withColumn("delist_return", F.explode(F.array(F.lit(0.0), F.lit(-0.5), F.lit(-1.0))))
+    runs = [
+        dca.simulate(picks, grid, p.quarters, gone, ["delist_return"], strategy, F.col("delist_return")).withColumn("strategy", F.lit(strategy))
+        for strategy in ("buy_and_hold", "rebalance")
+    ]
+    return runs[0].unionByName(runs[1]).select("strategy", "delist_return", "terminal_wealth", "total_return", "cagr", "max_drawdown")
+
+
 @query
 def dca_comparison(p: Pipeline) -> DataFrame:
     runs = p._stage("dca_runs", lambda: dca.simulate(_scenario_picks(p), p.grid, p.quarters, p.delisted, ["candidate"]))
