@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pitscore import params
 from pitscore.functions.distributed import quantiles
 from pitscore.operators import (
-    analysts, asof, backtest, bargain, candidates, dca, factors, ingest, overlay, prices, returns,
+    analysts, asof, backtest, bargain, candidates, dca, factors, ingest, live, overlay, prices, returns,
     scoring, screens, validation,
 )
 from pitscore.plans.panel import SIGNALS
@@ -411,33 +411,20 @@ def earnings_revisions(p: Pipeline) -> DataFrame:
 # Live universe ------------------------------------------------------------------------------
 
 
-def _live(p: Pipeline) -> DataFrame:
-    """Factors of one date for all quoted names: the universe snapshot."""
-    names = p.view("quotes").select("ticker", F.lit(samples.END).alias("quarter_end"))
-    metrics = prices.price_metrics(names, p.prices)
-    values = ingest.statement_values(p.view("statements"), factors.STATEMENT_NAMES)
-    wide = factors.live_inputs(ingest.without_funds(p.view("quotes")), factors.statement_columns(values), metrics)
-    revisions = analysts.revisions_from_periods(p.view("recs_period"))
-    return factors.with_factors(wide).join(revisions, "ticker", "left")
-
-
 def _snapshot(p: Pipeline) -> DataFrame:
-    return p._stage("snapshot", lambda: _live(p).select(
-        "ticker", "name", "sector", "industry", "price", "market_cap", "fifty_two_week_high", "fifty_two_week_low",
-        "earnings_yield_current", "volatility_12m", "max_drawdown", "downside_deviation", *factors.SIGNALS,
+    return p._stage("snapshot", lambda: live.universe_snapshot(
+        p.view("quotes"), p.view("statements"), p.prices, p.view("recs_period"), samples.END
     ))
 
 
 @query
 def universe_snapshot(p: Pipeline) -> DataFrame:
-    return _live(p).select("ticker", "name", "sector", "industry", "price", "market_cap", "fifty_two_week_high",
+    return _snapshot(p).select("ticker", "name", "sector", "industry", "price", "market_cap", "fifty_two_week_high",
                            "fifty_two_week_low", "earnings_yield_current", *factors.SIGNALS)
 
 
 def _scored_universe(p: Pipeline) -> DataFrame:
-    return p._stage("scored_universe", lambda: scoring.score_cross_section(
-        _snapshot(p).withColumn("as_of", F.lit(samples.END)), ["as_of"], params.factor_weights()
-    ))
+    return p._stage("scored_universe", lambda: live.score_universe(_snapshot(p)))
 
 
 @query
@@ -471,14 +458,9 @@ def overlay_merge(p: Pipeline) -> DataFrame:
 
 def _analysis(p: Pipeline) -> DataFrame:
     """Watchlist names scored over the overlaid universe with bargain and analyst columns."""
-    merged = p._stage("overlaid", lambda: overlay.overlay_live(_snapshot(p), _fresh_rows(p)).withColumn("as_of", F.lit(samples.END)))
-    scored = scoring.score_cross_section(merged, ["as_of"], params.factor_weights())
     history = prices.earnings_yield_history(_statement_rows(p), p.prices)
-    valued = prices.valuation_vs_own_history(
-        scored.withColumn("earnings_yield_current", F.coalesce("earnings_yield_current", "earnings_yield")), history
-    )
     analyst = _consensus(p).select("ticker", "consensus_label", "implied_upside_pct")
-    return bargain.with_bargain(valued).join(analyst, "ticker", "left").fillna("Unknown", ["consensus_label"])
+    return live.analyse(_snapshot(p), _fresh_rows(p), history, analyst)
 
 
 RESULT = ("ticker", "composite", "factor_coverage_pct", "bargain_score", "consensus_label", "implied_upside_pct", "is_good_buy")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitscore import params
-from pitscore.operators import asof, candidates, dca, ingest, overlay, returns, scoring, screens, validation
+from pitscore.operators import asof, candidates, dca, ingest, live, overlay, returns, scoring, screens, validation
 from pitscore.plans.panel import factor_panel
 from pitscore.sources import writers
 
@@ -87,6 +87,14 @@ def dca_validation(
     return dca.simulate(scenarios, grid, quarters, delisted, by, delist_return=F.col("delist_return"))
 
 
+def build_snapshot(
+    quotes: DataFrame, statements: DataFrame, closes: DataFrame, recommendations: DataFrame, as_of: date, path: str
+) -> DataFrame:
+    """Write the universe snapshot of a date, stamped with the time of writing, and read it back."""
+    writers.write_snapshot(live.universe_snapshot(quotes, statements, closes, recommendations, as_of), path)
+    return closes.sparkSession.read.parquet(path)
+
+
 def watchlist_scorecard(
     snapshot: DataFrame, live: DataFrame, watchlist: DataFrame, analysts: DataFrame, config: params.Config = params.Config()
 ) -> DataFrame:

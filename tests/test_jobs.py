@@ -39,3 +39,24 @@ def test_watchlist_scorecard(spark):
     assert [r.is_good_buy for r in out] == [True, False, False]
     assert out[2].composite is None and out[2].factor_coverage_pct == 0.0
     assert out[0].composite + out[1].composite == pytest.approx(100.0)
+
+
+def test_live_chain(spark, tmp_path):
+    """Snapshot job, one name and the whole universe scored through the public functions."""
+    import pitscore as ps
+
+    view = lambda n: samples.view(spark, DATA, n)
+    closes = view("prices").cache()
+    stored = jobs.build_snapshot(view("quotes"), view("statements"), closes, view("recs_period"), samples.END, str(tmp_path / "snapshot"))
+    stored = stored.drop("snapshot_date")
+    assert stored.count() == stored.select("ticker").distinct().count() > 1
+    fresh = stored.select("ticker", "name", "sector", (F.col("price") * 1.1).alias("price"), "market_cap", "momentum_12_1")
+    history = closes.select("ticker", F.col("trade_date").alias("period"), F.lit(0.05).alias("earnings_yield")).limit(0)
+    consensus = stored.select("ticker", F.lit("Buy").alias("consensus_label"), F.lit(1.0).alias("implied_upside_pct"))
+    name = stored.orderBy("ticker").select("ticker").limit(1)
+    one = ps.score_names(name, stored, fresh, history, consensus).collect()
+    assert len(one) == 1
+    universe = ps.universe_scorecard(stored, fresh, history, consensus).collect()
+    assert len(universe) == stored.count()
+    same = [r for r in universe if r.ticker == one[0].ticker]
+    assert same[0].composite == one[0].composite
