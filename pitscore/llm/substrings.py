@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -196,60 +197,66 @@ def _transform(_: tuple, texts: pa.Table, names: pa.Table) -> pa.Table:
     front = np.full(len(order), -1)
     front[place[follow[follow >= 0]]] = place[np.flatnonzero(follow >= 0)]
     first = number[near[live]][order] if len(live) else live
-    state = {
-        "uid": texts.column("uid").to_numpy()[row[live]][order], "j": (live - (np.cumsum(count) - count)[row[live]])[order], "length": length[order],
-        "bwt": np.where(front >= 0, first[np.maximum(front, 0)] if len(live) else front, 0), "front": front, "interval": first,
-        "reach": length[order], "best": length[order],
-    }
-    return _packed(texts.column("shard")[0].as_py() if texts.num_rows else 0, {k: np.asarray(v, np.int64) for k, v in state.items()})
+    return _packed(
+        texts.column("shard")[0].as_py(),
+        {
+            "uid": texts.column("uid").to_numpy()[row[live]][order], "j": (live - (np.cumsum(count) - count)[row[live]])[order], "length": length[order],
+            "bwt": np.where(front >= 0, first[np.maximum(front, 0)], 0) if len(live) else front, "front": front, "interval": first,
+            "reach": length[order], "best": length[order],
+        },
+    )
 
 
-_STATE = ("uid", "j", "length", "bwt", "front", "interval", "reach", "best")
-_STATE_SCHEMA = "shard bigint, " + ", ".join(f"{k} binary" for k in _STATE) + ", bwt_key bigint, interval_key bigint, n bigint"
+_STATE = {"uid": np.int64, "j": np.int32, "length": np.int32, "bwt": np.int64, "front": np.int32, "interval": np.int64, "reach": np.int32, "best": np.int32}
+_DONE = {"done_uid": np.int64, "done_j": np.int32, "done_best": np.int32}
+_STATE_SCHEMA = "shard bigint, " + ", ".join(f"{k} binary" for k in (*_STATE, *_DONE)) + ", bwt_key bigint, interval_key bigint, n bigint"
 
 
 def _packed(shard: int, s: dict[str, np.ndarray]) -> pa.Table:
-    """The shard's state as one row, and its distinct open pairs of symbol in front and interval."""
-    open_ = (s["front"] >= 0) & (s["interval"] > 0)
-    front = s["front"][open_]
-    open_[open_] = s["reach"][front] < ENOUGH
-    open_[open_] = s["interval"][s["front"][open_]] > 0
-    pairs, n = np.unique(np.stack([s["bwt"][open_], s["interval"][open_]], axis=1), axis=0, return_counts=True) if open_.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    """The shard's state as one row, its finished suffixes beside it, and its distinct open pairs.
+
+    A suffix grows while its interval has copies, its common prefix is short and the suffix behind it has
+    copies too. The state keeps growing suffixes and those behind them; all others are finished.
+    """
+    behind = np.full(len(s["front"]), -1)
+    q = np.flatnonzero(s["front"] >= 0)
+    behind[s["front"][q]] = q
+    grows = (s["interval"] > 0) & (s["reach"] < ENOUGH) & (behind >= 0)
+    grows[grows] = s["interval"][behind[grows]] > 0
+    back = behind[grows]
+    keep = grows.copy()
+    keep[back] = True
+    pairs, n = np.unique(np.stack([s["bwt"][back], s["interval"][back]], axis=1), axis=0, return_counts=True) if len(back) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    place = np.append(np.cumsum(keep) - 1, -1)
+    front = np.where((s["front"] >= 0) & np.append(grows, False)[s["front"]], place[s["front"]], -1) if len(keep) else s["front"]
+    done = {f"done_{k}": s[k][~keep] for k in ("uid", "j", "best")}
+    state = {k: v[keep] for k, v in {**s, "front": front}.items()}
     empty = pa.nulls(len(n), pa.binary())
-    kinds = [pa.array([shard] * (len(n) + 1), pa.int64())]
-    kinds += [pa.concat_arrays([pa.array([s[k].tobytes()], pa.binary()), empty]) for k in _STATE]
-    kinds += [pa.array([None, *x.tolist()], pa.int64()) for x in (pairs[:, 0], pairs[:, 1], n)]
-    return pa.table(kinds, names=["shard", *_STATE, "bwt_key", "interval_key", "n"])
+    columns = [pa.array([shard] * (len(n) + 1), pa.int64())]
+    columns += [pa.concat_arrays([pa.array([state[k].astype(t).tobytes()], pa.binary()), empty]) for k, t in _STATE.items()]
+    columns += [pa.concat_arrays([pa.array([done[k].astype(t).tobytes()], pa.binary()), empty]) for k, t in _DONE.items()]
+    columns += [pa.array([None, *x.tolist()], pa.int64()) for x in (pairs[:, 0], pairs[:, 1], n)]
+    return pa.table(columns, names=["shard", *_STATE, *_DONE, "bwt_key", "interval_key", "n"])
 
 
 def _refine(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """One round: every suffix in front of an open one moves to its interval of the merged transform, or ends."""
-    state = left.slice(0, 1).to_pylist()[0]
-    s = {k: np.frombuffer(state[k], np.int64).copy() for k in _STATE}
+    """One round: every growing suffix moves to its interval of the merged transform, or has no copy any more."""
+    row = left.slice(0, 1).to_pylist()[0]
+    s = {k: np.frombuffer(row[k], t).astype(np.int64) for k, t in _STATE.items()}
     a, b, number = (right.column(c).to_numpy() for c in ("a", "b", "id"))
-    order = np.lexsort((b, a))
-    a, b, number = a[order], b[order], number[order]
-    interval, reach, best = s["interval"].copy(), s["reach"].copy(), s["best"].copy()
-    # Suffixes with no live suffix behind them cannot grow; those with enough common bytes stay as they are.
-    behind = np.full(len(interval), -1)
-    q = np.flatnonzero(s["front"] >= 0)
-    behind[s["front"][q]] = q
-    grow = (interval > 0) & (reach < ENOUGH)
-    interval[grow] = 0
-    can = np.flatnonzero(grow & (behind >= 0))
-    can = can[s["interval"][behind[can]] > 0]
-    if len(can) and len(a):
-        x, y = s["bwt"][behind[can]], s["interval"][behind[can]]
-        keys, at = np.unique(np.concatenate((np.stack([a, b], 1), np.stack([x, y], 1))), axis=0, return_inverse=True)
-        name = np.zeros(len(keys), np.int64)
-        name[at.ravel()[: len(a)]] = number
-        got = name[at.ravel()[len(a) :]]
-        hit = can[got > 0]
-        interval[hit] = got[got > 0]
-        reach[hit] = s["length"][hit] + s["reach"][behind[hit]]
-        best[hit] = np.maximum(best[hit], reach[hit])
-    s |= {"interval": interval, "reach": reach, "best": best}
-    return _packed(state["shard"], s)
+    back = np.flatnonzero(s["front"] >= 0)
+    grown = s["front"][back]
+    keys, at = np.unique(np.stack([np.concatenate((a, s["bwt"][back])), np.concatenate((b, s["interval"][back]))], 1), axis=0, return_inverse=True)
+    name = np.zeros(len(keys), np.int64)
+    name[at.ravel()[: len(a)]] = number
+    got = name[at.ravel()[len(a) :]]
+    interval, reach = s["interval"].copy(), s["reach"].copy()
+    # Only growing suffixes reach this depth; those that are long enough keep their interval for the ones in front.
+    interval[s["reach"] < ENOUGH] = 0
+    interval[grown] = got
+    reach[grown] = s["length"][grown] + s["reach"][back]
+    best = np.where(interval > 0, np.maximum(s["best"], reach), s["best"])
+    return _packed(row["shard"], s | {"interval": interval, "reach": reach, "best": best})
 
 
 def _numbered(pairs: DataFrame, keys: list[str], depth: int) -> DataFrame:
@@ -265,24 +272,28 @@ def merge(rows: DataFrame) -> DataFrame:
     mine = symbols.select("of", "symbol").join(_numbered(symbols, ["symbol"], 0), "symbol")
     texts = rows.filter("uid is not null").select("shard", "uid", "at", "symbols")
     state = staged(texts.groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_transform, _STATE_SCHEMA))
-    depth = 0
+    rounds = [state]
     while not (pairs := state.filter("n is not null")).isEmpty():
-        depth += 1
         pairs = pairs.select(F.col("shard").alias("of"), F.col("bwt_key").alias("a"), F.col("interval_key").alias("b"), "n")
-        mine = pairs.select("of", "a", "b").join(_numbered(pairs, ["a", "b"], depth), ["a", "b"])
-        state = staged(state.filter("uid is not null").select("shard", *_STATE).groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_refine, _STATE_SCHEMA))
+        mine = pairs.select("of", "a", "b").join(_numbered(pairs, ["a", "b"], len(rounds)), ["a", "b"])
+        open_ = state.filter("uid is not null and octet_length(uid) > 0").select("shard", *_STATE)
+        state = staged(open_.groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_refine, _STATE_SCHEMA))
+        rounds.append(state)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                uid, j, best = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("uid", "j", "best"))
+                uid, j, best = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in _DONE.items())
                 order = np.lexsort((j, uid))
-                uid, j, best = uid[order], j[order].astype(np.int32), best[order].astype(np.int32)
-                u, first = np.unique(uid, return_index=True)
+                u, first = np.unique(uid[order], return_index=True)
                 bounds = np.append(first, len(uid))
-                yield pa.record_batch({"uid": pa.array(u), "js": _arrays(j, bounds), "bests": _arrays(best, bounds)})
+                yield pa.record_batch({"uid": pa.array(u), "js": _arrays(j[order], bounds), "bests": _arrays(best[order], bounds)})
 
-    return state.filter("uid is not null").select("uid", "j", "best").mapInArrow(rows_of, "uid bigint, js binary, bests binary")
+    done = reduce(DataFrame.unionByName, [r.filter("done_uid is not null and octet_length(done_uid) > 0").select(*_DONE) for r in rounds])
+    parts = done.mapInArrow(rows_of, "uid bigint, js binary, bests binary")
+    listed = parts.groupBy("uid").agg(F.collect_list(F.struct("js", "bests")).alias("l"))
+    whole = lambda c: F.aggregate("l", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x[c])).alias(c)
+    return listed.select("uid", whole("js"), whole("bests"))
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
