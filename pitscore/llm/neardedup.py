@@ -189,14 +189,8 @@ class _Forest:
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """``a, b, na, nb`` of the pairs that may be linked by their sizes and signatures."""
-        size = self.classes.select("cls", "n")
-        sized = (
-            pairs.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-            .join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-            .filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        )
-        sig = self.classes.select("cls", "sig")
-        joined = sized.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
+        a, b = (self.classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
+        joined = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         estimated = joined.mapInArrow(_estimates, f"a {self.kind}, b {self.kind}, na bigint, nb bigint, est double")
         return staged(estimated.filter(F.col("est") >= self.percent / 100 - SLACK))
 
