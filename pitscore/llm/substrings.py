@@ -324,6 +324,9 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The common phrases must reach the last anchor that equal windows surely share.
         sure = np.searchsorted(base[row] + at, base[row] + low + LENGTH - (SPAN + GRAM - 1), "right") - 1
         sure = np.maximum(sure, np.arange(len(at)))
+        # Anchors without a symbol are not in the transform, so a chain ends at the first of them; a text's last anchor is one.
+        ends = np.flatnonzero(symbols == 0)
+        sure = np.minimum(sure, ends[ends.searchsorted(np.arange(len(at)))])
         copied = (symbols == 0) & (keys > 0) | (best > 0) & (at + best >= at[sure])
         keep = np.flatnonzero((high >= low) & (keys > 0) & (copied | (best > 0)))
         edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))

@@ -45,3 +45,18 @@ def test_all_windows(spark, monkeypatch):
     assert line
     for (i, _), e in zip(rows, _expected([(t or "").encode() for t in texts])):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == e
+
+
+def test_runs_inside_windows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 20_000)
+    rng = random.Random(12)
+    texts = []
+    for k, run in enumerate(("q", " ", "-", "x, ", "=-", "| --- ", "0123456789abcdefghijklmnopqrs")):
+        for size, total in ((100, 400), (60, 450), (200, 600), (150, 900), (300, 900)):
+            head, tail = (prose(rng, 12)[-size:], prose(rng, 12)[: size // 2 if k % 2 else 0])
+            passage = head + (run * 900)[: total - len(head) - len(tail)] + tail
+            texts += [prose(rng, 6) + "#" + passage + "%" + prose(rng, 5), prose(rng, 5) + "@" + passage + "!" + prose(rng, 6)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in substrings.remove_repeats(documents(spark, rows).repartition(3)).collect()}
+    for (i, _), e in zip(rows, _expected([t.encode() for t in texts])):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == e
