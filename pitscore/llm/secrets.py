@@ -45,8 +45,12 @@ BASE_RULES = (
     # Runs are maximal, so a run below the least length may as well not match at all.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+# Up to the END line if that has the next five dashes; else headers, base64 lines and a short last line, also
+# commented, quoted or with line ends written as \\n. Groups repeat possessively, which Java does without recursion.
+_GAP = r"""(?:\\[rn]|[\s"'+,;>#*|/\\])"""
+_KEY = rf"""(?:{_GAP}*+[A-Z][A-Za-z-]{{1,30}}:\x20[^\r\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+(?![A-Za-z0-9+/=_.:-]))++(?:{_GAP}*+[A-Za-z0-9+/=]++(?=[\x20\t"',;+]*+(?:[\r\n\\]|\z))){{0,2}}+"""
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----(?:(?>[\s\S]*?(?=-----))-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----|{_KEY})?+", version=2),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("url_password", r"://[^\x20\x09-\x0D:/@]{1,256}:[^\x20\x09-\x0D/@]{1,256}@"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -56,3 +58,22 @@ def test_ledger_is_incremental(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([("ab SECRET cd", [(3, 9), (5, 9)]), ("none", [])], "text string, f array<struct<start:bigint,end:bigint>>")
     assert [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("f"))).collect()] == ["ab [SECRET] cd", "none"]
+
+
+def test_whole_keys_are_redacted(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(25)] + ["x9Qz+w=="]
+    body, texts = "\n".join(lines), []
+    for kind in ("PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" if "RSA" in kind else "Version: GnuPG v2\n\n" if "PGP" in kind else ""
+        begin, end = f"-----BEGIN {kind}-----", f"-----END {kind}-----"
+        texts += [f"é before\n{begin}\n{head}{body}\n{end}\nafter it.", f"é before\n{begin}\n{head}{body}\n\nafter it, all stays.", f"é before\n{begin}\r\n{head}" + "\r\n".join(lines)]
+        texts += [f'k = "{begin}' + "\\n" + "\\n".join(lines) + "\\n" + f'{end}"', f'k = "{begin}' + "\\n" + "\\n".join(lines) + '"', "\n".join(f"# {x}" for x in (begin, *lines, end))]
+        texts += [f"{begin}\n{head}{body}\n" * 2]
+    texts += ["See -----BEGIN PRIVATE KEY----- lines, they stay.", "-----BEGIN PRIVATE KEY-----\n" + (lines[0] + "\n") * 40_000]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.t for r in secrets.scan(docs).select("doc_id", secrets.redact(F.col("text"), F.col("findings")).alias("t")).collect()}
+    for i in range(len(texts) - 2):
+        assert "KEY" not in got[i] and not any(x in got[i] for x in lines), texts[i]
+    assert (got[0], got[1]) == ("é before\n[SECRET]\nafter it.", "é before\n[SECRET]\n\nafter it, all stays.")
+    assert got[len(texts) - 2] == "See [SECRET] lines, they stay." and lines[0] not in got[len(texts) - 1]
