@@ -63,6 +63,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             {
                 "toxic": batch.column("toxic"),
+                "weight": batch.column("weight"),
                 "words": pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
                 "sentences": pa.array([sentence[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
             }
@@ -70,9 +71,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
-    """A bounded sample (``doc_id, text, toxic``) of the labelled rows outside the held-out fold, both labels alike."""
+    """A bounded sample (``doc_id, text, toxic, weight``) of the labelled rows outside the held-out fold, both labels alike.
+
+    A sampled row stands for ``weight`` labelled rows of its label, so the sample keeps the labels' natural shares.
+    """
     spark, known = docs.sparkSession, labels.filter(~held_out(fold) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    rows = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id", F.lit(8))
     ids = [tuple(r) for t in (0, 1) for r in known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE_DOCS).collect()]
     kind = f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int"
@@ -81,11 +86,12 @@ def sample(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
     sizes = sorted(found.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)), F.xxhash64("doc_id", F.lit(9))).collect(), key=lambda r: (r[3], r[0]))
     total, kept = 0, []
     for doc_id, toxic, n, _ in sizes:
-        total += n
-        if total > SAMPLE_CHARS:
-            break
-        kept.append((doc_id, toxic))
-    return docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(kept, kind)), "doc_id").dropDuplicates(["doc_id"])
+        if total + n <= SAMPLE_CHARS:
+            total += n
+            kept.append((doc_id, toxic))
+    have = {t: sum(toxic == t for _, toxic in kept) for t in (0, 1)}
+    weighted = spark.createDataFrame([(i, t, rows[t] / have[t]) for i, t in kept], f"{kind}, weight double")
+    return docs.select("doc_id", "text").join(F.broadcast(weighted), "doc_id").dropDuplicates(["doc_id"])
 
 
 def _associated(pairs: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
@@ -101,7 +107,7 @@ def _associated(pairs: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 300) -> Model:
     """Train on a sample of at most ``2 * SAMPLE_DOCS`` labelled documents and ``SAMPLE_CHARS`` code points."""
-    rows = sample(docs, labels, fold).select("toxic", "text").mapInArrow(_bags, "toxic int, words binary, sentences binary").collect()
+    rows = sample(docs, labels, fold).select("toxic", "weight", "text").mapInArrow(_bags, "toxic int, weight double, words binary, sentences binary").collect()
     y = np.array([r.toxic for r in rows], float)
     if len(set(y)) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
@@ -120,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 300) ->
     bag[sentence] = doc
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     theta[k] = -4.0
-    share = 1 / len(y)
+    share = np.array([r.weight for r in rows])
+    share /= share.sum()
     for t in range(1, steps + 1):
         z = theta[k] + np.bincount(of, theta[at], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))

@@ -39,3 +39,23 @@ def test_held_out(spark):
     again = toxicity.score(docs, toxicity.fit(docs, flipped)).collect()
     assert {r.doc_id: r.score for r in again} == {i: r.score for i, r in scores.items()}
     assert {r.doc_id for r in toxicity.filter_documents(docs, toxicity.fit(docs, known)).collect()} == {i for i, r in scores.items() if r.score < 0.5}
+
+
+def test_cap_keeps_decisions(spark, monkeypatch):
+    rng = random.Random(2)
+    # A word of all toxic documents that most documents with it have although they are clean.
+    rows = [(i, prose(rng, 3) + (" So mild." if i % 10 == 0 or i % 3 == 0 else "")) for i in range(600)]
+    docs, known = documents(spark, rows), spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    whole = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 60)
+    assert whole == {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
+
+
+def test_long_document_does_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1000)
+    docs = documents(spark, [(i, "x " * (5000 if i % 2 else 10)) for i in range(40)])
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id bigint, toxic int")
+    short = [i for i in range(0, 40, 2) if zlib.crc32(str(i).encode()) % 5 != 0]
+    got = toxicity.sample(docs, known, 0).collect()
+    assert sorted(r.doc_id for r in got) == short
+    assert abs(sum(r.weight for r in got) - sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))) < 1e-9
