@@ -1,14 +1,15 @@
 """License scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences (at line ends, and after ``.``, ``!`` or ``?`` before white space); a sentence is
-normalised to lower-case words of ASCII letters and digits. Known licence sentences have identifiers. The
+normalised to lower-case words of ASCII letters and digits. Known licence sentences have identifiers; one may
+wrap over lines, with comment marks at their starts, but not over blank lines or full stops. The
 identifiers of a text, in order, are matched against the licence rules: a rule is a sequence of
 identifiers that must occur in this order; unknown sentences may lie between.
 
 All of it is one projection: no shuffle, and a text is never split over rows.
 
-Defined results: null and empty texts have no sentence and no licence; a sentence that wraps over lines is
-not recognised; repeated rows are scanned each; input columns named like the results are replaced; an
+Defined results: null and empty texts have no sentence and no licence; every line of a wrapped sentence counts
+in ``n_sentences``; repeated rows are scanned each; input columns named like the results are replaced; an
 empty table gives an empty result.
 """
 
@@ -64,6 +65,16 @@ SENTENCES = {
     "unlicense-domain": "This is free and unencumbered software released into the public domain.",
     "unlicense-use": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+# Other published forms -> the sentences they stand for.
+_APACHE_USE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+_APACHE_COPY = "You may obtain a copy of the License at {}://www.apache.org/licenses/LICENSE-2.0"
+FORMS = {
+    _APACHE_USE: ("apache-use",),
+    **{_APACHE_COPY.format(scheme): ("apache-copy",) for scheme in ("http", "https")},
+    **{f"{_APACHE_COPY.format(scheme)} {SENTENCES['apache-warranty']}": ("apache-copy", "apache-warranty") for scheme in ("http", "https")},
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.": ("mpl-copy",),
+    SENTENCES["isc-grant"].replace("and/or", "and"): ("isc-grant",),
+}
 # Rules of several sentences, in order -> (SPDX identifier, family).
 SEQUENCES = {
     ("mit-grant", "mit-notice", "mit-warranty"): ("MIT", "permissive"),
@@ -99,22 +110,32 @@ def rules() -> list[tuple[tuple[str, ...], str, str]]:
     return [(s, *v) for s, v in SEQUENCES.items()] + [((f"notice-{spdx}",), spdx, family) for spdx, family in NAMES.values()]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; none is empty."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cut = F.regexp_replace(lower, r"[.!?]+([ \t-\r]|$)", "\n")
-    plain = F.regexp_replace(cut, r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+def _forms() -> dict[str, str]:
+    """Normalised sentence, in its known and other forms -> identifiers, with commas between."""
+    return {normalized(text): ",".join(names) for text, names in FORMS.items()} | _known()
+
+
+def _lines(text: Column) -> Column:
+    """Normalised lines of a text with ``|`` around it and where a full stop or blank line ends a sentence."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz ")
+    cut = F.regexp_replace(lower, r"[.!?]+([ \t\x0B-\r]|(\n)|$)", "|$2")
+    plain = F.regexp_replace(cut, r"[^a-z0-9\n|]+", " ")
+    ends = F.regexp_replace(plain, r"[ \n]*+\|[ \n|]*+|(?: *+\n){2,}+ *+", "|")
+    return F.concat(F.lit("|"), F.regexp_replace(ends, r" *+\n *+", "\n"), F.lit("|"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_sentences``, ``identifiers`` (known sentences in order), ``licenses`` and ``families``."""
-    known, results = _known(), ("n_sentences", "identifiers", "licenses", "families")
+    known, results = _forms(), ("n_sentences", "identifiers", "licenses", "families")
     names = [f"`{c}`" for c in docs.columns if c not in (*results, "_s")]
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    found = docs.withColumn("_s", sentences(F.col("text")))
-    hits = F.transform(F.filter("_s", lambda s: s.isin(list(known))), lambda s: F.element_at(table, s))
-    found = found.select(*names, F.size("_s").cast("long").alias("n_sentences"), hits.alias("identifiers"))
+    # A blank of a known sentence may be a line end; the longest of those that start at a place counts.
+    any_known = "|".join(k.replace(" ", r"[ \n]") for k in sorted(known, key=lambda k: (-len(k), k)))
+    found = docs.withColumn("_s", _lines(F.col("text")))
+    hits = F.regexp_extract_all("_s", F.lit(rf"(?<=[\n|])(?:{any_known})(?=[\n|])"), F.lit(0))
+    hits = F.flatten(F.transform(hits, lambda s: F.split(F.element_at(table, F.translate(s, "\n", " ")), ",")))
+    count = F.size(F.filter(F.split("_s", r"[\n|]"), lambda s: F.trim(s) != "")).cast("long")
+    found = found.select(*names, count.alias("n_sentences"), hits.alias("identifiers"))
     line = F.concat(F.lit("|"), F.array_join("identifiers", "||"), F.lit("|"))
     matched: dict[str, Column] = {}
     family: dict[str, str] = {}
