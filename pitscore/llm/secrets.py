@@ -57,6 +57,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
+#: In the ledger a finding carries the key of its rule, so those of other versions are told apart.
+_LEDGER = "array<struct<rule:string,kind:string,start:bigint,end:bigint>>"
 _NONE = f"cast(array() as {FINDINGS})"
 
 
@@ -97,7 +99,7 @@ def findings(text: Column, rules: tuple[Rule, ...], pending: Column | None = Non
 def new_ledger(spark) -> str:
     """Folder for a ledger of this application, in the shared folder."""
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}"
-    spark.createDataFrame([], f"blob string, rules array<string>, findings {FINDINGS}").write.parquet(path)
+    spark.createDataFrame([], f"blob string, rules array<string>, findings {_LEDGER}").write.parquet(path)
     common._WRITTEN.append(path)
     return path
 
@@ -115,10 +117,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | None =
     heads = rows.groupBy("blob").agg(F.min("doc_id").alias("head")).join(known, "blob", "left").select("blob", "head", pending.alias("pending")).filter(F.size("pending") > 0)
     heads = heads.select(F.col("blob").alias("_blob"), "head", "pending")
     texts = rows.select("doc_id", "text", "blob").join(heads.hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    fresh = texts.select("blob", F.col("pending").alias("rules"), findings(text, rules, F.col("pending")).alias("findings"))
+    key_of = F.map_from_arrays(F.array(*[F.lit(r.name) for r in rules]), keys)
+    keyed = F.transform(findings(text, rules, F.col("pending")), lambda x: F.struct(F.element_at(key_of, x["kind"]).alias("rule"), x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    fresh = texts.select("blob", F.col("pending").alias("rules"), keyed.alias("findings"))
     fresh.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
-    current = spark.read.parquet(ledger).select("blob", F.explode("findings").alias("f")).filter(F.col("f.kind").isin([r.name for r in rules]))
-    found = current.groupBy("blob").agg(F.collect_set("f").alias("found"))
+    current = spark.read.parquet(ledger).select("blob", F.explode("findings").alias("f")).filter(F.col("f.rule").isin([r.key for r in rules]))
+    found = current.groupBy("blob").agg(F.collect_set(F.struct("f.kind", "f.start", "f.end")).alias("found"))
     order = F.map_from_arrays(F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(i) for i in range(len(rules))]))
     listed = F.transform(
         F.array_sort(F.transform("found", lambda x: F.struct(x["start"], F.element_at(order, x["kind"]), x["end"], x["kind"].alias("kind"), x.alias("f")))), lambda x: x["f"]

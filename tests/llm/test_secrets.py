@@ -77,3 +77,10 @@ def test_whole_keys_are_redacted(spark):
         assert "KEY" not in got[i] and not any(x in got[i] for x in lines), texts[i]
     assert (got[0], got[1]) == ("é before\n[SECRET]\nafter it.", "é before\n[SECRET]\n\nafter it, all stays.")
     assert got[len(texts) - 2] == "See [SECRET] lines, they stay." and lines[0] not in got[len(texts) - 1]
+
+
+def test_findings_of_old_versions_are_left(spark):
+    path, docs = secrets.new_ledger(spark), documents(spark, [(1, "ab abb abbb")])
+    spans = lambda rule: [(f.start, f.end) for f in secrets.scan(docs, (rule,), path).first().findings]
+    assert spans(secrets.Rule("x", "ab+")) == [(0, 2), (3, 6), (7, 11)]
+    assert spans(secrets.Rule("x", "abbb+", version=2)) == [(7, 11)]
