@@ -10,8 +10,8 @@ confirmed on the full sets.
 Candidates are checked in two steps: each class with its nearest neighbours first, then the other
 neighbours, where both ends are still in different components. A group of near copies so needs few checks.
 
-Regions larger than the neighbour window adapt: the deeper values order their members, and what neighbours
-cannot settle is compared in blocks. Large regions that share members are a family. Members outside the family's
+The depth is fixed; it does not adapt to a region. In regions larger than the neighbour window, members are
+dealt into random chunks, and what neighbours there cannot settle is compared in blocks. Large regions that share members are a family. Members outside the family's
 largest component are the open ones; every open member is compared with every member of the family, in tasks of
 two blocks of ``BLOCK`` members, by one matrix product over the shingles that both blocks have. A task
 returns at most one row for each of its members, so no list of pairs exists anywhere and nothing is capped.
