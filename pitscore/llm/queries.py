@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscore.llm import decontamination, fingerprints, licenses, lmscore, neardedup, packing, secrets, sharding, substrings, toxicity
+from pitscore.llm import decontamination, fingerprints, infill, licenses, lmscore, neardedup, packing, phrases, replies, secrets, sharding, substrings, toxicity
 from pitscore.llm.common import table
 
 
@@ -80,5 +80,34 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.match(docs, fingerprints.lexicon(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_decontamination, op4_licenses, op5_secrets, op6_lm_scores, op7_sharding, op8_toxicity, op9_substrings, op10_fingerprints)}
-ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle()}
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    messages = replies.message_trees(rows.select(*own.columns).unionByName(own))
+    back = replies.read_back(replies.format_trees(messages))
+    return back.select(
+        F.col("tree").alias("conv_id"), "n_turns", F.sha2("content", 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+_ALL = (
+    op1_near_duplicates, op2_packing, op3_decontamination, op4_licenses, op5_secrets, op6_lm_scores, op7_sharding, op8_toxicity,
+    op9_substrings, op10_fingerprints, op11_chat, op12_phrases, op13_infill,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle(), "op11_chat": replies.oracle(), "op12_phrases": phrases.oracle(), "op13_infill": infill.oracle()}
