@@ -18,21 +18,20 @@ DEPTH = 5
 
 def _dense(key: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of values among the distinct ones, and how many of these there are."""
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(key), np.int64)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank, int(new.sum())
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.zeros(len(key), np.int32)
+    new[1:] = key[1:] != key[:-1]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank, int(new.sum()) + 1
 
 
 def transform(ids: np.ndarray, n_ids: int) -> np.ndarray:
     """Burrows-Wheeler transform of a cyclic text of ids below ``n_ids``, ordered by ``DEPTH`` ids."""
-    one = ids.astype(np.int64)
-    two, _ = _dense(one * n_ids + np.roll(one, -1))
-    n_two = int(two.max(initial=-1)) + 1
-    four, _ = _dense(two * n_two + np.roll(two, -2))
-    order = np.argsort(four * n_ids + np.roll(one, 1 - DEPTH), kind="stable")
+    two, n_two = _dense(ids.astype(np.int64) * n_ids + np.roll(ids, -1))
+    four, _ = _dense(two.astype(np.int64) * n_two + np.roll(two, -2))
+    order = np.argsort(four.astype(np.int64) * n_ids + np.roll(ids, 1 - DEPTH), kind="stable")
     return ids[order - 1]
 
 
@@ -52,9 +51,8 @@ class Direction:
 
     def __init__(self, bwt: np.ndarray, n_ids: int):
         self.bwt, self.n_ids = bwt, n_ids
-        order = np.argsort(bwt, kind="stable")
-        self.lf = np.empty(len(bwt), np.int64)
-        self.lf[order] = np.arange(len(bwt))
+        self.lf = np.empty(len(bwt), np.int32)
+        self.lf[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=n_ids))))
 
     def extend(self, low: np.ndarray, count: np.ndarray, other: np.ndarray) -> Steps:
@@ -63,6 +61,7 @@ class Direction:
         at = np.repeat(low - total + count, count) + np.arange(total[-1] if len(total) else 0)
         of = np.repeat(np.arange(len(low)), count)
         key = of * self.n_ids + self.bwt[at]
+        del of
         order = np.argsort(key, kind="stable")
         key = key[order]
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))

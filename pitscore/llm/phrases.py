@@ -33,7 +33,7 @@ from pitscore.llm import words as w
 from pitscore.llm.common import slices, staged
 
 #: Text bytes of a shard, and of all open shards of a task together.
-SHARD_BYTES, OPEN_BYTES = 24 << 20, 48 << 20
+SHARD_BYTES, OPEN_BYTES = 8 << 20, 24 << 20
 
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _GAP = _BREAK | np.isin(np.arange(256), [32, 9])
