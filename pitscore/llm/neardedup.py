@@ -10,14 +10,15 @@ confirmed on the full sets.
 Candidates are checked in two steps: each class with its nearest neighbours first, then the other
 neighbours, where both ends are still in different components. A group of near copies so needs few checks.
 
-The depth is fixed; it does not adapt to a region. In regions larger than the neighbour window, members are
-dealt into random chunks, and what neighbours there cannot settle is compared in blocks. Large regions that share members are a family. Members outside the family's
+The depth adapts to the region: one larger than the neighbour window is cut by its next MinHash values, one
+more at a time, until its parts fit; only parts that agree on all ``BASE + DEEP`` values and still do not fit are
+dealt into chunks. Parts give nearest neighbours; what these cannot settle is compared in blocks. Large regions that share members are a family. Members outside the family's
 largest component are the open ones; every open member is compared with every member of the family, in tasks of
 two blocks of ``BLOCK`` members, by one matrix product over the shingles that both blocks have. A task
 returns at most one row for each of its members, so no list of pairs exists anywhere and nothing is capped.
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing; texts below
-five words have one shingle; rows without ``doc_id`` stay alone and are kept; repeated rows share one
+five words have one shingle; rows without ``doc_id`` stay alone, are kept and have ``n_shingles`` 0; repeated rows share one
 result (of different texts under one id the class with the smallest id counts); other columns are not
 looked at.
 """
@@ -170,6 +171,9 @@ class _Forest:
         labels = classes.select("cls", F.posexplode(F.arrays_zip("regions", "deeps"))).select("cls", F.col("pos").alias("tree"), F.col("col.regions").alias("region"), F.col("col.deeps").alias("deep"))
         sizes = labels.groupBy("tree", "region").agg(F.count("*").alias("size")).filter("size > 1")
         self.labels = staged(labels.join(sizes, ["tree", "region"]))
+        self.large = self.labels.filter(F.col("size") > NEIGHBOURS + 1).select("cls", "tree", "region", "deep")
+        self.any_large = not self.large.isEmpty()
+        self.parts = self._parts()
         heads = self.labels.select("cls").distinct()
         self.classes = staged(classes.join(heads, "cls", "left_semi").select("cls", "n", "sig"))
         found = self.classes.select(_bit("cls").alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("x"))
@@ -179,12 +183,28 @@ class _Forest:
         sets = texts.withColumn("bit", _bit("doc_id")).mapInArrow(_sets_of(wanted), f"doc_id {self.kind}, shingles binary").withColumnRenamed("doc_id", "cls")
         self.sets = staged(sets.join(heads, "cls", "left_semi").dropDuplicates(["cls"]))
 
-    def neighbours(self, first: int, last: int) -> DataFrame:
-        """Pairs of the ``first``-th to ``last``-th neighbours in each sorted order; a large region is ordered in chunks."""
-        chunk = F.when(F.col("size") > NEIGHBOURS + 1, F.pmod(F.xxhash64("cls", "tree"), F.ceil(F.col("size") / 256))).otherwise(0)
-        order = W.partitionBy("tree", "region", "chunk").orderBy("deep", "cls")
-        after = F.array(*[F.lead("cls", i).over(order) for i in range(first, last + 1)])
-        near = self.labels.withColumn("chunk", chunk).select("cls", after.alias("after")).select("cls", F.explode("after").alias("other"))
+    def _parts(self) -> DataFrame:
+        """``cls, tree, region, deep, depth, part, chunk``: regions, the large ones cut at the depth where they fit."""
+        small = self.labels.filter(F.col("size") <= NEIGHBOURS + 1).select("cls", "tree", "region", "deep", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("chunk"))
+        if not self.any_large:
+            return small
+        rows, depth = self.large, F.lit(DEEP)
+        for d in range(1, DEEP + 1):
+            rows = rows.withColumn(f"p{d}", F.shiftrightunsigned("deep", int(_BITS) * (DEEP - d)))
+        for d in range(DEEP, 0, -1):
+            key = ["tree", "region", f"p{d}"]
+            counts = rows.select(*key).groupBy(*key).agg(F.count("*").alias(f"s{d}"))
+            rows = rows.join(counts, key)
+            depth = F.when(F.col(f"s{d}") <= NEIGHBOURS + 1, d).otherwise(depth) if d < DEEP else depth
+        part = F.coalesce(*[F.when(depth == d, F.col(f"p{d}")) for d in range(1, DEEP + 1)])
+        chunk = F.when((depth == DEEP) & (F.col(f"s{DEEP}") > NEIGHBOURS + 1), F.pmod(F.xxhash64("cls", "tree"), F.ceil(F.col(f"s{DEEP}") / 256))).otherwise(F.lit(0).cast("long"))
+        return staged(small.unionByName(rows.select("cls", "tree", "region", "deep", depth.alias("depth"), part.alias("part"), chunk.alias("chunk"))))
+
+    def neighbours(self, parts: DataFrame, first: int, last: int) -> DataFrame:
+        """Pairs of the ``first``-th to ``last``-th neighbours in the sorted order of each part."""
+        order = W.partitionBy("tree", "region", "depth", "part", "chunk").orderBy("deep", "cls")
+        after = F.array_compact(F.array(*[F.lead("cls", i).over(order) for i in range(first, last + 1)]))
+        near = parts.select("cls", after.alias("after")).select("cls", F.explode("after").alias("other"))
         return near.filter("cls <> other").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
     def close(self, pairs: DataFrame) -> DataFrame:
@@ -210,9 +230,9 @@ class _Forest:
 
     def in_families(self, links: DataFrame) -> DataFrame:
         """Links of large regions beyond the neighbour window."""
-        large = self.labels.filter(F.col("size") > NEIGHBOURS + 1).select("tree", "region", "cls")
-        if large.isEmpty():
+        if not self.any_large:
             return links
+        large = self.large.select("tree", "region", "cls")
         least = large.groupBy("tree", "region").agg(F.min("cls").alias("first"))
         joined = large.join(least, ["tree", "region"]).select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
         family = components(joined).select(F.col("node").alias("cls"), F.col("component").alias("family"))
@@ -243,8 +263,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with ``100 * intersection >= percent * union``.
     """
     forest = _Forest(docs, percent)
-    links = forest.links(forest.close(forest.neighbours(1, 1)))
-    further = forest.close(forest.apart(forest.neighbours(2, NEIGHBOURS), links))
+    links = forest.links(forest.close(forest.neighbours(forest.parts, 1, 1)))
+    # Whole regions go on to all their neighbours; members of large ones are compared with their whole family.
+    further = forest.close(forest.apart(forest.neighbours(forest.parts.filter("depth = 0"), 2, NEIGHBOURS), links))
     links = staged(links.unionByName(forest.links(further)))
     component = staged(components(forest.in_families(links)))
     found = forest.member.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select(

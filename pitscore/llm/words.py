@@ -99,5 +99,6 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 5) -> tu
     h, d = np.concatenate(at), np.concatenate(of)
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     return d[new], h[new]
