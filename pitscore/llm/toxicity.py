@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitscore.llm import words as w
-from pitscore.llm.common import slices
+from pitscore.llm.common import slices, staged
 
 #: Bounds of the training sample: documents of each label, and code points of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 24_000_000
@@ -56,24 +56,11 @@ def _sentences(arr: pa.StringArray) -> tuple[np.ndarray, ...]:
     return low, off, close, w.span_hashes(low, starts, ends), number[starts], doc
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        _, _, _, hashes, sentence, doc = _sentences(batch.column("text"))
-        bounds = doc.searchsorted(np.arange(batch.num_rows + 1))
-        yield pa.record_batch(
-            {
-                "toxic": batch.column("toxic"),
-                "weight": batch.column("weight"),
-                "words": pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                "sentences": pa.array([sentence[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-            }
-        )
-
-
 def sample(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
     """A bounded sample (``doc_id, text, toxic, weight``) of the labelled rows outside the held-out fold, both labels alike.
 
     A sampled row stands for ``weight`` labelled rows of its label, so the sample keeps the labels' natural shares.
+    Of rows with one id the smallest text counts. Texts are read once and written.
     """
     spark, known = docs.sparkSession, labels.filter(~held_out(fold) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -81,53 +68,95 @@ def sample(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
     order = F.xxhash64("doc_id", F.lit(8))
     ids = [tuple(r) for t in (0, 1) for r in known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE_DOCS).collect()]
     kind = f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int"
+    # At most 2 * SAMPLE_DOCS ids.
     picked = F.broadcast(spark.createDataFrame(ids, kind))
-    found = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]) if ids else docs.select("doc_id", "text", F.lit(0).alias("toxic")).limit(0)
-    sizes = sorted(found.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)), F.xxhash64("doc_id", F.lit(9))).collect(), key=lambda r: (r[3], r[0]))
+    found = staged(docs.select("doc_id", "text").join(picked, "doc_id"))
+    found = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    sizes = sorted(found.select("doc_id", "toxic", F.length("text"), F.xxhash64("doc_id", F.lit(9))).collect(), key=lambda r: (r[3], r[0]))
     total, kept = 0, []
     for doc_id, toxic, n, _ in sizes:
         if total + n <= SAMPLE_CHARS:
             total += n
             kept.append((doc_id, toxic))
     have = {t: sum(toxic == t for _, toxic in kept) for t in (0, 1)}
-    weighted = spark.createDataFrame([(i, t, rows[t] / have[t]) for i, t in kept], f"{kind}, weight double")
-    return docs.select("doc_id", "text").join(F.broadcast(weighted), "doc_id").dropDuplicates(["doc_id"])
+    weighted = spark.createDataFrame([(i, rows[t] / have[t]) for i, t in kept], f"{kind.split(',')[0]}, weight double")
+    return found.join(F.broadcast(weighted), "doc_id").select("doc_id", "text", "toxic", "weight")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each label that hold a word."""
+    for batch in slices(batches):
+        hashes, doc = _sentences(batch.column("text"))[3::2]
+        words, at = np.unique(hashes, return_inverse=True)
+        pairs = np.unique(at * batch.num_rows + doc)
+        toxic = batch.column("toxic").to_numpy()[pairs % max(1, batch.num_rows)]
+        n = [np.bincount(pairs // max(1, batch.num_rows), toxic == t, len(words)).astype(np.int64) for t in (0, 1)]
+        yield pa.record_batch({"word": pa.array(words.view(np.int64)), "clean": pa.array(n[0]), "toxic": pa.array(n[1])})
+
+
+def _association(clean: int, toxic: int) -> Column:
+    """G squared of a word against the label, from the documents of each label that hold it and ``clean``, ``toxic`` documents in all."""
+    total, parts = F.col("clean") + F.col("toxic"), []
+    for have, size in ((F.col("clean"), clean), (F.col("toxic"), toxic)):
+        for seen, expected in ((have, total * F.lit(size / (clean + toxic))), (size - have, (clean + toxic - total) * F.lit(size / (clean + toxic)))):
+            parts.append(F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0))
+    return 2 * sum(parts[1:], parts[0])
+
 
+def _bags(features: np.ndarray):
+    """Per document: its sentences with words, and the distinct pairs of sentence and feature."""
 
-def _associated(pairs: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
-    """G squared of each word against the label, from distinct ``word * documents + document``."""
-    total, kinds = np.bincount(pairs // len(y), minlength=n_words), []
-    for label in (0.0, 1.0):
-        have = np.bincount(pairs // len(y), y[pairs % len(y)] == label, n_words)
-        size = float((y == label).sum())
-        for seen, expected in ((have, total * size / len(y)), (size - have, (len(y) - total) * size / len(y))):
-            kinds.append(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0))
-    return 2 * sum(kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, sentence, doc = _sentences(batch.column("text"))[3:]
+            # A sentence belongs to one text, so numbers of sentences with words run through the texts.
+            numbers, of = np.unique(sentence, return_inverse=True)
+            bag = np.zeros(len(numbers), np.int64)
+            bag[of] = doc
+            first = bag.searchsorted(np.arange(batch.num_rows + 1))
+            at = np.minimum(features.searchsorted(hashes), max(0, len(features) - 1))
+            known = features[at] == hashes if len(features) else np.zeros(len(hashes), bool)
+            pairs = np.unique(of[known] * (len(features) + 1) + at[known])
+            of, at = pairs // (len(features) + 1), pairs % (len(features) + 1)
+            cut = of.searchsorted(first)
+            yield pa.record_batch(
+                {
+                    "toxic": batch.column("toxic"),
+                    "weight": batch.column("weight"),
+                    "sentences": pa.array(np.diff(first)),
+                    "of": pa.array([(of[a:b] - f).astype(np.int32).tobytes() for a, b, f in zip(cut, cut[1:], first)], pa.binary()),
+                    "at": pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                }
+            )
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 300) -> Model:
-    """Train on a sample of at most ``2 * SAMPLE_DOCS`` labelled documents and ``SAMPLE_CHARS`` code points."""
-    rows = sample(docs, labels, fold).select("toxic", "weight", "text").mapInArrow(_bags, "toxic int, weight double, words binary, sentences binary").collect()
-    y = np.array([r.toxic for r in rows], float)
-    if len(set(y)) < 2:
+    """Train on a sample of at most ``2 * SAMPLE_DOCS`` labelled documents and ``SAMPLE_CHARS`` code points.
+
+    Words are counted and chosen in Spark; the driver gets only the chosen words and where they occur. Without
+    labelled documents of both labels nothing is learnt; without any word only the intercept remains.
+    """
+    found = staged(sample(docs, labels, fold).select("doc_id", "toxic", "weight", "text"))
+    size = {r.toxic: r["count"] for r in found.groupBy("toxic").count().collect()}
+    if len(size) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
-    bags = [(np.frombuffer(r.words, np.uint64), np.frombuffer(r.sentences, np.int32)) for r in rows]
-    doc = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
-    hashes, sentence = np.concatenate([h for h, _ in bags]), np.concatenate([s for _, s in bags]).astype(np.int64)
-    _, sentence = np.unique(doc * (1 << 32) + sentence, return_inverse=True)
-    vocabulary, feature = np.unique(hashes, return_inverse=True)
-    common = _associated(np.unique(feature * len(bags) + doc), y, len(vocabulary)) >= ASSOCIATION
-    place = np.cumsum(common) - 1
-    seen = common[feature]
-    pairs = np.unique(sentence[seen] * (int(common.sum()) + 1) + place[feature[seen]])
-    of, at = pairs // (int(common.sum()) + 1), pairs % (int(common.sum()) + 1)
-    n, k = int(sentence.max()) + 1, int(common.sum())
-    bag = np.zeros(n, np.int64)
-    bag[sentence] = doc
+    counted = found.select("toxic", "text").mapInArrow(_counts, "word bigint, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    chosen = counted.filter(_association(size[0], size[1]) >= ASSOCIATION).select("word").collect()
+    features = np.sort(np.array([r.word for r in chosen], np.int64).view(np.uint64))
+    rows = found.orderBy("doc_id").select("toxic", "weight", "text").mapInArrow(_bags(features), "toxic int, weight double, sentences bigint, of binary, at binary").toArrow()
+    y, sentences = rows.column("toxic").to_numpy().astype(float), rows.column("sentences").to_numpy()
+    pairs_of, pairs_at = ([np.frombuffer(x, np.int32) for x in rows.column(c).to_pylist()] for c in ("of", "at"))
+    base = np.cumsum(sentences) - sentences
+    of = np.concatenate([x + b for x, b in zip(pairs_of, base)]).astype(np.int64)
+    at = np.concatenate(pairs_at).astype(np.int64)
+    n, k = int(sentences.sum()), len(features)
+    bag = np.repeat(np.arange(len(y)), sentences)
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     theta[k] = -4.0
-    share = np.array([r.weight for r in rows])
-    share /= share.sum()
+    share = rows.column("weight").to_numpy()
+    share = share / share.sum()
     for t in range(1, steps + 1):
         z = theta[k] + np.bincount(of, theta[at], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -138,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, steps: int = 300) ->
         grad[:k] += 1e-5 * theta[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(vocabulary[common], theta[:k], float(theta[k]))
+    return Model(features, theta[:k], float(theta[k]))
 
 
 def _judge(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, ...]:
