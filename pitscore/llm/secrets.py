@@ -62,28 +62,43 @@ _LEDGER = "array<struct<rule:string,kind:string,start:bigint,end:bigint>>"
 _NONE = f"cast(array() as {FINDINGS})"
 
 
+#: Hits of one text whose places are summed together.
+CHUNK = 128
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _found(text: Column, rule: Rule, order: int) -> Column:
     """Findings of one rule with their place for sorting: ``start, order, end, kind``."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     rows = F.arrays_zip(F.split(text, rule.pattern, -1).alias("piece"), hits.alias("hit"), sized.alias("value"))
-    spans = F.aggregate(
-        F.filter(rows, lambda r: r["hit"].isNotNull()),
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,size:int>>)").alias("out")),
-        lambda s, r: F.struct(
-            (s["at"] + F.length(r["piece"]) + F.length(r["hit"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(
-                    F.struct(
-                        (s["at"] + F.length(r["piece"])).alias("start"), F.lit(order).alias("ord"), (s["at"] + F.length(r["piece"]) + F.length(r["hit"])).alias("end"),
-                        F.lit(rule.name).alias("kind"), F.length(r["value"]).alias("size"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda s: F.filter(s["out"], lambda x: x["size"] >= rule.least),
-    )
+    width = lambda r: (F.length(r["piece"]) + F.length(r["hit"])).cast("long")
+    span = lambda at, r: F.struct(
+        (at + F.length(r["piece"])).alias("start"), F.lit(order).alias("ord"), (at + width(r)).alias("end"), F.lit(rule.name).alias("kind"), F.length(r["value"]).alias("size")
+    )
+    zero = F.lit(0).cast("long")
+
+    def placed(chunk: Column, at: Column) -> Column:
+        none = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,size:int>>)")
+        step = lambda s, r: F.struct((s["at"] + width(r)).alias("at"), F.concat(s["out"], F.array(span(s["at"], r))).alias("out"))
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def in_chunks(hits: Column) -> Column:
+        """Running places: of whole chunks first, then inside each, so no long list is copied for each hit."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / CHUNK).cast("int")), lambda j: F.slice(hits, j * CHUNK + 1, CHUNK))
+        ends = lambda c: F.aggregate(
+            F.transform(c, lambda x: F.aggregate(x, zero, lambda s, r: s + width(r))),
+            F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s: s["out"],
+        )
+        return _bound(chunks, lambda c: F.flatten(F.zip_with(c, ends(c), placed)))
+
+    spans = F.filter(_bound(F.filter(rows, lambda r: r["hit"].isNotNull()), in_chunks), lambda x: x["size"] >= rule.least)
     return F.when(text.rlike(rule.pattern), spans)
 
 

@@ -84,3 +84,10 @@ def test_findings_of_old_versions_are_left(spark):
     spans = lambda rule: [(f.start, f.end) for f in secrets.scan(docs, (rule,), path).first().findings]
     assert spans(secrets.Rule("x", "ab+")) == [(0, 2), (3, 6), (7, 11)]
     assert spans(secrets.Rule("x", "abbb+", version=2)) == [(7, 11)]
+
+
+def test_many_findings(spark):
+    text = "é ".join(f"token={'a' * 6}{i:05d}, AKIA{'B' * 16}{i:05d}\n" for i in range(1000))
+    found = secrets.scan(documents(spark, [(1, text)])).first().findings
+    expected = sorted([(m.start(), m.end()) for m in re.finditer(r"token=[a0-9]+", text)] + [(m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text)])
+    assert [(f.start, f.end) for f in found] == expected
