@@ -33,12 +33,14 @@ def _spaced(texts: pa.StringArray) -> pa.StringArray:
     there are fewer distinct chunks. Special tokens are told by their case, so texts that may hold one keep theirs.
     """
     raw, off = text_bytes(texts)
+    if not len(raw):
+        return texts
     low = (_KEEP if b"<|" in raw.tobytes() else _PLAIN)[raw]
     word = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
     word[1:] |= (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0xBF) & (low[1:] != 0x97) & (low[1:] != 0xB7)
     mark = np.zeros(len(low), bool)
     mark[1:-1] = ((low[1:-1] == 46) | (low[1:-1] == 44)) & (low[2:] == 32) & word[:-2]
-    mark[np.minimum(off[:-1], max(0, len(low) - 1))] = False
+    mark[np.minimum(off[:-1], len(low) - 1)] = False
     place = np.arange(len(low)) + np.cumsum(mark)
     wide = np.full(len(low) + int(mark.sum()), 32, np.uint8)
     wide[place] = low
