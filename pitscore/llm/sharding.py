@@ -111,11 +111,12 @@ def uniform_shards(rows: DataFrame, n_shards: int, seed: int = 1) -> DataFrame:
 
     ``slot`` is the place in the shard, gapless from 0.
     """
-    helpers = {"_part", "_at", "_again", "shard", "slot"}
-    names = [f"`{c}`" for c in rows.columns if c not in helpers]
-    local = rows.select(*names, F.rand(seed).alias("_first"), F.rand(seed + 1).alias("_again")).sortWithinPartitions("_first")
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    # All columns of the input travel as one, so no name of theirs meets one of ours.
+    data = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    local = rows.select(data.alias("data"), F.rand(seed).alias("_first"), F.rand(seed + 1).alias("_again")).sortWithinPartitions("_first")
     place = F.monotonically_increasing_id()
-    dealt = staged(local.select(*names, "_again", F.shiftrightunsigned(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    dealt = staged(local.select("data", "_again", F.shiftrightunsigned(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
     sizes = staged(dealt.groupBy("_part").agg(F.count("*").alias("n")))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -123,13 +124,13 @@ def uniform_shards(rows: DataFrame, n_shards: int, seed: int = 1) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(1), F.size("counts")), lambda j: F.aggregate(F.slice("counts", 1, j), F.lit(0).cast("long"), lambda s, x: s + x))
     sent = dealt.join(matrix.select("_part", ends.alias("_ends")), "_part")
     runs = max(1, math.ceil(total / n_shards / RUN_ROWS))
-    sent = sent.select(*names, "_again", F.size(F.filter("_ends", lambda e: e <= F.col("_at"))).alias("shard"), F.floor(F.col("_again") * runs).cast("int").alias("_run"))
+    sent = sent.select("data", "_again", F.size(F.filter("_ends", lambda e: e <= F.col("_at"))).alias("shard"), F.floor(F.col("_again") * runs).cast("int").alias("_run"))
     counts = sent.groupBy("shard", "_run").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("shard").alias("_s"), F.col("_run").alias("_r"), before.alias("_before"))
     numbered = sent.withColumn("_row", F.row_number().over(W.partitionBy("shard", "_run").orderBy("_again")))
     joined = numbered.join(counts, (F.col("shard") == F.col("_s")) & (F.col("_run") == F.col("_r")))
-    return joined.select(*names, "shard", (F.col("_before") + F.col("_row") - 1).cast("long").alias("slot"))
+    return joined.select(*[F.col("data").getField(c).alias(c) for c in names], "shard", (F.col("_before") + F.col("_row") - 1).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from pitscore.llm import decontamination, fingerprints, licenses, lmscore, neardedup, packing, secrets, sharding, substrings, toxicity
+from pitscore.llm import decontamination, fingerprints, infill, licenses, lmscore, neardedup, packing, secrets, sharding, substrings, toxicity
 from tests.llm.fixtures import documents, odd_rows
 
 LABELS = [(1, 1), (4, 0), (7, 1), (None, 1), (8, None)]
@@ -40,6 +40,32 @@ def test_odd_rows(spark, name):
     assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows)
 
 
+PER_ROW["packing"] = lambda spark, d: packing.pack(d)
+PER_ROW["infill"] = lambda spark, d: infill.fill_in_middle(d)
+
+
+@pytest.mark.parametrize("rows", [[(1, "")], [(1, None), (2, "  ")], [(1, ""), (2, None), (3, "\n"), (4, "word")]])
+@pytest.mark.parametrize("name", sorted(PER_ROW))
+def test_wordless_slices(spark, name, rows):
+    docs = documents(spark, rows).repartition(len(rows), "doc_id")
+    found = PER_ROW[name](spark, docs).collect()
+    assert sorted({r.doc_id for r in found}) == [i for i, _ in rows]
+
+
+def test_labels_without_words(spark):
+    docs = documents(spark, [(i, " " * i) for i in range(12)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, toxic int")
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {0.0}
+
+
+def test_sharding_helper_names(spark):
+    names = ("_first", "_run", "_ends", "_s", "_r", "_before", "_row", "_part", "_at", "_again", "data", "n", "counts", "a.b")
+    docs = spark.createDataFrame([(i, *names) for i in range(30)], ["doc_id", *names])
+    found = sharding.uniform_shards(docs, 4)
+    assert found.columns == ["doc_id", *names, "shard", "slot"]
+    assert sorted((r.doc_id, r["a.b"], r._run) for r in found.collect()) == [(i, "a.b", "_run") for i in range(30)]
+
+
 @pytest.mark.parametrize("name", sorted(PER_ROW))
 def test_empty_table(spark, name):
     assert PER_ROW[name](spark, documents(spark, [])).collect() == []
