@@ -386,6 +386,8 @@ CTES: dict[str, str] = {
           select ticker, unnest(generate_series(date_trunc('month', min(month))::timestamp, max(month)::timestamp, interval 1 month)) as d from m group by ticker)),
         f as (select ticker, month, last_value(close ignore nulls) over (partition by ticker order by month) as c from s left join m using (ticker, month))
         select * from (select ticker, month, c / nullif(lag(c) over (partition by ticker order by month), 0) - 1 as ret from f) where ret is not null""",
+    "v_root_monthly": "select * replace (pow(ret + 1, 0.05::double) - 1 as ret) from v_monthly",
+    "v_root_bench": "select month, ret as bench from v_root_monthly where ticker = 'SPY'",
     "v_bench": "select month, ret as bench from v_monthly where ticker = 'SPY'",
     "v_quintile": """
         select quarter_end, ticker, composite from v_scored where composite is not null

@@ -15,6 +15,12 @@ def rounding(x: str) -> str:
             f"else round_even({x} * 1e6, 0) / 1e6 end")
 
 
+def significant(x: str) -> str:
+    """Ten significant digits."""
+    scale = f"pow(10.0::double, floor(log10(abs({x}))) - 9)"
+    return f"case when ({x}) = 0 then 0.0::double else round_even(({x}) / {scale}, 0) * {scale} end"
+
+
 def final(name: str, sql: str, *doubles: str) -> None:
     """Register a statement; ``doubles`` are rounded."""
     if doubles or sql.strip().startswith("with"):
@@ -308,7 +314,7 @@ _ICS = [f"ic_{h}" for h in HORIZONS]
 final("horizon_ics", mean_ics(f"select *, 'composite' as score from ({_COMP_IC}) union all select *, 'bargain_score' as score from ({_BARG_IC})", "score"), *_ICS)
 
 
-def backtest(scores: str, key: str, months: int = 36) -> str:
+def backtest(scores: str, key: str, months: int = 36, returns: str = "v_monthly", bench: str = "v_bench") -> str:
     """Backtest of a table (key, quarter_end, ticker, composite): one row per key and window."""
     return f"""
       with sc as ({scores}),
@@ -319,8 +325,8 @@ def backtest(scores: str, key: str, months: int = 36) -> str:
       p as (select {key}, "window", month, avg(coalesce(ret, case when ticker in (select ticker from v_delisted) then -0.5::double end)) as port
         from (select {key}, "window", ticker, last_day(cast(date_trunc('month', quarter_end) + to_months(cast(k as integer)) as date)) as month
               from top join v_windows on quarter_end between w_start and w_end cross join (select unnest([1, 2, 3]) as k))
-        left join v_monthly using (ticker, month) group by all having count(ret) > 0),
-      b as (select "window", month, bench from v_bench join v_windows on month between last_day(w_start)
+        left join {returns} using (ticker, month) group by all having count(ret) > 0),
+      b as (select "window", month, bench from {bench} join v_windows on month between last_day(w_start)
               and last_day(cast(date_trunc('month', w_end) + interval 3 month as date))),
       roll as (select {key}, "window", product(1 + port) over w - product(1 + bench) over w as excess, count(*) over w as n
         from p join b using ("window", month) window w as (partition by {key}, "window" order by month rows between {months - 1} preceding and current row)),
@@ -457,10 +463,10 @@ _SM = ("rolling_win_rate", "median_excess", "mean_ic", "cagr", "benchmark_cagr",
 _WEIGHTS = [f"weight_{f}" for f in FAMILIES]
 _WEIGHT_ROWS = "(select candidate, " + ", ".join(f"max(w) filter (family = '{f}') as weight_{f}" for f in FAMILIES) + " from v_search group by 1)"
 final("weight_search", f"""
-    with r as ({backtest("select candidate, quarter_end, ticker, composite from v_search_scores", "candidate", 12)}),
+    with r as ({backtest("select candidate, quarter_end, ticker, composite from v_search_scores", "candidate", 12, "v_root_monthly", "v_root_bench")}),
     w as (select candidate, {", ".join(f"max({m}) filter ({chr(34)}window{chr(34)} = '{n}') as {n}_{m}" for n in _W for m in _SM)} from r group by 1),
-    o as (select *, round(least(valid_median_excess, test_median_excess) - 0.5::double * greatest(0, valid_median_excess - test_median_excess), 9) as robust_score,
-        round(least(valid_rolling_win_rate, test_rolling_win_rate), 9) as worst_win_rate, round((valid_mean_ic + test_mean_ic) * 0.5::double, 9) as mean_ic from w),
+    o as (select *, {significant("least(valid_median_excess, test_median_excess) - 0.5::double * greatest(0, valid_median_excess - test_median_excess)")} as robust_score,
+        {significant("least(valid_rolling_win_rate, test_rolling_win_rate)")} as worst_win_rate, {significant("(valid_mean_ic + test_mean_ic) * 0.5::double")} as mean_ic from w),
     k as (select *, row_number() over (order by robust_score desc, worst_win_rate desc, mean_ic desc, candidate) as rank from o)
     select k.*, case when (select (a.robust_score, a.worst_win_rate, a.mean_ic) > (b.robust_score, b.worst_win_rate, b.mean_ic)
         from k a, k b where a.rank = 1 and b.candidate = 'baseline') then rank = 1 else candidate = 'baseline' end as is_winner, {", ".join(_WEIGHTS)} from k join {_WEIGHT_ROWS} using (candidate)""",
@@ -468,8 +474,8 @@ final("weight_search", f"""
 final("cv_search", f"""
     with e as ({fold_excess('''select candidate, quarter_end, ticker from v_search_scores where candidate = 'baseline' or try_cast(substr(candidate, 8) as integer) < 200
         qualify row_number() over (partition by candidate, quarter_end order by composite desc, ticker) <= 5''', "candidate", "contiguous")}),
-    o as (select candidate, round(avg(excess) - stddev_pop(excess), 9) as cv_score, round(min(excess), 9) as worst_fold,
-        round(avg((excess > 0)::integer::double), 9) as frac_folds_positive, count(*) as folds from e group by 1),
+    o as (select candidate, {significant("avg(excess) - stddev_pop(excess)")} as cv_score, {significant("min(excess)")} as worst_fold,
+        {significant("avg((excess > 0)::integer::double)")} as frac_folds_positive, count(*) as folds from e group by 1),
     k as (select *, row_number() over (order by cv_score desc, worst_fold desc, frac_folds_positive desc, candidate) as rank from o)
     select k.*, case when (select (a.cv_score, a.worst_fold, a.frac_folds_positive) > (b.cv_score, b.worst_fold, b.frac_folds_positive)
         from k a, k b where a.rank = 1 and b.candidate = 'baseline') then rank = 1 else candidate = 'baseline' end as is_winner, {", ".join(_WEIGHTS)} from k join {_WEIGHT_ROWS} using (candidate)""",
@@ -484,7 +490,7 @@ final("compare_candidates", f"""
     r as (select candidate, {", ".join(f"coalesce(ic_{h}, 0) as ic_{h}" for h in HORIZONS)}, coalesce(n, 0) as folds, mean as excess_mean, ci_low as excess_ci_low,
         ci_high as excess_ci_high, coalesce((select avg((excess > 0)::integer::double) from e where e.candidate = ics.candidate), 0) as frac_folds_positive,
         coalesce(ic_3y, 0) as primary_ic from ics left join ci using (candidate)),
-    k as (select *, row_number() over (order by round(excess_mean, 9) desc nulls last, list_position(['evidence_based', 'legacy_tuned', 'equal'], candidate)) as rank from r),
+    k as (select *, row_number() over (order by {significant("excess_mean")} desc nulls last, list_position(['evidence_based', 'legacy_tuned', 'equal'], candidate)) as rank from r),
     o as (select k.*, coalesce(t.excess_ci_low <= k.excess_ci_high and k.excess_ci_low <= t.excess_ci_high, false) as indistinguishable from k, k t where t.rank = 1)
     select *, case when (select indistinguishable from o where candidate = 'evidence_based') then candidate = 'evidence_based' else rank = 1 end as recommended from o""",
     *_ICS, "excess_mean", "excess_ci_low", "excess_ci_high", "frac_folds_positive", "primary_ic")
@@ -493,7 +499,7 @@ final("bargain_validation", f"""
     pairs as (select candidate, quarter_end, horizon, sc.bargain_score, fwd from sc join (select quarter_end as qe, ticker, horizon, fwd from v_ic_pairs) f using (ticker)
       where qe = quarter_end and sc.bargain_score is not null),
     r as (select *, ic_3y as primary_ic from ({mean_ics(spearman("pairs", "candidate, horizon, quarter_end", "bargain_score", "fwd"), "candidate")})),
-    b as (select *, row_number() over (order by round(primary_ic, 9) desc, list_position(['default_long_horizon', 'graham_heavy', 'equal'], candidate)) = 1 as best from r)
+    b as (select *, row_number() over (order by {significant("primary_ic")} desc, list_position(['default_long_horizon', 'graham_heavy', 'equal'], candidate)) = 1 as best from r)
     select * exclude (best), case when (select max(primary_ic) filter (best) - max(primary_ic) filter (candidate = 'default_long_horizon') from b) < 0.01
       then candidate = 'default_long_horizon' else best end as is_winner from b""", *_ICS, "primary_ic")
 

@@ -6,7 +6,7 @@ Monthly series are bounded by the calendar, so windows over one run's months sta
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from pitscore.functions.columns import ratio
 from pitscore.functions.distributed import rank_correlation
+from pitscore.operators.candidates import score_arrays
 from pitscore.operators.screens import top_fraction
-from pitscore.params import BENCHMARK, DELIST_RETURN, HORIZONS, PRIMARY_HORIZON, ROLLING_MONTHS, Window
+from pitscore.params import BENCHMARK, DELIST_RETURN, HISTORICAL_FAMILIES, HORIZONS, ROLLING_MONTHS, Window
 from pitscore.session import materialize
 
 
@@ -145,16 +146,34 @@ def quarterly_ics(
     horizons: Sequence[str] = tuple(HORIZONS),
 ) -> DataFrame:
     """Rank correlation of a score with forward horizons per quarter: ``by, horizon, quarter_end, ic``."""
-    names = list(horizons)
-    long_fwd = forward.select(
-        F.col("as_of_quarter").alias("quarter_end"), "ticker",
-        F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in names])).alias("f"),
-    ).select("quarter_end", "ticker", "f.horizon", "f.fwd").filter(F.col("fwd").isNotNull())
     rows = scored.filter(F.col(score).isNotNull()).select(*by, "quarter_end", "ticker", score)
-    joined = rows.join(long_fwd, ["quarter_end", "ticker"])
+    joined = rows.join(_long_forward(forward, horizons), ["quarter_end", "ticker"])
     return rank_correlation(joined, [*by, "horizon", "quarter_end"], score, "fwd").drop("n")
 
 
+def _long_forward(forward: DataFrame, horizons: Sequence[str]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
+    rows = forward.select(F.col("as_of_quarter").alias("quarter_end"), "ticker", F.explode(each).alias("f"))
+    return rows.select("quarter_end", "ticker", "f.horizon", "f.fwd").filter(F.col("fwd").isNotNull())
+
+
+def candidate_ics(
+    base: DataFrame, forward: DataFrame, candidates: Mapping[str, Mapping[str, float]], names: Sequence[str] = HISTORICAL_FAMILIES,
+    prefix: str = "pct_", horizons: Sequence[str] = tuple(HORIZONS),
+) -> DataFrame:
+    """Rank correlations of the scores of many weight sets: ``candidate, horizon, quarter_end, ic``.
+
+    Returns are ranked once per quarter and horizon; scores travel as one array per name until they are ordered.
+    """
+    out, returns = None, _long_forward(forward, horizons)
+    for members, scores, valid in score_arrays(candidates, names, prefix):
+        rows = base.filter(valid).join(returns, ["quarter_end", "ticker"])
+        ics = rank_correlation(rows, ["horizon", "quarter_end"], scores, "fwd", valid=valid)
+        named = ics.select(F.get(F.array(*[F.lit(c) for c in members]), F.col("pos")).alias("candidate"), "horizon", "quarter_end", "ic")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def mean_horizon_ics(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean correlation per horizon, 0 where no quarter has one: ``by, ic_<h>..``"""
     return ics.groupBy(*by).agg(
@@ -184,9 +203,11 @@ def run_backtest(
     delist_return: float = DELIST_RETURN,
     horizons: Sequence[str] = tuple(HORIZONS),
     rolling_months: int = ROLLING_MONTHS,
+    ics: DataFrame | None = None,
 ) -> DataFrame:
     """Quarterly top-quintile backtest, one row per run and window. ``forward=None`` skips the
-    rank correlations; ``horizons`` (with ``1q``) narrows them. A correlation that was not computed is NULL."""
+    rank correlations unless ``ics`` has them; ``horizons`` (with ``1q``) narrows them. A correlation that was not
+    computed is NULL. Expanded rows are read for the sizes of their groups, for the cut-offs and for the picks."""
     held = scored if "held" in scored.columns else with_holding_returns(scored, monthly, delisted, months, delist_return)
     picks = top_fraction(held, [*by, "quarter_end"])
     keys = [*by, "window"]
@@ -203,10 +224,10 @@ def run_backtest(
         .join(drawdown(port, keys), keys, "left")
     )
     zero = ["rolling_win_rate", "median_excess", "cagr", "benchmark_cagr", "max_drawdown"]
-    if forward is None:
+    if forward is None and ics is None:
         missing = F.lit(None).cast("double")
         return out.fillna(0.0, zero).withColumns({"mean_ic": F.lit(0.0), **{f"ic_{h}": missing for h in HORIZONS}})
-    ics = in_windows(materialize(quarterly_ics(scored, forward, by=by, horizons=horizons)), windows)
+    ics = in_windows(materialize(quarterly_ics(scored, forward, by=by, horizons=horizons) if ics is None else ics), windows)
     last_scored = in_windows(scored.select(*by, "quarter_end").distinct(), windows)
     ics = last_scored.join(ics, [*keys, "quarter_end"], "left")
     out = out.join(next_quarter_ic(ics, keys), keys, "left").join(mean_horizon_ics(ics, keys), keys, "left")

@@ -44,3 +44,24 @@ def with_candidate_scores(
     return expanded.withColumns({"candidate": F.col("_w.candidate"), out: score}).drop("_w")
 
 
+def score_arrays(
+    candidates: Mapping[str, Mapping[str, float]], names: Sequence[str] = HISTORICAL_FAMILIES, prefix: str = "pct_"
+) -> list[tuple[list[str], Column, Column]]:
+    """Candidates with the same weighted names, the array of their scores, and where these are numbers.
+
+    A score is NULL where all names that its candidate weighs are: so the scores of one array are numbers in the same rows.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for candidate, weights in candidates.items():
+        groups.setdefault(tuple(n for n in names if weights.get(n, 0.0) > 0), []).append(candidate)
+    out = []
+    for weighed, members in groups.items():
+        listed = candidate_list({c: candidates[c] for c in members}, names)
+        scores = F.transform(listed, lambda w: _weighted([(F.col(f"{prefix}{n}"), w[n]) for n in names]))
+        valid = F.lit(False)
+        for n in weighed:
+            valid = valid | F.col(f"{prefix}{n}").isNotNull()
+        out.append((members, scores, valid))
+    return out
+
+

@@ -53,7 +53,7 @@ def top_fraction(
     scored: DataFrame, keys: Sequence[str] = ("quarter_end",), fraction: float = TOP_FRACTION, score: str = "composite"
 ) -> DataFrame:
     """Best fifth of every quarter (at least one name), by an exact cut-off value per quarter."""
-    return first_by(scored, keys, score, "ticker", lambda n: quintile_size(n, fraction))
+    return first_by(scored, keys, score, "ticker", fraction, lambda n: quintile_size(n, fraction))
 
 
 def top_n(

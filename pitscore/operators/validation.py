@@ -92,12 +92,18 @@ def robust_columns() -> dict[str, Column]:
     }
 
 
-def _ranked(df: DataFrame, order: Sequence[str], digits: int = 9) -> DataFrame:
+def significant(c: Column, digits: int = 10) -> Column:
+    """Rounded to significant digits, so that the order of summation cannot decide, whatever the size."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - (digits - 1))
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.rint(c / scale) * scale)
+
+
+def _ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Number candidates by an objective; the baseline is kept unless strictly beaten.
 
     One row per candidate: the whole frame is as small as the candidate list.
     """
-    df = df.withColumns({c: F.round(c, digits) for c in order})
+    df = df.withColumns({c: significant(F.col(c)) for c in order})
     best = W.orderBy(*[F.desc(c) for c in order], F.asc("candidate"))
     everything = W.partitionBy()
     base = {f"_b_{c}": F.max(F.when(F.col("candidate") == "baseline", F.struct(*order))).over(everything)[c] for c in order}
@@ -133,7 +139,8 @@ def search_weights(
     held = materialize(backtest.with_holding_returns(base, monthly, delisted))
     expanded = with_candidate_scores(held, candidates).select("candidate", "quarter_end", "ticker", "composite", "held")
     # The objective needs the next quarter's correlation only.
-    runs = backtest.run_backtest(expanded, monthly, forward, delisted, windows, by=["candidate"], horizons=["1q"], rolling_months=rolling_months)
+    ics = backtest.candidate_ics(base, forward, candidates, horizons=["1q"])
+    runs = backtest.run_backtest(expanded, monthly, None, delisted, windows, by=["candidate"], horizons=["1q"], rolling_months=rolling_months, ics=ics)
     metrics = ("rolling_win_rate", "median_excess", "mean_ic", "cagr", "benchmark_cagr", "max_drawdown")
     wide = runs.groupBy("candidate").agg(
         *[F.max(F.when(F.col("window") == w.name, F.col(m))).alias(f"{w.name}_{m}") for w in windows for m in metrics]
@@ -189,14 +196,14 @@ def compare_candidates(
         {"n": "folds", "mean": "excess_mean", "ci_low": "excess_ci_low", "ci_high": "excess_ci_high"}
     )
     share = excess.groupBy("candidate").agg(F.avg((F.col("excess") > 0).cast("double")).alias("frac_folds_positive"))
-    ics = backtest.mean_horizon_ics(backtest.quarterly_ics(expanded, forward, by=["candidate"]), ["candidate"])
+    ics = backtest.mean_horizon_ics(backtest.candidate_ics(base, forward, candidates), ["candidate"])
     listed = scored.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in candidates])).alias("candidate"))
     rows = (
         listed.join(ics, "candidate", "left").join(interval, "candidate", "left").join(share, "candidate", "left")
         .fillna(0.0, ["frac_folds_positive", *[f"ic_{h}" for h in params.HORIZONS]])
         .fillna(0, ["folds"])
     )
-    order = W.orderBy(F.desc_nulls_last(F.round("excess_mean", 9)), F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("candidate")))
+    order = W.orderBy(F.desc_nulls_last(significant(F.col("excess_mean"))), F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("candidate")))
     everything = W.partitionBy()
     first = {f"_w_{c}": F.max(F.when(F.col("rank") == 1, F.col(c))).over(everything) for c in ("excess_ci_low", "excess_ci_high")}
     ranked = rows.withColumn("primary_ic", F.col(f"ic_{params.PRIMARY_HORIZON}")).withColumn("rank", F.row_number().over(order)).withColumns(first)
@@ -216,12 +223,11 @@ def validate_bargain_weights(
     unless another is better by at least 0.01 on the primary horizon."""
     names = tuple(params.BARGAIN_WEIGHTS)
     base = panel.select("quarter_end", "ticker", *[f"bargain_{n}" for n in names])
-    expanded = with_candidate_scores(base, candidates, names, "bargain_", "bargain_score")
-    ics = backtest.quarterly_ics(expanded, forward, "bargain_score", ["candidate"])
+    ics = backtest.candidate_ics(base, forward, candidates, names, "bargain_")
     rows = backtest.mean_horizon_ics(ics, ["candidate"]).withColumn("primary_ic", F.col(f"ic_{params.PRIMARY_HORIZON}"))
     everything, default = W.partitionBy(), "default_long_horizon"
     listed = F.array(*[F.lit(c) for c in candidates])
-    best = F.row_number().over(W.orderBy(F.desc(F.round("primary_ic", 9)), F.array_position(listed, F.col("candidate")))) == 1
+    best = F.row_number().over(W.orderBy(F.desc(significant(F.col("primary_ic"))), F.array_position(listed, F.col("candidate")))) == 1
     rows = rows.withColumn("_best", best).withColumns(
         {
             "_top": F.max(F.when(F.col("_best"), F.col("primary_ic"))).over(everything),

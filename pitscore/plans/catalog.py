@@ -736,7 +736,9 @@ def bootstrap_ci(p: Pipeline) -> DataFrame:
 
 @query
 def weight_search(p: Pipeline) -> DataFrame:
-    return validation.search_weights(p.scored, p.monthly, p.forward, p.delisted, _search(500), samples.WINDOWS, SEARCH_MONTHS)
+    # Closes of the given tables jump by factors; their 20th root moves like a share price.
+    monthly = p.monthly.withColumn("return", F.pow(F.col("return") + 1.0, F.lit(0.05)) - 1.0)
+    return validation.search_weights(p.scored, monthly, p.forward, p.delisted, _search(500), samples.WINDOWS, SEARCH_MONTHS)
 
 
 @query

@@ -260,17 +260,39 @@ def test_filing_sets_by_their_own_headers(spark, tmp_path):
         readers.read_filing_numbers(spark, str(tmp_path / "*" / "num.txt"))
 
 
-def test_order_statistics_split_clusters(spark, monkeypatch):
-    monkeypatch.setattr(distributed, "BUCKET_ROWS", 500)
-    n = 40_000
-    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), (50 + F.col("id") * (0.1 / n)).alias("v"))
-    rows, counts = distributed._parts(distributed._collapsed(df, ["g"], "v"), ["g"], "v")
-    assert rows.groupBy("g", "_b").count().agg(F.max("count")).first()[0] <= 500
+def test_order_statistics_of_clustered_values(spark):
+    n = 1_000_000
+    # Most values lie within 0.1 of 50, a tenth is one single value, and a few are far away.
+    v = F.when(F.col("id") % 10 == 3, 50.05).when(F.col("id") % 1000 == 7, F.col("id") * 1e6).otherwise(50 + F.col("id") * (0.1 / n))
+    df = spark.range(n).select(F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 9 == 0, "b").otherwise("a").alias("g"), v.alias("v"))
     pdf = df.toPandas()
-    for r in distributed.quantiles(df, ["g"], "v", {"m": 0.37}).collect():
-        assert r.m == pytest.approx(np.quantile(pdf[pdf.g == r.g].v, 0.37), rel=1e-15)
-    ranks = distributed.average_ranks(df, ["g"], "v").toPandas().sort_values(["g", "v"])
-    assert (ranks.groupby("g").cumcount() + 1 == ranks.avg_rank).all()
+    probs = {"lo": 0.01, "q": 0.37, "q2": 0.3701, "m": 0.5, "hi": 0.99, "least": 0.0, "most": 1.0}
+    found = distributed.quantiles(df, ["g"], "v", probs).collect()
+    assert len(found) == 3
+    for r in found:
+        mine = pdf[pdf.g.isna() if r.g is None else pdf.g == r.g].v
+        assert r.n == len(mine) and [r[k] for k in probs] == pytest.approx(list(np.quantile(mine, list(probs.values()))), rel=1e-14)
+
+
+def test_large_groups_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(distributed, "PART_ROWS", 300)
+    rng = random.Random(8)
+    rows = [(rng.choice(("a", "a", "b", None)), f"t{i:05d}", rng.choice([rng.random(), 0.5, rng.gauss(0, 1e5)]), rng.choice([rng.random(), 0.25])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "quarter_end string, ticker string, composite double, w double").repartition(5)
+    pdf = df.toPandas()
+    group = pdf.groupby("quarter_end", dropna=False)
+    pdf["r"], pdf["rw"] = group.composite.rank(), group.w.rank()
+    ranks = {(r.quarter_end, r.composite): r.avg_rank for r in distributed.average_ranks(df, ["quarter_end"], "composite").collect()}
+    assert all(ranks[None if pd.isna(x.quarter_end) else x.quarter_end, x.composite] == x.r for x in pdf.itertuples())
+    both = distributed.rank_correlation(df, ["quarter_end"], F.array("composite", -F.col("composite"), "w"), "w").collect()
+    assert len(both) == 9
+    for r in both:
+        part = pdf[pdf.quarter_end.isna() if r.quarter_end is None else pdf.quarter_end == r.quarter_end]
+        expected = np.corrcoef(part.r, part.rw)[0, 1]
+        assert r.ic == pytest.approx((expected, -expected, 1.0)[r.pos], abs=1e-12)
+    got = sorted(r.ticker for r in screens.top_fraction(df).collect())
+    best = [p.sort_values(["composite", "ticker"], ascending=[False, True]).head(int(np.ceil(len(p) * 0.2))) for _, p in group]
+    assert got == sorted(t for p in best for t in p.ticker)
 
 
 def test_order_statistics_with_nan_and_infinity(spark):
