@@ -5,8 +5,9 @@ numbered; words are counted across shards, and only those with ``min_count`` occ
 text of ids (all others end phrases, which no candidate can contain). Each shard keeps the Burrows-Wheeler transforms of
 its text and of the reversed text. Phrases grow by one word a round, to the left in even rounds and to the
 right in odd ones; a shard gives each extension whose two parts (without the last, without the first word) reached
-``min_count`` over all shards, with its count; counts are summed across shards, and what reaches ``min_count``
-grows on. So a round holds no phrase that cannot be a candidate but those that the sum rules out.
+``min_count`` over all shards, with its count. All phrases are dealt into parts by a hash, the same in every shard; a
+part sums the counts of its phrases across shards, and what reaches ``min_count`` goes back to its shards and
+grows on. Phrases travel as packed columns, one blob per shard and part, so the shuffle holds about ten bytes for each.
 
 A phrase's counts of first and last parts travel along as two arrays. Left and right extensions tell whether a
 longer candidate has nearly the same count: counts fall along extensions, so looking at one word more is exact.
@@ -99,12 +100,15 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(lang)
 
 
-#: Rows of an index (``forward``, ``reverse``, ``n_ids``) and of the phrases of its shard.
-_INDEX = pa.schema(
-    [("shard", pa.int64()), ("lang", pa.string()), ("n_ids", pa.int64()), ("forward", pa.binary()), ("reverse", pa.binary())]
-    + [(c, pa.int64()) for c in ("p", "s")] + [(c, pa.int32()) for c in ("low", "back", "n")]
-)
-_PHRASE = pa.schema([f for f in _INDEX if f.name in ("shard", "p", "s", "low", "back", "n")])
+_INDEX = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n_ids", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("forward", pa.binary()), ("reverse", pa.binary())])
+#: Phrases of a shard for one part of all phrases: columns of ``_GROWN``, packed.
+_DEALT = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("z", pa.binary())])
+_GROWN = (("p", np.int64), ("s", np.int64), ("n", np.int32), ("low", np.int32), ("back", np.int32))
+#: A frequent phrase (``id, p, s, f``), or the frequent phrases of a shard in one part: columns of ``_ALIVE``, packed.
+_SUMMED = pa.schema([("shard", pa.int64()), ("z", pa.binary()), ("id", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("f", pa.int64())])
+_ALIVE = (("id", np.int64), ("n", np.int32), ("low", np.int32), ("back", np.int32))
+#: Rows of a part at most, about: what a task sums at once.
+PART_ROWS = 1 << 20
 
 
 def _spark(schema: pa.Schema) -> str:
@@ -112,65 +116,127 @@ def _spark(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def _open(z: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.int32)
+def _open(z: bytes, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), kind)
+
+
+def _pack(columns: dict[str, np.ndarray], kinds: tuple) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(columns[name].astype(kind).tobytes() for name, kind in kinds))
+
+
+def _unpack(blobs: list[bytes], kinds: tuple) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of all blobs, one behind the other, and how many rows each blob has."""
+    width, parts, sizes = sum(np.dtype(kind).itemsize for _, kind in kinds), {name: [np.zeros(0, kind)] for name, kind in kinds}, []
+    for z in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(z)
+        n, at = len(raw) // width, 0
+        sizes.append(n)
+        for name, kind in kinds:
+            parts[name].append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {name: np.concatenate(x) for name, x in parts.items()}, np.array(sizes, np.int64)
 
 
 def _build(_: tuple, shard: pa.Table, known: pa.Table) -> pa.Table:
-    """Index of one shard over its frequent words, and its phrases of two words."""
-    out = []
-    if shard.num_rows and known.num_rows:
-        name, lang = shard.column("shard")[0].as_py(), shard.column("lang")[0].as_py()
-        text = _open(shard.column("z")[0].as_py())
-        no = known.column("no").to_numpy()
-        order = np.argsort(no)
-        global_id = np.concatenate(([0], known.column("id").to_numpy()[order]))
-        new = np.zeros(int(np.abs(text).max()) + 1, np.int32)
-        new[no[order]] = np.arange(1, len(no) + 1)
-        ids = new[np.abs(text)]
-        # A 0 stands where a piece begins and for every run of other words; one ends the text.
-        begins = text < 0
-        place = np.arange(len(ids)) + np.cumsum(begins)
-        wide = np.zeros(len(ids) + int(begins.sum()) + 1, np.int32)
-        wide[place] = ids
-        keep = np.ones(len(wide), bool)
-        keep[1:] = (wide[1:] > 0) | (wide[:-1] > 0)
-        wide = wide[keep]
-        n_ids = len(global_id)
-        shut = zstandard.ZstdCompressor(level=1).compress
-        forward, reverse = (fmindex.transform(x, n_ids).astype(np.int32) for x in (wide, wide[::-1]))
-        index = [pa.array([shut(x.tobytes())], pa.binary()) for x in (forward, reverse)]
-        out.append(_rows(_INDEX, 1, shard=name, lang=lang, n_ids=n_ids, forward=index[0], reverse=index[1]))
-        direction = fmindex.Direction(forward, n_ids)
-        low, count = fmindex.words(direction)
-        e = direction.extend(low, count, low)
-        out.append(_rows(_INDEX, len(e.id), shard=name, p=global_id[e.id], s=global_id[e.of + 1], low=e.low, back=e.other, n=e.count))
-    return pa.Table.from_batches(out, schema=_INDEX)
-
-
-def _extended(left: bool):
+    """Index of one shard over its frequent words."""
+    if not shard.num_rows or not known.num_rows:
+        return _INDEX.empty_table()
+    text = _open(shard.column("z")[0].as_py())
+    no = known.column("no").to_numpy()
+    order = np.argsort(no)
+    new = np.zeros(int(np.abs(text).max()) + 1, np.int32)
+    new[no[order]] = np.arange(1, len(no) + 1)
+    ids = new[np.abs(text)]
+    # A 0 stands where a piece begins and for every run of other words; one ends the text.
+    begins = text < 0
+    place = np.arange(len(ids)) + np.cumsum(begins)
+    wide = np.zeros(len(ids) + int(begins.sum()) + 1, np.int32)
+    wide[place] = ids
+    keep = np.ones(len(wide), bool)
+    keep[1:] = (wide[1:] > 0) | (wide[:-1] > 0)
+    wide = wide[keep]
+    n_ids = len(no) + 1
+    shut = zstandard.ZstdCompressor(level=1).compress
+    sides = [pa.array([shut(fmindex.transform(x, n_ids).astype(np.int32).tobytes())], pa.binary()) for x in (wide, wide[::-1])]
+    global_id = pa.array([shut(np.concatenate(([0], known.column("id").to_numpy()[order])).astype(np.int64).tobytes())], pa.binary())
+    row = _rows(_INDEX, 1, shard=shard.column("shard")[0].as_py(), lang=shard.column("lang")[0].as_py(), n_ids=n_ids, size=len(wide), ids=global_id, forward=sides[0], reverse=sides[1])
+    return pa.Table.from_batches([row])
+
+
+def _dealt(shard: int, parts: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A shard's phrases, packed by part: a phrase is in the same part in every shard."""
+    part = (w.mix(columns["p"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ columns["s"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    groups = np.split(order, cut[1:]) if len(cut) else []
+    z = [_pack({name: columns[name][g] for name, _ in _GROWN}, _GROWN) for g in groups]
+    return _rows(_DEALT, len(z), part=part[order[cut]], shard=shard, z=pa.array(z, pa.binary()))
+
+
+def _pairs(parts: int):
+    """Phrases of two words of each index: every word extended to the left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                direction = fmindex.Direction(_open(row["forward"]), row["n_ids"])
+                low, count = fmindex.words(direction)
+                e = direction.extend(low, count, low)
+                ids = _open(row["ids"], np.int64)
+                yield _dealt(row["shard"], parts, {"p": ids[e.id], "s": ids[e.of + 1], "n": e.count, "low": e.low, "back": e.other})
+
+    return run
+
+
+def _summed(min_count: int):
+    """Counts of the phrases of one part over all shards; those that reach ``min_count`` get ids and live on in their shards."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        columns, sizes = _unpack(table.column("z").to_pylist(), _GROWN)
+        order = np.lexsort((columns["s"], columns["p"]))
+        p, s = columns["p"][order], columns["s"][order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(p)), bool), (p[1:] != p[:-1]) | (s[1:] != s[:-1]))))
+        f = np.add.reduceat(columns["n"][order].astype(np.int64), first) if len(first) else first
+        often = f >= min_count
+        ids = (key[0].as_py() << 32) + np.arange(int(often.sum()))
+        out = [_rows(_SUMMED, len(ids), id=ids, p=p[first[often]], s=s[first[often]], f=f[often])]
+        of_group = np.full(len(first), -1, np.int64)
+        of_group[often] = ids
+        own = np.empty(len(p), np.int64)
+        own[order] = np.repeat(of_group, np.diff(np.append(first, len(p))))
+        ends, blobs, shards = np.cumsum(sizes), [], []
+        for shard, start, end in zip(table.column("shard").to_pylist(), ends - sizes, ends):
+            live = np.flatnonzero(own[start:end] >= 0) + start
+            if len(live):
+                shards.append(shard)
+                blobs.append(_pack({"id": own[live], **{c: columns[c][live] for c in ("n", "low", "back")}}, _ALIVE))
+        out.append(_rows(_SUMMED, len(blobs), shard=np.array(shards, np.int64), z=pa.array(blobs, pa.binary())))
+        return pa.Table.from_batches(out, schema=_SUMMED)
+
+    return run
+
+
+def _extended(left: bool, parts: int):
     """Extensions by one word of a shard's living phrases whose other part lives too."""
 
     def run(_: tuple, index: pa.Table, alive: pa.Table) -> pa.Table:
-        out = []
-        if index.num_rows and alive.num_rows:
-            n_ids = index.column("n_ids")[0].as_py()
-            low, back, n, ids = (alive.column(c).to_numpy().astype(np.int64) for c in ("low", "back", "n", "id"))
-            here, there = (low, back) if left else (back, low)
-            order = np.argsort(here)
-            here, there, n, ids = here[order], there[order], n[order], ids[order]
-            direction = fmindex.Direction(_open(index.column("forward" if left else "reverse")[0].as_py()), n_ids)
-            e = direction.extend(here, n, there)
-            # The other part has the new interval inside its own; phrases of one length are disjoint and sorted.
-            at = np.maximum(here.searchsorted(e.low, "right") - 1, 0)
-            lives = (e.low >= here[at]) & (e.low < here[at] + n[at])
-            grown, part = ids[e.of[lives]], ids[at[lives]]
-            place, other = e.low[lives], e.other[lives]
-            out.append(_rows(
-                _PHRASE, len(grown), shard=index.column("shard")[0].as_py(), n=e.count[lives],
-                p=part if left else grown, s=grown if left else part, low=place if left else other, back=other if left else place,
-            ))
-        return pa.Table.from_batches(out, schema=_PHRASE)
+        if not index.num_rows or not alive.num_rows:
+            return _DEALT.empty_table()
+        columns, _ = _unpack(alive.column("z").to_pylist(), _ALIVE)
+        low, back, n, ids = (columns[c].astype(np.int64) for c in ("low", "back", "n", "id"))
+        here, there = (low, back) if left else (back, low)
+        order = np.argsort(here)
+        here, there, n, ids = here[order], there[order], n[order], ids[order]
+        direction = fmindex.Direction(_open(index.column("forward" if left else "reverse")[0].as_py()), index.column("n_ids")[0].as_py())
+        e = direction.extend(here, n, there)
+        # The other part has the new interval inside its own; phrases of one length are disjoint and sorted.
+        at = np.maximum(here.searchsorted(e.low, "right") - 1, 0)
+        lives = (e.low >= here[at]) & (e.low < here[at] + n[at])
+        grown, part = ids[e.of[lives]], ids[at[lives]]
+        place, other = e.low[lives], e.other[lives]
+        found = {"p": part if left else grown, "s": grown if left else part, "n": e.count[lives], "low": place if left else other, "back": other if left else place}
+        return pa.Table.from_batches([_dealt(index.column("shard")[0].as_py(), parts, found)], schema=_DEALT)
 
     return run
 
@@ -195,27 +261,23 @@ def phrase_counts(docs: DataFrame, min_count: int = 100) -> tuple[DataFrame, lis
     words = staged(often.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", counts.alias("firsts"), counts.alias("lasts"), none.alias("p"), none.alias("s")))
     known = found.select("shard", "no", "lang", "word").join(words.select("lang", F.col("phrase").alias("word"), "id").hint("shuffle_hash"), ["lang", "word"]).select(F.col("shard").alias("of"), "no", "id")
     coded = rows.filter("z is not null").select("shard", "lang", "z")
-    built = staged(coded.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_build, _spark(_INDEX)))
-    index = built.filter("forward is not null").select("shard", "n_ids", "forward", "reverse")
-    grown, levels = built.filter("p is not null").select(*_PHRASE.names), [words]
+    index = staged(coded.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_build, _spark(_INDEX)))
+    parts = max(1, -(-(index.agg(F.sum("size")).first()[0] or 0) // PART_ROWS))
+    grown, levels = index.select("shard", "n_ids", "ids", "forward").mapInArrow(_pairs(parts), _spark(_DEALT)), [words]
     for length in range(2, fmindex.DEPTH + 1):
         before = levels[-1]
-        summed = grown.groupBy("p", "s").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+        summed = staged(grown.groupBy("part").applyInArrow(_summed(min_count), _spark(_SUMMED)))
         part = before.select(F.col("id").alias("p"), "lang", "phrase", "firsts").hint("shuffle_hash")
         rest = before.select(F.col("id").alias("s"), "last", "lasts").hint("shuffle_hash")
-        named = summed.join(part, "p").join(rest, "s")
-        level = staged(named.select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f",
+        named = summed.filter("id is not null").select("id", "p", "s", "f").join(part, "p").join(rest, "s")
+        levels.append(staged(named.select(
+            "id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f",
             _next_to(F.col("firsts"), F.col("f")).alias("firsts"), _next_to(F.col("lasts"), F.col("f")).alias("lasts"), "p", "s",
-        ))
-        levels.append(level)
+        )))
         if length < fmindex.DEPTH:
-            alive = grown.join(level.select("p", "s", "id").hint("shuffle_hash"), ["p", "s"]).select(F.col("shard").alias("of"), "low", "back", "n", "id")
             side = "forward" if length % 2 else "reverse"
-            grown = staged(
-                index.select("shard", "n_ids", side).groupBy("shard").cogroup(alive.groupBy("of"))
-                .applyInArrow(_extended(side == "forward"), _spark(_PHRASE))
-            )
+            alive = summed.filter("z is not null").select(F.col("shard").alias("of"), "z")
+            grown = index.select("shard", "n_ids", side).groupBy("shard").cogroup(alive.groupBy("of")).applyInArrow(_extended(side == "forward", parts), _spark(_DEALT))
     return total, levels
 
 
