@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pitscore.session import scratch_dir
 
 #: Bytes of text that a worker handles at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _WRITTEN: list[str] = []
 
 
