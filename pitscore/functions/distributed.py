@@ -225,6 +225,21 @@ def first_by(
     return found.filter((F.col(value) > F.col("_cut")) | ((F.col(value) == F.col("_cut")) & (F.col(tie) <= F.col("_last")))).drop("_cut", "_last")
 
 
+def positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """``df`` with the place of each row (from 1) in a total order.
+
+    Rows are sorted by ranges and written; what a range adds to the places is the number of rows before it, so
+    no task sees all rows. One row per range is numbered in one place.
+    """
+    placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftrightunsigned("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", before.alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("_range", F.shiftrightunsigned("_at", 33)).join(offsets, "_range")
+    return joined.withColumn(name, F.col("_before") + inside + 1).drop("_range", "_before", "_at")
+
+
 def _text_code(text: Column) -> Column:
     """A double that does not decrease with the text: its first six bytes as one number, exact below 2**53."""
     head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0")

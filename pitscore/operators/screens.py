@@ -32,9 +32,13 @@ def good_buys(scored: DataFrame, watchlist: DataFrame, thresholds: Thresholds) -
     return with_good_buy(scored.join(watchlist.select("ticker"), "ticker", "left_semi"), thresholds).filter("is_good_buy")
 
 
-def scorecard(df: DataFrame) -> DataFrame:
+def scorecard_order() -> list[Column]:
     """Buys first, best composite first, then ticker."""
-    return df.orderBy(F.desc("is_good_buy"), F.desc_nulls_last("composite"), F.asc("ticker"))
+    return [F.desc("is_good_buy"), F.desc_nulls_last("composite"), F.asc("ticker")]
+
+
+def scorecard(df: DataFrame) -> DataFrame:
+    return df.orderBy(*scorecard_order())
 
 
 def scorecard_counts(df: DataFrame) -> DataFrame:

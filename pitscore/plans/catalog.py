@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitscore import params
-from pitscore.functions.distributed import quantiles
+from pitscore.functions.distributed import positions, quantiles
 from pitscore.operators import (
     analysts, asof, backtest, bargain, candidates, dca, factors, ingest, live, overlay, prices, returns,
     scoring, screens, validation,
@@ -492,9 +492,7 @@ def good_buys(p: Pipeline) -> DataFrame:
 
 @query
 def scorecard(p: Pipeline) -> DataFrame:
-    ordered = screens.scorecard(_aligned(p)).select(*RESULT)
-    order = W.orderBy(F.desc("is_good_buy"), F.desc_nulls_last("composite"), F.asc("ticker"))
-    return ordered.withColumn("position", F.row_number().over(order))
+    return positions(_aligned(p).select(*RESULT), screens.scorecard_order())
 
 
 @query

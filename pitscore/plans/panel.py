@@ -31,6 +31,11 @@ def historical_raw(members: DataFrame, prices: DataFrame, fundamentals: DataFram
 
 def factor_panel(members: DataFrame, prices: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Panel ``quarter_end, ticker, price, market_cap, fifty_two_week_high``, signals, bargain columns."""
-    wide = historical_raw(members, prices, fundamentals).withColumns(factor_columns())
+    return panel_of(historical_raw(members, prices, fundamentals))
+
+
+def panel_of(raw: DataFrame) -> DataFrame:
+    """The panel from inputs that ``historical_raw`` has built."""
+    wide = raw.withColumns(factor_columns())
     panel = wide.select("quarter_end", "ticker", "price", "market_cap", "fifty_two_week_high", *SIGNALS)
     return enrich_panel(panel)

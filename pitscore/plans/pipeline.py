@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pitscore import params
 from pitscore.operators import asof, ingest, returns, scoring
-from pitscore.plans.panel import factor_panel, historical_raw
+from pitscore.plans.panel import factor_panel, historical_raw, panel_of
 from pitscore.session import stage
 from pitscore.sources import samples
 
@@ -61,7 +61,7 @@ class Pipeline:
 
     @property
     def panel(self) -> DataFrame:
-        return self._stage("panel", self.build_panel)
+        return self._stage("panel", lambda: ingest.first_sector(panel_of(self.raw), self.view("universe")))
 
     @property
     def scored(self) -> DataFrame:

@@ -37,7 +37,7 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return sc.getCheckpointDir().rstrip("/")
@@ -56,9 +56,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _state(spark: SparkSession, folder: str) -> str:
+    """Names, times and sizes of a folder's tables: one listing, whatever their size."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return "|".join(sorted(f"{f.getPath().getName()}:{f.getModificationTime()}:{f.getLen()}" for f in found))
+
+
 def stage(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
-    """Table of a pipeline stage, written on first use in this application and read by later ones."""
-    full = (spark.sparkContext.applicationId, *key)
+    """Table of a pipeline stage of the folder ``key[0]``, written on first use in this application and read by later ones.
+
+    A folder whose tables were replaced since then has other stages.
+    """
+    full = (spark.sparkContext.applicationId, *key, _state(spark, key[0]))
     if full not in _STAGES:
         _STAGES[full] = materialize(build())
     return _STAGES[full]

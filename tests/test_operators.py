@@ -295,6 +295,22 @@ def test_large_groups_in_parts(spark, monkeypatch):
     assert got == sorted(t for p in best for t in p.ticker)
 
 
+def test_positions(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("v")).repartition(7)
+    assert all(r.position == r.v + 1 for r in distributed.positions(df, [F.asc("v")]).collect())
+    assert distributed.positions(df.limit(0), [F.asc("v")]).collect() == []
+
+
+def test_stage_of_a_rewritten_folder(spark, tmp_path):
+    from pitscore.session import stage
+
+    folder = str(tmp_path / "in")
+    for n in (3, 4):
+        spark.range(n).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+        rows = [stage(spark, (folder, "t"), lambda: spark.read.parquet(f"{folder}/t.parquet")) for _ in range(2)]
+        assert rows[0] is rows[1] and rows[0].count() == n
+
+
 def test_order_statistics_with_nan_and_infinity(spark):
     values = [float(i) for i in range(20)] + [float("nan"), float("inf"), float("-inf"), None]
     df = spark.createDataFrame([("x", f"t{i}", v) for i, v in enumerate(values)], "quarter_end string, ticker string, composite double")

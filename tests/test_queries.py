@@ -15,7 +15,7 @@ from pitscore.plans.catalog import QUERIES
 DATA = "/root/testdata/sf0.001"
 # Sectors of more than a name and buckets need more data.
 LARGER = "/root/testdata/sf0.01"
-LARGER_QUERIES = ("sector_zscore", "score_buckets", "calibrate_thresholds", "winsor_bounds", "composite")
+LARGER_QUERIES = ("sector_zscore", "score_buckets", "calibrate_thresholds", "winsor_bounds", "composite", "weight_search")
 ORACLES = oracle_sql()
 
 
