@@ -265,6 +265,12 @@ final("live_scores", f"with {_ANALYSIS} select * from live", *_RES)
 final("aligned_scores", f"with {_ANALYSIS} select * from aligned", *_RES)
 final("good_buys", f"with {_ANALYSIS} select * from aligned where is_good_buy and ticker in (select ticker from v_watch)", *_RES)
 final("scorecard", f"with {_ANALYSIS} select *, row_number() over (order by is_good_buy desc, composite desc nulls last, ticker) as position from aligned", *_RES)
+final("no_universe", "select ticker, " + ", ".join(f"cast(null as double) as pct_{f}" for f in LIVE_FAMILIES)
+      + ", cast(null as double) as composite, 0.0::double as factor_coverage_pct, false as is_good_buy from v_universe")
+final("numeric_coercion", """
+    select o_orderkey, case when isnan(x) then null else x end as amount from (
+      select o_orderkey, try_cast(case o_orderkey % 4 when 0 then o_orderpriority when 1 then 'NaN' when 2 then cast(o_totalprice as varchar)
+        else concat(' ', o_custkey, ' ') end as double) as x from orders)""", "amount")
 final("scorecard_counts", f"with {_ANALYSIS} select count(*) filter (is_good_buy) as buy_count, count(*) as total_count from aligned")
 final("top20", "select ticker, composite from v_live_scored where composite is not null order by composite desc, ticker limit 20", "composite")
 final("display_fields", """

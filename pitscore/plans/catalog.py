@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitscore import params
+from pitscore.functions.columns import to_double
 from pitscore.functions.distributed import positions, quantiles
 from pitscore.operators import (
     analysts, asof, backtest, bargain, candidates, dca, factors, ingest, live, overlay, prices, returns,
@@ -495,6 +496,22 @@ def scorecard(p: Pipeline) -> DataFrame:
     return positions(_aligned(p).select(*RESULT), screens.scorecard_order())
 
 
+@query
+def no_universe(p: Pipeline) -> DataFrame:
+    return scoring.unscored(p.view("universe").select("ticker"))
+
+
+@query
+def numeric_coercion(p: Pipeline) -> DataFrame:
+    kind = F.col("o_orderkey") % 4
+    text = (
+        F.when(kind == 0, F.col("o_orderpriority")).when(kind == 1, "NaN")
+        .when(kind == 2, F.col("o_totalprice").cast("string")).otherwise(F.concat(F.lit(" "), F.col("o_custkey"), F.lit(" ")))
+    )
+    orders = p.spark.read.parquet(f"{p.sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", to_double(text).alias("amount"))
+
+
 @query
 def scorecard_counts(p: Pipeline) -> DataFrame:
     return screens.scorecard_counts(_aligned(p))
