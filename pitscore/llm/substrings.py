@@ -14,7 +14,8 @@ whose common prefix is as long as any decision needs.
 
 The common prefixes are whole phrases, so they are the repeated intervals up to their ragged ends. Anchors
 next to such ends, and copies of them elsewhere (one for each class of equal surroundings), are settled by
-comparing 128-bit hashes of all their 400-byte windows.
+comparing 128-bit hashes of all their 400-byte windows, among anchors that agree on the bytes which every
+window of an anchor holds.
 
 Defined results: null and empty texts have no bytes and nothing is removed; texts below 400 bytes have no
 window; repeated rows are copies of each other and removed whole if long enough; rows without ``doc_id`` take
@@ -77,8 +78,8 @@ class Parse:
 
     ``at`` has the anchors' places, ``text`` their texts, ``low`` and ``high`` the first and last start of a
     window of LENGTH bytes that each is the anchor of (``high < low`` if none is). ``symbol`` is the hash of the
-    phrase up to the next anchor, 0 if there is none or the anchor's k-gram has a short period; ``key`` is the
-    symbol, or the k-gram's hash in its place.
+    phrase up to the next anchor, 0 if there is none or the anchor's k-gram has a short period; ``key`` names the
+    symbol, or the k-gram in its place, and the bytes behind the anchor that all its windows hold.
     """
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
@@ -106,7 +107,9 @@ class Parse:
         same[:-1] = self.text[1:] == self.text[:-1]
         end = np.where(same, np.append(self.at[1:], 0), self.at + GRAM)
         self.symbol = np.where(same & valid, self.hash.run(self.at, end) | np.uint64(1), np.uint64(0))
-        self.key = np.where(valid, self.symbol, gram | np.uint64(1))
+        named = np.where(valid, self.symbol, gram | np.uint64(1))
+        core = self.hash.run(self.at, np.minimum(self.at + LENGTH - SPAN + 1, off[self.text + 1]))
+        self.key = np.where(named > 0, w.mix(named ^ w.mix(core)) | np.uint64(1), np.uint64(0))
         # Equal surroundings: the anchor's windows have equal bytes, at equal places from it.
         stop = np.maximum(self.low, self.high + LENGTH)
         self.around = w.mix(self.hash.run(self.low, stop) ^ ((self.at - self.low).astype(np.uint64) << np.uint64(20)) ^ (stop - self.low).astype(np.uint64))
