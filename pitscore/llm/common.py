@@ -20,20 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: durable, prunable, of known size."""
+def written(df: DataFrame, *parts: str) -> str:
+    """Write ``df`` to the shared folder, in folders by the values of ``parts``; its path."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: durable, prunable, of known size."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete all tables that ``staged`` wrote; only for an owner whose results are written already."""
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _WRITTEN.pop())
 
 
 def filled(texts: pa.Array) -> pa.StringArray:

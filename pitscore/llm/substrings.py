@@ -34,9 +34,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pitscore.llm import words as w
-from pitscore.llm.common import slices, staged
+from pitscore.llm.common import delete, slices, staged, written
 
 LENGTH = 400
 #: Bytes of an anchor's k-gram, starts among which it is least, longest period of a k-gram that is no anchor.
@@ -44,6 +45,8 @@ GRAM, SPAN, PERIOD = 40, 128, 30
 SHARD_BYTES = 24 << 20
 #: A common prefix of so many bytes covers every window that starts in its first phrase.
 ENOUGH = LENGTH + SPAN + GRAM
+#: Window starts that are told apart by their common bytes before each is hashed alone.
+BLOCK = 16
 _OTHER = np.random.Generator(np.random.PCG64(9)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -116,6 +119,28 @@ class Parse:
         self.bounds = self.text.searchsorted(np.arange(len(size) + 1))
 
 
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """A byte for each anchor's step from the one before it, and one for its step back to ``low`` (top bit: no symbol)."""
+        before = np.concatenate((np.zeros(1, np.int64), self.at[:-1]))[: len(self.at)]
+        first = self.bounds[:-1][np.diff(self.bounds) > 0]
+        before[first] = self.off[self.text[first]]
+        return (self.at - before).astype(np.uint8), (self.at - self.low + 128 * (self.symbol == 0)).astype(np.uint8)
+
+
+def _anchors(steps: pa.ChunkedArray, lows: pa.ChunkedArray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``at, low, high``, whether there is no symbol, and the anchors of each text, from packed anchors."""
+    step, count = _joined(steps, np.uint8)
+    low, _ = _joined(lows, np.uint8)
+    sums = np.concatenate(([0], np.cumsum(step, dtype=np.int64)))
+    at = sums[1:] - np.repeat(sums[np.cumsum(count) - count], count)
+    start = at - (low & 127)
+    row = np.repeat(np.arange(len(count)), count)
+    high = size[row] - LENGTH
+    same = np.flatnonzero(row[1:] == row[:-1])
+    high[same] = np.minimum(high[same], start[same + 1] - 1)
+    return at, start, high, low >= 128, count
+
+
 def _arrays(a: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([a[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
 
@@ -139,17 +164,17 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         names = pa.schema(
             [("shard", pa.int64()), ("uid", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("sha", pa.string()), ("z", pa.binary())]
-            + [(c, pa.binary()) for c in ("at", "low", "high", "symbols", "keys", "around")] + [("symbol", pa.int64()), ("n", pa.int64())]
+            + [(c, pa.binary()) for c in ("steps", "lows", "symbols", "keys", "around")] + [("symbol", pa.int64()), ("n", pa.int64())]
         )
         raw, off = w.text_bytes(batch.column("text"))
         p = Parse(raw, off)
         data = raw.tobytes()
         texts = [data[a:b] for a, b in zip(off, off[1:])]
-        start = off[p.text] if len(p.at) else p.at
+        steps, lows = p.packed()
         yield out(
             shard=pa.array(np.full(batch.num_rows, base + shard)), uid=pa.array(base + row + np.arange(batch.num_rows)), doc_id=batch.column("doc_id"), n_bytes=pa.array(np.diff(off)),
             sha=pa.array([hashlib.sha256(t).hexdigest() for t in texts]), z=pa.array([shut(t) for t in texts], pa.binary()),
-            at=_arrays((p.at - start).astype(np.int32), p.bounds), low=_arrays((p.low - start).astype(np.int32), p.bounds), high=_arrays((p.high - start).astype(np.int32), p.bounds),
+            steps=_arrays(steps, p.bounds), lows=_arrays(lows, p.bounds),
             symbols=_arrays(p.symbol, p.bounds), keys=_arrays(p.key, p.bounds), around=_arrays(p.around, p.bounds),
         )
         seen = [np.concatenate([*seen, p.symbol[p.symbol > 0]])] if len(seen) > 64 else [*seen, p.symbol[p.symbol > 0]]
@@ -171,7 +196,7 @@ def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray
 def _transform(_: tuple, texts: pa.Table, names: pa.Table) -> pa.Table:
     """A shard's transform over the symbols that occur twice or more in the corpus, and its first intervals."""
     symbol, count = _joined(texts.column("symbols"), np.uint64)
-    at, _ = _joined(texts.column("at"), np.int32)
+    step, _ = _joined(texts.column("steps"), np.uint8)
     row = np.repeat(np.arange(texts.num_rows), count)
     known = np.sort(names.column("symbol").to_numpy().view(np.uint64))
     order = np.argsort(names.column("symbol").to_numpy().view(np.uint64))
@@ -182,18 +207,19 @@ def _transform(_: tuple, texts: pa.Table, names: pa.Table) -> pa.Table:
     after[live] = np.arange(len(live))
     follow = np.append(after[1:], -1)[live] if len(live) else live
     follow = np.where((follow >= 0) & (row[np.minimum(live + 1, len(row) - 1)] == row[live]), follow, -1) if len(live) else live
-    length = (at[np.minimum(live + 1, len(at) - 1)] - at[live]).astype(np.int64) if len(live) else live
+    # An anchor with a symbol has one behind it in its text.
+    length = step[live + 1].astype(np.int64) if len(live) else live
     # Sort the shard's suffixes once: ranks of one, two, four and eight symbols, then by those behind them.
     rank = number[near[live]] if len(live) else live
-    step = follow.copy()
+    ahead = follow.copy()
     for _round in range(4):
-        behind = np.where(step >= 0, rank[np.maximum(step, 0)], -1) if len(live) else live
+        behind = np.where(ahead >= 0, rank[np.maximum(ahead, 0)], -1) if len(live) else live
         by = np.lexsort((behind, rank))
         new = np.ones(len(by), bool)
         new[1:] = (rank[by][1:] != rank[by][:-1]) | (behind[by][1:] != behind[by][:-1])
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new)
-        step = np.where(step >= 0, step[np.maximum(step, 0)], -1) if len(live) else live
+        ahead = np.where(ahead >= 0, ahead[np.maximum(ahead, 0)], -1) if len(live) else live
     order = np.argsort(rank, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -212,11 +238,11 @@ def _transform(_: tuple, texts: pa.Table, names: pa.Table) -> pa.Table:
 
 _STATE = {"uid": np.int64, "j": np.int32, "length": np.int32, "bwt": np.int64, "front": np.int32, "interval": np.int64, "reach": np.int32, "best": np.int32}
 _DONE = {"done_uid": np.int64, "done_j": np.int32, "done_best": np.int32}
-_STATE_SCHEMA = "shard bigint, " + ", ".join(f"{k} binary" for k in (*_STATE, *_DONE)) + ", bwt_key bigint, interval_key bigint, n bigint"
+_STATE_SCHEMA = "part string, shard bigint, " + ", ".join(f"{k} binary" for k in (*_STATE, *_DONE)) + ", bwt_key bigint, interval_key bigint, n bigint"
 
 
 def _packed(shard: int, s: dict[str, np.ndarray]) -> pa.Table:
-    """The shard's state as one row, its finished suffixes beside it, and its distinct open pairs.
+    """The shard's state as one row, its finished suffixes as another, and its distinct open pairs.
 
     A suffix grows while its interval has copies, its common prefix is short and the suffix behind it has
     copies too. The state keeps growing suffixes and those behind them; all others are finished.
@@ -234,12 +260,15 @@ def _packed(shard: int, s: dict[str, np.ndarray]) -> pa.Table:
     front = np.where((s["front"] >= 0) & np.append(grows, False)[s["front"]], place[s["front"]], -1) if len(keep) else s["front"]
     done = {f"done_{k}": s[k][~keep] for k in ("uid", "j", "best")}
     state = {k: v[keep] for k, v in {**s, "front": front}.items()}
-    empty = pa.nulls(len(n), pa.binary())
-    columns = [pa.array([shard] * (len(n) + 1), pa.int64())]
-    columns += [pa.concat_arrays([pa.array([state[k].astype(t).tobytes()], pa.binary()), empty]) for k, t in _STATE.items()]
-    columns += [pa.concat_arrays([pa.array([done[k].astype(t).tobytes()], pa.binary()), empty]) for k, t in _DONE.items()]
-    columns += [pa.array([None, *x.tolist()], pa.int64()) for x in (pairs[:, 0], pairs[:, 1], n)]
-    return pa.table(columns, names=["shard", *_STATE, *_DONE, "bwt_key", "interval_key", "n"])
+    here = {"open": int(keep.any()), "done": int((~keep).any()), "pair": len(n)}
+    none = lambda part, kind: pa.nulls(here[part], kind)
+    columns = [pa.array(np.repeat(list(here), list(here.values())).tolist(), pa.string()), pa.array([shard] * sum(here.values()), pa.int64())]
+    for values, kinds, part in ((state, _STATE, "open"), (done, _DONE, "done")):
+        for k, t in kinds.items():
+            one = pa.array([values[k].astype(t).tobytes()] * here[part], pa.binary())
+            columns.append(pa.concat_arrays([one if p == part else none(p, pa.binary()) for p in here]))
+    columns += [pa.concat_arrays([none("open", pa.int64()), none("done", pa.int64()), pa.array(x, pa.int64())]) for x in (pairs[:, 0], pairs[:, 1], n)]
+    return pa.table(columns, names=["part", "shard", *_STATE, *_DONE, "bwt_key", "interval_key", "n"])
 
 
 def _refine(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -273,15 +302,21 @@ def merge(rows: DataFrame) -> DataFrame:
     """``uid, j, best``: for each suffix of a text's symbols with a copy, the bytes of its longest common prefix."""
     symbols = rows.filter("symbol is not null").select(F.col("shard").alias("of"), "symbol", "n")
     mine = symbols.select("of", "symbol").join(_numbered(symbols, ["symbol"], 0), "symbol")
-    texts = rows.filter("uid is not null").select("shard", "uid", "at", "symbols")
-    state = staged(texts.groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_transform, _STATE_SCHEMA))
-    rounds = [state]
-    while not (pairs := state.filter("n is not null")).isEmpty():
+    texts = rows.filter("uid is not null").select("shard", "uid", "steps", "symbols")
+    spark, kind = rows.sparkSession, StructType.fromDDL(_STATE_SCHEMA)
+
+    def read(path: str, part: str) -> DataFrame:
+        return spark.read.schema(kind).parquet(path).filter(F.col("part") == part)
+
+    paths = [written(texts.groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_transform, _STATE_SCHEMA), "part")]
+    while not (pairs := read(paths[-1], "pair")).isEmpty():
         pairs = pairs.select(F.col("shard").alias("of"), F.col("bwt_key").alias("a"), F.col("interval_key").alias("b"), "n")
-        mine = pairs.select("of", "a", "b").join(_numbered(pairs, ["a", "b"], len(rounds)), ["a", "b"])
-        open_ = state.filter("uid is not null and octet_length(uid) > 0").select("shard", *_STATE)
-        state = staged(open_.groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_refine, _STATE_SCHEMA))
-        rounds.append(state)
+        mine = pairs.select("of", "a", "b").join(_numbered(pairs, ["a", "b"], len(paths)), ["a", "b"])
+        open_ = read(paths[-1], "open").select("shard", *_STATE)
+        paths.append(written(open_.groupBy("shard").cogroup(mine.groupBy("of")).applyInArrow(_refine, _STATE_SCHEMA), "part"))
+        # The next state is written, so nothing reads this one again.
+        for part in ("open", "pair"):
+            delete(spark, f"{paths[-2]}/part={part}")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +327,7 @@ def merge(rows: DataFrame) -> DataFrame:
                 bounds = np.append(first, len(uid))
                 yield pa.record_batch({"uid": pa.array(u), "js": _arrays(j[order], bounds), "bests": _arrays(best[order], bounds)})
 
-    done = reduce(DataFrame.unionByName, [r.filter("done_uid is not null and octet_length(done_uid) > 0").select(*_DONE) for r in rounds])
+    done = reduce(DataFrame.unionByName, [read(path, "done").select(*_DONE) for path in paths])
     parts = done.mapInArrow(rows_of, "uid bigint, js binary, bests binary")
     listed = parts.groupBy("uid").agg(F.collect_list(F.struct("js", "bests")).alias("l"))
     whole = lambda c: F.aggregate("l", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x[c])).alias(c)
@@ -306,15 +341,15 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         get = lambda c, kind: _joined(pa.chunked_array([batch.column(c)]), kind)
-        (at, count), (low, _), (high, _), (keys, _), (symbols, _), (around, _) = (get(c, k) for c, k in (("at", np.int32), ("low", np.int32), ("high", np.int32), ("keys", np.uint64), ("symbols", np.uint64), ("around", np.uint64)))
-        at, low, high = (x.astype(np.int64) for x in (at, low, high))
+        (keys, _), (around, _) = (get(c, np.uint64) for c in ("keys", "around"))
+        size = batch.column("n_bytes").to_numpy()
+        at, low, high, bare, count = _anchors(*(pa.chunked_array([batch.column(c)]) for c in ("steps", "lows")), size)
         js, found = _joined(pa.chunked_array([_filled(batch.column("js"))]), np.int32)
         bests, _ = _joined(pa.chunked_array([_filled(batch.column("bests"))]), np.int32)
         first = np.cumsum(count) - count
         row = np.repeat(np.arange(batch.num_rows), count)
         best = np.zeros(len(at), np.int64)
         best[np.repeat(first, found) + js] = bests
-        size = batch.column("n_bytes").to_numpy()
         base = np.concatenate(([0], np.cumsum(size + 1)))
         marks = np.zeros(base[-1] + 1, np.int64)
         whole = np.flatnonzero(best >= LENGTH)
@@ -328,9 +363,9 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure = np.searchsorted(base[row] + at, base[row] + low + LENGTH - (SPAN + GRAM - 1), "right") - 1
         sure = np.maximum(sure, np.arange(len(at)))
         # Anchors without a symbol are not in the transform, so a chain ends at the first of them; a text's last anchor is one.
-        ends = np.flatnonzero(symbols == 0)
+        ends = np.flatnonzero(bare)
         sure = np.minimum(sure, ends[ends.searchsorted(np.arange(len(at)))])
-        copied = (symbols == 0) & (keys > 0) | (best > 0) & (at + best >= at[sure])
+        copied = bare & (keys > 0) | (best > 0) & (at + best >= at[sure])
         keep = np.flatnonzero((high >= low) & (keys > 0) & (copied | (best > 0)))
         edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -344,6 +379,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "end": pa.concat_arrays([pa.array(end - base[of] - 1 + LENGTH), nothing(len(keep), pa.int64())]),
                 "key": pa.concat_arrays([nothing(n, pa.int64()), pa.array(keys[keep].view(np.int64))]),
                 "around": pa.concat_arrays([nothing(n, pa.int64()), pa.array(around[keep].view(np.int64))]),
+                "at": pa.concat_arrays([nothing(n, pa.int64()), pa.array(at[keep])]),
                 "low": pa.concat_arrays([nothing(n, pa.int64()), pa.array(low[keep])]),
                 "high": pa.concat_arrays([nothing(n, pa.int64()), pa.array(high[keep])]),
                 "edge": pa.concat_arrays([nothing(n, pa.bool_()), pa.array((copied & (left > 0))[keep])]),
@@ -355,6 +391,25 @@ def _filled(column: pa.Array) -> pa.Array:
     return column.fill_null(b"")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each anchor in blocks at equal steps before it, with the hash of the bytes that a whole block shares."""
+    opened = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i in range(batch.num_rows):
+            h = Rolling(np.frombuffer(opened(batch.column("z")[i].as_py()), np.uint8))
+            at, low, high, alone = (np.array([r[k] for r in batch.column("ranges")[i].as_py()]) for k in ("at", "low", "high", "alone"))
+            near, far = (at - high) // BLOCK, (at - low) // BLOCK
+            of = np.repeat(np.arange(len(at)), far - near + 1)
+            last = at[of] - BLOCK * (near[of] + np.arange(len(of)) - np.repeat(np.cumsum(far - near + 1) - (far - near + 1), far - near + 1))
+            core = w.mix(h.run(last, last - (BLOCK - 1) + LENGTH) ^ (at[of] - last).astype(np.uint64))
+            yield pa.record_batch(
+                {
+                    "core": pa.array(core.view(np.int64)), "uid": pa.array(np.full(len(of), batch.column("uid")[i].as_py())),
+                    "low": pa.array(np.maximum(low[of], last - (BLOCK - 1))), "high": pa.array(np.minimum(high[of], last)), "alone": pa.array(alone[of]),
+                }
+            )
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128-bit hashes of all windows in the given ranges."""
     opened = zstandard.ZstdDecompressor().decompress
@@ -407,24 +462,31 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _ranged(texts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Texts with the list of their ranges (all columns but ``uid``)."""
+    listed = ranges.groupBy("uid").agg(F.collect_list(F.struct(*(c for c in ranges.columns if c != "uid"))).alias("ranges"))
+    return texts.select("uid", "z").join(listed, "uid")
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The parsed texts (``uid`` and on) and ``uid, spans``: all bytes covered by a string that starts elsewhere too."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"shard bigint, uid bigint, doc_id {kind}, n_bytes bigint, sha string, z binary, at binary, low binary, high binary, symbols binary, keys binary, around binary, symbol bigint, n bigint"
+    schema = f"shard bigint, uid bigint, doc_id {kind}, n_bytes bigint, sha string, z binary, steps binary, lows binary, symbols binary, keys binary, around binary, symbol bigint, n bigint"
     rows = staged(docs.select("doc_id", "text").mapInArrow(_parse, schema))
     texts = rows.filter("uid is not null")
-    anchored = texts.filter(f"n_bytes >= {LENGTH}").select("uid", "n_bytes", "at", "low", "high", "keys", "symbols", "around")
-    found = anchored.join(merge(rows), "uid", "left").select("uid", "n_bytes", "at", "low", "high", "keys", "symbols", "around", "js", "bests")
-    found = staged(found.mapInArrow(_covered, "uid bigint, start bigint, end bigint, key bigint, around bigint, low bigint, high bigint, edge boolean"))
+    anchored = texts.filter(f"n_bytes >= {LENGTH}").select("uid", "n_bytes", "steps", "lows", "keys", "around")
+    found = anchored.join(merge(rows), "uid", "left").select("uid", "n_bytes", "steps", "lows", "keys", "around", "js", "bests")
+    found = staged(found.mapInArrow(_covered, "uid bigint, start bigint, end bigint, key bigint, around bigint, at bigint, low bigint, high bigint, edge boolean"))
     anchors = found.filter("key is not null")
     near = anchors.join(anchors.filter("edge").select("key").distinct(), "key", "left_semi")
-    classes = staged(near.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("uid", "low", "high")).alias("head")))
+    classes = staged(near.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "low", "high")).alias("head")))
     many = near.filter("edge").join(classes.filter("n > 1").select("key", "around"), ["key", "around"]).select("uid", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
     several = classes.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    heads = classes.join(several, "key", "left_semi").select("head.uid", F.struct("head.low", "head.high", (F.col("n") == 1).alias("alone")).alias("r"))
-    ranges = heads.groupBy("uid").agg(F.collect_list("r").alias("ranges"))
-    windows = texts.select("uid", "z").join(ranges, "uid").mapInArrow(_windows, "h1 bigint, h2 bigint, uid bigint, start int, alone boolean")
-    windows = staged(windows)
+    heads = classes.join(several, "key", "left_semi").select("head.uid", "head.at", "head.low", "head.high", (F.col("n") == 1).alias("alone"))
+    blocks = staged(_ranged(texts, heads).mapInArrow(_blocks, "core bigint, uid bigint, low bigint, high bigint, alone boolean"))
+    # Only an unsettled class asks, and equal windows lie in blocks with equal common bytes.
+    asked = blocks.groupBy("core").agg(F.count("*").alias("n"), F.bool_or("alone").alias("open")).filter("n > 1 and open").select("core")
+    windows = staged(_ranged(texts, blocks.join(asked, "core", "left_semi").drop("core")).mapInArrow(_windows, "h1 bigint, h2 bigint, uid bigint, start int, alone boolean"))
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     last = windows.filter("alone").join(twice, ["h1", "h2"], "left_semi").select("uid", F.col("start").cast("long").alias("start"), (F.col("start") + LENGTH).cast("long").alias("end"))
     spans = found.filter("start is not null").select("uid", "start", "end").unionByName(many).unionByName(last)
