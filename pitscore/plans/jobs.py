@@ -63,6 +63,46 @@ def validate_store(
     return {name: spark.read.json(f"{root}/results/{name}") for name in results}
 
 
+def search_store(
+    spark: SparkSession,
+    root: str,
+    samples: int = 500,
+    cv_samples: int = 200,
+    seed: int = 42,
+    windows: Sequence[params.Window] = params.PRODUCTION_WINDOWS,
+    rolling_months: int = params.ROLLING_MONTHS,
+    folds: int = 5,
+    top: int = 10,
+) -> dict[str, DataFrame]:
+    """Weight search over windows and over quarter folds on the tables that ``validate_store`` wrote.
+
+    Each result keeps the winner, the baseline and the first ``top`` sets with weights and measures, how many
+    sets were tried and the penalty of the objective; the bounds of the folds are a result of their own.
+    Results are written as JSON under ``results``.
+    """
+    prices, delisted, scored, grid, forward = read_store(spark, root, "prices", "delisted", "scored", "grid", "forward")
+    quarters = asof.panel_quarters(grid)
+    drawn = lambda n: {
+        **params.dirichlet_weights(n, seed, params.HISTORICAL_FAMILIES),
+        "baseline": params.historical_weights(params.EVIDENCE_WEIGHTS),
+    }
+    monthly = returns.monthly_returns(prices)
+    searched = validation.search_weights(scored, monthly, forward, delisted, drawn(samples), windows, rolling_months)
+    by_folds = validation.search_weights_cv(scored, grid, quarters, delisted, drawn(cv_samples), folds)
+    results = {}
+    for name, df, n, penalty in (
+        ("weight_search", searched, samples, params.DEGRADATION_PENALTY),
+        ("weight_search_cv", by_folds, cv_samples, params.DISPERSION_PENALTY),
+    ):
+        stored = df.filter((F.col("rank") <= top) | F.col("is_winner") | (F.col("candidate") == "baseline"))
+        results[name] = stored.withColumns({"samples": F.lit(n), "penalty": F.lit(float(penalty))})
+    bounds = [(i, held[0], end) for i, (held, end) in enumerate(validation.quarter_folds(quarters, folds))]
+    results["folds"] = spark.createDataFrame(bounds, "fold int, start date, end date")
+    for name, df in results.items():
+        writers.write_result(df, f"{root}/results/{name}")
+    return {name: spark.read.json(f"{root}/results/{name}") for name in results}
+
+
 def dca_validation(
     scored: DataFrame,
     grid: DataFrame,

@@ -25,6 +25,16 @@ def test_store_and_validation(spark, tmp_path):
     t = results["thresholds"].first()
     assert (t.composite_min, t.bargain_min) == (50.0, 50.0)
     assert results["dca"].filter("candidate = 'benchmark'").count() == 3
+    found = jobs.search_store(spark, root, samples=6, cv_samples=4, windows=samples.WINDOWS, rolling_months=12, folds=3, top=2)
+    for name, n in (("weight_search", 6), ("weight_search_cv", 4)):
+        rows = found[name].collect()
+        assert sum(r.is_winner for r in rows) == 1 and {r.samples for r in rows} == {n}
+        assert {1, 2} <= {r["rank"] for r in rows} and len(rows) <= 4
+        base = next(r for r in rows if r.candidate == "baseline")
+        weights = params.historical_weights(params.EVIDENCE_WEIGHTS)
+        assert all(base[f"weight_{f}"] == pytest.approx(weights[f]) for f in params.HISTORICAL_FAMILIES)
+    folds = found["folds"].orderBy("fold").collect()
+    assert len(folds) == 3 and all(a.end < b.start for a, b in zip(folds, folds[1:]))
 
 
 def test_watchlist_scorecard(spark):
