@@ -1,8 +1,8 @@
 """Price analytics per ticker and as-of date.
 
-All metrics read one array with the trailing closes. A ticker's closes are gathered once (one
-shuffle on ticker); every quarter-end then takes a slice, so nothing is multiplied by
-quarters x look-back rows in a shuffle. An array holds at most one close per calendar day.
+A ticker's closes are cut into blocks of 64 rows with mergeable summaries (one shuffle on ticker). A
+quarter-end reads the blocks of its look-back only: no row holds a whole history, and nothing is multiplied
+by quarters x look-back rows in a shuffle.
 """
 
 from __future__ import annotations
@@ -17,23 +17,56 @@ from pyspark.sql import functions as F
 from pitscore.functions.columns import clamp, has_number, ratio
 from pitscore.params import LOOKBACK_ROWS, YEAR_ROWS
 
+RSI_PERIOD = 14
+# What a Wilder average keeps of its last value.
+_KEEP = 1.0 - 1.0 / RSI_PERIOD
+BLOCK_ROWS = 64
+# Blocks that the look-back can touch, the last one included.
+BLOCK_REACH = -(-LOOKBACK_ROWS // BLOCK_ROWS) + 1
 
-def close_history(prices: DataFrame) -> DataFrame:
-    """``ticker, bars``: date-ordered array of ``(trade_date, close)``; input has one row per day."""
-    bar = F.struct("trade_date", "close")
-    return prices.filter(has_number("close")).groupBy("ticker").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
 
+def price_blocks(prices: DataFrame) -> DataFrame:
+    """Closes per ticker in blocks of ``BLOCK_ROWS``: ``ticker, since, until, blocks``.
 
-def trailing_closes(bars: Column, as_of: Column, rows: int = LOOKBACK_ROWS) -> Column:
-    """The last ``rows`` closes on or before a date, oldest first."""
-    seen = F.size(F.filter(bars, lambda b: b["trade_date"] <= as_of))
-    start = F.greatest(seen - rows + 1, F.lit(1))
-    return F.slice(bars, start, F.least(seen, F.lit(rows)))["close"]
+    Input has one row per day. ``since`` is the block's first date, ``until`` that of the next block.
+    ``blocks`` holds the last ``BLOCK_REACH`` blocks up to this one, oldest first, with their bars, extremes,
+    drawdown, moments of returns and decayed gains and losses. All steps share the shuffle on ticker.
+    """
+    by_date = W.partitionBy("ticker").orderBy("trade_date")
+    change = F.col("close") - F.col("_prev")
+    back = F.pow(F.lit(_KEEP), F.lit(BLOCK_ROWS - 1) - F.col("_pos") % BLOCK_ROWS) * (1.0 - _KEEP)
+    rows = (
+        prices.filter(has_number("close"))
+        .select("ticker", "trade_date", "close", (F.row_number().over(by_date) - 1).alias("_pos"), F.lag("close").over(by_date).alias("_prev"))
+        .withColumns({"_block": F.floor(F.col("_pos") / BLOCK_ROWS), "_r": ratio("close", "_prev") - 1.0, "_back": back})
+    )
 
+    def moments(x: Column) -> Column:
+        n = F.count(x).cast("double")
+        return F.struct(n.alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias("m2"))
+
+    blocks = rows.groupBy("ticker", "_block").agg(
+        F.min("trade_date").alias("since"),
+        F.sort_array(F.collect_list(F.struct("trade_date", "close"))).alias("bars"),
+        F.min("close").alias("low"),
+        F.max("close").alias("high"),
+        moments(F.col("_r")).alias("returns"),
+        moments(F.when(F.col("_r") < 0, F.col("_r"))).alias("negative"),
+        F.sum(F.greatest(change, F.lit(0.0)) * F.col("_back")).alias("gain"),
+        F.sum(F.greatest(-change, F.lit(0.0)) * F.col("_back")).alias("loss"),
+    )
+    drawdown = max_drawdown(F.col("bars")["close"]).alias("drawdown")
+    block = F.struct("bars", "low", "high", "returns", "negative", "gain", "loss", drawdown)
+    in_order = W.partitionBy("ticker").orderBy("_block")
+    return blocks.withColumn("_b", block).select(
+        "ticker", "since", F.lead("since").over(in_order).alias("until"),
+        F.collect_list("_b").over(in_order.rowsBetween(1 - BLOCK_REACH, 0)).alias("blocks"),
+    )
 
-def last_n(xs: Column, n: int) -> Column:
-    size = F.size(xs)
-    return F.slice(xs, F.greatest(size - n + 1, F.lit(1)), F.least(size, F.lit(n)))
+
+def _part(xs: Column, start: Column, end: Column) -> Column:
+    """Elements ``start`` to ``end - 1``, counted from 0."""
+    return F.slice(xs, F.greatest(start, F.lit(0)) + 1, F.greatest(end - start, F.lit(0)))
 
 
 def _pairs(xs: Column, f) -> Column:
@@ -42,16 +75,48 @@ def _pairs(xs: Column, f) -> Column:
     return F.zip_with(F.slice(xs, 1, n), F.slice(xs, 2, n), f)
 
 
-def _sample_std(xs: Column) -> Column:
-    """Sample standard deviation of an array in one pass; NULL below two elements."""
+def _merged_moments(blocks: Column, singles: Column) -> Column:
+    """Count, mean and squared deviations of blocks' moments and single values."""
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def add(acc: Column, x: Column) -> Column:
         n = acc["n"] + 1.0
         mean = acc["mean"] + (x - acc["mean"]) / n
         return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - acc["mean"]) * (x - mean)).alias("m2"))
 
-    return F.aggregate(xs, start, step, lambda acc: F.when(acc["n"] >= 2, F.sqrt(ratio(acc["m2"], acc["n"] - 1.0))))
+    def merge(acc: Column, b: Column) -> Column:
+        n, apart = acc["n"] + b["n"], b["mean"] - acc["mean"]
+        share = F.coalesce(ratio(b["n"], n), F.lit(0.0))
+        m2 = acc["m2"] + b["m2"] + apart * apart * acc["n"] * share
+        return F.struct(n.alias("n"), (acc["mean"] + apart * share).alias("mean"), m2.alias("m2"))
+
+    return F.aggregate(blocks, F.aggregate(singles, start, add), merge)
+
+
+def _yearly_std(moments: Column) -> Column:
+    return F.when(moments["n"] >= 2, F.sqrt(ratio(moments["m2"], moments["n"] - 1.0)) * (YEAR_ROWS ** 0.5))
+
+
+def _no_drawdown() -> Column:
+    return F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
+
+
+def _fallen(dd: Column, low: Column, peak: Column) -> Column:
+    return F.least(dd, F.coalesce(ratio(low, peak) - 1.0, F.lit(0.0)))
+
+
+def _drawdown(start: Column, closes: Column) -> Column:
+    """Peak and drawdown after further closes."""
+
+    def step(acc: Column, x: Column) -> Column:
+        peak = F.greatest(acc["peak"], x)
+        return F.struct(peak.alias("peak"), _fallen(acc["dd"], x, peak).alias("dd"))
+
+    return F.aggregate(closes, start, step)
+
+
+def max_drawdown(closes: Column) -> Column:
+    return _drawdown(_no_drawdown(), closes)["dd"]
 
 
 def momentum(closes: Column) -> Column:
@@ -60,51 +125,49 @@ def momentum(closes: Column) -> Column:
     return F.when((F.size(closes) >= YEAR_ROWS) & (start > 0), ratio(end, start) - 1.0)
 
 
-def max_drawdown(closes: Column) -> Column:
-    start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
+def _drawdown_of_blocks(start: Column, blocks: Column) -> Column:
+    def step(acc: Column, b: Column) -> Column:
+        dd = F.least(b["drawdown"], _fallen(acc["dd"], b["low"], acc["peak"]))
+        return F.struct(F.greatest(acc["peak"], b["high"]).alias("peak"), dd.alias("dd"))
 
-    def step(acc: Column, x: Column) -> Column:
-        peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(acc["dd"], F.coalesce(ratio(x, peak) - 1.0, F.lit(0.0))).alias("dd"))
+    return F.aggregate(blocks, start, step)
 
-    return F.aggregate(closes, start, step, lambda acc: acc["dd"])
 
+def _smoothed(start: Column, closes: Column) -> Column:
+    """Wilder averages of gains and losses after the changes between further closes."""
 
-def wilder_rsi(closes: Column, period: int = 14) -> Column:
+    def step(acc: Column, change: Column) -> Column:
+        up, down = F.greatest(change, F.lit(0.0)), F.greatest(-change, F.lit(0.0))
+        return F.struct(
+            (acc["gain"] * _KEEP + up * (1.0 - _KEEP)).alias("gain"), (acc["loss"] * _KEEP + down * (1.0 - _KEEP)).alias("loss")
+        )
+
+    return F.aggregate(_pairs(closes, lambda a, b: b - a), start, step)
+
+
+def _seed(xs: Column, at: Column) -> Column:
+    """Wilder averages that start with the change after position ``at``."""
+    first = F.get(xs, at + 1) - F.get(xs, at)
+    return F.struct(F.greatest(first, F.lit(0.0)).alias("gain"), F.greatest(-first, F.lit(0.0)).alias("loss"))
+
+
+def _smoothed_blocks(start: Column, blocks: Column) -> Column:
+    whole = _KEEP ** BLOCK_ROWS
+    return F.aggregate(
+        blocks, start,
+        lambda acc, b: F.struct((acc["gain"] * whole + b["gain"]).alias("gain"), (acc["loss"] * whole + b["loss"]).alias("loss")),
+    )
+
+
+def _relative_strength(averages: Column) -> Column:
+    gain, loss = averages["gain"], averages["loss"]
+    return F.when(loss == 0, F.when(gain > 0, 100.0).otherwise(50.0)).otherwise(100.0 - 100.0 / (ratio(gain, loss) + 1.0))
+
+
+def wilder_rsi(closes: Column) -> Column:
     """Wilder RSI, averages seeded with the first change of the slice."""
-    alpha = 1.0 / period
-    gains = _pairs(closes, lambda a, b: F.greatest(b - a, F.lit(0.0)))
-    losses = _pairs(closes, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-
-    def smoothed(xs: Column) -> Column:
-        rest = F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0)))
-        return F.aggregate(rest, F.get(xs, F.lit(0)), lambda acc, x: acc * (1.0 - alpha) + x * alpha)
-
-    gain, loss = smoothed(gains), smoothed(losses)
-    value = F.when(loss == 0, F.when(gain > 0, 100.0).otherwise(50.0)).otherwise(100.0 - 100.0 / (ratio(gain, loss) + 1.0))
-    return F.when(F.size(closes) >= period + 1, value)
-
-
-def with_price_metrics(df: DataFrame, closes: str = "closes") -> DataFrame:
-    """Add all price metrics computed from the array of trailing closes."""
-    enough = F.size("_year") >= 60
-    negative = F.filter("_returns", lambda r: r < 0)
-    downside = F.when(F.size(negative) == 0, F.lit(0.0)).otherwise(_sample_std(negative) * (YEAR_ROWS ** 0.5))
-    year = df.withColumn("_year", last_n(F.col(closes), YEAR_ROWS))
-    returns = year.withColumn("_returns", _pairs(F.col("_year"), lambda a, b: ratio(b, a) - 1.0))
-    return returns.withColumns(
-        {
-            "price": F.try_element_at(closes, F.lit(-1)),
-            "momentum_12_1": momentum(F.col(closes)),
-            "volatility_12m": F.when(enough, _sample_std(F.col("_returns")) * (YEAR_ROWS ** 0.5)),
-            "max_drawdown": F.when(enough, max_drawdown(F.col("_year"))),
-            "downside_deviation": F.when(enough, downside),
-            "rsi_14": wilder_rsi(F.col(closes)),
-            "fifty_two_week_high": F.array_max("_year"),
-            "fifty_two_week_low": F.array_min("_year"),
-            "all_time_high": F.array_max(closes),
-        }
-    ).drop("_year", "_returns")
+    averages = _smoothed(_seed(closes, F.lit(0)), _part(closes, F.lit(1), F.size(closes)))
+    return F.when(F.size(closes) >= RSI_PERIOD + 1, _relative_strength(averages))
 
 
 PRICE_METRICS = (
@@ -113,21 +176,88 @@ PRICE_METRICS = (
 )
 
 
-def with_close_history(keys: DataFrame, prices: DataFrame) -> DataFrame:
-    """Keys (ticker, quarter_end) that have a price by then, with the ticker's ``bars``."""
-    started = F.get("bars", F.lit(0))["trade_date"] <= F.col("quarter_end")
-    return keys.join(close_history(prices), "ticker").filter(started)
+def block_metrics(df: DataFrame) -> DataFrame:
+    """Replace ``blocks`` by the price metrics as of ``quarter_end``.
 
+    A metric folds the closes before its first whole block, merges the summaries of whole blocks and
+    folds the closes of the last block. Returns from a close of zero are left out.
+    """
+    blocks, all_, seen, own = (F.col(c) for c in ("blocks", "_all", "_seen", "_own"))
+    positions = df.withColumns(
+        {
+            "_own": (F.size(blocks) - 1) * BLOCK_ROWS,
+            "_all": F.flatten(F.transform(blocks, lambda b: b["bars"]["close"])),
+            "_seen": (F.size(blocks) - 1) * BLOCK_ROWS
+            + F.size(F.filter(F.element_at(blocks, -1)["bars"], lambda bar: bar["trade_date"] <= F.col("quarter_end"))),
+        }
+    ).withColumns(
+        {"_s": F.greatest(seen - YEAR_ROWS, F.lit(0)), "_l": F.greatest(seen - LOOKBACK_ROWS, F.lit(0))}
+    )
+    year_start, start = F.col("_s"), F.col("_l")
 
-def bars_to_metrics(df: DataFrame) -> DataFrame:
-    """Replace ``bars`` by the price metrics as of ``quarter_end``."""
-    closes = trailing_closes(F.col("bars"), F.col("quarter_end"))
-    return with_price_metrics(df.withColumn("closes", closes).drop("bars")).drop("closes")
+    def first_whole(at: Column) -> Column:
+        return F.least(F.ceil(at / BLOCK_ROWS).cast("int"), F.size(blocks) - 1)
+
+    def whole(first: Column) -> Column:
+        return F.slice(blocks, first + 1, F.greatest(F.size(blocks) - 1 - first, F.lit(0)))
+
+    ahead = positions.withColumns(
+        {
+            "_year": _part(all_, year_start, seen),
+            "_trail": _part(all_, start, seen),
+            "_yb": first_whole(year_start + 1),
+            "_lb": first_whole(start + 2),
+        }
+    ).withColumns({"_yw": whole(F.col("_yb")), "_lw": whole(F.col("_lb"))})
+    year_cut, trail_cut = F.col("_yb") * BLOCK_ROWS, F.col("_lb") * BLOCK_ROWS
+    change = lambda a, b: ratio(b, a) - 1.0
+    edges = F.concat(
+        _pairs(_part(all_, year_start, year_cut), change),
+        _pairs(_part(all_, F.greatest(own - 1, year_start), seen), change),
+    )
+    fallen = _drawdown_of_blocks(_drawdown(_no_drawdown(), _part(all_, year_start, year_cut)), F.col("_yw"))
+    averages = _smoothed_blocks(_smoothed(_seed(all_, start), _part(all_, start + 1, trail_cut)), F.col("_lw"))
+    folded = ahead.withColumn("_edges", F.array_compact(edges)).withColumns(
+        {
+            "_returns": _merged_moments(F.col("_yw")["returns"], F.col("_edges")),
+            "_negative": _merged_moments(F.col("_yw")["negative"], F.filter("_edges", lambda r: r < 0)),
+            "_fallen": _drawdown(fallen, _part(all_, F.greatest(own, year_start), seen)),
+            "_averages": _smoothed(averages, _part(all_, F.greatest(own - 1, start + 1), seen)),
+        }
+    )
+    year, trail, enough = F.col("_year"), F.col("_trail"), F.size("_year") >= 60
+    downside = F.when(F.col("_negative.n") == 0, F.lit(0.0)).otherwise(_yearly_std(F.col("_negative")))
+    metrics = {
+        "price": F.try_element_at(trail, F.lit(-1)),
+        "momentum_12_1": momentum(year),
+        "volatility_12m": F.when(enough, _yearly_std(F.col("_returns"))),
+        "max_drawdown": F.when(enough, F.col("_fallen.dd")),
+        "downside_deviation": F.when(enough, downside),
+        "rsi_14": F.when(F.size(trail) >= RSI_PERIOD + 1, _relative_strength(F.col("_averages"))),
+        "fifty_two_week_high": F.array_max(year),
+        "fifty_two_week_low": F.array_min(year),
+        "all_time_high": F.array_max(trail),
+    }
+    kept = [c for c in df.columns if c != "blocks"]
+    return folded.select(*kept, *[c.alias(n) for n, c in metrics.items()])
+
+
+def with_price_blocks(keys: DataFrame, prices: DataFrame) -> DataFrame:
+    """Keys (ticker, quarter_end, further columns) that have a price by then, with the ``blocks`` up to that date.
+
+    A ticker's dates travel as one array (bounded by the calendar) to its blocks, each of which keeps its own.
+    """
+    rest = [c for c in keys.columns if c != "ticker"]
+    asked = keys.groupBy("ticker").agg(F.collect_list(F.struct(*rest)).alias("_asked"))
+    until = F.coalesce("until", F.lit("9999-12-31").cast("date"))
+    here = F.filter("_asked", lambda k: (k["quarter_end"] >= F.col("since")) & (k["quarter_end"] < until))
+    found = price_blocks(prices).join(asked, "ticker").select("ticker", "blocks", F.explode(here).alias("_key"))
+    return found.select("ticker", *[F.col("_key")[c].alias(c) for c in rest], "blocks")
 
 
 def price_metrics(keys: DataFrame, prices: DataFrame) -> DataFrame:
     """Price metrics at each (ticker, quarter_end) key that has a price by then."""
-    return bars_to_metrics(with_close_history(keys, prices))
+    return block_metrics(with_price_blocks(keys, prices))
 
 
 def all_time_highs(prices: DataFrame) -> DataFrame:

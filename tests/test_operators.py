@@ -83,27 +83,54 @@ def test_monthly_returns_fill_gaps(spark):
     assert got == {date(2020, 2, 29): 0.0, date(2020, 3, 31): 0.0, date(2020, 4, 30): pytest.approx(0.1)}
 
 
-def test_price_metrics_match_pandas(spark):
-    rng = random.Random(1)
-    day, close, rows = date(2020, 1, 1), 100.0, []
-    for _ in range(500):
-        day, close = day + timedelta(days=1), close * (1 + rng.gauss(0, 0.02))
-        rows.append(("A", day, close))
-    df = spark.createDataFrame(rows, "ticker string, trade_date date, close double")
-    as_of = rows[459][1]
-    keys = spark.createDataFrame([("A", as_of)], "ticker string, quarter_end date")
-    r = prices.price_metrics(keys, df).first()
-    s = pd.Series([c for _, d, c in rows if d <= as_of]).tail(400)
+def pandas_price_metrics(closes):
+    s = pd.Series(closes).tail(400)
     year = s.tail(252)
     ret = year.pct_change().dropna()
-    assert r.volatility_12m == pytest.approx(ret.std() * np.sqrt(252))
-    assert r.downside_deviation == pytest.approx(ret[ret < 0].std() * np.sqrt(252))
-    assert r.max_drawdown == pytest.approx((year / year.cummax() - 1).min())
-    assert r.momentum_12_1 == pytest.approx(s.iloc[-22] / s.iloc[-252] - 1)
-    assert (r.fifty_two_week_high, r.all_time_high) == (year.max(), s.max())
+    fallen = ret[ret < 0]
     d = s.diff()
     gain, loss = (x.clip(lower=0).ewm(alpha=1 / 14, min_periods=14, adjust=False).mean().iloc[-1] for x in (d, -d))
-    assert r.rsi_14 == pytest.approx(100 - 100 / (1 + gain / loss))
+    enough = len(year) >= 60
+    return {
+        "price": s.iloc[-1],
+        "volatility_12m": ret.std() * np.sqrt(252) if enough else None,
+        "downside_deviation": (fallen.std() * np.sqrt(252) if len(fallen) else 0.0) if enough else None,
+        "max_drawdown": (year / year.cummax() - 1).min() if enough else None,
+        "momentum_12_1": s.iloc[-22] / s.iloc[-252] - 1 if len(s) >= 252 else None,
+        "fifty_two_week_high": year.max(),
+        "fifty_two_week_low": year.min(),
+        "all_time_high": s.max(),
+        "rsi_14": (100 - 100 / (1 + gain / loss) if loss else 100.0 if gain else 50.0) if len(s) >= 15 else None,
+    }
+
+
+def test_price_metrics_match_pandas(spark):
+    """Every metric at dates on both sides of block, year and look-back limits, and between trading days."""
+    rng = random.Random(1)
+    day, close, rows = date(2020, 1, 1), 100.0, []
+    for _ in range(700):
+        day, close = day + timedelta(days=rng.choice((1, 1, 3))), close * (1 + rng.gauss(0, 0.02))
+        rows.append(("A", day, close))
+    rising = [("B", date(2020, 1, 1) + timedelta(days=i), 10.0 + i) for i in range(130)]
+    df = spark.createDataFrame([*rows, *rising], "ticker string, trade_date date, close double")
+    counts = [1, 2, 14, 15, 16, 59, 60, 61, 63, 64, 65, 66, 127, 128, 129, 192, 251, 252, 253, 254, 255, 256, 257,
+              314, 315, 316, 317, 399, 400, 401, 447, 448, 449, 462, 463, 464, 465, 466, 512, 513, 576, 641, 699, 700]
+    keys = [("A", rows[n - 1][1], n) for n in counts] + [("B", rising[n - 1][1], n) for n in (64, 65, 130)]
+    keys += [("A", rows[-1][1] + timedelta(days=90), 700), ("A", date(2019, 12, 31), 0), ("C", date(2020, 12, 31), 0), ("A", None, 0)]
+    found = prices.price_metrics(spark.createDataFrame(keys, "ticker string, quarter_end date, n int"), df).collect()
+    assert sorted(r.n for r in found) == sorted(n for _, _, n in keys if n)
+    for r in found:
+        for name, value in pandas_price_metrics([c for _, _, c in (rows if r.ticker == "A" else rising)][: r.n]).items():
+            assert r[name] == (None if value is None else pytest.approx(value, rel=1e-9, abs=1e-12)), (r.ticker, r.n, name)
+
+
+def test_price_rows_hold_their_look_back_only(spark):
+    days = [("A", date(1990, 1, 1) + timedelta(days=i), 50.0 + i % 7) for i in range(6000)]
+    df = spark.createDataFrame(days, "ticker string, trade_date date, close double")
+    keys = spark.createDataFrame([("A", days[i][1]) for i in range(100, 6000, 90)], "ticker string, quarter_end date")
+    held = prices.with_price_blocks(keys, df).select(F.size("blocks").alias("n"), F.size(F.flatten(F.col("blocks.bars"))).alias("bars")).collect()
+    assert len(held) == keys.count()
+    assert max(r.n for r in held) == prices.BLOCK_REACH and max(r.bars for r in held) == prices.BLOCK_REACH * prices.BLOCK_ROWS
 
 
 def test_pit_fundamentals_prior_and_restatement(spark):
