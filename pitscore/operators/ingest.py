@@ -144,6 +144,29 @@ def without_funds(universe: DataFrame) -> DataFrame:
     return universe.filter(F.coalesce(F.upper("quote_type"), F.lit("")) != "ETF")
 
 
+def values_by_period(statements: DataFrame, names: Mapping[str, Sequence[str]], keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """``keys, period`` and one column per field from long statements ``keys, metric, period, value``.
+
+    A field takes the first of its metric names that the key's statement has at all. The choice holds for
+    all periods: an empty cell of that name stays empty, and no other name fills it. Rows exist for dated
+    periods with a cell of a chosen name; NaN is empty, of repeated cells the largest counts.
+    """
+    keys = list(keys)
+    listed = F.array(*[
+        F.struct(F.lit(metric).alias("metric"), F.lit(field).alias("field"), F.lit(rank).alias("rank"))
+        for field, metrics in names.items() for rank, metric in enumerate(metrics)
+    ])
+    cells = statements.select(
+        *keys, "period", F.nullif("value", F.lit(float("nan"))).alias("_value"),
+        F.explode(F.filter(listed, lambda x: x["metric"] == F.col("metric"))).alias("_name"),
+    ).select(*keys, "period", "_value", F.col("_name.field").alias("_field"), F.col("_name.rank").alias("_rank"))
+    # One cell per name and period first, so that the choice of names reads reduced rows.
+    cells = cells.groupBy(*keys, "_field", "_rank", "period").agg(F.max("_value").alias("_value"))
+    chosen = cells.withColumn("_first", F.min("_rank").over(W.partitionBy(*keys, "_field"))).filter("_rank = _first")
+    dated = chosen.filter(F.col("period").isNotNull())
+    return dated.groupBy(*keys, "period").agg(*[F.max(F.when(F.col("_field") == f, F.col("_value"))).alias(f) for f in names])
+
+
 def statement_values(
     statements: DataFrame, names: Mapping[str, Sequence[str]], keys: Sequence[str] = ("ticker",)
 ) -> DataFrame:

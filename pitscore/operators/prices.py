@@ -336,6 +336,29 @@ def earnings_yield_history(
     )
 
 
+# Statement names of the yield history, by priority.
+YIELD_INCOME = {"ebit": ["EBIT", "Operating Income"]}
+YIELD_BALANCE = {
+    "shares": ["Ordinary Shares Number", "Share Issued", "Common Stock Shares Outstanding"],
+    "total_debt": ["Total Debt", "Long Term Debt And Capital Lease Obligation", "Long Term Debt"],
+    "total_cash": ["Cash And Cash Equivalents", "Cash Cash Equivalents And Short Term Investments", "Cash"],
+}
+
+
+def statement_yields(income: DataFrame, balance: DataFrame, prices: DataFrame, years: int = 5) -> DataFrame:
+    """``earnings_yield_history`` from long quarterly statements ``ticker, metric, period, value``.
+
+    The periods are those of the income statement; every field has its own list of names, and balance
+    cells count at the same period only.
+    """
+    from pitscore.operators.ingest import values_by_period
+
+    periods = income.filter(F.col("period").isNotNull()).select("ticker", "period").distinct()
+    keys = ["ticker", "period"]
+    rows = periods.join(values_by_period(income, YIELD_INCOME), keys, "left").join(values_by_period(balance, YIELD_BALANCE), keys, "left")
+    return earnings_yield_history(rows, prices, years)
+
+
 def valuation_vs_own_history(current: DataFrame, history: DataFrame) -> DataFrame:
     """Percentile of ``earnings_yield_current`` in the ticker's own history (at most ~20 values);
     a stored ``valuation_vs_history`` is kept."""

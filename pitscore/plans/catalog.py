@@ -244,6 +244,21 @@ def earnings_yield_history(p: Pipeline) -> DataFrame:
     return prices.earnings_yield_history(_statement_rows(p), p.prices)
 
 
+@query
+def statement_yields(p: Pipeline) -> DataFrame:
+    """Yield history of long quarterly statements; share and cash cells under several names are made from the assets."""
+    cells = p.view("statements")
+    income = cells.filter(F.col("metric").isin("EBIT", "Operating Income", "Total Revenue", "Operating Revenue"))
+    k = F.substring("ticker", 2, 10).cast("int")
+    assets = cells.filter("metric = 'Total Assets'")
+    issued = assets.withColumns({"metric": F.lit("Share Issued"), "value": F.col("value") / 1000})
+    ordinary = assets.filter(k % 2 == 0).withColumns(
+        {"metric": F.lit("Ordinary Shares Number"), "value": F.when(F.month("period") != 6, F.col("value") / 500)}
+    )
+    cash = assets.filter(k % 3 != 1).withColumns({"metric": F.lit("Cash"), "value": F.col("value") / 10})
+    return prices.statement_yields(income, cells.unionByName(issued).unionByName(ordinary).unionByName(cash), p.prices)
+
+
 @query
 def valuation_vs_own_history(p: Pipeline) -> DataFrame:
     history = prices.earnings_yield_history(_statement_rows(p), p.prices)

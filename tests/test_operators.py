@@ -379,3 +379,29 @@ def test_benchmark_appended_only_when_absent(spark):
     other = spark.createDataFrame([(params.BENCHMARK, date(2020, 1, 1), 3.0)], stocks.schema)
     assert ingest.with_benchmark(stocks, other).count() == 2
     assert ingest.with_benchmark(stocks.union(other), other.withColumn("close", F.lit(9.0))).filter("close = 9").count() == 0
+
+
+def test_values_by_period_choose_names_per_key(spark):
+    cells = [
+        ("A", "EBIT", date(2020, 3, 31), None), ("A", "Operating Income", date(2020, 3, 31), 5.0),
+        ("A", "EBIT", date(2020, 6, 30), 7.0), ("A", "Operating Income", date(2020, 6, 30), 6.0),
+        ("B", "Operating Income", date(2020, 3, 31), 3.0), ("B", "Operating Income", None, 9.0),
+        ("C", "EBIT", None, 1.0), ("C", "Operating Income", date(2020, 3, 31), 2.0),
+        ("D", "EBIT", date(2020, 3, 31), float("nan")), ("D", "EBIT", date(2020, 3, 31), 4.0), ("E", "Sales", date(2020, 3, 31), 4.0),
+    ]
+    df = spark.createDataFrame(cells, "ticker string, metric string, period date, value double")
+    got = {(r.ticker, r.period): r.ebit for r in ingest.values_by_period(df, {"ebit": ["EBIT", "Operating Income"], "none": ["x"]}).collect()}
+    q1, q2 = date(2020, 3, 31), date(2020, 6, 30)
+    assert got == {("A", q1): None, ("A", q2): 7.0, ("B", q1): 3.0, ("D", q1): 4.0}
+
+
+def test_statement_yields_keep_income_periods(spark):
+    """The newest periods are those of the income statement; cells of other periods or names do not fill in."""
+    ends = [date(2000 + i // 4, (3, 6, 9, 12)[i % 4], 28) for i in range(30)]
+    income = [("A", "EBIT", d, None if i == 29 else float(i + 1)) for i, d in enumerate(ends)]
+    balance = [("A", "Share Issued", d, 10.0) for i, d in enumerate(ends) if i != 28] + [("A", "Total Debt", ends[27], 50.0)]
+    balance += [("A", "Long Term Debt", d, 1e9) for d in ends] + [("A", "Share Issued", date(2010, 1, 1), 1.0)]
+    schema = "ticker string, metric string, period date, value double"
+    px = spark.createDataFrame([("A", date(1999, 1, 1), 2.0)], "ticker string, trade_date date, close double")
+    got = {r.period: r.earnings_yield for r in prices.statement_yields(spark.createDataFrame(income, schema), spark.createDataFrame(balance, schema), px, 2).collect()}
+    assert got == {d: (i + 1) / (70.0 if i == 27 else 20.0) for i, d in enumerate(ends) if 22 <= i <= 27}
