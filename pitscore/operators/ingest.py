@@ -114,11 +114,22 @@ def normalize_filing_sets(
     Each set is normalised by itself, then one row per (ticker, field, period, filed) is kept:
     that of the latest data set.
     """
+    return latest_of_sets(filings_by_set(sub, num, cik_map, prefer_quarterly))
+
+
+def filings_by_set(sub: DataFrame, num: DataFrame, cik_map: DataFrame, prefer_quarterly: bool = False) -> DataFrame:
+    """Every data set normalised by itself; rows without a ``dataset_quarter`` are left out."""
+    return _best_values(sub, num, cik_map, prefer_quarterly, ["dataset_quarter"]).select(
+        "ticker", "cik", "field", "r.amount", "period", "r.filed", "r.form", "r.tag", "r.qtrs", "dataset_quarter"
+    )
+
+
+def latest_of_sets(filings: DataFrame) -> DataFrame:
+    """One row per (ticker, field, period, filed) of normalised data sets: that of the latest set."""
     label = "dataset_quarter"
     return (
-        _best_values(sub, num, cik_map, prefer_quarterly, [label])
-        .groupBy("ticker", "field", "period", F.col("r.filed").alias("filed"))
-        .agg(F.max(F.struct(label, "cik", "r.amount", "r.form", "r.tag", "r.qtrs")).alias("r"))
+        filings.groupBy("ticker", "field", "period", "filed")
+        .agg(F.max(F.struct(label, "cik", "amount", "form", "tag", "qtrs")).alias("r"))
         .select("ticker", "r.cik", "field", "r.amount", "period", "filed", "r.form", "r.tag", "r.qtrs", f"r.{label}")
     )
 

@@ -36,6 +36,10 @@ def factor_panel(members: DataFrame, prices: DataFrame, fundamentals: DataFrame)
 
 def panel_of(raw: DataFrame) -> DataFrame:
     """The panel from inputs that ``historical_raw`` has built."""
+    return enrich_panel(signals_of(raw))
+
+
+def signals_of(raw: DataFrame) -> DataFrame:
+    """The panel before the columns that look back over a ticker's earlier quarters."""
     wide = raw.withColumns(factor_columns())
-    panel = wide.select("quarter_end", "ticker", "price", "market_cap", "fifty_two_week_high", *SIGNALS)
-    return enrich_panel(panel)
+    return wide.select("quarter_end", "ticker", "price", "market_cap", "fifty_two_week_high", *SIGNALS)

@@ -13,7 +13,7 @@ from pitscore.functions.columns import clean_ticker, parse_yyyymmdd, to_double
 from pitscore.sources import schemas
 
 
-def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+def _by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files below ``path`` (one a data set) by their header; only first lines are read."""
     files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
     found: dict[tuple[str, ...], list[str]] = {}
@@ -23,7 +23,7 @@ def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str
     return found
 
 
-def _tsv(spark: SparkSession, path: str, needed: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
+def _tsv(spark: SparkSession, path: str | Sequence[str], needed: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
     """Tab-separated files, all text, each read by its own header; a missing optional column is NULL."""
     parts = []
     for header, files in _by_header(spark, path).items():
@@ -46,8 +46,8 @@ def _dataset_quarter() -> F.Column:
     return F.nullif(F.regexp_extract("_file", r"(\d{4}q[1-4])", 1), F.lit("")).alias("dataset_quarter")
 
 
-def read_filing_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per filing; ``cik`` and dates that do not parse become NULL."""
+def read_filing_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """One row per filing of one path or several; ``cik`` and dates that do not parse become NULL."""
     df = _tsv(spark, path, schemas.FILING_HEADER_COLUMNS)
     return df.withColumns(
         {
@@ -58,7 +58,7 @@ def read_filing_headers(spark: SparkSession, path: str) -> DataFrame:
     ).select("*", _dataset_quarter()).drop("_file")
 
 
-def read_filing_numbers(spark: SparkSession, path: str) -> DataFrame:
+def read_filing_numbers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per reported value; the amount is ``value``, or ``uval`` in a file without that column."""
     df = _tsv(spark, path, schemas.FILING_NUMBER_COLUMNS, schemas.FILING_AMOUNT_COLUMNS)
     return df.select(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pitscore import params
-from pitscore.operators import asof
-from pitscore.plans import jobs
-from pitscore.sources import samples
+from pitscore.operators import asof, ingest
+from pitscore.plans import increment, jobs
+from pitscore.plans.panel import factor_panel
+from pitscore.sources import readers, samples
 
 DATA = "/root/testdata/sf0.001"
 
@@ -70,3 +74,66 @@ def test_live_chain(spark, tmp_path):
     assert len(universe) == stored.count()
     same = [r for r in universe if r.ticker == one[0].ticker]
     assert same[0].composite == one[0].composite
+
+
+def write_set(folder, label, rows):
+    """Header and number files of a data set; rows are (filing, cik, filed, amount)."""
+    (folder / label).mkdir(exist_ok=True)
+    (folder / label / "sub.txt").write_text("adsh\tcik\tform\tperiod\tfiled\n" + "".join(f"{a}\t{c}\t10-Q\t20200331\t{d}\n" for a, c, d, _ in rows))
+    (folder / label / "num.txt").write_text("adsh\ttag\tddate\tqtrs\tvalue\n" + "".join(f"{a}\tAssets\t20200331\t0\t{v}\n" for a, _, _, v in rows))
+
+
+def test_data_sets_are_loaded_once(spark, tmp_path):
+    files, root = tmp_path / "in", str(tmp_path / "store")
+    files.mkdir()
+    sub, num = str(files / "*" / "sub.txt"), str(files / "*" / "num.txt")
+    ciks = spark.createDataFrame([(1, "A"), (2, "B")], "cik long, ticker string")
+
+    def load(**kw):
+        return increment.append_filings(spark, sub, num, ciks, root, **kw)
+
+    def rows(df):
+        return sorted(map(str, df.select("ticker", "cik", "field", "amount", "period", "filed", "form", "tag", "qtrs", "dataset_quarter").collect()))
+
+    def whole():
+        return ingest.normalize_filing_sets(readers.read_filing_headers(spark, sub), readers.read_filing_numbers(spark, num), ciks)
+
+    write_set(files, "2020q2", [("x1", 1, "20200501", 5), ("x2", 2, "20200601", 6)])
+    write_set(files, "2020q3", [("x3", 1, "20200801", 7)])
+    assert load() == (["2020q2", "2020q3"], date(2020, 5, 1))
+    assert load() == ([], None)
+    # The same filing in a later set wins, a set whose files changed is replaced, an unfinished one waits.
+    write_set(files, "2020q4", [("x1", 1, "20200501", 50), ("x4", 2, "20201101", 8)])
+    assert load() == (["2020q4"], date(2020, 5, 1))
+    assert rows(increment.stored_filings(spark, root)) == rows(whole())
+    write_set(files, "2020q3", [("x5", 2, "20200901", 70)])
+    assert load() == (["2020q3"], date(2020, 8, 1))
+    assert rows(increment.stored_filings(spark, root)) == rows(whole())
+    write_set(files, "2020q3", [])
+    (files / "2021q1").mkdir()
+    (files / "2021q1" / "sub.txt").write_text("adsh\tcik\tform\tperiod\tfiled\n")
+    assert load() == (["2020q3"], date(2020, 8, 1))
+    (files / "2021q1" / "sub.txt").write_text("adsh\tcik\tform\tperiod\tfiled\nx9\t1\t10-K\t20201231\t20210201\n")
+    (files / "2021q1" / "num.txt").write_text("adsh\ttag\tddate\tqtrs\tvalue\nx9\tAssets\t20201231\t0\t9\n")
+    assert load() == (["2021q1"], date(2021, 2, 1))
+    assert rows(increment.stored_filings(spark, root)) == rows(whole())
+    assert len(load(force=True)[0]) == 4
+    assert rows(increment.stored_filings(spark, root)) == rows(whole())
+
+
+def test_appended_quarters_equal_a_full_panel(spark, tmp_path):
+    view = lambda n: samples.view(spark, DATA, n)
+    quarters = asof.panel_quarters(asof.quarter_ends(spark, samples.START, samples.END))
+    members = ingest.membership_panel(view("membership_history"), quarters).cache()
+    closes, filed, universe, root = view("prices").cache(), view("fundamentals").cache(), view("universe"), str(tmp_path)
+    cut = quarters[-5]
+    early = [df.filter(F.col(c) <= cut) for df, c in ((closes, "trade_date"), (filed, "filed"))]
+    assert increment.append_quarters(members, *early, universe, quarters[:-4], root) == quarters[:-4]
+    assert increment.append_quarters(members, *early, universe, quarters[:-4], root) == []
+    assert increment.append_quarters(members, closes, filed, universe, quarters[:-1], root) == quarters[-4:-1]
+    assert increment.append_quarters(members, closes, filed, universe, quarters, root, changed_from=quarters[-2]) == quarters[-2:]
+    full = ingest.first_sector(factor_panel(members, closes, filed), universe).toPandas()
+    got = spark.read.parquet(f"{root}/panel").toPandas()[full.columns]
+    key = ["quarter_end", "ticker"]
+    pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), full.sort_values(key, ignore_index=True), check_dtype=False)
+    assert full["valuation_vs_history"].notna().any()
