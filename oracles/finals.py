@@ -176,6 +176,14 @@ final("sector_zscore", "select quarter_end, ticker, pos::bigint as signal, z fro
 _PCT = [f"pct_{f}" for f in FAMILIES]
 final("family_percentiles", f"select quarter_end, ticker, {', '.join(_PCT)} from v_pct", *_PCT)
 final("composite", "select quarter_end, ticker, composite, coalesce(factor_coverage_pct, 0) as factor_coverage_pct from v_scored", "composite", "factor_coverage_pct")
+final("theme_composites", """
+    with shares(theme, theme_w, family, share) as (values ('cheap', 0.4::double, 'value', 2), ('cheap', 0.4::double, 'garp', 1), ('strong', 0.35::double, 'quality', 3),
+      ('strong', 0.35::double, 'balance_sheet', 1), ('trend', 0.15::double, 'momentum', 1), ('trend', 0.15::double, 'low_volatility', 1), ('capital', 0.1::double, 'capital_discipline', 1)),
+    w as (select 'grouped' as candidate, family, theme_w * share / sum(share) over (partition by theme) as w from shares
+      union all select 'single', family, w from v_evidence),
+    c as (select candidate, quarter_end, ticker, round(sum(pct * w) / sum(w), 9) as composite from v_fam join w using (family) group by all)
+    select candidate, quarter_end, ticker, composite from v_panel cross join (select distinct candidate from w)
+    left join c using (candidate, quarter_end, ticker)""", "composite")
 final("candidate_composites", """
     select candidate, quarter_end, ticker, composite from v_panel cross join (select distinct candidate from v_named)
     left join v_named_scores using (candidate, quarter_end, ticker)""", "composite")

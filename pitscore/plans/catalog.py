@@ -366,6 +366,23 @@ def candidate_composites(p: Pipeline) -> DataFrame:
     return scored.select("candidate", "quarter_end", "ticker", "composite")
 
 
+THEMES = {
+    "cheap": {"value": 2.0, "garp": 1.0},
+    "strong": {"quality": 3.0, "balance_sheet": 1.0},
+    "trend": {"momentum": 1.0, "low_volatility": 1.0},
+    "capital": {"capital_discipline": 1.0},
+}
+
+
+@query
+def theme_composites(p: Pipeline) -> DataFrame:
+    """Composites under weights of themes: one theme a family, and themes of several families."""
+    grouped = params.theme_weights({"cheap": 0.4, "strong": 0.35, "trend": 0.15, "capital": 0.1}, THEMES)
+    single = params.theme_weights(params.EVIDENCE_WEIGHTS)
+    scored = candidates.with_candidate_scores(p.scored, {"grouped": params.historical_weights(grouped), "single": params.historical_weights(single)})
+    return scored.select("candidate", "quarter_end", "ticker", "composite")
+
+
 @query
 def valuation_vs_history(p: Pipeline) -> DataFrame:
     out = bargain.with_valuation_vs_history(p.panel.select("quarter_end", "ticker", "earnings_yield"))

@@ -150,3 +150,10 @@ def test_gate(spark):
     df = spark.createDataFrame(rows, "ticker string, composite double, bargain_score double, consensus_label string")
     good = {r.ticker for r in screens.with_good_buy(df, params.Thresholds()).filter("is_good_buy").collect()}
     assert good == {"A", "E"}
+
+
+def test_theme_weights():
+    single = params.theme_weights({"value": 0.3, "garp": 0.2, "unknown": 9.0})
+    assert single == {f: {"value": 0.3, "garp": 0.2}.get(f, 0.0) for f in params.HISTORICAL_FAMILIES}
+    grouped = params.theme_weights({"a": 0.6, "b": 0.4, "c": 1.0}, {"a": {"value": 2.0, "garp": 1.0}, "b": {"value": 5.0}, "c": {"quality": 0.0}})
+    assert grouped["value"] == pytest.approx(0.8) and grouped["garp"] == pytest.approx(0.2) and grouped["quality"] == 0.0
