@@ -250,28 +250,23 @@ def field_history(fundamentals: DataFrame, fields: Sequence[str]) -> DataFrame:
     filings of one company (periods x restatements), which the key (ticker, field, period, filed)
     of the fundamentals guarantees.
     """
-    entry = F.struct("period", "filed", "amount")
-    wanted = fundamentals.filter(F.col("field").isin(*fields))
-    return wanted.groupBy("ticker").agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("field") == f, entry))).alias(f) for f in fields]
+    # Both groupings share the shuffle on ticker; each filing is put into one array only.
+    wanted = fundamentals.filter(F.col("field").isin(*fields)).select("ticker", "field", "period", "filed", "amount").repartition("ticker")
+    per_field = wanted.groupBy("ticker", "field").agg(F.sort_array(F.collect_list(F.struct("period", "filed", "amount"))).alias("_e"))
+    nothing = F.array().cast(per_field.schema["_e"].dataType)
+    return per_field.groupBy("ticker").agg(
+        *[F.coalesce(F.first(F.when(F.col("field") == f, F.col("_e")), ignorenulls=True), nothing).alias(f) for f in fields]
     )
 
 
-def known_at(entries: Column, as_of: Column) -> Column:
-    """(latest, prior) of a sorted array of ``(period, filed, amount)`` as known at a date.
+def known_latest(entries: Column, as_of: Column) -> Column:
+    """The entry with the largest (period, filed) filed by a date, of a sorted array of ``(period, filed, amount)``."""
+    return F.try_element_at(F.filter(entries, lambda e: e["filed"] <= as_of), F.lit(-1))
 
-    Latest = largest (period, filed) filed by then; prior = the same among earlier periods. One
-    pass: the entry before a period starts is the best of the period before it.
-    """
-    nothing = F.lit(None).cast("double")
-    start = F.struct(nothing.alias("latest"), F.lit(None).cast("date").alias("period"), nothing.alias("prior"))
-
-    def step(acc: Column, e: Column) -> Column:
-        prior = F.when(e["period"] > acc["period"], acc["latest"]).otherwise(acc["prior"])
-        seen = F.struct(e["amount"].alias("latest"), e["period"].alias("period"), prior.alias("prior"))
-        return F.when(e["filed"] <= as_of, seen).otherwise(acc)
 
-    return F.aggregate(entries, start, step)
+def known_prior(entries: Column, as_of: Column, latest: Column) -> Column:
+    """The same among the periods before that of ``latest``."""
+    return F.try_element_at(F.filter(entries, lambda e: (e["filed"] <= as_of) & (e["period"] < latest["period"])), F.lit(-1))
 
 
 def with_derived_fundamentals(df: DataFrame) -> DataFrame:
@@ -293,11 +288,12 @@ def with_known_fundamentals(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Replace the arrays of ``field_history`` by ``<field>`` and ``<field>_prior`` as known at
     ``quarter_end``, and add the derived fields."""
     others = [c for c in df.columns if c not in fields]
-    looked = df.select(*others, *[known_at(F.col(f), F.col("quarter_end")).alias(f) for f in fields])
+    as_of = F.col("quarter_end")
+    looked = df.withColumns({f"_{f}": known_latest(F.col(f), as_of) for f in fields})
     flat = looked.select(
         *others,
-        *[F.col(f"{f}.latest").alias(f) for f in fields],
-        *[F.col(f"{f}.prior").alias(f"{f}_prior") for f in fields],
+        *[F.col(f"_{f}.amount").alias(f) for f in fields],
+        *[known_prior(F.col(f), as_of, F.col(f"_{f}"))["amount"].alias(f"{f}_prior") for f in fields],
     )
     missing = [f for f in ("total_debt", "total_debt_current", "total_debt_noncurrent") if f not in fields]
     flat = flat.withColumns({f: F.lit(None).cast("double") for f in missing}) if missing else flat

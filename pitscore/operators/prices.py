@@ -1,8 +1,8 @@
 """Price analytics per ticker and as-of date.
 
-A ticker's closes are cut into blocks of 64 rows with mergeable summaries (one shuffle on ticker). A
-quarter-end reads the blocks of its look-back only: no row holds a whole history, and nothing is multiplied
-by quarters x look-back rows in a shuffle.
+A ticker's closes are cut into blocks of 64 rows (one shuffle on ticker). A quarter-end reads the blocks of its
+look-back only: no row holds a whole history, and nothing is multiplied by quarters x look-back rows in a shuffle.
+The look-backs of many rows are evaluated together, as matrices of closes.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitscore.functions.columns import clamp, has_number, ratio
 from pitscore.params import LOOKBACK_ROWS, YEAR_ROWS
@@ -23,44 +26,28 @@ _KEEP = 1.0 - 1.0 / RSI_PERIOD
 BLOCK_ROWS = 64
 # Blocks that the look-back can touch, the last one included.
 BLOCK_REACH = -(-LOOKBACK_ROWS // BLOCK_ROWS) + 1
+#: Look-backs in one matrix.
+MATRIX_ROWS = 1024
 
 
 def price_blocks(prices: DataFrame) -> DataFrame:
     """Closes per ticker in blocks of ``BLOCK_ROWS``: ``ticker, since, until, blocks``.
 
     Input has one row per day. ``since`` is the block's first date, ``until`` that of the next block.
-    ``blocks`` holds the last ``BLOCK_REACH`` blocks up to this one, oldest first, with their bars, extremes,
-    drawdown, moments of returns and decayed gains and losses. All steps share the shuffle on ticker.
+    ``blocks`` holds the last ``BLOCK_REACH`` blocks up to this one, oldest first. All steps share the shuffle
+    on ticker.
     """
     by_date = W.partitionBy("ticker").orderBy("trade_date")
-    change = F.col("close") - F.col("_prev")
-    back = F.pow(F.lit(_KEEP), F.lit(BLOCK_ROWS - 1) - F.col("_pos") % BLOCK_ROWS) * (1.0 - _KEEP)
-    rows = (
-        prices.filter(has_number("close"))
-        .select("ticker", "trade_date", "close", (F.row_number().over(by_date) - 1).alias("_pos"), F.lag("close").over(by_date).alias("_prev"))
-        .withColumns({"_block": F.floor(F.col("_pos") / BLOCK_ROWS), "_r": ratio("close", "_prev") - 1.0, "_back": back})
+    rows = prices.filter(has_number("close")).select(
+        "ticker", "trade_date", "close", F.floor((F.row_number().over(by_date) - 1) / BLOCK_ROWS).alias("_block")
     )
-
-    def moments(x: Column) -> Column:
-        n = F.count(x).cast("double")
-        return F.struct(n.alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias("m2"))
-
     blocks = rows.groupBy("ticker", "_block").agg(
-        F.min("trade_date").alias("since"),
-        F.sort_array(F.collect_list(F.struct("trade_date", "close"))).alias("bars"),
-        F.min("close").alias("low"),
-        F.max("close").alias("high"),
-        moments(F.col("_r")).alias("returns"),
-        moments(F.when(F.col("_r") < 0, F.col("_r"))).alias("negative"),
-        F.sum(F.greatest(change, F.lit(0.0)) * F.col("_back")).alias("gain"),
-        F.sum(F.greatest(-change, F.lit(0.0)) * F.col("_back")).alias("loss"),
+        F.min("trade_date").alias("since"), F.sort_array(F.collect_list(F.struct("trade_date", "close"))).alias("bars")
     )
-    drawdown = max_drawdown(F.col("bars")["close"]).alias("drawdown")
-    block = F.struct("bars", "low", "high", "returns", "negative", "gain", "loss", drawdown)
     in_order = W.partitionBy("ticker").orderBy("_block")
-    return blocks.withColumn("_b", block).select(
+    return blocks.select(
         "ticker", "since", F.lead("since").over(in_order).alias("until"),
-        F.collect_list("_b").over(in_order.rowsBetween(1 - BLOCK_REACH, 0)).alias("blocks"),
+        F.collect_list(F.struct("bars")).over(in_order.rowsBetween(1 - BLOCK_REACH, 0)).alias("blocks"),
     )
 
 
@@ -75,28 +62,6 @@ def _pairs(xs: Column, f) -> Column:
     return F.zip_with(F.slice(xs, 1, n), F.slice(xs, 2, n), f)
 
 
-def _merged_moments(blocks: Column, singles: Column) -> Column:
-    """Count, mean and squared deviations of blocks' moments and single values."""
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-
-    def add(acc: Column, x: Column) -> Column:
-        n = acc["n"] + 1.0
-        mean = acc["mean"] + (x - acc["mean"]) / n
-        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - acc["mean"]) * (x - mean)).alias("m2"))
-
-    def merge(acc: Column, b: Column) -> Column:
-        n, apart = acc["n"] + b["n"], b["mean"] - acc["mean"]
-        share = F.coalesce(ratio(b["n"], n), F.lit(0.0))
-        m2 = acc["m2"] + b["m2"] + apart * apart * acc["n"] * share
-        return F.struct(n.alias("n"), (acc["mean"] + apart * share).alias("mean"), m2.alias("m2"))
-
-    return F.aggregate(blocks, F.aggregate(singles, start, add), merge)
-
-
-def _yearly_std(moments: Column) -> Column:
-    return F.when(moments["n"] >= 2, F.sqrt(ratio(moments["m2"], moments["n"] - 1.0)) * (YEAR_ROWS ** 0.5))
-
-
 def _no_drawdown() -> Column:
     return F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
 
@@ -125,14 +90,6 @@ def momentum(closes: Column) -> Column:
     return F.when((F.size(closes) >= YEAR_ROWS) & (start > 0), ratio(end, start) - 1.0)
 
 
-def _drawdown_of_blocks(start: Column, blocks: Column) -> Column:
-    def step(acc: Column, b: Column) -> Column:
-        dd = F.least(b["drawdown"], _fallen(acc["dd"], b["low"], acc["peak"]))
-        return F.struct(F.greatest(acc["peak"], b["high"]).alias("peak"), dd.alias("dd"))
-
-    return F.aggregate(blocks, start, step)
-
-
 def _smoothed(start: Column, closes: Column) -> Column:
     """Wilder averages of gains and losses after the changes between further closes."""
 
@@ -151,14 +108,6 @@ def _seed(xs: Column, at: Column) -> Column:
     return F.struct(F.greatest(first, F.lit(0.0)).alias("gain"), F.greatest(-first, F.lit(0.0)).alias("loss"))
 
 
-def _smoothed_blocks(start: Column, blocks: Column) -> Column:
-    whole = _KEEP ** BLOCK_ROWS
-    return F.aggregate(
-        blocks, start,
-        lambda acc, b: F.struct((acc["gain"] * whole + b["gain"]).alias("gain"), (acc["loss"] * whole + b["loss"]).alias("loss")),
-    )
-
-
 def _relative_strength(averages: Column) -> Column:
     gain, loss = averages["gain"], averages["loss"]
     return F.when(loss == 0, F.when(gain > 0, 100.0).otherwise(50.0)).otherwise(100.0 - 100.0 / (ratio(gain, loss) + 1.0))
@@ -176,70 +125,77 @@ PRICE_METRICS = (
 )
 
 
-def block_metrics(df: DataFrame) -> DataFrame:
-    """Replace ``blocks`` by the price metrics as of ``quarter_end``.
-
-    A metric folds the closes before its first whole block, merges the summaries of whole blocks and
-    folds the closes of the last block. Returns from a close of zero are left out.
-    """
-    blocks, all_, seen, own = (F.col(c) for c in ("blocks", "_all", "_seen", "_own"))
-    positions = df.withColumns(
-        {
-            "_own": (F.size(blocks) - 1) * BLOCK_ROWS,
-            "_all": F.flatten(F.transform(blocks, lambda b: b["bars"]["close"])),
-            "_seen": (F.size(blocks) - 1) * BLOCK_ROWS
-            + F.size(F.filter(F.element_at(blocks, -1)["bars"], lambda bar: bar["trade_date"] <= F.col("quarter_end"))),
-        }
-    ).withColumns(
-        {"_s": F.greatest(seen - YEAR_ROWS, F.lit(0)), "_l": F.greatest(seen - LOOKBACK_ROWS, F.lit(0))}
-    )
-    year_start, start = F.col("_s"), F.col("_l")
-
-    def first_whole(at: Column) -> Column:
-        return F.least(F.ceil(at / BLOCK_ROWS).cast("int"), F.size(blocks) - 1)
-
-    def whole(first: Column) -> Column:
-        return F.slice(blocks, first + 1, F.greatest(F.size(blocks) - 1 - first, F.lit(0)))
-
-    ahead = positions.withColumns(
-        {
-            "_year": _part(all_, year_start, seen),
-            "_trail": _part(all_, start, seen),
-            "_yb": first_whole(year_start + 1),
-            "_lb": first_whole(start + 2),
-        }
-    ).withColumns({"_yw": whole(F.col("_yb")), "_lw": whole(F.col("_lb"))})
-    year_cut, trail_cut = F.col("_yb") * BLOCK_ROWS, F.col("_lb") * BLOCK_ROWS
-    change = lambda a, b: ratio(b, a) - 1.0
-    edges = F.concat(
-        _pairs(_part(all_, year_start, year_cut), change),
-        _pairs(_part(all_, F.greatest(own - 1, year_start), seen), change),
-    )
-    fallen = _drawdown_of_blocks(_drawdown(_no_drawdown(), _part(all_, year_start, year_cut)), F.col("_yw"))
-    averages = _smoothed_blocks(_smoothed(_seed(all_, start), _part(all_, start + 1, trail_cut)), F.col("_lw"))
-    folded = ahead.withColumn("_edges", F.array_compact(edges)).withColumns(
-        {
-            "_returns": _merged_moments(F.col("_yw")["returns"], F.col("_edges")),
-            "_negative": _merged_moments(F.col("_yw")["negative"], F.filter("_edges", lambda r: r < 0)),
-            "_fallen": _drawdown(fallen, _part(all_, F.greatest(own, year_start), seen)),
-            "_averages": _smoothed(averages, _part(all_, F.greatest(own - 1, start + 1), seen)),
-        }
-    )
-    year, trail, enough = F.col("_year"), F.col("_trail"), F.size("_year") >= 60
-    downside = F.when(F.col("_negative.n") == 0, F.lit(0.0)).otherwise(_yearly_std(F.col("_negative")))
-    metrics = {
-        "price": F.try_element_at(trail, F.lit(-1)),
-        "momentum_12_1": momentum(year),
-        "volatility_12m": F.when(enough, _yearly_std(F.col("_returns"))),
-        "max_drawdown": F.when(enough, F.col("_fallen.dd")),
-        "downside_deviation": F.when(enough, downside),
-        "rsi_14": F.when(F.size(trail) >= RSI_PERIOD + 1, _relative_strength(F.col("_averages"))),
-        "fifty_two_week_high": F.array_max(year),
-        "fifty_two_week_low": F.array_min(year),
-        "all_time_high": F.array_max(trail),
+def _yearly_std(x: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Yearly sample deviation of the used values of each row, NaN for fewer than two."""
+    n = used.sum(axis=1)
+    mean = np.where(used, x, 0.0).sum(axis=1) / n
+    return np.sqrt(np.where(used, (x - mean[:, None]) ** 2, 0.0).sum(axis=1) / (n - 1)) * YEAR_ROWS**0.5
+
+
+def _matrix_metrics(trail: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """``PRICE_METRICS`` of look-backs whose last ``n`` columns are closes. Returns from a close of zero are left out."""
+    rows, width = trail.shape
+    held = np.arange(width) >= width - n[:, None]
+    year, in_year = trail[:, -YEAR_ROWS:], held[:, -YEAR_ROWS:]
+    none = lambda x, missing: pa.array(x, pa.float64(), mask=missing)
+
+    start = year[:, 0]
+    short = n < 60
+    change = year[:, 1:] / year[:, :-1] - 1.0
+    used = in_year[:, :-1] & (year[:, :-1] != 0)
+    falls = used & (change < 0)
+    n_falls = falls.sum(axis=1)
+    peak = np.maximum.accumulate(np.where(in_year, year, 0.0), axis=1)
+    fallen = np.fmin.reduce(np.where(in_year & (peak != 0), year / peak - 1.0, 0.0), axis=1, initial=0.0)
+
+    # Wilder averages: the first change of the look-back is their first value.
+    moves, moved = np.diff(trail, axis=1), held[:, :-1]
+    age = np.arange(width - 1)[::-1]
+    weight = np.where(age == n[:, None] - 2, 1.0, 1.0 - _KEEP) * _KEEP**age
+    gain = np.where(moved, np.maximum(moves, 0.0) * weight, 0.0).sum(axis=1)
+    loss = np.where(moved, np.maximum(-moves, 0.0) * weight, 0.0).sum(axis=1)
+    strength = np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), 100.0 - 100.0 / (gain / loss + 1.0))
+
+    high = np.where(in_year, year, -np.inf).max(axis=1)
+    found = {
+        "price": none(trail[:, -1], n < 1),
+        "momentum_12_1": none(year[:, -22] / start - 1.0, (n < YEAR_ROWS) | ~(start > 0)),
+        "volatility_12m": none(_yearly_std(change, used), short | (used.sum(axis=1) < 2)),
+        "max_drawdown": none(fallen, short),
+        "downside_deviation": none(np.where(n_falls == 0, 0.0, _yearly_std(change, falls)), short | (n_falls == 1)),
+        "rsi_14": none(strength, n < RSI_PERIOD + 1),
+        "fifty_two_week_high": none(high, n < 1),
+        "fifty_two_week_low": none(np.where(in_year, year, np.inf).min(axis=1), n < 1),
+        "all_time_high": none(np.where(held, trail, -np.inf).max(axis=1), n < 1),
     }
+    return [found[name] for name in PRICE_METRICS]
+
+
+@F.arrow_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in PRICE_METRICS]))
+def _metrics_of(closes: pa.Array, seen: pa.Array) -> pa.Array:
+    """The metrics of each row's first ``seen`` closes."""
+    flat, first = closes.flatten().to_numpy(zero_copy_only=False), closes.offsets.to_numpy().astype(np.int64)
+    end = first[:-1] - first[0] + seen.to_numpy(zero_copy_only=False)
+    n = np.minimum(end - (first[:-1] - first[0]), LOOKBACK_ROWS)
+    flat = np.append(flat, 0.0)
+    parts = []
+    with np.errstate(all="ignore"):
+        for a in range(0, len(end), MATRIX_ROWS):
+            at = end[a : a + MATRIX_ROWS, None] - np.arange(LOOKBACK_ROWS, 0, -1)
+            here = n[a : a + MATRIX_ROWS]
+            parts.append(_matrix_metrics(flat[np.where(at >= 0, at, -1)], here))
+    columns = [pa.concat_arrays(c) for c in zip(*parts)] if parts else [pa.array([], pa.float64())] * len(PRICE_METRICS)
+    return pa.StructArray.from_arrays(columns, PRICE_METRICS)
+
+
+def block_metrics(df: DataFrame) -> DataFrame:
+    """Replace ``blocks`` by the price metrics as of ``quarter_end``."""
+    blocks = F.col("blocks")
+    last = F.element_at(blocks, -1)["bars"]
+    seen = (F.size(blocks) - 1) * BLOCK_ROWS + F.size(F.filter(last["trade_date"], lambda d: d <= F.col("quarter_end")))
     kept = [c for c in df.columns if c != "blocks"]
-    return folded.select(*kept, *[c.alias(n) for n, c in metrics.items()])
+    metrics = df.select(*kept, _metrics_of(F.flatten(blocks["bars"])["close"], seen).alias("_m"))
+    return metrics.select(*kept, *[F.col("_m")[name].alias(name) for name in PRICE_METRICS])
 
 
 def with_price_blocks(keys: DataFrame, prices: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pitscore.operators.bargain import enrich_panel
 from pitscore.operators.factors import factor_columns, historical_inputs
 from pitscore.operators.ingest import field_history, with_known_fundamentals
-from pitscore.operators.prices import block_metrics, with_price_blocks
+from pitscore.operators.prices import price_metrics
 from pitscore.params import FAMILIES, HISTORICAL_FAMILIES
 from pitscore.sources.schemas import FIELDS
 
@@ -25,8 +25,8 @@ def historical_raw(members: DataFrame, prices: DataFrame, fundamentals: DataFram
     """Inputs of the factor formulas per (quarter_end, ticker); members without a price are dropped."""
     keys = members.select("quarter_end", F.upper("ticker").alias("ticker")).distinct()
     # Both histories join on ticker alone, so that the partitioning of the first join serves the rest.
-    joined = with_price_blocks(keys, prices).join(field_history(fundamentals, fields), "ticker", "left")
-    return historical_inputs(with_known_fundamentals(block_metrics(joined), fields))
+    joined = price_metrics(keys, prices).join(field_history(fundamentals, fields), "ticker", "left")
+    return historical_inputs(with_known_fundamentals(joined, fields))
 
 
 def factor_panel(members: DataFrame, prices: DataFrame, fundamentals: DataFrame) -> DataFrame:

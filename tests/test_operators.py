@@ -124,6 +124,31 @@ def test_price_metrics_match_pandas(spark):
             assert r[name] == (None if value is None else pytest.approx(value, rel=1e-9, abs=1e-12)), (r.ticker, r.n, name)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_price_metrics_are_evaluated_as_matrices(spark):
+    """No fold over a look-back per row; closes of zero give no return, peak or ratio."""
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(300)]
+    closes = [0.0 if i in (0, 250, 280) else 10.0 + i % 7 for i in range(300)]
+    df = spark.createDataFrame(list(zip(["Z"] * 300, days, closes)), "ticker string, trade_date date, close double")
+    found = prices.price_metrics(spark.createDataFrame([("Z", days[-1])], "ticker string, quarter_end date"), df)
+    assert plan_of(found).count("ArrowEvalPython") == 1 and "aggregate(" not in plan_of(found)
+    year = closes[-252:]
+    returns_ = [b / a - 1 for a, b in zip(year, year[1:]) if a]
+    r = found.first()
+    assert r.volatility_12m == pytest.approx(np.std(returns_, ddof=1) * np.sqrt(252)) and r.max_drawdown == -1.0 and r.fifty_two_week_low == 0.0
+
+
+def test_filings_are_collected_once(spark):
+    """One list per ticker and field, not a conditional list of each field over all rows."""
+    fundamentals = spark.createDataFrame([("A", "ebit", 1.0, date(2020, 3, 31), date(2020, 5, 1))], "ticker string, field string, amount double, period date, filed date")
+    history = ingest.field_history(fundamentals, ["ebit", "revenue"])
+    assert plan_of(history).count("collect_list(") == 1
+    assert history.first().asDict() == {"ticker": "A", "ebit": [(date(2020, 3, 31), date(2020, 5, 1), 1.0)], "revenue": []}
+
+
 def test_price_rows_hold_their_look_back_only(spark):
     days = [("A", date(1990, 1, 1) + timedelta(days=i), 50.0 + i % 7) for i in range(6000)]
     df = spark.createDataFrame(days, "ticker string, trade_date date, close double")
