@@ -151,23 +151,27 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def rank_correlation(
-    df: DataFrame, keys: Sequence[str], a: str | Column, b: str, min_rows: int = 10, valid: Column | None = None
+    df: DataFrame, keys: Sequence[str], a: str | Column | Callable[[DataFrame], DataFrame], b: str, min_rows: int = 10,
+    valid: Column | None = None,
 ) -> DataFrame:
     """Spearman correlation of columns with ``b`` per group: ``keys``, ``n``, ``ic``; NULL below ``min_rows`` pairs
     or when one side is constant.
 
-    ``a`` is a column, or an expression for an array of columns that are all numbers where ``valid`` holds; then
-    each place of the array has its own result, with ``pos``. ``b`` is ranked once for all of them. The values of all
+    ``a`` is a column, or an expression for an array of columns that are all numbers where ``valid`` holds, or a function
+    that expands rows by such values (``pos``, ``_a``); then each place has its own result, with ``pos``. ``b`` is ranked once for all of them. The values of all
     places are ordered in the same parts of their group, each by one window; what a part adds to the covariance
     depends on the rows before it only through their number, so parts are summed without another look at rows.
     """
     keys = list(keys)
-    scores = F.array(F.col(a)) if isinstance(a, str) else a
     pairs = df.filter(has_number(b) & (has_number(a) if isinstance(a, str) else F.lit(True) if valid is None else valid))
     ranks = materialize(average_ranks(pairs, keys, b))
     # The mean rank is (n + 1) / 2 by construction.
     centred = pairs.alias("r").join(ranks.alias("w"), _null_safe("r", "w", [*keys, b])).select("r.*", "w.n", (F.col("w.avg_rank") - (F.col("w.n") + 1) / 2.0).alias("_d"))
-    rows = centred.select(*keys, "n", "_d", F.posexplode(scores).alias("pos", "_a"))
+    if callable(a):
+        expanded = a(centred)
+    else:
+        expanded = centred.withColumns({"_all": F.array(F.col(a)) if isinstance(a, str) else a}).select("*", F.posexplode("_all").alias("pos", "_a"))
+    rows = expanded.select(*keys, "n", "_d", "pos", "_a")
     sketch = None
     if not ranks.filter(F.col("n") > PART_ROWS).isEmpty():
         at = F.percentile_approx("_a", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), ACCURACY)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pitscore.functions.columns import ratio
 from pitscore.functions.distributed import rank_correlation
-from pitscore.operators.candidates import score_arrays
+from pitscore.operators.candidates import score_groups
 from pitscore.operators.screens import top_fraction
 from pitscore.params import BENCHMARK, DELIST_RETURN, HISTORICAL_FAMILIES, HORIZONS, ROLLING_MONTHS, Window
 from pitscore.session import materialize
@@ -163,12 +163,12 @@ def candidate_ics(
 ) -> DataFrame:
     """Rank correlations of the scores of many weight sets: ``candidate, horizon, quarter_end, ic``.
 
-    Returns are ranked once per quarter and horizon; scores travel as one array per name until they are ordered.
+    Returns are ranked once per quarter and horizon; rows are expanded by the weight sets just before they are ordered.
     """
     out, returns = None, _long_forward(forward, horizons)
-    for members, scores, valid in score_arrays(candidates, names, prefix):
+    for members, expand, valid in score_groups(candidates, names, prefix):
         rows = base.filter(valid).join(returns, ["quarter_end", "ticker"])
-        ics = rank_correlation(rows, ["horizon", "quarter_end"], scores, "fwd", valid=valid)
+        ics = rank_correlation(rows, ["horizon", "quarter_end"], expand, "fwd", valid=valid)
         named = ics.select(F.get(F.array(*[F.lit(c) for c in members]), F.col("pos")).alias("candidate"), "horizon", "quarter_end", "ic")
         out = named if out is None else out.unionByName(named)
     return out

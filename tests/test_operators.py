@@ -149,6 +149,22 @@ def test_filings_are_collected_once(spark):
     assert history.first().asDict() == {"ticker": "A", "ebit": [(date(2020, 3, 31), date(2020, 5, 1), 1.0)], "revenue": []}
 
 
+def test_candidate_scores_are_plain_arithmetic(spark):
+    """No decimal rounding and no fold for each of many expanded rows; a NaN percentile counts as missing."""
+    from pitscore.operators.candidates import score_groups, with_candidate_scores
+
+    df = spark.createDataFrame([("A", 10.0, 0.0146484375), ("B", 20.0, float("nan")), ("C", None, None)], "ticker string, pct_x double, pct_y double")
+    weights = {"both": {"x": 0.25, "y": 0.75}, "one": {"y": 1.0}}
+    scored = with_candidate_scores(df, weights, ["x", "y"])
+    assert " round(" not in plan_of(scored)
+    got = {(r.ticker, r.candidate): r.composite for r in scored.collect()}
+    assert got == {("A", "both"): 2.510986328, ("A", "one"): 0.014648438, ("B", "both"): 20.0, ("B", "one"): None, ("C", "both"): None, ("C", "one"): None}
+    for members, expand, valid in score_groups(weights, ["x", "y"]):
+        rows = expand(df.filter(valid))
+        assert "transform(" not in plan_of(rows)
+        assert {(r.ticker, members[r.pos]): r._a for r in rows.collect() if r._a is not None}.items() <= got.items()
+
+
 def test_price_rows_hold_their_look_back_only(spark):
     days = [("A", date(1990, 1, 1) + timedelta(days=i), 50.0 + i % 7) for i in range(6000)]
     df = spark.createDataFrame(days, "ticker string, trade_date date, close double")
