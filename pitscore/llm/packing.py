@@ -7,7 +7,7 @@ gap takes the longest pieces that fit, which come from shorter tiers, and one cu
 a window is exactly full. What remains of a partition is cut into powers of two; one sequence is padded.
 Step groups join windows of one tier with an equal number of tokens.
 
-Tokens: each white-space chunk is tokenised once per task and remembered within a bound. The vocabulary's
+Tokens: each white-space chunk is tokenised once per worker process and remembered within a bound, over tasks too. The vocabulary's
 pretokens never contain or cross white space, so ids of chunks joined are the ids of the text.
 
 Defined results: a null or empty text is its end id alone; rows without ``doc_id`` and repeated rows are
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from pitscore.llm.common import slices
-from pitscore.llm.subwords import Subwords
+from pitscore.llm.subwords import remembered
 
 TIERS = (256, 512, 1024, 2048)
 #: Token budget of a step group; documents packed together; both bound what a task holds.
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, vocabulary: str | None
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, base = Subwords(path), TaskContext.get().partitionId() << 40
+        tokens, base = remembered(path), TaskContext.get().partitionId() << 40
         docs_in: dict[int, tuple] = {}
         out: list[tuple] = []
         count = {"sequence": 0, "step": 0, "doc": 0}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pitscore.llm.words import LOWER, text_bytes
 
 #: Chunks and ids that a worker remembers; beyond that it starts anew.
-MEMORY_CHUNKS, MEMORY_IDS = 1_000_000, 10_000_000
+MEMORY_CHUNKS, MEMORY_IDS = 300_000, 3_000_000
 
 
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
@@ -48,6 +49,12 @@ def _spaced(texts: pa.StringArray) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(texts), pa.py_buffer(shift.astype(np.int32).tobytes()), pa.py_buffer(wide.tobytes()))
 
 
+@functools.lru_cache(maxsize=1)
+def remembered(path: str) -> Subwords:
+    """The encoder of this worker process: chunks that earlier tasks have met need no tokeniser."""
+    return Subwords(path)
+
+
 class Subwords:
     """Encodes white-space chunks once each and gathers the ids of texts from them."""
 

@@ -7,10 +7,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from pitscore.llm import packing
+from pitscore.llm import packing, subwords
+from pitscore.llm.subwords import remembered
 from tests.llm.fixtures import documents, prose
 
 
@@ -45,3 +47,29 @@ def test_round_trip(spark, monkeypatch):
     for parts in offsets.values():
         parts.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0
+
+
+def test_memory_outlives_a_task(spark):
+    """Tasks that run one after the other in one worker share its encoder."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+
+    def known(batches):
+        tokens = remembered(path)
+        for batch in batches:
+            before = tokens.n
+            ids, _ = tokens.encode(batch.column("text"), packing.END)
+            yield pa.record_batch({"before": [before], "ids": [ids.tolist()]})
+
+    expected = Tokenizer.from_file(path).encode("some words here", add_special_tokens=False).ids + [packing.END]
+    rows = documents(spark, [(1, "some words here")]).select("text").coalesce(1)
+    first, second = (rows.mapInArrow(known, "before bigint, ids array<bigint>").first() for _ in range(2))
+    assert first.ids == second.ids == expected and second.before > 0
+
+
+def test_forgets_and_starts_anew(monkeypatch):
+    monkeypatch.setattr(subwords, "MEMORY_CHUNKS", 3)
+    path = public_tokenizers.path(packing.VOCABULARY)
+    plain, tokens = Tokenizer.from_file(path), subwords.Subwords(path)
+    for text in ("one two three", "three four", "one two five", "six"):
+        ids, _ = tokens.encode(pa.array([text]), packing.END)
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END]
