@@ -1,9 +1,10 @@
-"""Column expressions shared by all operators. All stay inside the JVM; none is a UDF."""
+"""Column expressions shared by all operators; none is a UDF. ``norm_cdf_values`` serves one on whole batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ _Q = (2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.
 _INV_SQRT_PI = 0.56418958354775628695
 
 
-def _fraction(x: Column, top: tuple[float, ...], bottom: tuple[float, ...]) -> Column:
+def _fraction(x, top: tuple[float, ...], bottom: tuple[float, ...]):
     """Ratio of two polynomials; the last entry of ``top`` is its leading coefficient."""
     num, den = x * top[-1], x
     for a, b in zip(top[:-2], bottom[:-1]):
@@ -156,3 +157,19 @@ def erf(x: Column) -> Column:
 def norm_cdf(z: Column) -> Column:
     """Standard normal distribution function."""
     return (erf(z / (2.0 ** 0.5)) + 1.0) * 0.5
+
+
+def norm_cdf_values(z: np.ndarray) -> np.ndarray:
+    """``norm_cdf`` of many values; NaN stays NaN."""
+    x = z / 2.0 ** 0.5
+    y = np.abs(x)
+    out = np.full(len(x), np.nan)
+    with np.errstate(all="ignore"):
+        at = y <= 0.46875
+        out[at] = x[at] * _fraction(y[at] * y[at], _A, _B)
+        at = (y > 0.46875) & (y <= 4.0)
+        out[at] = np.sign(x[at]) * (1.0 - np.exp(-y[at] * y[at]) * _fraction(y[at], _C, _D))
+        at = y > 4.0
+        w = 1.0 / (y[at] * y[at])
+        out[at] = np.sign(x[at]) * (1.0 - np.exp(-y[at] * y[at]) * ((_INV_SQRT_PI - w * _fraction(w, _P, _Q)) / y[at]))
+    return (out + 1.0) * 0.5

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitscore.functions.columns import available_mass, mean_of, norm_cdf, ratio, weighted_mean_of
+from pitscore.functions.columns import available_mass, mean_of, norm_cdf_values, ratio, weighted_mean_of
 from pitscore.functions.distributed import quantiles
 from pitscore.params import FAMILIES, HISTORICAL_FAMILIES
 from pitscore.session import materialize
@@ -120,6 +123,17 @@ def with_zscores(
     )
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _percentiles(z: pa.Array) -> pa.Array:
+    """Every element's share of the normal distribution in percent; all elements of a batch at once."""
+    flat = z.flatten()
+    share = norm_cdf_values(flat.to_numpy(zero_copy_only=False).astype(np.float64)) * 100.0
+    missing = flat.is_null().to_numpy(zero_copy_only=False)
+    sizes = z.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(share, pa.float64(), mask=missing), mask=z.is_null())
+
+
 def score_cross_section(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,7 +150,7 @@ def score_cross_section(
     missing = {s: F.lit(None).cast("double") for s in signals if s not in df.columns}
     df = df.withColumns(missing) if missing else df
     scored = with_zscores(df, keys, signals, sector).withColumn(
-        "_p", F.transform("z", lambda x: norm_cdf(x) * 100.0)
+        "_p", _percentiles("z")
     )
     place = {s: i for i, s in enumerate(signals)}
     scored = scored.withColumns(
