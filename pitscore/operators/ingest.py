@@ -259,14 +259,14 @@ def field_history(fundamentals: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
-def known_latest(entries: Column, as_of: Column) -> Column:
-    """The entry with the largest (period, filed) filed by a date, of a sorted array of ``(period, filed, amount)``."""
-    return F.try_element_at(F.filter(entries, lambda e: e["filed"] <= as_of), F.lit(-1))
+def known_entries(entries: Column, as_of: Column) -> Column:
+    """The entries filed by a date, of a sorted array of ``(period, filed, amount)``; the last one is the latest."""
+    return F.filter(entries, lambda e: e["filed"] <= as_of)
 
 
-def known_prior(entries: Column, as_of: Column, latest: Column) -> Column:
-    """The same among the periods before that of ``latest``."""
-    return F.try_element_at(F.filter(entries, lambda e: (e["filed"] <= as_of) & (e["period"] < latest["period"])), F.lit(-1))
+def known_prior(known: Column, latest: Column) -> Column:
+    """The last of the known entries among the periods before that of ``latest``."""
+    return F.try_element_at(F.filter(known, lambda e: e["period"] < latest["period"]), F.lit(-1))
 
 
 def with_derived_fundamentals(df: DataFrame) -> DataFrame:
@@ -289,11 +289,12 @@ def with_known_fundamentals(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     ``quarter_end``, and add the derived fields."""
     others = [c for c in df.columns if c not in fields]
     as_of = F.col("quarter_end")
-    looked = df.withColumns({f"_{f}": known_latest(F.col(f), as_of) for f in fields})
+    looked = df.select(*others, *[known_entries(F.col(f), as_of).alias(f) for f in fields])
+    looked = looked.withColumns({f"_{f}": F.try_element_at(f, F.lit(-1)) for f in fields})
     flat = looked.select(
         *others,
         *[F.col(f"_{f}.amount").alias(f) for f in fields],
-        *[known_prior(F.col(f), as_of, F.col(f"_{f}"))["amount"].alias(f"{f}_prior") for f in fields],
+        *[known_prior(F.col(f), F.col(f"_{f}"))["amount"].alias(f"{f}_prior") for f in fields],
     )
     missing = [f for f in ("total_debt", "total_debt_current", "total_debt_noncurrent") if f not in fields]
     flat = flat.withColumns({f: F.lit(None).cast("double") for f in missing}) if missing else flat

@@ -6,6 +6,7 @@ market as a whole plays the benchmark, orders play filings and events play analy
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,13 @@ LIST_PART = 100
 _VIEWS = {
     "prices": """
         with d as (
-          select concat('S', cast(l_suppkey as string)) as ticker, cast(l_shipdate as date) as trade_date,
-                 cast(l_extendedprice as decimal(18,2)) as px, cast(l_quantity as decimal(18,2)) as qty
-          from {lineitem})
-        select ticker, trade_date, cast(sum(px) as double) / cast(sum(qty) as double) as close
-        from d group by ticker, trade_date
+          select l_suppkey, cast(l_shipdate as date) as trade_date, {cents(l_extendedprice)} as px, {cents(l_quantity)} as qty
+          from {lineitem}),
+        s as (select l_suppkey, trade_date, sum(px) as px, sum(qty) as qty from d group by l_suppkey, trade_date),
+        m as (select trade_date, sum(px) as px, sum(qty) as qty from d group by trade_date)
+        select concat('S', cast(l_suppkey as string)) as ticker, trade_date, {amount(px, 2)} / {amount(qty, 2)} as close from s
         union all
-        select 'SPY', trade_date, cast(sum(px) as double) / cast(sum(qty) as double) from d group by trade_date
+        select 'SPY', trade_date, {amount(px, 2)} / {amount(qty, 2)} from m
     """,
     "universe": """
         select concat('S', cast(s_suppkey as string)) as ticker, s_name as name, r_name as sector,
@@ -43,30 +44,27 @@ _VIEWS = {
     "fundamentals": """
         with li as (
           select l_suppkey, last_day(cast(date_trunc('quarter', l_shipdate) + interval 2 month as date)) as period,
-                 cast(l_extendedprice as decimal(18,2)) as px, cast(l_discount as decimal(6,2)) as disc,
-                 cast(l_tax as decimal(6,2)) as tax, cast(l_quantity as decimal(18,2)) as qty,
-                 cast(p_retailprice as decimal(18,2)) as cost, l_returnflag as rf, l_linestatus as ls
+                 {cents(l_extendedprice)} as px, {cents(l_discount)} as disc, {cents(l_tax)} as tax, {cents(l_quantity)} as qty,
+                 {cents(p_retailprice)} as cost, l_returnflag as rf, l_linestatus as ls
           from {lineitem} join {part} on l_partkey = p_partkey),
+        -- Sums of prices are in hundredths, sums of products in ten-thousandths.
+        s as (
+          select l_suppkey, period, sum(px) as px, sum(qty) as qty,
+            sum(case when ls = 'O' then px else 0 end) as px_o, sum(case when ls = 'F' then px else 0 end) as px_f,
+            sum(case when rf = 'R' then px else 0 end) as px_r, sum(case when ls = 'O' and rf = 'R' then px else 0 end) as px_or,
+            sum(case when rf = 'N' then px else 0 end) as px_n, sum(case when rf = 'A' and ls = 'F' then px else 0 end) as px_af,
+            sum(px * (100 - disc)) as net, sum(qty * cost) as cost, sum(px * tax) as tax, sum(px * disc) as disc,
+            sum(case when ls = 'F' then px * (100 - disc) - qty * cost else 0 end) as flow
+          from li group by l_suppkey, period),
         w as (
           select l_suppkey, period,
-            cast(sum(px) as double) as total_assets,
-            cast(sum(case when ls = 'O' then px else 0 end) as double) as total_liabilities,
-            cast(sum(case when ls = 'F' then px else 0 end) as double) as current_assets,
-            cast(sum(case when rf = 'R' then px else 0 end) as double) as current_liabilities,
-            cast(sum(case when ls = 'O' and rf = 'R' then px else 0 end) as double) as long_term_debt,
-            cast(sum(qty) as double) as shares_outstanding,
-            cast(sum(px * (1 - disc)) - sum(qty * cost) as double) as gross_profit,
-            cast(sum(px * (1 - disc)) - sum(qty * cost) - sum(px * tax)
-                 - sum(case when rf = 'N' then px else 0 end) as double) as net_income,
-            cast(sum(px * (1 - disc)) - sum(qty * cost) - sum(px * tax) as double) as ebit,
-            cast(sum(px * (1 - disc)) as double) as revenue,
-            cast(sum(case when ls = 'F' then px * (1 - disc) - qty * cost else 0 end) as double) as operating_cashflow,
-            cast(sum(px * disc) as double) as dividends_paid,
-            cast(-sum(px * tax) as double) as repurchase_of_stock,
-            cast(sum(case when rf = 'N' then px else 0 end) as double) as retained_earnings,
-            cast(sum(case when rf = 'A' and ls = 'F' then px else 0 end) as double) as total_cash,
-            cast(sum(case when ls = 'F' then px else 0 end) as double) as book_equity
-          from li group by l_suppkey, period),
+            {amount(px, 2)} as total_assets, {amount(px_o, 2)} as total_liabilities, {amount(px_f, 2)} as current_assets,
+            {amount(px_r, 2)} as current_liabilities, {amount(px_or, 2)} as long_term_debt, {amount(qty, 2)} as shares_outstanding,
+            {amount(net - cost, 4)} as gross_profit, {amount(net - cost - tax - px_n * 100, 4)} as net_income,
+            {amount(net - cost - tax, 4)} as ebit, {amount(net, 4)} as revenue, {amount(flow, 4)} as operating_cashflow,
+            {amount(disc, 4)} as dividends_paid, {amount(-tax, 4)} as repurchase_of_stock, {amount(px_n, 2)} as retained_earnings,
+            {amount(px_af, 2)} as total_cash, {amount(px_f, 2)} as book_equity
+          from s),
         u as (select * from w unpivot (amount for field in (
               total_assets, total_liabilities, current_assets, current_liabilities, long_term_debt,
               shares_outstanding, gross_profit, net_income, ebit, revenue, operating_cashflow, dividends_paid,
@@ -159,11 +157,26 @@ _VIEWS = {
     """,
 }
 
+#: Hundredths as a long, equal to the decimal of two places: a double that is the nearest to whole hundredths is
+#: read off by arithmetic, all others by the decimal. Sums of longs need no wide decimals.
+_CENTS = """case when abs({x}) < 1e12 and rint({x} * 100) / 100 = {x} then cast(rint({x} * 100) as bigint)
+            else cast(cast({x} as decimal(18,2)) * 100 as bigint) end"""
+#: The double nearest to a long with so many decimal places, as the decimal gives it.
+_AMOUNT = """case when abs({x}) < 9007199254740992 then cast({x} as double) / 1e{places}
+             else cast(cast({x} as decimal(20,0)) / cast(1e{places} as decimal(5,0)) as double) end"""
+
+
+def _filled(text: str) -> str:
+    """The view with its ``{cents(x)}`` and ``{amount(x, places)}`` written out."""
+    text = re.sub(r"\{cents\((\w+)\)\}", lambda m: "(" + _CENTS.replace("{x}", m[1]) + ")", text)
+    return re.sub(r"\{amount\(([^,{}]+), (\d)\)\}", lambda m: "(" + _AMOUNT.replace("{x}", f"({m[1]})").replace("{places}", m[2]) + ")", text)
+
+
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One market-shaped view over the tables in ``sf_dir``."""
-    text = _VIEWS[name].replace("{part_size}", str(LIST_PART))
+    text = _filled(_VIEWS[name]).replace("{part_size}", str(LIST_PART))
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
