@@ -28,15 +28,15 @@ def asof_join(
     through an equi-join on (key, date), which spreads a hot key over its dates.
     """
     by = list(by)
-    payload = F.struct(F.col(right_on), *values)
-    known = (
-        right.filter(F.col(right_on).isNotNull())
-        .groupBy(*by, F.col(right_on).alias("_t"))
-        .agg(F.max(payload).alias("_known"))
-    )
-    asked = left.select(*by, F.col(on).alias("_t")).distinct().withColumn("_ask", F.lit(True))
-    merged = known.join(asked, [*by, "_t"], "full_outer")
-    upto = W.partitionBy(*by).orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
+    dated = right.filter(F.col(right_on).isNotNull()).groupBy(*by, F.col(right_on).alias("_t"))
+    if len(values) == 1:  # a plain maximum is aggregated by hash, one of structs by sorting all rows
+        known = dated.agg(F.max(values[0]).alias("_v")).select(*by, "_t", F.struct(F.col("_t").alias(right_on), F.col("_v").alias(values[0])).alias("_known"))
+    else:
+        known = dated.agg(F.max(F.struct(F.col(right_on), *values)).alias("_known"))
+    asked = left.select(*by, F.col(on).alias("_t")).distinct()
+    merged = known.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
+    # What is known on a date comes before what is asked on it.
+    upto = W.partitionBy(*by).orderBy("_t", "_ask").rowsBetween(W.unboundedPreceding, 0)
     answers = (
         merged.withColumn("_known", F.last("_known", ignorenulls=True).over(upto))
         .filter("_ask")

@@ -233,10 +233,10 @@ def price_range_slice(p: Pipeline) -> DataFrame:
 
 def _statement_rows(p: Pipeline) -> DataFrame:
     """Wide statement rows with the latest filed value of each field."""
-    f = p.fundamentals.groupBy("ticker", "period", "field").agg(F.max_by("amount", "filed").alias("amount"))
     names = {"ebit": "ebit", "shares_outstanding": "shares", "long_term_debt": "total_debt", "total_cash": "total_cash"}
-    wide = f.groupBy("ticker", "period").pivot("field", list(names)).agg(F.first("amount"))
-    return wide.withColumnsRenamed(names)
+    # One entry per period in the map-side aggregate, whatever the number of fields.
+    filed = lambda field: F.when(F.col("field") == field, F.col("filed"))
+    return p.fundamentals.groupBy("ticker", "period").agg(*[F.max_by("amount", filed(f)).alias(name) for f, name in names.items()])
 
 
 @query

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pitscore import params
 from pitscore.functions import columns as C
-from pitscore.operators import analysts, bargain, factors, prices, scoring, screens, validation
+from pitscore.operators import analysts, asof, bargain, factors, prices, scoring, screens, validation
+from pitscore.sources import samples
 
 
 def one(spark, expr, **values):
@@ -157,3 +158,36 @@ def test_theme_weights():
     assert single == {f: {"value": 0.3, "garp": 0.2}.get(f, 0.0) for f in params.HISTORICAL_FAMILIES}
     grouped = params.theme_weights({"a": 0.6, "b": 0.4, "c": 1.0}, {"a": {"value": 2.0, "garp": 1.0}, "b": {"value": 5.0}, "c": {"quality": 0.0}})
     assert grouped["value"] == pytest.approx(0.8) and grouped["garp"] == pytest.approx(0.2) and grouped["quality"] == 0.0
+
+
+def test_percentiles_of_a_batch_are_those_of_the_expression(spark):
+    zs = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, *[i / 50 for i in range(-450, 451)], 40.0, -1e300]
+    df = spark.createDataFrame([(1, zs), (2, []), (3, None), (4, zs[::-1])], "id int, z array<double>").coalesce(1)
+    rows = df.select("id", scoring._percentiles("z").alias("p"), F.transform("z", lambda x: C.norm_cdf(x) * 100.0).alias("e")).collect()
+    for r in rows:
+        assert r.p is r.e is None or len(r.p) == len(r.e)
+        for p, e in zip(r.p or [], r.e or []):
+            assert p is e is None or (math.isnan(p) and math.isnan(e)) or p == pytest.approx(e, abs=1e-12)
+
+
+def test_hundredths_are_those_of_the_decimal(spark):
+    xs = [None, 0.0, -0.0, 0.01, 0.07, 0.29, 1.005, 2.675, 0.125, -0.125, -7.49, 104949.5, 0.1 + 0.2, 1e-9, 999999999999.99, 1e13 + 0.25, 90071992547409.93]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    rows = df.select("x", F.expr(samples._filled("{cents(x)}")).alias("a"), F.expr("cast(cast(x as decimal(18,2)) * 100 as bigint)").alias("b")).collect()
+    assert [(r.x, r.a) for r in rows] == [(r.x, r.b) for r in rows]
+    vs = [None, 0, 1, -1, 12345, -99999, 2**53 - 1, 2**53 + 1, 2**62 + 12345, -(2**62) - 1]
+    df = spark.createDataFrame([(v,) for v in vs], "v bigint")
+    exact = lambda n: F.expr(f"cast(cast(v as decimal(20,0)) / cast({10**n} as decimal(5,0)) as double)")
+    for n in (2, 4):
+        for r in df.select("v", F.expr(samples._filled(f"{{amount(v, {n})}}")).alias("a"), exact(n).alias("b")).collect():
+            assert r.a == r.b
+
+
+def test_known_value_of_a_date_is_aggregated_by_hash(spark):
+    right = spark.createDataFrame([("a", date(2020, 1, 1), 1.0), ("a", date(2020, 1, 1), 3.0), ("a", date(2020, 1, 3), None)], "k string, t date, v double")
+    left = spark.createDataFrame([("a", date(2020, 1, 2)), ("a", date(2020, 1, 4)), ("a", date(2019, 1, 1))], "k string, d date")
+    joined = asof.asof_join(left, right, ["k"], "d", "t", ["v"])
+    assert "SortAggregate" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert {r.d: (r.t, r.v) for r in joined.collect()} == {
+        date(2020, 1, 2): (date(2020, 1, 1), 3.0), date(2020, 1, 4): (date(2020, 1, 3), None), date(2019, 1, 1): (None, None),
+    }
