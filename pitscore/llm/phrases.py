@@ -254,12 +254,15 @@ def phrase_counts(docs: DataFrame, min_count: int = 100) -> tuple[DataFrame, lis
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     rows = staged(texts.mapInArrow(_shards, _spark(_SHARD)))
     total = rows.filter("z is not null").groupBy("lang").agg(F.sum("n").alias("words"))
-    found = rows.filter("no is not null")
-    often = found.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    # A word has one row in a shard at most; the number of its first row is its id in all of them.
+    same = W.partitionBy("word", "lang")
+    found = rows.filter("no is not null").select("shard", "no", "lang", "word", "n", F.monotonically_increasing_id().alias("_at"))
+    counted = found.withColumns({"f": F.sum("n").over(same), "id": F.min("_at").over(same)})
+    often = staged(counted.filter(F.col("f") >= min_count).select("shard", "no", "id", "lang", "word", "f", (F.col("id") == F.col("_at")).alias("first")))
     counts = F.array("f")
     none = F.lit(None).cast("long")
-    words = staged(often.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", counts.alias("firsts"), counts.alias("lasts"), none.alias("p"), none.alias("s")))
-    known = found.select("shard", "no", "lang", "word").join(words.select("lang", F.col("phrase").alias("word"), "id").hint("shuffle_hash"), ["lang", "word"]).select(F.col("shard").alias("of"), "no", "id")
+    words = often.filter("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", counts.alias("firsts"), counts.alias("lasts"), none.alias("p"), none.alias("s"))
+    known = often.select(F.col("shard").alias("of"), "no", "id")
     coded = rows.filter("z is not null").select("shard", "lang", "z")
     index = staged(coded.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_build, _spark(_INDEX)))
     parts = max(1, -(-(index.agg(F.sum("size")).first()[0] or 0) // PART_ROWS))

@@ -91,3 +91,14 @@ def test_brute_force(spark, min_count, keep, top):
 @pytest.mark.parametrize("rows", [[], [(1, "")], [(1, None), (2, "  ")], [(1, "one")]])
 def test_no_phrases(spark, rows):
     assert phrases.collocations(documents(spark, rows), 1).collect() == []
+
+
+def test_words_get_their_ids_without_a_join(spark, monkeypatch):
+    """Ids of frequent words come from the pass that counts them: no join of words, whatever share of them is frequent."""
+    plans, write = [], phrases.staged
+    monkeypatch.setattr(phrases, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    _, levels = phrases.phrase_counts(documents(spark, [(i, "one two three") for i in range(8)]).repartition(4), 8)
+    assert sorted((r.phrase, r.f) for r in levels[0].collect()) == [("one", 8), ("three", 8), ("two", 8)]
+    assert levels[0].select("id").distinct().count() == 3
+    assert [r.phrase for r in levels[2].collect()] == ["one two three"]
+    assert not any(re.search(r"Join .*word#", plan) for plan in plans)
