@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
-from pitscore.llm import decontamination, fingerprints, infill, licenses, lmscore, neardedup, packing, secrets, sharding, substrings, toxicity
+from pitscore.llm import common, decontamination, fingerprints, infill, licenses, lmscore, neardedup, packing, secrets, sharding, substrings, toxicity
 from tests.llm.fixtures import documents, odd_rows
 
 LABELS = [(1, 1), (4, 0), (7, 1), (None, 1), (8, None)]
@@ -91,3 +92,12 @@ def test_defined_results(spark):
     assert all(0 <= r.score <= 1 for r in scores) and all(r.score == 0 for r in scores if r.n_sentences == 0)
     cut = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
     assert cut[9].n_removed == cut[9].n_bytes and cut[4].n_spans == 1 and cut[8].n_removed == 30_000 and cut[5].n_removed == 0
+
+
+def test_slices_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    batch = pa.record_batch({"text": pa.array(["a" * 10, None, "b" * 10])})
+    assert [b.num_rows for b in common.slices(iter([batch, batch]), limit=12)] == [2, 1, 2, 1] and calls == [1]
+    monkeypatch.undo()
+    common.release()
