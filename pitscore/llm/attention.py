@@ -2,11 +2,13 @@
 
 The next id has probability ``p(class | context) * p(id | class, previous id)``. Class logits are the sum of a
 table row of the previous id and one head of causal self-attention over the window. The classes come from
-clustering ids by their neighbours; the second factor and the table's start from counts.
+clustering ids by their neighbours; the second factor and the table come from counts. The head starts from a
+sample, then every task makes a pass over all windows of its texts, and the mean of all steps of all tasks counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,13 @@ ROWS = INPUTS + 2
 #: Weight of p(id | class) against the counts after one previous id.
 PRIOR = 30.0
 START, END = 49406, 49407
+#: Windows of a training step of the start and of the pass over all texts, and the rate of a step of that pass.
+START_WINDOWS, PASS_WINDOWS, PASS_RATE = 192, 512, 0.01
 _NEG = np.float32(-1e9)
+_MASK = np.triu(np.full((WINDOW, WINDOW), _NEG, np.float32), 1)
+_SCALE = np.float32(WIDTH**-0.5)
+#: Trained weights: embeddings of input rows and places, query, key and value maps, output map.
+SHAPES = {"e": (ROWS, WIDTH), "p": (WINDOW, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "o": (WIDTH, CLASSES)}
 
 
 @dataclass(frozen=True)
@@ -36,6 +44,7 @@ class Model:
     pv: np.ndarray
     out: np.ndarray
     table: np.ndarray
+    weights: dict[str, np.ndarray]  # by the names of SHAPES; q to out follow from them
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,14 +70,13 @@ def log_probabilities(m: Model, ids: np.ndarray, bounds: np.ndarray, batch: int
     rows, classes = m.place[_previous(ids, bounds)], m.cls[ids]
     first, size, scored = windows(bounds)
     score = m.within[ids] + m.pair[rows, m.place[ids]].astype(np.float64)
-    mask = np.triu(np.full((WINDOW, WINDOW), _NEG, np.float32), 1)
     at = np.arange(WINDOW)
     for i in range(0, len(first), batch):
         f, s, c = first[i : i + batch], size[i : i + batch], scored[i : i + batch]
         where = np.minimum(f[:, None] + at, len(ids) - 1)
         row = rows[where]
         weight = (m.q[row] + m.pq) @ (m.k[row] + m.pk).transpose(0, 2, 1)
-        weight += mask
+        weight += _MASK
         np.exp(weight, out=weight)
         mixed = weight @ (m.v[row] + m.pv)
         mixed /= weight.sum(axis=2, keepdims=True)
@@ -95,18 +103,13 @@ def neighbours(place: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.nda
     return place[_previous(ids, bounds)].astype(np.int64) * ROWS + place[ids]
 
 
-def cluster(counts: np.ndarray, place: np.ndarray, ids: np.ndarray, bounds: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Class of every id: the most frequent ids grouped by the ids next to them in a sample."""
+def cluster(counts: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Class of every id: the most frequent ids grouped by the input rows next to them, from the counts of neighbouring rows."""
     top = np.argsort(-counts, kind="stable")[:INPUTS]
-    size = ROWS
-    pair, n = np.unique(neighbours(place, ids, bounds), return_counts=True)
-    sketch = np.zeros((size, 96), np.float32)
-    left, right = (rng.standard_normal((size, 48)).astype(np.float32) for _ in range(2))
-    np.add.at(sketch[:, :48], pair % size, left[pair // size] * np.sqrt(n)[:, None].astype(np.float32))
-    np.add.at(sketch[:, 48:], pair // size, right[pair % size] * np.sqrt(n)[:, None].astype(np.float32))
-    sketch /= np.linalg.norm(sketch, axis=1, keepdims=True) + 1e-6
+    root = np.sqrt(after).astype(np.float32)
+    points = np.concatenate([root.T, root], axis=1)[:INPUTS]
+    points /= np.linalg.norm(points, axis=1, keepdims=True) + 1e-6
     weight = np.sqrt(counts[top]) + 1e-3
-    points = sketch[:INPUTS]
     centres = points[: CLASSES - 1].copy()
     for _ in range(12):
         own = np.argmax(points @ centres.T, axis=1)
@@ -120,78 +123,132 @@ def cluster(counts: np.ndarray, place: np.ndarray, ids: np.ndarray, bounds: np.n
     return cls
 
 
+def _gradient(p: dict[str, np.ndarray], table: np.ndarray, row: np.ndarray, classes: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean loss of the classes at the ``live`` places of windows (``row``: their input rows)."""
+    shape, flat, share = (*row.shape, WIDTH), row.ravel(), live.ravel() / live.sum()
+    x = p["e"][flat]
+    x.reshape(shape)[...] += p["p"]
+    q, k, v = ((x @ m).reshape(shape) for m in (p["wq"] * _SCALE, p["wk"], p["wv"]))
+    a = q @ k.transpose(0, 2, 1)
+    a += _MASK
+    a -= a.max(2, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(2, keepdims=True)
+    h = a @ v
+    z = table[flat]
+    z += h.reshape(-1, WIDTH) @ p["o"]
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (share / z.sum(1))[:, None]
+    z[np.arange(len(z)), classes.ravel()] -= share
+    gh = (z @ p["o"].T).reshape(shape)
+    ga = gh @ v.transpose(0, 2, 1)
+    ga -= np.einsum("ijk,ijk->ij", gh, h)[:, :, None]
+    ga *= a
+    gq, gk, gv = ((b @ c).reshape(-1, WIDTH) for b, c in ((ga, k), (ga.transpose(0, 2, 1), q), (a.transpose(0, 2, 1), gh)))
+    gq *= _SCALE
+    gx = gq @ p["wq"].T
+    gx += gk @ p["wk"].T
+    gx += gv @ p["wv"].T
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    sorted_rows = flat[order]
+    cut = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
+    e = np.zeros_like(p["e"])
+    e[sorted_rows[cut]] = np.add.reduceat(gx[order], cut, axis=0)
+    return {"e": e, "p": gx.reshape(shape).sum(0), "wq": x.T @ gq, "wk": x.T @ gk, "wv": x.T @ gv, "o": h.reshape(-1, WIDTH).T @ z}
+
+
+class _Adam:
+    """Changes weights in place, step by step."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.step = p, 0
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def move(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        pace = np.float32(rate * min(1.0, self.step / 20) / (1 - 0.9**self.step))
+        for key, value in self.p.items():
+            self.m1[key] += np.float32(0.1) * (grad[key] - self.m1[key])
+            self.m2[key] += np.float32(0.01) * (grad[key] ** 2 - self.m2[key])
+            value -= pace * self.m1[key] / (np.sqrt(self.m2[key] / np.float32(1 - 0.99**self.step)) + np.float32(1e-7))
+
+
+def assembled(place: np.ndarray, cls: np.ndarray, within: np.ndarray, pair: np.ndarray, table: np.ndarray, p: dict[str, np.ndarray]) -> Model:
+    """Model with the weights ``p``: the maps are multiplied out for every input row and place."""
+    q, k, v = p["e"] @ p["wq"] * _SCALE, p["e"] @ p["wk"], p["e"] @ p["wv"]
+    pq, pk, pv = p["p"] @ p["wq"] * _SCALE, p["p"] @ p["wk"], p["p"] @ p["wv"]
+    # Exponents stay within single precision: a product of the greatest norms bounds every weight.
+    reach = (np.linalg.norm(q, axis=1).max() + np.linalg.norm(pq, axis=1).max()) * (np.linalg.norm(k, axis=1).max() + np.linalg.norm(pk, axis=1).max())
+    shrink = np.float32(min(1.0, 60.0 / max(reach, 1e-6)))
+    q, pq = q * shrink, pq * shrink
+    return Model(place, cls, within, pair, *(np.ascontiguousarray(x, np.float32) for x in (q, k, v, pq, pk, pv, p["o"], table)), p)
+
+
 def train(counts: np.ndarray, pairs: np.ndarray, ids: np.ndarray, bounds: np.ndarray, steps: int = 400, seed: int = 6) -> Model:
-    """``counts`` of ids and ``pairs`` (previous input row, input row, count) come from the whole corpus, the sample trains."""
+    """``counts`` of ids and ``pairs`` (previous input row, input row, count) come from the whole corpus; the head starts from the texts given."""
     rng = np.random.default_rng(seed)
     place = places(counts)
-    cls = cluster(counts, place, ids, bounds, rng)
+    after = np.zeros((ROWS, ROWS))
+    after[pairs[:, 0], pairs[:, 1]] = pairs[:, 2]
+    cls = cluster(counts, after)
     soft = counts + 0.05
     mass = np.bincount(cls, soft, CLASSES)
     within = np.log(soft / mass[cls])
-    size = ROWS
     before = _previous(ids, bounds)
-    after = np.zeros((size, size))
-    after[pairs[:, 0], pairs[:, 1]] = pairs[:, 2]
-    own = np.full(size, CLASSES - 1)
+    own = np.full(ROWS, CLASSES - 1)
     own[place] = cls
-    member = np.zeros((size, CLASSES))
-    member[np.arange(size), own] = 1.0
+    member = np.zeros((ROWS, CLASSES))
+    member[np.arange(ROWS), own] = 1.0
     by_class = after @ member
-    alone = np.zeros(size)
+    alone = np.zeros(ROWS)
     alone[place] = np.exp(within)
     pair = np.log((after + PRIOR * alone) / (by_class[:, own] + PRIOR))
     pair[:, INPUTS:] = 0.0
     within[place < INPUTS] = 0.0
     prior = (np.bincount(cls, counts, CLASSES) + 1) / (counts.sum() + CLASSES)
     table = np.log((by_class + 20 * prior) / (by_class.sum(1, keepdims=True) + 20))
-    n = lambda *s: rng.standard_normal(s).astype(np.float32) * np.float32(0.3)
-    p = {"e": n(size, WIDTH), "p": n(WINDOW, WIDTH), "wq": n(WIDTH, WIDTH), "wk": n(WIDTH, WIDTH), "wv": n(WIDTH, WIDTH), "o": n(WIDTH, CLASSES) * 0, "t": table.astype(np.float32)}
-    m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    table = (table - table.max(1, keepdims=True)).astype(np.float32)
+    p = {k: rng.standard_normal(s).astype(np.float32) * np.float32(0.0 if k == "o" else 0.3) for k, s in SHAPES.items()}
     first, length, scored = windows(bounds)
     full = np.flatnonzero(length >= 2)
-    rows, classes = place[before], cls[ids]
-    mask, at, scale = np.triu(np.full((WINDOW, WINDOW), _NEG, np.float32), 1), np.arange(WINDOW), np.float32(WIDTH**-0.5)
+    rows, classes, at, adam = place[before], cls[ids], np.arange(WINDOW), _Adam(p)
     for step in range(1, steps + 1 if len(full) else 1):
-        w = rng.choice(full, 192)
+        w = rng.choice(full, START_WINDOWS)
         where = np.minimum(first[w][:, None] + at, len(ids) - 1)
         live = ((at < length[w][:, None]) & (at >= scored[w][:, None])).astype(np.float32)
-        r = rows[where]
-        x = p["e"][r] + p["p"]
-        q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
-        a = q @ k.transpose(0, 2, 1) * scale + mask
-        a = np.exp(a - a.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        h = a @ v
-        z = h @ p["o"] + p["t"][r]
-        z = np.exp(z - z.max(2, keepdims=True))
-        z /= z.sum(2, keepdims=True)
-        g = z
-        g[np.arange(len(w))[:, None], at, classes[where]] -= 1
-        g *= live[:, :, None] / live.sum()
-        flat_r, flat_g = r.ravel(), g.reshape(-1, CLASSES)
-        grad = {"o": h.reshape(-1, WIDTH).T @ flat_g, "t": np.zeros_like(p["t"])}
-        np.add.at(grad["t"], flat_r, flat_g)
-        gh = g @ p["o"].T
-        ga = gh @ v.transpose(0, 2, 1)
-        gv = a.transpose(0, 2, 1) @ gh
-        ga = a * (ga - (ga * a).sum(2, keepdims=True)) * scale
-        gq, gk = ga @ k, ga.transpose(0, 2, 1) @ q
-        flat = x.reshape(-1, WIDTH).T
-        grad |= {"wq": flat @ gq.reshape(-1, WIDTH), "wk": flat @ gk.reshape(-1, WIDTH), "wv": flat @ gv.reshape(-1, WIDTH)}
-        gx = gq @ p["wq"].T + gk @ p["wk"].T + gv @ p["wv"].T
-        grad["p"], grad["e"] = gx.sum(0), np.zeros_like(p["e"])
-        np.add.at(grad["e"], flat_r, gx.reshape(-1, WIDTH))
-        rate = 0.02 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
-        for key, value in p.items():
-            m1[key] += 0.1 * (grad[key] - m1[key])
-            m2[key] += 0.01 * (grad[key] ** 2 - m2[key])
-            pace = rate * (0.2 if key == "t" else 1.0)
-            value -= pace * (m1[key] / (1 - 0.9**step)) / (np.sqrt(m2[key] / (1 - 0.99**step)) + 1e-7)
-    q, k, v = p["e"] @ p["wq"] * scale, p["e"] @ p["wk"], p["e"] @ p["wv"]
-    pq, pk, pv = p["p"] @ p["wq"] * scale, p["p"] @ p["wk"], p["p"] @ p["wv"]
-    # Exponents stay within single precision: a product of the greatest norms bounds every weight.
-    reach = (np.linalg.norm(q, axis=1).max() + np.linalg.norm(pq, axis=1).max()) * (np.linalg.norm(k, axis=1).max() + np.linalg.norm(pk, axis=1).max())
-    shrink = np.float32(min(1.0, 60.0 / max(reach, 1e-6)))
-    q, pq = q * shrink, pq * shrink
-    top = p["t"] - p["t"].max(1, keepdims=True)
-    return Model(place, cls, within.astype(np.float32), pair.astype(np.float16), *(np.ascontiguousarray(x, np.float32) for x in (q, k, v, pq, pk, pv, p["o"], top)))
+        adam.move(_gradient(p, table, rows[where], classes[where], live), 0.02 * (1 - 0.9 * step / steps))
+    return assembled(place, cls, within.astype(np.float32), pair.astype(np.float16), table, p)
+
+
+def passed(m: Model, texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
+    """One pass from the weights of ``m`` over all windows of runs of texts (ids, bounds); each id is predicted once.
+
+    The flat sum of the weights after every step, each taken as often as the step had windows, and that number.
+    """
+    p = {k: v.copy() for k, v in m.weights.items()}
+    total, n, at, adam, rng = {k: np.zeros(v.shape) for k, v in p.items()}, 0, np.arange(WINDOW), _Adam(p), np.random.default_rng(7)
+    for ids, bounds in texts:
+        rows, classes = m.place[_previous(ids, bounds)], m.cls[ids]
+        each = -(-np.diff(bounds) // WINDOW)
+        number = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        first = np.repeat(bounds[:-1], each) + number * WINDOW
+        end = np.minimum(first + WINDOW, np.repeat(bounds[1:], each))
+        order = rng.permutation(len(first))
+        for i in range(0, len(first), PASS_WINDOWS):
+            w = order[i : i + PASS_WINDOWS]
+            where = first[w][:, None] + at
+            live = (where < end[w][:, None]).astype(np.float32)
+            np.minimum(where, len(ids) - 1, out=where)
+            adam.move(_gradient(p, m.table, rows[where], classes[where], live), PASS_RATE)
+            for key, value in p.items():
+                total[key] += value * np.float32(len(w))
+            n += len(w)
+    return np.concatenate([total[k].ravel() for k in SHAPES]), n
+
+
+def learnt(m: Model, total: np.ndarray, n: int) -> Model:
+    """``m`` with the mean weights of passes: the sum of their flat sums, over that of their numbers of windows."""
+    sizes = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
+    p = {k: (total[a:b] / n).astype(np.float32).reshape(s) for (k, s), a, b in zip(SHAPES.items(), sizes, sizes[1:])}
+    return assembled(m.place, m.cls, m.within, m.pair, m.table, p)

@@ -5,7 +5,8 @@ over blocks is the lexicon, where each distinct word is tokenised once. Blocks t
 their own words, so no task holds the whole lexicon; a word's ids and count are read from there, and the ids of
 all texts are written. Lexicon rows travel packed by block. Counts of ids come from the whole lexicon. Counts of
 neighbouring ids, inside words, from a word to the next one and at both ends of a text, come from the ids of all
-training texts, with each id as its input row; the attention itself trains on a bounded sample.
+training texts, with each id as its input row. The attention starts from a bounded sample; then every task makes a
+training pass over all its training texts, and the model has the mean of the weights of all steps.
 
 Defined results: a null or empty text is its end token alone; rows without ``doc_id`` are scored and, having no
 remainder, learnt from; repeated rows count each; an empty table gives an empty result; other columns are
@@ -31,12 +32,14 @@ from pitscore.llm.common import slices, staged
 from pitscore.llm.subwords import Subwords
 from pitscore.llm.toxicity import held_out
 
-#: Text bytes of a block; ids that a worker handles at once; documents and code points of the attention model's training sample.
+#: Text bytes of a block; ids that a worker handles at once; documents and code points of the sample that the attention model starts from.
 BLOCK_BYTES = 24 << 20
 SLICE_IDS = 1 << 20
 #: Lexicon rows that a worker packs at once.
 PACKED_ROWS = 1 << 18
 SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 12_000_000
+#: Parts that the weights of all passes are summed in.
+WEIGHT_PARTS = 64
 VOCABULARY, IDS = "word_bpe_49k.json", 49_408
 PACKED = ("of", "word", "word_sizes", "c", "ids", "ids_sizes")
 
@@ -174,8 +177,30 @@ def neighbours(coded: DataFrame, place: np.ndarray) -> np.ndarray:
     return np.stack([pair // attention.ROWS, pair % attention.ROWS, found.column("n").to_numpy()], axis=1)
 
 
+def learn(coded: DataFrame, start: attention.Model) -> attention.Model:
+    """Attention from all training texts: the mean weights of a pass of every task over its texts, each from ``start``."""
+    shared = coded.sparkSession.sparkContext.broadcast(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = attention.passed(shared.value, ((ids, bounds) for _, ids, bounds in _opened(batches)))
+        if n:
+            parts, task = np.array_split(total, WEIGHT_PARTS), TaskContext.get().partitionId()
+            yield pa.record_batch({"part": pa.array(range(WEIGHT_PARTS), pa.int32()), "task": pa.array([task] * WEIGHT_PARTS, pa.int64()), "n": pa.array([n] * WEIGHT_PARTS, pa.int64()), "total": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def summed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("task")
+        total = np.sum([np.frombuffer(x) for x in rows.column("total").to_pylist()], axis=0)
+        return pa.table({"part": rows.column("part")[:1], "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    passes = coded.filter(~F.col("held_out")).select("n_subwords", "z").mapInArrow(run, "part int, task bigint, n bigint, total binary")
+    found = passes.groupBy("part").applyInArrow(summed, "part int, n bigint, total binary").toArrow().sort_by("part")
+    if not found.num_rows:
+        return start
+    return attention.learnt(start, np.concatenate([np.frombuffer(x) for x in found.column("total").to_pylist()]), found.column("n")[0].as_py())
+
+
 def fit(docs: DataFrame, lexicon: DataFrame, coded: DataFrame, path: str, n_docs: int) -> attention.Model:
-    """Counts from all training texts, attention from at most ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` code points."""
+    """Counts and attention from all training texts; at most ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` code points give its start."""
     counts = np.zeros(IDS)
     for r in lexicon.filter("c > 0").select("c", "ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
@@ -192,7 +217,7 @@ def fit(docs: DataFrame, lexicon: DataFrame, coded: DataFrame, path: str, n_docs
     texts = [r.text or "" for r in docs.filter(F.col("doc_id").isin(kept)).select("text").collect()] if kept else []
     flat, bounds = split_words(pa.array(texts, pa.string()))
     ids, bounds = Subwords(path).join(flat, bounds, attention.END)
-    return attention.train(counts, pairs, ids, bounds)
+    return learn(coded, attention.train(counts, pairs, ids, bounds))
 
 
 def score(docs: DataFrame, fold: int = 1, vocabulary: str | None = None) -> DataFrame:
@@ -211,6 +236,8 @@ def score(docs: DataFrame, fold: int = 1, vocabulary: str | None = None) -> Data
         known_words, c, flat_ids, id_bounds = _unpacked(right)
         log = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         out = []
+        # Rows come in any order; the training pass goes by theirs.
+        left = left.sort_by("doc_id")
         opened = zstandard.ZstdDecompressor().decompress
         for a in range(0, left.num_rows, 2048):
             part = left.slice(a, 2048)

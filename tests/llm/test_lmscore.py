@@ -98,3 +98,48 @@ def test_neighbours_cross_blanks(spark, monkeypatch):
     hello, world = (place[tokens.chunks([x])[0][0]] for x in ("hello", "world"))
     comma = place[tokens.chunks(["hello,"])[0][1]]
     assert min(expected[hello, world], expected[hello, comma]) > 10
+
+
+def test_attention_learns_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(lmscore, "SLICE_IDS", 40)
+    monkeypatch.setattr(lmscore, "SAMPLE_DOCS", 3)
+    given, learnt = {}, attention.learnt
+    monkeypatch.setattr(attention, "learnt", lambda m, total, n: given.update(start=m, n=n, end=learnt(m, total, n)) or given["end"])
+    rows = [(i, "hello, sir " * (i % 7) if i % 2 else "hello world hello") for i in range(60)] + [(60, None), (61, "")]
+    lmscore.score(documents(spark, rows).repartition(3)).collect()
+    tokens = Subwords(public_tokenizers.path(lmscore.VOCABULARY))
+    sizes = [1 + sum(len(e) for e in tokens.chunks((t or "").split())) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert given["n"] == sum(-(-s // attention.WINDOW) for s in sizes)
+    assert not np.allclose(given["start"].weights["o"], given["end"].weights["o"])
+
+
+def test_pass_lowers_the_loss():
+    model, ids, bounds = _trained()
+    total, n = attention.passed(model, iter([(ids, bounds)] * 30))
+    assert n == 30 * sum(-(-s // attention.WINDOW) for s in np.diff(bounds))
+    after = attention.learnt(model, total, n)
+    assert attention.log_probabilities(after, ids, bounds).mean() >= attention.log_probabilities(model, ids, bounds).mean()
+
+
+def test_gradient():
+    rng = np.random.default_rng(3)
+    p = {k: (rng.standard_normal(s) * 0.3) for k, s in attention.SHAPES.items()}
+    table, row = rng.standard_normal((attention.ROWS, attention.CLASSES)), rng.integers(0, 5, (3, attention.WINDOW))
+    classes, live = rng.integers(0, attention.CLASSES, row.shape), (np.arange(attention.WINDOW) < np.array([[16], [9], [1]])).astype(float)
+
+    def loss() -> float:
+        x = p["e"][row] + p["p"]
+        a = x @ p["wq"] @ (x @ p["wk"]).transpose(0, 2, 1) / 4 + np.triu(np.full((attention.WINDOW,) * 2, -1e9), 1)
+        a = np.exp(a - a.max(2, keepdims=True))
+        z = a / a.sum(2, keepdims=True) @ (x @ p["wv"]) @ p["o"] + table[row]
+        z -= np.log(np.exp(z).sum(2, keepdims=True))
+        return -(np.take_along_axis(z, classes[:, :, None], 2)[:, :, 0] * live).sum() / live.sum()
+
+    found = attention._gradient(p, table, row, classes, live)
+    for key, at in (("e", (2, 3)), ("p", (4, 1)), ("wq", (0, 5)), ("wk", (7, 2)), ("wv", (3, 3)), ("o", (1, 30))):
+        values = []
+        for step in (1e-5, -2e-5, 1e-5):
+            p[key][at] += step
+            values.append(loss())
+        assert math.isclose((values[0] - values[1]) / 2e-5, found[key][at], rel_tol=1e-3, abs_tol=1e-7)
