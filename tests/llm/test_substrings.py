@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 
@@ -60,3 +61,26 @@ def test_runs_inside_windows(spark, monkeypatch):
     got = {r.doc_id: r for r in substrings.remove_repeats(documents(spark, rows).repartition(3)).collect()}
     for (i, _), e in zip(rows, _expected([t.encode() for t in texts])):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == e
+
+
+def test_shuffles_of_finished_steps_are_freed(spark, monkeypatch):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    substrings.free_shuffles(spark)
+    time.sleep(2)
+    before, calls, free = shuffled(), [], substrings.free_shuffles
+    monkeypatch.setattr(substrings, "free_shuffles", lambda s: calls.append(len(shuffled() - before)) or free(s))
+    long = "".join(random.Random(4).choices("abcdefgh ", k=4000))
+    texts, spans = substrings.repeated(documents(spark, [(1, long), (2, "x" + long), (3, long[:700]), (4, None)]))
+    assert len(calls) >= 4 and max(calls) > 0
+    del texts, spans
+    for _ in range(20):
+        free(spark)
+        time.sleep(0.5)
+        if not shuffled() - before:
+            break
+    assert not shuffled() - before
