@@ -84,3 +84,27 @@ def test_shuffles_of_finished_steps_are_freed(spark, monkeypatch):
         if not shuffled() - before:
             break
     assert not shuffled() - before
+
+
+def test_long_tables_are_gone_before_the_texts_meet_their_runs(spark, tmp_path, monkeypatch):
+    """When ``repeated`` ends, only texts and disjoint runs in order are left on the disk."""
+    paths, write = [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, *parts: paths.append(write(df, *parts)) or paths[-1])
+    long = prose(random.Random(4), 40)
+    texts, spans = substrings.repeated(documents(spark, [(1, long), (2, "x" + long + long[:600]), (3, long[:700]), (4, None), (5, "short")]))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = [f.getPath().getName() for f in files.listStatus(folder)]
+    assert [x for x in left if x.startswith("part=")] == ["part=text"]
+    assert not [p for p in paths[1:] if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p)) and any("part=" not in f.getPath().getName() and f.getPath().getName() != "_SUCCESS" for f in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(p)))]
+    assert texts.count() == 5
+    for r in spans.collect():
+        assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:])) and all(s.start < s.end for s in r.spans)
+
+
+def test_periods_are_those_of_the_bytes():
+    rng = np.random.default_rng(2)
+    grams = [bytes(rng.integers(97, 99, 40, dtype=np.uint8)) for _ in range(300)] + [(bytes(rng.integers(0, 256, q, dtype=np.uint8)) * 40)[:40] for q in range(1, 41)]
+    expected = [any(g[:-q] == g[q:] for q in range(1, substrings.PERIOD + 1)) for g in grams]
+    found = substrings._periodic(np.frombuffer(b"".join(grams), np.uint8), np.arange(len(grams)) * substrings.GRAM)
+    assert found.tolist() == expected and any(expected) and not all(expected)
