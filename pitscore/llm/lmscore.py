@@ -94,8 +94,10 @@ def _tokenised(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Subwords(path)
         for batch in batches:
-            ids = tokens.chunks(batch.column("word").to_pylist())
-            yield pa.record_batch({"word": batch.column("word"), "c": batch.column("c"), "ids": pa.array([np.array(x, np.uint16).tobytes() for x in ids], pa.binary())})
+            flat, sizes = tokens.encoded(batch.column("word"))
+            ends = np.concatenate(([0], 2 * np.cumsum(sizes))).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.record_batch({"word": batch.column("word"), "c": batch.column("c"), "ids": ids})
 
     return run
 

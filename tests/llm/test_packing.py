@@ -73,3 +73,19 @@ def test_forgets_and_starts_anew(monkeypatch):
     for text in ("one two three", "three four", "one two five", "six"):
         ids, _ = tokens.encode(pa.array([text]), packing.END)
         assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END]
+
+
+def test_words_are_merged_together(monkeypatch):
+    """Words of letters need no tokeniser, words and texts have the ids that it gives."""
+    path, rng = public_tokenizers.path(packing.VOCABULARY), random.Random(9)
+    plain, tokens = Tokenizer.from_file(path), subwords.Subwords(path)
+    letters = "abcdefghijklmnopqrstuvwxyzßàçèéêñöøüÿ"
+    words = list(dict.fromkeys("".join(rng.choices(rng.choice((letters, "aeinst")), k=rng.randint(1, 30))) for _ in range(4000)))
+    expected = [e.ids for e in plain.encode_batch(words, add_special_tokens=False)]
+    asked, slow = [], tokens.tokenizer
+    monkeypatch.setattr(tokens, "tokenizer", type("T", (), {"encode_batch_fast": lambda self, x, **k: asked.extend(x) or slow.encode_batch_fast(x, **k)})())
+    assert tokens.chunks(words) == expected
+    assert all(len(x.encode()) > subwords.LONGEST[-1] for x in asked)
+    assert tokens.chunks(odd := ["x" * 40, "a÷b", "×", "don't", "é" * 17, "3a", ""]) == [e.ids for e in plain.encode_batch(odd, add_special_tokens=False)]
+    for text in ("ÀÉ Éá ÇA × Þß", "ÀÉ È×È ÇA ÞE.", "É<|x", "Ÿ Ǖ İ Éé"):
+        assert tokens.encode(pa.array([text]), packing.END)[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END]
