@@ -24,8 +24,11 @@ START, END = 49406, 49407
 #: Windows of a training step of the start and of the pass over all texts, and the rate of a step of that pass.
 START_WINDOWS, PASS_WINDOWS, PASS_RATE = 192, 512, 0.01
 _NEG = np.float32(-1e9)
+#: Exponents up to this need no shift: sums of their powers stay within single precision.
+_REACH = np.float32(60.0)
 _MASK = np.triu(np.full((WINDOW, WINDOW), _NEG, np.float32), 1)
 _SCALE = np.float32(WIDTH**-0.5)
+_ONES = np.ones(CLASSES, np.float32)
 #: Trained weights: embeddings of input rows and places, query, key and value maps, output map.
 SHAPES = {"e": (ROWS, WIDTH), "p": (WINDOW, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "o": (WIDTH, CLASSES)}
 
@@ -65,7 +68,7 @@ def _previous(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return before
 
 
-def log_probabilities(m: Model, ids: np.ndarray, bounds: np.ndarray, batch: int = 4096) -> np.ndarray:
+def log_probabilities(m: Model, ids: np.ndarray, bounds: np.ndarray, batch: int = 512) -> np.ndarray:
     """Natural log probability of every id given those before it in its text, each scored in one window."""
     rows, classes = m.place[_previous(ids, bounds)], m.cls[ids]
     first, size, scored = windows(bounds)
@@ -79,14 +82,15 @@ def log_probabilities(m: Model, ids: np.ndarray, bounds: np.ndarray, batch: int
         weight += _MASK
         np.exp(weight, out=weight)
         mixed = weight @ (m.v[row] + m.pv)
-        mixed /= weight.sum(axis=2, keepdims=True)
+        # Row sums as products: a reduction over a short last axis takes far longer.
+        mixed /= (weight.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(*row.shape, 1)
         take = (at >= c[:, None]) & (at < s[:, None])
         place = where[take]
         logits = mixed[take] @ m.out
-        logits += m.table[rows[place]]
+        logits += m.table.take(rows[place], axis=0)
         own = logits[np.arange(len(place)), classes[place]]
         np.exp(logits, out=logits)
-        score[place] += own - np.log(logits.sum(axis=1))
+        score[place] += own - np.log(logits @ _ONES)
     return score
 
 
@@ -123,23 +127,33 @@ def cluster(counts: np.ndarray, after: np.ndarray) -> np.ndarray:
     return cls
 
 
+def _beyond(x: np.ndarray) -> bool:
+    """Whether exponents of these must be shifted by the greatest of their row."""
+    return not (x.max(initial=0) <= _REACH and x.min(initial=0) >= -_REACH)
+
+
 def _gradient(p: dict[str, np.ndarray], table: np.ndarray, row: np.ndarray, classes: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean loss of the classes at the ``live`` places of windows (``row``: their input rows)."""
     shape, flat, share = (*row.shape, WIDTH), row.ravel(), live.ravel() / live.sum()
-    x = p["e"][flat]
+    x = p["e"].take(flat, axis=0)
     x.reshape(shape)[...] += p["p"]
     q, k, v = ((x @ m).reshape(shape) for m in (p["wq"] * _SCALE, p["wk"], p["wv"]))
     a = q @ k.transpose(0, 2, 1)
+    far = _beyond(a)
     a += _MASK
-    a -= a.max(2, keepdims=True)
+    if far:
+        a -= a.max(2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
+    a /= (a.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(*row.shape, 1)
     h = a @ v
-    z = table[flat]
-    z += h.reshape(-1, WIDTH) @ p["o"]
-    z -= z.max(1, keepdims=True)
+    z, own = table.take(flat, axis=0), h.reshape(-1, WIDTH) @ p["o"]
+    far = _beyond(own)
+    z += own
+    # A row of the table has 0 as its greatest value.
+    if far:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z *= (share / z.sum(1))[:, None]
+    z *= (share / (z @ _ONES))[:, None]
     z[np.arange(len(z)), classes.ravel()] -= share
     gh = (z @ p["o"].T).reshape(shape)
     ga = gh @ v.transpose(0, 2, 1)

@@ -40,6 +40,8 @@ PACKED_ROWS = 1 << 18
 SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 12_000_000
 #: Parts that the weights of all passes are summed in.
 WEIGHT_PARTS = 64
+#: Text bytes whose words are looked up at once: each lookup hashes all words of the block.
+LOOKUP_BYTES = 4 << 20
 VOCABULARY, IDS = "word_bpe_49k.json", 49_408
 PACKED = ("of", "word", "word_sizes", "c", "ids", "ids_sizes")
 
@@ -245,7 +247,7 @@ def score(docs: DataFrame, fold: int = 1, vocabulary: str | None = None) -> Data
             part = left.slice(a, 2048)
             text = pa.array([opened(z).decode() for z in part.column("z").to_pylist()], pa.string())
             plain = pa.record_batch({"doc_id": part.column("doc_id").combine_chunks(), "held_out": part.column("held_out").combine_chunks(), "text": text})
-            for b in slices(iter([plain])):
+            for b in slices(iter([plain]), limit=LOOKUP_BYTES):
                 out.append(_coded(b, known_words, c, log, flat_ids, id_bounds))
         return pa.Table.from_batches(out) if out else pa.table({f.name: pa.array([], f.type) for f in result(left.schema.field("doc_id").type)})
 

@@ -143,3 +143,27 @@ def test_gradient():
             p[key][at] += step
             values.append(loss())
         assert math.isclose((values[0] - values[1]) / 2e-5, found[key][at], rel_tol=1e-3, abs_tol=1e-7)
+
+
+def test_far_exponents_are_shifted():
+    """Weights so large that powers of exponents overflow give the gradient of exponents shifted by their greatest."""
+    rng = np.random.default_rng(5)
+    row = rng.integers(0, 50, (40, attention.WINDOW))
+    classes, live = rng.integers(0, attention.CLASSES, row.shape), np.ones(row.shape, np.float32)
+    table = rng.standard_normal((attention.ROWS, attention.CLASSES)).astype(np.float32)
+    table -= table.max(1, keepdims=True)
+    for size, far in ((0.3, False), (1.0, True)):
+        p = {k: (rng.standard_normal(s) * size).astype(np.float32) for k, s in attention.SHAPES.items()}
+        x = p["e"][row] + p["p"]
+        assert attention._beyond((x @ p["wq"]) @ (x @ p["wk"]).transpose(0, 2, 1) / 4) == far
+        found = attention._gradient(p, table, row, classes, live)
+        exact = attention._gradient({k: v.astype(float) for k, v in p.items()}, table.astype(float), row, classes, live.astype(float))
+        for key in p:
+            assert np.isfinite(found[key]).all()
+            assert np.linalg.norm(found[key] - exact[key]) <= 0.01 * np.linalg.norm(exact[key])
+
+
+def test_scores_do_not_depend_on_the_batch():
+    model, ids, bounds = _trained()
+    scores = [attention.log_probabilities(model, ids, bounds, batch=n) for n in (7, 512, 4096)]
+    assert all(np.allclose(s, scores[0], atol=1e-4) for s in scores)
