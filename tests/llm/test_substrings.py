@@ -102,6 +102,27 @@ def test_long_tables_are_gone_before_the_texts_meet_their_runs(spark, tmp_path,
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:])) and all(s.start < s.end for s in r.spans)
 
 
+def test_numbers_need_one_exchange_of_few_ranges(spark, monkeypatch):
+    """The driver samples rows for every range: their count follows the rows, not the session's partitions, and no table is broadcast."""
+    monkeypatch.setattr(substrings, "RANGE_ROWS", 2)
+    monkeypatch.setattr(substrings, "RANGES", 5)
+    rows = [(0, 5, 0, 1), (1, 5, 0, 1), (0, 7, 1, 2), (1, 8, 1, 1), (2, -3, 1, 1), (0, -3, 1, 4), (3, 9, 9, 1), (4, 7, 2, 1), (5, -3, 1, 1), (6, 5, 0, 1), (7, 1, 1, 1), (8, 1, 1, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        found = substrings._numbered(spark.createDataFrame(rows, "of bigint, a bigint, b bigint, n bigint"), ["a", "b"], 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert plan.count("Exchange") == 1 and "rangepartitioning(a" in plan and ", 5), REPARTITION_BY_NUM" in plan and "Join" not in plan
+    total = {k: sum(n for _, a, b, n in rows if (a, b) == k) for k in {(a, b) for _, a, b, _ in rows}}
+    assert sorted((r.of, r.a, r.b) for r in got) == sorted((of, a, b) for of, a, b, _ in rows if total[a, b] > 1)
+    ids = {(r.a, r.b): {x.id for x in got if (x.a, x.b) == (r.a, r.b)} for r in got}
+    assert all(len(x) == 1 and min(x) > 3 << 54 for x in ids.values())
+    in_order = [min(ids[k]) for k in sorted(ids)]
+    assert in_order == sorted(set(in_order))
+
+
 def test_periods_are_those_of_the_bytes():
     rng = np.random.default_rng(2)
     grams = [bytes(rng.integers(97, 99, 40, dtype=np.uint8)) for _ in range(300)] + [(bytes(rng.integers(0, 256, q, dtype=np.uint8)) * 40)[:40] for q in range(1, 41)]
