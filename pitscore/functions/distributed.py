@@ -29,7 +29,7 @@ _MARGIN = 8.0 / ACCURACY
 PARTS = 256
 
 
-def _null_safe(left: str, right: str, names: Sequence[str]) -> Column:
+def null_safe(left: str, right: str, names: Sequence[str]) -> Column:
     cond = F.lit(True)
     for name in names:
         cond = cond & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
@@ -38,7 +38,7 @@ def _null_safe(left: str, right: str, names: Sequence[str]) -> Column:
 
 def _joined(rows: DataFrame, small: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
     """Inner join on keys that may be NULL; ``columns`` of the right side are added."""
-    return rows.alias("r").join(small.alias("w"), _null_safe("r", "w", keys)).select("r.*", *[f"w.{c}" for c in columns])
+    return rows.alias("r").join(small.alias("w"), null_safe("r", "w", keys)).select("r.*", *[f"w.{c}" for c in columns])
 
 
 def _sizes(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, bool]:
@@ -52,7 +52,7 @@ def _sketched(rows: DataFrame, sizes: DataFrame, keys: list[str], value: str, sh
     large = sizes.filter(F.col("n") > PART_ROWS).select(*keys, F.lit(1).alias("_large"))
     at = F.percentile_approx(value, F.array(*[F.lit(float(s)) for s in shares]), ACCURACY)
     found = _joined(rows, large, keys).groupBy(*keys).agg(at.alias("_s"))
-    joined = sizes.alias("r").join(found.alias("w"), _null_safe("r", "w", keys), "left")
+    joined = sizes.alias("r").join(found.alias("w"), null_safe("r", "w", keys), "left")
     return materialize(joined.select("r.*", "w._s"))
 
 
@@ -166,7 +166,7 @@ def rank_correlation(
     pairs = df.filter(has_number(b) & (has_number(a) if isinstance(a, str) else F.lit(True) if valid is None else valid))
     ranks = materialize(average_ranks(pairs, keys, b))
     # The mean rank is (n + 1) / 2 by construction.
-    centred = pairs.alias("r").join(ranks.alias("w"), _null_safe("r", "w", [*keys, b])).select("r.*", "w.n", (F.col("w.avg_rank") - (F.col("w.n") + 1) / 2.0).alias("_d"))
+    centred = pairs.alias("r").join(ranks.alias("w"), null_safe("r", "w", [*keys, b])).select("r.*", "w.n", (F.col("w.avg_rank") - (F.col("w.n") + 1) / 2.0).alias("_d"))
     if callable(a):
         expanded = a(centred)
     else:
@@ -218,7 +218,7 @@ def first_by(
         upto = W.partitionBy(*keys).orderBy("_code").rowsBetween(W.unboundedPreceding, 0)
         last_code = codes.withColumn("_end", F.sum("_c").over(upto)).filter((F.col("_end") >= F.col("_room")) & (F.col("_end") - F.col("_c") < F.col("_room")))
         last_code = last_code.select(*keys, "_code", (F.col("_room") - F.col("_end") + F.col("_c")).alias("_left"))
-        near = equal.alias("r").join(last_code.alias("w"), _null_safe("r", "w", [*keys, "_code"])).select(*[f"r.{k}" for k in keys], "r._cut", "r._t", "w._left")
+        near = equal.alias("r").join(last_code.alias("w"), null_safe("r", "w", [*keys, "_code"])).select(*[f"r.{k}" for k in keys], "r._cut", "r._t", "w._left")
         place = F.row_number().over(W.partitionBy(*keys).orderBy("_t"))
         last = near.withColumn("_i", place).filter(F.col("_i") == F.col("_left")).select(*keys, "_cut", F.col("_t").alias("_last"))
     else:

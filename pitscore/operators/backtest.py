@@ -7,16 +7,18 @@ Monthly series are bounded by the calendar, so windows over one run's months sta
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitscore.functions.columns import ratio
+from pitscore.functions.columns import has_number, ratio
 from pitscore.functions.distributed import rank_correlation
-from pitscore.operators.candidates import score_groups
+from pitscore.operators.candidates import score_groups, with_candidate_scores
+from pitscore.operators.crosssections import by_size, rank_correlations, top_sums
 from pitscore.operators.screens import top_fraction
-from pitscore.params import BENCHMARK, DELIST_RETURN, HISTORICAL_FAMILIES, HORIZONS, ROLLING_MONTHS, Window
+from pitscore.params import BENCHMARK, DELIST_RETURN, HISTORICAL_FAMILIES, HORIZONS, ROLLING_MONTHS, TOP_FRACTION, Window
 from pitscore.session import materialize
 
 
@@ -68,15 +70,37 @@ def with_holding_returns(
     )
 
 
-def portfolio_returns(picks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-weight return per month: ``by, month, port``. Months in which no held name has a
-    return are left out. Sums per (run, quarter, month) are formed before any shuffle."""
+def portfolio_sums(picks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sums per (run, quarter, month), formed before any shuffle: ``by, quarter_end, month, total, names, seen``."""
     keys = list(by)
-    sums = (
+    return (
         picks.select(*keys, "quarter_end", F.explode("held").alias("h"))
         .groupBy(*keys, "quarter_end", F.col("h.month").alias("month"))
         .agg(F.sum("h.value").alias("total"), F.count("h.value").alias("names"), F.count_if("h.seen").alias("seen"))
     )
+
+
+def candidate_sums(
+    held: DataFrame, candidates: Mapping[str, Mapping[str, float]], names: Sequence[str] = HISTORICAL_FAMILIES, prefix: str = "pct_", months: int = 3
+) -> DataFrame:
+    """``portfolio_sums`` of each quarter's best fifth under many weight sets (column ``candidate``)."""
+    whole, large = by_size(held, ["quarter_end"])
+    sums = top_sums(whole, candidates, names, prefix, months, TOP_FRACTION)
+    out = sums.select("candidate", "quarter_end", month_after(F.col("quarter_end"), F.col("k")).alias("month"), "total", "names", "seen")
+    if large is None:
+        return out
+    expanded = with_candidate_scores(large, candidates, names, prefix).select("candidate", "quarter_end", "ticker", "composite", "held")
+    return out.unionByName(portfolio_sums(top_fraction(expanded, ["candidate", "quarter_end"]), ["candidate"]))
+
+
+def portfolio_returns(picks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Equal-weight return per month: ``by, month, port``. Months in which no held name has a
+    return are left out."""
+    return _monthly(portfolio_sums(picks, by), by)
+
+
+def _monthly(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    keys = list(by)
     last = sums.groupBy(*keys, "month").agg(F.max_by(F.struct("total", "names", "seen"), "quarter_end").alias("s"))
     return last.filter(F.col("s.seen") > 0).select(*keys, "month", ratio("s.total", "s.names").alias("port"))
 
@@ -163,15 +187,18 @@ def candidate_ics(
 ) -> DataFrame:
     """Rank correlations of the scores of many weight sets: ``candidate, horizon, quarter_end, ic``.
 
-    Returns are ranked once per quarter and horizon; rows are expanded by the weight sets just before they are ordered.
+    A task ranks a quarter's returns once and then the scores of a block of weight sets. In quarters that are too large for
+    a task, rows are expanded by the weight sets just before they are ordered.
     """
-    out, returns = None, _long_forward(forward, horizons)
+    found, returns, keys = [], _long_forward(forward, horizons), ["horizon", "quarter_end"]
     for members, expand, valid in score_groups(candidates, names, prefix):
-        rows = base.filter(valid).join(returns, ["quarter_end", "ticker"])
-        ics = rank_correlation(rows, ["horizon", "quarter_end"], expand, "fwd", valid=valid)
-        named = ics.select(F.get(F.array(*[F.lit(c) for c in members]), F.col("pos")).alias("candidate"), "horizon", "quarter_end", "ic")
-        out = named if out is None else out.unionByName(named)
-    return out
+        rows = base.filter(valid).join(returns, ["quarter_end", "ticker"]).filter(has_number("fwd"))
+        whole, large = by_size(rows, keys)
+        found.append(rank_correlations(whole, keys, {c: candidates[c] for c in members}, names, prefix, "fwd").select("candidate", *keys, "ic"))
+        if large is not None:
+            ics = rank_correlation(large, keys, expand, "fwd", valid=valid)
+            found.append(ics.select(F.get(F.array(*[F.lit(c) for c in members]), F.col("pos")).alias("candidate"), *keys, "ic"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def mean_horizon_ics(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -204,15 +231,17 @@ def run_backtest(
     horizons: Sequence[str] = tuple(HORIZONS),
     rolling_months: int = ROLLING_MONTHS,
     ics: DataFrame | None = None,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Quarterly top-quintile backtest, one row per run and window. ``forward=None`` skips the
     rank correlations unless ``ics`` has them; ``horizons`` (with ``1q``) narrows them. A correlation that was not
-    computed is NULL. Expanded rows are read for the sizes of their groups, for the cut-offs and for the picks."""
-    held = scored if "held" in scored.columns else with_holding_returns(scored, monthly, delisted, months, delist_return)
-    picks = top_fraction(held, [*by, "quarter_end"])
+    computed is NULL. With ``sums`` (``portfolio_sums`` of the picks) ``scored`` needs the runs and their quarters only."""
     keys = [*by, "window"]
+    if sums is None:
+        held = scored if "held" in scored.columns else with_holding_returns(scored, monthly, delisted, months, delist_return)
+        sums = portfolio_sums(top_fraction(held, [*by, "quarter_end"]), by)
     # One small row per run, window and month from here on.
-    port = materialize(portfolio_returns(in_windows(picks, windows), keys))
+    port = materialize(_monthly(in_windows(sums, windows), keys))
     bench = materialize(benchmark_in_windows(benchmark_returns(monthly), windows, months))
     runs = scored.select(*by).distinct() if by else scored.sparkSession.range(1).select()
     out = runs.withColumn("window", F.explode(F.array(*[F.lit(w.name) for w in windows])))

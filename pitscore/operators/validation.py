@@ -137,10 +137,12 @@ def search_weights(
     longer than ``rolling_months``, or no month has a full trailing window and the objective is 0."""
     base = scored.select("quarter_end", "ticker", *[f"pct_{f}" for f in params.HISTORICAL_FAMILIES])
     held = materialize(backtest.with_holding_returns(base, monthly, delisted))
-    expanded = with_candidate_scores(held, candidates).select("candidate", "quarter_end", "ticker", "composite", "held")
+    listed = F.explode(F.array(*[F.lit(c) for c in candidates]))
+    scored_in = materialize(base.select("quarter_end").distinct()).select(listed.alias("candidate"), "quarter_end")
+    sums = materialize(backtest.candidate_sums(held, candidates))
     # The objective needs the next quarter's correlation only.
     ics = backtest.candidate_ics(base, forward, candidates, horizons=["1q"])
-    runs = backtest.run_backtest(expanded, monthly, None, delisted, windows, by=["candidate"], horizons=["1q"], rolling_months=rolling_months, ics=ics)
+    runs = backtest.run_backtest(scored_in, monthly, None, delisted, windows, by=["candidate"], horizons=["1q"], rolling_months=rolling_months, ics=ics, sums=sums)
     metrics = ("rolling_win_rate", "median_excess", "mean_ic", "cagr", "benchmark_cagr", "max_drawdown")
     wide = runs.groupBy("candidate").agg(
         *[F.max(F.when(F.col("window") == w.name, F.col(m))).alias(f"{w.name}_{m}") for w in windows for m in metrics]
